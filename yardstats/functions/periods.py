@@ -8,9 +8,10 @@ whole table of dates. ``today`` is always an argument.
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ONE_DAY = timedelta(days=1)
@@ -85,6 +86,24 @@ def in_period(moment: Column, period: Period) -> Column:
     return (moment >= F.lit(period.start)) & (moment < F.lit(period.end))
 
 
+def month_column(moment: str) -> str:
+    """Name of the partition column a table laid out by month carries."""
+    return f"{moment}_month"
+
+
+def dated(rows: DataFrame, moment: str, *periods: Period) -> DataFrame:
+    """Rows in any of the periods; whole months are pruned if the table is laid out so."""
+    kept = rows.filter(reduce(Column.__or__, [in_period(F.col(moment), p) for p in periods]))
+    month = month_column(moment)
+    if month not in rows.columns:
+        return kept
+    spans = [
+        F.col(month).between(F.lit(p.start.replace(day=1)), F.lit((p.end - ONE_DAY).replace(day=1)))
+        for p in periods
+    ]
+    return kept.filter(reduce(Column.__or__, spans))
+
+
 # The same rules over a column of dates.
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from yardstats.functions.modes import dimension_of, mode_of
 from yardstats.functions.periods import Period, month_label, month_period, year_period
-from yardstats.functions.text import label, label_is
 from yardstats.operators.entities import (
     invoiced_in,
     net,
@@ -50,12 +49,9 @@ def calendar_totals(
     if parts:
         rows = sold_in(facts.sold, period) if period else facts.sold.filter(F.col("issold"))
         totals = parts_by_entity(
-            rows, facts.invoice, dimension, {"value": F.col("invnumber")}, facts.users, fields
+            rows, facts.invoice, dimension, {"value": F.col("invnumber")}, facts.users, fields,
+            entity=entity, labelled=True,
         )
-        if entity is not None:
-            totals = totals.filter(label_is(F.col("entity"), entity))
-        shown = label(F.col("entity")).alias("entity")
-        totals = totals.groupBy(shown, *by).agg(F.sum("value").alias("value"))
     else:
         rows = invoiced_in(facts.invoice, period) if period else facts.invoice
         totals = sales_by_entity(rows, dimension, {"value": net()}, facts.users, fields)

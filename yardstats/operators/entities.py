@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardstats.functions.modes import dimension_of
-from yardstats.functions.periods import Period, in_period
+from yardstats.functions.periods import Period, dated
 from yardstats.functions.text import item_label, label, label_is
 from yardstats.operators.spread import left_join_sparse_key
 
@@ -54,19 +54,28 @@ def parts_by_entity(
     measures: dict[str, Column],
     users: DataFrame | None = None,
     by: dict[str, Column] | None = None,
+    entity: str | None = None,
+    labelled: bool = False,
 ) -> DataFrame:
     """Counted ``measures`` of sold rows per ``entity`` (raw name) and ``by``.
 
     Sold rows without an invoice, and invoices without a known user, stay under
-    a null entity.
+    a null entity. ``entity`` keeps the rows of one label; ``labelled`` groups on
+    the label instead of the raw name.
     """
     by = by or {}
     names = list(measures)
+
+    def finish(named: DataFrame, name: str) -> DataFrame:
+        kept = named if entity is None else named.filter(label_is(F.col(name), entity))
+        shown = label(F.col(name)) if labelled else F.col(name)
+        return kept.groupBy(shown.alias("entity"), *by).agg(*_sums(names))
+
     aggs = [F.count(c).alias(n) for n, c in measures.items()]
     per_invoice = sold.groupBy("invoice_id", *[c.alias(n) for n, c in by.items()]).agg(*aggs)
 
     to_user = dimension_of(dimension) == "user"
-    owner = F.col("whocreated_id").alias("user_id") if to_user else F.col("departmentname").alias("entity")
+    owner = F.col("whocreated_id").alias("user_id") if to_user else F.col("departmentname")
     owners = invoice.select("invoice_id", owner)
     if by:
         owned = left_join_sparse_key(per_invoice, owners, "invoice_id", spread_by=list(by))
@@ -74,19 +83,23 @@ def parts_by_entity(
         # One row per invoice is left, already partitioned on the join key.
         owned = per_invoice.join(owners, "invoice_id", "left")
     if not to_user:
-        return owned.groupBy("entity", *by).agg(*_sums(names))
+        return finish(owned, "departmentname")
     per_user = owned.groupBy("user_id", *by).agg(*_sums(names))
-    named = per_user.join(users.select("user_id", "shortname"), "user_id", "left")
-    return named.groupBy(F.col("shortname").alias("entity"), *by).agg(*_sums(names))
+    known = users.select("user_id", "shortname")
+    if by:
+        named = left_join_sparse_key(per_user, known, "user_id", spread_by=list(by))
+    else:
+        named = per_user.join(known, "user_id", "left")
+    return finish(named, "shortname")
 
 
-def sold_in(sold: DataFrame, period: Period) -> DataFrame:
-    """Rows flagged as sold (a null flag is not sold) in the period."""
-    return sold.filter(F.col("issold") & in_period(F.col("solddate"), period))
+def sold_in(sold: DataFrame, *periods: Period) -> DataFrame:
+    """Rows flagged as sold (a null flag is not sold) in any of the periods."""
+    return dated(sold.filter("issold"), "solddate", *periods)
 
 
 def invoiced_in(invoice: DataFrame, period: Period) -> DataFrame:
-    return invoice.filter(in_period(F.col("datecreated"), period))
+    return dated(invoice, "datecreated", period)
 
 
 def net() -> Column:
@@ -122,14 +135,15 @@ def entity_parts(
 ) -> DataFrame:
     """``entity, parts_sold`` of a period. A group whose rows all lack a number counts 0."""
     totals = parts_by_entity(
-        sold_in(sold, period), invoice, dimension, {"parts_sold": F.col("invnumber")}, users
+        sold_in(sold, period),
+        invoice,
+        dimension,
+        {"parts_sold": F.col("invnumber")},
+        users,
+        labelled=merge_labels,
     )
     if merge_labels:
-        return (
-            totals.groupBy(label(F.col("entity")).alias("entity"))
-            .agg(F.sum("parts_sold").alias("parts_sold"))
-            .orderBy("entity")
-        )
+        return totals.orderBy("entity")
     # Departments sort by the shown label, users by the stored name.
     shown = label(F.col("raw"))
     first = [F.asc_nulls_last("raw")] if dimension_of(dimension) == "user" else [shown, F.asc_nulls_last("raw")]
@@ -156,18 +170,16 @@ def parts_breakdown(
     the stored name, so two spellings that show alike stay two rows unless
     ``merge_labels``.
     """
-    counts = parts_by_entity(
+    per_item = parts_by_entity(
         sold_in(sold, period),
         invoice,
         dimension,
         {"parts_sold": F.col("invnumber")},
         users,
         by={"itemtype_id": F.col("itemtype_id")},
+        entity=entity,
+        labelled=True,
     )
-    if entity is not None:
-        counts = counts.filter(label_is(F.col("entity"), entity))
-    shown = label(F.col("entity")).alias("entity")
-    per_item = counts.groupBy(shown, "itemtype_id").agg(F.sum("parts_sold").alias("parts_sold"))
     named = left_join_sparse_key(
         per_item, itemtype.select("itemtype_id", "itemname"), "itemtype_id", spread_by=["entity"]
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from yardstats.functions.text import contains_ignore_case, equals_ignore_case, strip
 from yardstats.operators.spread import salted_join
 from yardstats.schemas import CATALOGUE_NAMES, SCORE_NAMES, SEARCH_COLUMNS
+from yardstats.session import write_through
 
 # Part names left out of an excluding search.
 EXCLUDED_PARTS = [
@@ -116,52 +117,95 @@ _ANY_YEAR = -(1 << 30)
 _SEARCH = ["model_key", "year", "code_key", "min_price", "min_opportunity", "exclude"]
 
 
-def search_parts_batch(catalogue: DataFrame, requests: DataFrame, limit: int = 50) -> DataFrame:
-    """Many searches in one job: ``request_id, position`` and the search columns.
+def _request_buckets(rows: DataFrame) -> DataFrame:
+    own = F.floor(F.col("year") / _BUCKET).cast("int")
+    return rows.withColumn("bucket", F.explode(F.array(own, F.lit(_ANY_YEAR))))
+
+
+def _part_buckets(catalogue: DataFrame) -> DataFrame:
+    """Scored parts, once per five-year bucket they reach into.
 
-    Equal searches are run once and handed back to all their requests. Parts
-    meet searches on (model, five-year bucket), so a popular model is split by
-    year as well; a part spanning more than ``_WIDEST`` years sits in one bucket
-    of its own that every search also looks at. Each part meets a search in one
-    bucket only. The top-k is cut per task before its shuffle.
+    A part spanning more than ``_WIDEST`` years sits in one bucket of its own,
+    which every request looks at too; so a part meets a year in one bucket only,
+    and a corrupt range cannot blow up into millions of buckets.
     """
-    asked = requests.select(
-        "request_id",
-        F.lower("model").alias("model_key"),
-        "year",
-        F.lower(strip(F.coalesce("engine_code", F.lit("")))).alias("code_key"),
-        "min_price",
-        "min_opportunity",
-        F.coalesce("exclude", F.lit(False)).alias("exclude"),
-    )
-    searches = asked.select(*_SEARCH).distinct().withColumn(
-        "bucket",
-        F.explode(F.array(F.floor(F.col("year") / _BUCKET).cast("int"), F.lit(_ANY_YEAR))),
-    )
     first, last = F.col("ic_start_year"), F.col("ic_end_year")
     low, high = F.floor(first / _BUCKET).cast("int"), F.floor(last / _BUCKET).cast("int")
     buckets = F.when(last - first > _WIDEST, F.array(F.lit(_ANY_YEAR))).otherwise(F.sequence(low, high))
-    parts = (
+    return (
         with_scores(catalogue.filter(F.col("model").isNotNull() & (first <= last)))
         .withColumn("model_key", F.lower("model"))
         .withColumn("bucket", F.explode(buckets))
+        .select("model_key", "bucket", "row_id", *SEARCH_COLUMNS)
     )
-    hits = parts.join(searches, ["model_key", "bucket"]).filter(
-        covers_year(F.col("year"))
-        & ((F.col("code_key") == "") | fits_engine_code(F.col("code_key")))
+
+
+def _fits_search() -> Column:
+    return (
+        ((F.col("code_key") == "") | fits_engine_code(F.col("code_key")))
         & (~F.col("exclude") | has_no_keyword())
         & (F.col("min_price").isNull() | (F.col("b_price") >= F.col("min_price")))
         & (F.col("min_opportunity").isNull() | (F.col("opportunity_score") >= F.col("min_opportunity")))
     )
-    place = F.row_number().over(W.partitionBy(*_SEARCH).orderBy(*best_first()))
-    top = hits.withColumn("position", place).filter(F.col("position") <= limit)
-    answers = salted_join(
-        asked,
-        top.select(*_SEARCH, "position", *SEARCH_COLUMNS),
-        _SEARCH,
-        spread_by=["request_id"],
-        how="inner",
+
+
+def _best_of(rows: DataFrame, keys: list[str], limit: int, name: str) -> DataFrame:
+    """The first ``limit`` rows per key; cut down in every task before the shuffle."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*best_first()))
+    return rows.withColumn(name, place).filter(F.col(name) <= limit)
+
+
+def search_parts_batch(
+    catalogue: DataFrame, requests: DataFrame, limit: int = 50, shortlist: int = 1000
+) -> DataFrame:
+    """Many searches in one job: ``request_id, position`` and the search columns.
+
+    Equal searches are run once and handed back to all their requests. Parts are
+    ranked alike in every search, so most searches are answered from the best
+    ``shortlist`` parts of their model and year: once ``limit`` of these fit, no
+    other part can rank above them. Only a search that stays short of ``limit``
+    although its shortlist was cut is run against all parts of its model and
+    year. No search is paired with a whole popular model otherwise.
+
+    The shortlists and first results are written to the shared folder, since
+    both are read more than once.
+    """
+    asked = requests.select(
+        "request_id",
+        F.lower("model").alias("model_key"),
+        "year",
+        F.lower(strip(F.coalesce("engine_code", F.lit("")))).alias("code_key"),
+        "min_price",
+        "min_opportunity",
+        F.coalesce("exclude", F.lit(False)).alias("exclude"),
+    )
+    searches = asked.filter("model_key IS NOT NULL AND year IS NOT NULL").select(*_SEARCH).distinct()
+    parts = _part_buckets(catalogue)
+
+    years = _request_buckets(searches.select("model_key", "year").distinct())
+    covered = parts.join(years, ["model_key", "bucket"]).filter(covers_year(F.col("year"))).drop("bucket")
+    ranked = write_through(_best_of(covered, ["model_key", "year"], shortlist, "rank"), "shortlists")
+    quick = searches.join(ranked, ["model_key", "year"]).filter(_fits_search())
+    quick = _best_of(quick, _SEARCH, limit, "position").select(*_SEARCH, "position", *SEARCH_COLUMNS)
+    quick = write_through(quick, "search-results")
+
+    cut = ranked.filter(F.col("rank") == shortlist).select("model_key", "year")
+    hits = quick.groupBy(*_SEARCH).agg(F.max("position").alias("hits")).alias("h")
+    in_cut = searches.join(cut, ["model_key", "year"], "left_semi").alias("s")
+    same = reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in _SEARCH])
+    short = (
+        in_cut.join(hits, same, "left")
+        .select("s.*", F.coalesce("hits", F.lit(0)).alias("hits"))
+        .filter(F.col("hits") < limit)
     )
+    found = quick
+    if not short.isEmpty():
+        # The hits there are stay first; only those after them are added.
+        full = parts.join(_request_buckets(short), ["model_key", "bucket"])
+        full = full.filter(covers_year(F.col("year")) & _fits_search())
+        full = _best_of(full, _SEARCH, limit, "position").filter(F.col("position") > F.col("hits"))
+        found = quick.unionByName(full.select(*quick.columns))
+    answers = salted_join(asked, found, _SEARCH, spread_by=["request_id"], how="inner")
     return answers.select("request_id", "position", *SEARCH_COLUMNS)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from yardstats.session import ensure_checkpoint_dir
+from yardstats.session import write_through
 
 
 def left_join_sparse_key(
@@ -55,12 +55,11 @@ def salted_join(
 def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """1-based position of each row in a total order, without a one-task window.
 
-    The rows are range-sorted and written to the checkpoint folder once, with
-    their place inside their partition; only the partition sizes (one row per
-    sort partition) are summed up in order.
+    The rows are range-sorted and written to the shared folder once, with their
+    place inside their partition; only the partition sizes (one row per sort
+    partition) are summed up in order.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = write_through(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,7 +10,7 @@ from yardstats.functions.modes import dimension_of, mode_of
 from yardstats.functions.periods import Period, in_period, previous_period
 from yardstats.functions.text import label
 from yardstats.operators.calendar import Facts
-from yardstats.operators.entities import entity_sales, parts_by_entity
+from yardstats.operators.entities import entity_sales, parts_by_entity, sold_in
 from yardstats.operators.spread import number_rows, paged_arrays, salted_join
 
 
@@ -24,9 +24,8 @@ def parts_comparison(facts: Facts, period: Period, dimension: str = "department"
     before = previous_period(period)
     when_now = in_period(F.col("solddate"), period)
     when_before = in_period(F.col("solddate"), before)
-    rows = facts.sold.filter(F.col("issold") & (when_now | when_before))
     totals = parts_by_entity(
-        rows,
+        sold_in(facts.sold, period, before),
         facts.invoice,
         dimension,
         {
@@ -60,6 +59,12 @@ def stats_rows(facts: Facts, period: Period, mode: str, dimension: str) -> DataF
     return sales.select("entity", F.col("sum_total").alias("total"), F.col("sum_total_vat").alias("total_vat"))
 
 
+def name_list(spark: SparkSession, names: list[str]) -> DataFrame:
+    """``place, entity`` of a request's names, as a relation whose size Catalyst knows."""
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return spark.range(1).select(F.posexplode(listed).alias("place", "entity"))
+
+
 def exclude_entities(rows: DataFrame, exclude: list[str] | DataFrame | None) -> DataFrame:
     """Drop the listed entities; a missing name is never listed and stays.
 
@@ -70,7 +75,7 @@ def exclude_entities(rows: DataFrame, exclude: list[str] | DataFrame | None) ->
     if not isinstance(exclude, DataFrame):
         if not exclude:
             return rows
-        exclude = rows.sparkSession.createDataFrame([(e,) for e in exclude], "entity string")
+        exclude = name_list(rows.sparkSession, exclude).select("entity")
     return rows.join(exclude.select("entity"), "entity", "left_anti")
 
 
@@ -88,8 +93,12 @@ def saved_positions(order: DataFrame) -> DataFrame:
 def in_saved_order(rows: DataFrame, order: DataFrame | list[str] | None) -> DataFrame:
     """Saved names first, in their saved order; then the others by name."""
     if not isinstance(order, DataFrame):
-        order = rows.sparkSession.createDataFrame([(list(order or []),)], "items array<string>")
-    placed = rows.join(saved_positions(order), "entity", "left")
+        positions = name_list(rows.sparkSession, order or []).groupBy("entity").agg(
+            F.max("place").alias("saved_position")
+        )
+    else:
+        positions = saved_positions(order)
+    placed = rows.join(positions, "entity", "left")
     return placed.orderBy(F.asc_nulls_last("saved_position"), F.asc_nulls_last("entity"), F.desc("total"))
 
 

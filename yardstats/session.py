@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Used only when this package creates the session; an existing session keeps its
 # own. Broadcast joins stay subject to Spark's own size check (no hints are used
@@ -50,6 +50,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def write_through(df: DataFrame, name: str) -> DataFrame:
+    """Store an intermediate result in the shared folder and read it from there.
+
+    It is computed once however often it is used, survives lost executors, and
+    its size is known to the planner.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from yardstats.functions.periods import month_column
 from yardstats.operators import audit, opportunity
 
 
@@ -20,6 +22,15 @@ def export_audit(log: DataFrame, path: str) -> None:
     write_csv(audit.export_rows(log), path)
 
 
+def write_by_month(df: DataFrame, path: str, moment: str) -> None:
+    """Store a table laid out by the month of ``moment``.
+
+    Period reports on it read the files of their months only.
+    """
+    month = F.trunc(F.col(moment), "MM").alias(month_column(moment))
+    df.select("*", month).write.mode("overwrite").partitionBy(month_column(moment)).parquet(path)
+
+
 def overwrite_table(df: DataFrame, path: str) -> None:
     """Replace a stored table by a result that may have been read from it.
 

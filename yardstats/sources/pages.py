@@ -70,7 +70,8 @@ def read_listings(html: str, selectors: Selectors) -> list[dict]:
     """
     fields = selectors.fields()
     wanted = [selectors.item, *fields.values()]
-    classes = [w[1:] for w in wanted if w.startswith(".")]
+    classes = [re.escape(w[1:]) for w in wanted if w.startswith(".")]
+    names_class = re.compile("|".join(classes) or r"(?!)").search
     elements = {w for w in wanted if not w.startswith(".")}
     found: list[dict] = []
     names: list[str] = []  # open elements
@@ -98,7 +99,7 @@ def read_listings(html: str, selectors: Selectors) -> list[dict]:
             continue
         depth = len(names)
         leaf = name in VOID or attributes.endswith("/")
-        if name in elements or any(c in attributes for c in classes):
+        if name in elements or (attributes and names_class(attributes)):
             values = _attributes(attributes)
             own = {name, *("." + c for c in values.get("class", "").split())}
             for _, listing in listings:

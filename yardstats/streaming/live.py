@@ -11,6 +11,7 @@ from yardstats.functions.modes import dimension_of, mode_of
 from yardstats.functions.text import label
 from yardstats.operators.audit import as_audit_rows
 from yardstats.operators.entities import gross, net
+from yardstats.operators.spread import left_join_sparse_key
 
 
 def utc_instant(moment: Column) -> Column:
@@ -38,8 +39,9 @@ def live_daily_totals(
     """Totals per day and entity over arriving invoices or sold rows.
 
     State is one row per open day and entity; days older than the watermark are
-    dropped from it. ``invoice`` and ``users`` are stored tables joined to the
-    stream. Columns: ``day, entity`` and ``sum_total, sum_total_vat`` or
+    dropped from it. ``invoice`` and ``users`` are stored tables joined to every
+    batch of the stream; pass the months of ``invoice`` that can still be sold
+    from, not its whole history. Columns: ``day, entity`` and ``sum_total, sum_total_vat`` or
     ``parts_sold``.
     """
     parts = mode_of(mode) == "parts"
@@ -49,7 +51,7 @@ def live_daily_totals(
     rows = rows.withColumn("at", utc_instant(F.col(moment))).withWatermark("at", watermark)
     if parts:
         owners = invoice.select("invoice_id", "departmentname", "whocreated_id")
-        rows = rows.join(owners, "invoice_id", "left")
+        rows = left_join_sparse_key(rows, owners, "invoice_id", spread_by=["itemtype_id", moment])
     if by_user:
         named = users.select(F.col("user_id").alias("whocreated_id"), "shortname")
         rows = rows.join(named, "whocreated_id", "left" if parts else "inner")
