@@ -1,0 +1,152 @@
+"""The shape of the physical plans: what is pushed, pruned, broadcast and shuffled."""
+
+import re
+from contextlib import contextmanager
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from yardstats.functions.periods import Period
+from yardstats.operators import calendar, entities, lookup, opportunity, stats
+from yardstats.operators.calendar import Facts
+from yardstats.plans.registry import load, runner
+from yardstats.plans.sample import Sample
+from yardstats.sinks.export import write_by_month
+
+BASE = "/root/testdata/sf0.001"
+MARCH = Period(date(1997, 3, 1), date(1997, 4, 1))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted(df):
+    """Full scan details; the short form cuts long filter lists."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+@contextmanager
+def conf(spark, **settings):
+    keys = {k.replace("__", "."): str(v) for k, v in settings.items()}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
+NO_BROADCAST = {"spark__sql__autoBroadcastJoinThreshold": -1}
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """The sample tables as a cluster would hold them: written, facts laid out by month."""
+    base = str(tmp_path_factory.mktemp("stored"))
+    s = Sample(spark, BASE)
+    write_by_month(s.invoice(), f"{base}/invoice", "datecreated")
+    write_by_month(s.sold(), f"{base}/sold", "solddate")
+    for name in ("users", "itemtype", "vehicle", "stocknumber", "location", "catalogue"):
+        getattr(s, name)().write.parquet(f"{base}/{name}")
+    return {
+        n: spark.read.parquet(f"{base}/{n}")
+        for n in ("invoice", "sold", "users", "itemtype", "vehicle", "stocknumber", "location", "catalogue")
+    }
+
+
+@pytest.fixture
+def facts(stored):
+    return Facts(stored["invoice"], stored["sold"], stored["users"], stored["itemtype"])
+
+
+LAZY = [
+    n for n in load()
+    if not n.startswith(("live_", "audit_append", "audit_stream", "catalogue_scan"))
+]
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_nested_loops(spark, name):
+    # Without broadcasts every join must still have a key to be shuffled on.
+    with conf(spark, **NO_BROADCAST):
+        text = plan(runner(name)(spark, BASE))
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_period_reaches_the_scan(facts):
+    text = formatted(entities.entity_sales(facts.invoice, MARCH))
+    assert "PartitionFilters: [isnotnull(datecreated_month" in text
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(datecreated,1997-03-01.*LessThan\(datecreated,1997-04-01", text)
+    assert re.search(r"ReadSchema: struct<departmentname:string,datecreated:timestamp_ntz,total:decimal\(18,2\),totaltax1:decimal\(18,3\)>", text)
+
+
+def test_months_are_pruned(facts):
+    files = entities.invoiced_in(facts.invoice, MARCH)
+    read = {r.f for r in files.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert read and all("datecreated_month=1997-03-01" in f for f in read)
+    kept = files.drop("datecreated_month")
+    plainly = facts.invoice.drop("datecreated_month").filter("datecreated >= '1997-03-01' AND datecreated < '1997-04-01'")
+    assert kept.exceptAll(plainly).isEmpty() and plainly.exceptAll(kept).isEmpty()
+
+
+def test_rows_are_collapsed_before_the_join(spark, facts):
+    with conf(spark, **NO_BROADCAST):
+        text = plan(entities.entity_parts(facts.sold, facts.invoice, MARCH))
+    below = text[text.index("SortMergeJoin") :]
+    assert "partial_count(invnumber" in below
+    # Three shuffles below the sort: both join sides and the entity groups. The
+    # aggregate on the join key brings the partitioning the join needs.
+    assert text.count("Exchange hashpartitioning") == 3
+
+
+def test_one_entity_prunes_before_the_join(spark, facts):
+    with conf(spark, **NO_BROADCAST):
+        text = plan(calendar.monthly_series(facts, 1997, "department", "parts", "BUILDING"))
+    # The label test became a predicate of the invoice scan and the join inner.
+    assert "LeftOuter" not in text
+    assert "EqualTo(departmentname,BUILDING)" in text
+
+
+def test_comparison_reads_the_facts_once(facts):
+    text = plan(stats.parts_comparison(facts, MARCH))
+    assert text.count("solddate") and len(re.findall(r"FileScan parquet \[invoice_id", text)) == 2
+    assert "PartitionFilters: [((" in text or "PartitionFilters: [isnotnull(solddate_month" in text
+
+
+def test_exclusion_list_is_applied_before_the_aggregate(facts):
+    rows = stats.stats_rows(facts, MARCH, "sales", "department")
+    text = plan(stats.exclude_entities(rows, ["BUILDING"]))
+    assert "LeftAnti" in text
+    assert text.index("partial_sum") < text.index("LeftAnti")  # deeper in the tree is later in the text
+
+
+def test_top_k(stored):
+    text = plan(opportunity.search_parts(stored["catalogue"], "Brand#7", 1998))
+    assert "TakeOrderedAndProject" in text
+
+
+def test_batch_search_cuts_before_its_shuffle(spark, stored):
+    best = opportunity._best_of(opportunity.with_scores(stored["catalogue"]), ["model"], 50, "position")
+    text = plan(best)
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_batch_lookup_has_keyed_joins(spark, stored):
+    asked = spark.range(10).selectExpr("id AS request_id", "concat('x', id) AS registration", "'S1' AS stock_number")
+    found = lookup.lookup_vehicles(stored["vehicle"], stored["stocknumber"], stored["location"], asked)
+    with conf(spark, **NO_BROADCAST):
+        found = lookup.lookup_vehicles(stored["vehicle"], stored["stocknumber"], stored["location"], asked)
+        text = plan(found)
+    assert "NestedLoop" not in text and "SortMergeJoin" in text
+
+
+def test_no_python_outside_the_page_reader(spark):
+    for name in LAZY:
+        if name in ("page_listings", "page_links", "listing_report"):
+            continue
+        text = plan(runner(name)(spark, BASE))
+        assert "Python" not in text and "Pandas" not in text, name

@@ -15,9 +15,10 @@ EXCLUSION_DIMENSIONS = ("department", "user")
 
 
 def _texts(json_list: Column) -> Column:
-    """A JSON list as text items; anything but a list is null."""
+    """A JSON list as text items (a null item reads "None"); anything but a list is null."""
     is_list = F.startswith(F.ltrim(json_list), F.lit("["))
-    return F.when(is_list, F.from_json(json_list, "array<string>"))
+    items = F.from_json(json_list, "array<string>")
+    return F.when(is_list, F.transform(items, lambda i: F.coalesce(i, F.lit("None"))))
 
 
 def normalise_orders(stores: DataFrame) -> DataFrame:

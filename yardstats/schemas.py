@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CATALOGUE_FILE = T.StructType(
+CATALOGUE = T.StructType(
     [
-        T.StructField("Model", T.StringType()),
-        T.StructField("Part", T.StringType()),
-        T.StructField("IC Start Year", T.IntegerType()),
-        T.StructField("IC End Year", T.IntegerType()),
-        T.StructField("IC Description", T.StringType()),
-        T.StructField("B Price", T.DoubleType()),
-        T.StructField("Parts in Stock", T.LongType()),
-        T.StructField("Backorders", T.LongType()),
-        T.StructField("Parts Sold All", T.LongType()),
-        T.StructField("Not Found 180 days", T.LongType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("part", T.StringType()),
+        T.StructField("ic_start_year", T.IntegerType()),
+        T.StructField("ic_end_year", T.IntegerType()),
+        T.StructField("ic_description", T.StringType()),
+        T.StructField("b_price", T.DoubleType()),
+        T.StructField("parts_in_stock", T.LongType()),
+        T.StructField("backorders", T.LongType()),
+        T.StructField("parts_sold_all", T.LongType()),
+        T.StructField("not_found_180", T.LongType()),
     ]
 )
 
@@ -36,6 +36,14 @@ CATALOGUE_NAMES = {
     "Parts Sold All": "parts_sold_all",
     "Not Found 180 days": "not_found_180",
 }
+
+# In the file every number is read as double, then cast.
+CATALOGUE_FILE = T.StructType(
+    [
+        T.StructField(n, T.StringType() if CATALOGUE[c].dataType == T.StringType() else T.DoubleType())
+        for n, c in CATALOGUE_NAMES.items()
+    ]
+)
 SCORE_NAMES = {
     "Potential_Profit": "potential_profit",
     "Sales_Speed": "sales_speed",

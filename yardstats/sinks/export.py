@@ -10,7 +10,8 @@ from yardstats.operators import audit, opportunity
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Delimited text with a header; a quote inside a value is doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_search(found: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.schemas import CATALOGUE_FILE, CATALOGUE_NAMES, TABLES
+from yardstats.schemas import CATALOGUE, CATALOGUE_FILE, CATALOGUE_NAMES, TABLES
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -34,17 +34,21 @@ def read_jdbc_table(spark: SparkSession, **options) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str, line_breaks_in_values: bool = False) -> DataFrame:
     """The catalogue from delimited text with a header, with its row order.
 
     ``row_id`` sorts rows by file, block in the file and place in the block:
-    the order in which a single reader would have met them.
+    the order in which a single reader would have met them. Whole numbers may be
+    written with a fraction (``3.0``), as files with gaps often have them. Line
+    breaks inside quoted values keep a file from being split, so they have to be
+    asked for.
     """
     raw = (
         spark.read.schema(CATALOGUE_FILE)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("multiLine", line_breaks_in_values)
         .csv(path)
     )
     place = F.struct(
@@ -52,4 +56,6 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return raw.select(place.alias("row_id"), *[F.col(f"`{n}`").alias(c) for n, c in CATALOGUE_NAMES.items()])
+    types = {f.name: f.dataType for f in CATALOGUE.fields}
+    columns = [F.col(f"`{n}`").cast(types[c]).alias(c) for n, c in CATALOGUE_NAMES.items()]
+    return raw.select(place.alias("row_id"), *columns)
