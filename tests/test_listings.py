@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from yardstats.operators import listings, sheets
 from yardstats.plans.reports import listing_report
 from yardstats.schemas import PAGES, SHEET_GRID
-from yardstats.sources.pages import Selectors, complete_listings, extract_listings, read_listings
+from yardstats.sources.pages import Selectors, complete_listings, extract_listings, listing_reader
 from yardstats.sources.sheets import read_sheet_grid
 
 
@@ -17,7 +17,7 @@ def item(price, title="T", extra=""):
 def read(html, **selectors):
     return [
         {k: "".join(v) if isinstance(v, list) else v for k, v in found.items()}
-        for found in read_listings(html, Selectors(**selectors))
+        for found in listing_reader(Selectors(**selectors))(html)
     ]
 
 

@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
 
-# White space as Python's str.strip/str.split see it: the Unicode property plus
-# the four ASCII separators that Java's \s leaves out.
-_SPACE = r"[\s\x1c-\x1f]"
+# White space as Python's str.strip and str.split see it.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
-_NUMBER = (
-    rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-)
-_INFINITY = r"(?i)^[+-]?inf(?:inity)?$"
+_NUMBER = rf"[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?))"
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
 
 
 def equals_ignore_case(text: Column, wanted: str) -> Column:
@@ -58,25 +54,23 @@ def parse_price(price_text: Column) -> Column:
     """Price text to double, null when there is no usable number.
 
     The pound sign is dropped and the first word is read. Thousands commas and
-    other decoration make the word unreadable, so such a price is null. The
-    pattern guards the cast: on its own it would accept Java suffixes such as
-    ``12.5f``, and ``nan``, which fits no price band.
+    other decoration make the word unreadable, so such a price is null. One
+    pattern finds the word and guards the cast: on its own the cast would accept
+    Java suffixes such as ``12.5f``, and ``nan``, which fits no price band.
     """
-    words = F.split(strip(F.replace(price_text, F.lit("£"), F.lit(""))), rf"(?U){_SPACE}+")
-    word = F.get(words, F.lit(0))
-    readable = word.rlike(_NUMBER) | word.rlike(_INFINITY)
-    return F.when(readable, F.replace(word, F.lit("_"), F.lit(""))).try_cast("double")
+    plain = F.replace(price_text, F.lit("£"), F.lit(""))
+    word = F.regexp_extract(plain, rf"^{_SPACE}*({_NUMBER})(?:{_SPACE}|\z)", 1)
+    return F.replace(F.nullif(word, F.lit("")), F.lit("_"), F.lit("")).try_cast("double")
 
 
 def rgb_hex(colour: Column) -> Column:
     """``struct<red,green,blue>`` of 0..1 channels to ``#RRGGBB``, truncating."""
 
     def channel(name: str) -> Column:
-        return (F.coalesce(colour[name], F.lit(1.0)) * 255).cast("int")
+        level = (F.coalesce(colour[name], F.lit(1.0)) * 255).cast("int")
+        return F.when(level < 16, F.concat(F.lit("0"), F.hex(level))).otherwise(F.hex(level))
 
-    return F.format_string(
-        "#%02X%02X%02X", channel("red"), channel("green"), channel("blue")
-    )
+    return F.concat(F.lit("#"), channel("red"), channel("green"), channel("blue"))
 
 
 def absolute_url(path: Column, base_url: str) -> Column:

@@ -16,9 +16,18 @@ def sheet_header(grid: DataFrame) -> list[str]:
     return list(first["cells"]) if first else []
 
 
+_BETWEEN = "\u0000"
+
+
 def any_cell_contains(cells: Column, text: str) -> Column:
-    """True if a cell contains the text; hidden columns count, missing cells do not."""
-    return F.exists(cells, lambda c: contains_ignore_case(F.coalesce(c, F.lit("")), text))
+    """True if a cell contains the text; hidden columns count, missing cells do not.
+
+    The cells are joined by a character the text does not have, so one search
+    over the row equals a search in every cell.
+    """
+    if _BETWEEN in text:
+        return F.exists(cells, lambda c: contains_ignore_case(F.coalesce(c, F.lit("")), text))
+    return contains_ignore_case(F.array_join(cells, _BETWEEN), text)
 
 
 def sheet_cells(grid: DataFrame, header: list[str], hidden: tuple[int, ...] = HIDDEN_COLUMNS) -> DataFrame:
@@ -55,4 +64,14 @@ def sheet_matches(
     if not engine_code:
         return sheet_cells(grid.filter(F.lit(False)), header, hidden)
     hits = grid.filter(any_cell_contains(F.col("cells"), engine_code))
-    return sheet_cells(hits, header, hidden).orderBy("row_idx")
+    return sheet_cells(hits.orderBy("row_idx"), header, hidden)
+
+
+def long_cells(named: DataFrame) -> DataFrame:
+    """``row_idx, name, value, bg``: one row per named cell.
+
+    The outer form of explode: the plain one would have the optimizer test every
+    row's map for emptiness first, which means building all of it twice.
+    """
+    cells = named.select("row_idx", F.explode_outer("cells").alias("name", "cell"))
+    return cells.filter(F.col("name").isNotNull()).select("row_idx", "name", "cell.*")

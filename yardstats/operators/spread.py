@@ -52,6 +52,19 @@ def salted_join(
     return matched.select(*kept, *added)
 
 
+def spread_small(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
+    """Deal a small input out over all cores, ahead of a step that is all computing.
+
+    A small table is one file and would be one task. Only what the planner
+    sizes below the limit is moved; a large input has splits enough and must not
+    be shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= limit_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """1-based position of each row in a total order, without a one-task window.
 

@@ -138,8 +138,7 @@ _BG = f"""CASE WHEN l_linenumber = 5 THEN '#FFFFFF' ELSE printf('#%02X%02X%02X',
 
 @query("sheet_rows", _sheet_sql())
 def sheet_rows(s: Sample) -> DataFrame:
-    rows = sheets.sheet_matches(sheet_grid(s), HEADER, "eC3")
-    return rows.select("row_idx", F.explode("cells").alias("name", "cell")).select("row_idx", "name", "cell.*")
+    return sheets.long_cells(sheets.sheet_matches(sheet_grid(s), HEADER, "eC3"))
 
 
 @query(

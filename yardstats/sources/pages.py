@@ -9,7 +9,7 @@ hold a listing are sent to Python: the test for the item's name runs in the JVM.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yardstats.operators.spread import spread_small
+
 LISTING_SCHEMA = (
     "page_id long, position int, title string, price_text string, link string, complete boolean"
 )
@@ -62,66 +64,71 @@ def _attributes(text: str) -> dict[str, str]:
     }
 
 
-def read_listings(html: str, selectors: Selectors) -> list[dict]:
-    """For every item element, its first title, price and link element, if any.
+def listing_reader(selectors: Selectors) -> Callable[[str], list[dict]]:
+    """A function from page text to its item elements, in page order.
 
-    Text is put together from the stripped pieces between tags. An end tag closes
-    the innermost open element of its name, with all that is open inside.
+    Each item holds its first title, price and link element, if any. Text is put
+    together from the stripped pieces between tags. An end tag closes the
+    innermost open element of its name, with all that is open inside.
     """
-    fields = selectors.fields()
-    wanted = [selectors.item, *fields.values()]
+    item, fields = selectors.item, list(selectors.fields().items())
+    wanted = [item, *(selector for _, selector in fields)]
     classes = [re.escape(w[1:]) for w in wanted if w.startswith(".")]
     names_class = re.compile("|".join(classes) or r"(?!)").search
     elements = {w for w in wanted if not w.startswith(".")}
-    found: list[dict] = []
-    names: list[str] = []  # open elements
-    listings: list[tuple[int, dict]] = []  # open items, with their depth
-    texts: list[tuple[int, list[str]]] = []  # texts being put together, with their depth
-    end = 0
-    for tag in _TAG.finditer(html):
-        if texts:
-            piece = unescape(html[end : tag.start()]).strip()
-            if piece:
-                for _, pieces in texts:
-                    pieces.append(piece)
-        end = tag.end()
-        slash, name, attributes = tag.groups()
-        if name is None:
-            continue
-        name = name.lower()
-        if slash:
-            if name in names:
-                depth = len(names) - 1 - names[::-1].index(name)
-                del names[depth:]
-                for opened in (listings, texts):
-                    while opened and opened[-1][0] >= depth:
-                        opened.pop()
-            continue
-        depth = len(names)
-        leaf = name in VOID or attributes.endswith("/")
-        if name in elements or (attributes and names_class(attributes)):
-            values = _attributes(attributes)
-            own = {name, *("." + c for c in values.get("class", "").split())}
-            for _, listing in listings:
-                for field, selector in fields.items():
-                    if selector in own and field not in listing:
+
+    def read(html: str) -> list[dict]:
+        found: list[dict] = []
+        names: list[str] = []  # open elements
+        listings: list[tuple[int, dict]] = []  # open items, with their depth
+        texts: list[tuple[int, list[str]]] = []  # texts being put together, with their depth
+        end = 0
+        for tag in _TAG.finditer(html):
+            if texts:
+                piece = unescape(html[end : tag.start()]).strip()
+                if piece:
+                    for _, pieces in texts:
+                        pieces.append(piece)
+                end = tag.end()
+            slash, name, attributes = tag.groups()
+            if name is None:
+                continue
+            name = name.lower()
+            if slash:
+                if name in names:
+                    depth = len(names) - 1 - names[::-1].index(name)
+                    del names[depth:]
+                    for opened in (listings, texts):
+                        while opened and opened[-1][0] >= depth:
+                            opened.pop()
+                continue
+            leaf = name in VOID or attributes.endswith("/")
+            if name in elements or (attributes and names_class(attributes)):
+                depth = len(names)
+                values = _attributes(attributes)
+                own = {name, *("." + c for c in values.get("class", "").split())}
+                for _, listing in listings:
+                    for field, selector in fields:
+                        if selector not in own or field in listing:
+                            continue
                         listing[field] = values.get("href") if field == "link" else []
                         if field != "link" and not leaf:
                             texts.append((depth, listing[field]))
-            if selectors.item in own:
-                found.append({})
-                if not leaf:
-                    listings.append((depth, found[-1]))
-        if not leaf:
-            names.append(name)
-    return found
+                            end = tag.end()
+                if item in own:
+                    found.append({})
+                    if not leaf:
+                        listings.append((depth, found[-1]))
+            if not leaf:
+                names.append(name)
+        return found
+
+    return read
 
 
-def _rows(page_id: int, html: str, selectors: Selectors) -> Iterator[tuple]:
-    for position, listing in enumerate(read_listings(html, selectors), start=1):
-        texts = {k: "".join(v) if isinstance(v, list) else v for k, v in listing.items()}
-        complete = all(f in listing for f in selectors.fields())
-        yield page_id, position, texts.get("title"), texts.get("price_text"), texts.get("link"), complete
+def _text(listing: dict, field: str) -> str | None:
+    pieces = listing.get(field)
+    return None if pieces is None else "".join(pieces)
 
 
 def extract_listings(pages: DataFrame, selectors: Selectors = Selectors()) -> DataFrame:
@@ -131,13 +138,15 @@ def extract_listings(pages: DataFrame, selectors: Selectors = Selectors()) -> Da
     element without an address is complete and has a null link.
     """
     columns = [part.split()[0] for part in LISTING_SCHEMA.split(", ")]
+    wanted = len(selectors.fields())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listings_of = listing_reader(selectors)
         for batch in batches:
             rows = [
-                row
+                (page_id, place, _text(x, "title"), _text(x, "price_text"), x.get("link"), len(x) == wanted)
                 for page_id, html in zip(batch["page_id"], batch["html"])
-                for row in _rows(page_id, html, selectors)
+                for place, x in enumerate(listings_of(html), start=1)
             ]
             yield pd.DataFrame(rows, columns=columns)
 
@@ -145,7 +154,8 @@ def extract_listings(pages: DataFrame, selectors: Selectors = Selectors()) -> Da
     mark = F.contains("html", F.lit(marker)) if selectors.item.startswith(".") else F.contains(
         F.lower("html"), F.lit("<" + marker.lower())
     )
-    return pages.filter(mark).select("page_id", "html").mapInPandas(read, LISTING_SCHEMA)
+    marked = pages.filter(mark).select("page_id", "html")
+    return spread_small(marked).mapInPandas(read, LISTING_SCHEMA)
 
 
 def complete_listings(listings: DataFrame) -> DataFrame:
