@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from yardstats.functions.periods import Period
 from yardstats.operators import calendar, entities, stats
 from yardstats.operators.calendar import Facts
-from yardstats.plans.reports import breakdown_report, period_stats
+from yardstats.plans.reports import breakdown_report, period_stats, saved_stats, series_report
 from yardstats.plans.sample import Sample
 from yardstats.schemas import INVOICE, ITEMTYPE, SOLD, USERS
 
@@ -157,6 +157,32 @@ def test_report(facts):
     ]
 
 
+def test_report_with_saved_preferences(facts, spark):
+    orders = spark.createDataFrame([("ann", ["Unknown", "A"]), ("__default__", ["C"])], "username string, items array<string>")
+    exclusions = spark.createDataFrame([("ann", "department", ["C"]), ("ann", "user", ["A"])], "username string, dimension string, items array<string>")
+
+    def names(user, exclude=None):
+        report = saved_stats(facts, orders, exclusions, user, "this_month", date(2024, 3, 9), exclude)
+        return [r.entity for r in report.rows.collect()]
+
+    assert names("ann") == ["Unknown", "A", None]
+    assert names("ann", ["A"]) == ["Unknown", "C", None]
+    assert names("ann", []) == ["Unknown", "A", None]
+    assert names("zoe") == names(None) == ["C", "A", "Unknown", None]
+
+
+def test_data_feed(facts):
+    feed = period_stats(facts, "this_month", date(2024, 3, 9)).data_rows()
+    assert feed.columns == ["department", "total", "total_vat"]
+    assert tuples(feed)[1] == ("C", 32.0, 0.0)
+
+
+def test_series_report(facts):
+    got = series_report(facts, 2024, "Unknown", mode="parts").first()
+    assert (got.labels, got["values"], got.months) == (["Feb", "Mar", "Apr"], [3.0, 4.0, 1.0], [2, 3, 4])
+    assert series_report(facts, 2024, "A", month=3).first().labels == ["1", "31"]
+
+
 def test_report_of_an_empty_period(facts):
     report = period_stats(facts, "today", date(2030, 1, 1), mode="parts")
     assert report.rows.count() == 0

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from yardstats.operators import audit, lookup
+from yardstats.plans.reports import audit_report
 from yardstats.schemas import AUDIT, IMAGE, LOCATION, STOCKNUMBER, VEHICLE
 from yardstats.sinks.export import export_audit, overwrite_table
 
@@ -128,6 +129,20 @@ def test_audit_export(spark, tmp_path):
     assert back.count() == 250
 
 
+def test_audit_report(spark):
+    log, today = events(spark), date(2024, 1, 3)
+
+    def days(*args):
+        return {r.timestamp[:10] for r in audit_report(log, *args).collect()}
+
+    assert days("today", today) == {"03.01.2024"}
+    assert days("yesterday", today) == days("custom", today, "2024-01-02", "2024-01-03") == {"02.01.2024"}
+    assert days("this_month", today) == {"01.01.2024", "02.01.2024", "03.01.2024"}
+    assert days("last_month", today) == set()
+    assert days("no such", today) == {"03.01.2024"}
+    assert audit_report(log, "custom", today, "2024-01-02", None).count() == 100
+
+
 def test_audit_event_fields():
     event = audit.audit_event("SEARCH", "me", regnumber="R")
     assert event["regnumber"] == "R" and event["status"] is None

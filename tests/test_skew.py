@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from yardstats.functions.periods import Period
 from yardstats.operators import calendar, entities, lookup, stats
 from yardstats.operators.calendar import Facts
-from yardstats.operators.spread import left_join_sparse_key, number_rows, paged_arrays, salted_join
+from yardstats.operators.spread import (
+    hot_hashes,
+    left_join_sparse_key,
+    number_rows,
+    paged_arrays,
+    salted_join,
+)
 
 ROWS = 30_000
 YEAR = Period(date(2024, 1, 1), date(2025, 1, 1))
@@ -104,6 +110,23 @@ def test_salted_join(spark, joins):
     assert salted_join(many, few, ["k"], ["n"], how="inner").count() == many.join(few, "k").count()
 
 
+def test_hot_keys_are_found_and_dealt_out(spark):
+    many = spark.range(ROWS).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    hot = hot_hashes(many, ["k"], 0.01)
+    assert spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0] in hot and len(hot) <= 100
+    few = many.select("k").distinct().withColumn("v", F.length("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(many, few, ["k"], ["n"])
+        tasks = joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(t["count"] for t in tasks) == ROWS // 3
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < ROWS // 6
+
+
 def test_everyone_asks_for_the_same_blank_number(spark, joins):
     n = F.col("id")
     vehicle = spark.range(3000).select(n.alias("stocknumber_id"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("R"), n)).alias("regnumber"), F.lit(1).cast("long").alias("location_id"))

@@ -175,8 +175,9 @@ def search_parts_batch(
         F.lower("model").alias("model_key"),
         "year",
         F.lower(strip(F.coalesce("engine_code", F.lit("")))).alias("code_key"),
-        "min_price",
-        "min_opportunity",
+        # Adding zero turns -0.0 into 0.0: they are equal, but hash apart.
+        (F.col("min_price") + 0.0).alias("min_price"),
+        (F.col("min_opportunity") + 0.0).alias("min_opportunity"),
         F.coalesce("exclude", F.lit(False)).alias("exclude"),
     )
     searches = asked.filter("model_key IS NOT NULL AND year IS NOT NULL").select(*_SEARCH).distinct()

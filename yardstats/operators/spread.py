@@ -30,21 +30,40 @@ def left_join_sparse_key(
     )
 
 
+def hot_hashes(df: DataFrame, keys: list[str], share: float = 0.001) -> list[int]:
+    """Hashes of the key values that may own more than ``share`` of the rows.
+
+    One pass with fixed-size counters per task; the answer holds at most
+    ``1 / share`` values, whatever the size of the data. It may name a key that
+    is not hot, which costs its use a few copies and nothing else.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("h"))
+    return hashed.stat.freqItems(["h"], share).first()[0]
+
+
 def salted_join(
     many: DataFrame,
     few: DataFrame,
     keys: list[str],
     spread_by: list[str],
     how: str = "left",
-    salts: int = 16,
+    salts: int = 64,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Join whose left side may hold very many rows of one key.
 
-    ``few`` must be small per key (it is copied ``salts`` times); the left rows
-    of a key are dealt out over that many tasks. Null keys match null keys.
+    The rows of a hot key are dealt out over ``salts`` tasks, and the right rows
+    of that key are copied to each of them; all other keys are joined as they
+    are. ``hot`` can be passed in where the left side is costly to look through.
+    Null keys match null keys.
     """
-    left = many.withColumn("_salt", F.pmod(F.hash(*spread_by), F.lit(salts))).alias("l")
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
+    # Equal keys of different types would hash apart.
+    few = few.withColumns({k: F.col(k).cast(many.schema[k].dataType) for k in keys})
+    is_hot = F.xxhash64(*keys).isin(hot_hashes(many, keys) if hot is None else hot)
+    dealt = F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = many.withColumn("_salt", dealt).alias("l")
+    right = few.withColumn("_salt", F.explode(copies)).alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     matched = left.join(right, reduce(Column.__and__, same, F.col("l._salt") == F.col("r._salt")), how)
     kept = [F.col(f"l.{c}") for c in many.columns]

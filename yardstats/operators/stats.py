@@ -79,7 +79,9 @@ def exclude_entities(rows: DataFrame, exclude: list[str] | DataFrame | None) ->
     return rows.join(exclude.select("entity"), "entity", "left_anti")
 
 
-def effective_exclusions(requested: list[str], saved: list[str]) -> list[str]:
+def effective_exclusions(
+    requested: list[str], saved: list[str] | DataFrame
+) -> list[str] | DataFrame:
     """A request list replaces the saved one; an empty request falls back to it."""
     return requested or saved
 
@@ -136,6 +138,20 @@ def chart_arrays(ordered: DataFrame, page_size: int = 1000) -> DataFrame:
     return pages
 
 
+def series_payload(series: DataFrame, field: str) -> DataFrame:
+    """``entity, labels, values, <field>s``: parallel arrays of a month or day series.
+
+    A series has at most 12 months or 31 days, so the arrays are short.
+    """
+    points = F.array_sort(F.collect_list(F.struct(field, "label", "value"))).alias("points")
+    return series.groupBy("entity").agg(points).select(
+        "entity",
+        F.col("points.label").alias("labels"),
+        F.col("points.value").alias("values"),
+        F.col(f"points.{field}").alias(f"{field}s"),
+    )
+
+
 def breakdown_payload(breakdown: DataFrame, page_size: int = 1000) -> DataFrame:
     """``entity, page, items`` with items as ``{itemname, count}`` in report order."""
     order = [F.asc("entity"), F.desc("parts_sold"), F.asc("itemname")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from yardstats.functions.text import absolute_url
 from yardstats.operators import audit, lookup
 from yardstats.plans.registry import query
+from yardstats.plans.reports import audit_report
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.session import work_path
@@ -171,6 +172,17 @@ def audit_log_range(s: Sample) -> DataFrame:
     return audit.audit_range(s.audit_log(), date(2024, 1, 5), date(2024, 1, 6))
 
 
+@query(
+    "audit_report",
+    over("v_shown_log", f"""
+SELECT {_LOG} FROM v_shown_log WHERE event_time >= DATE '2024-01-08' AND event_time < DATE '2024-01-09'
+ORDER BY event_time DESC, log_id DESC"""),
+    ordered=True,
+)
+def audit_of_yesterday(s: Sample) -> DataFrame:
+    return audit_report(s.audit_log(), "yesterday", date(2024, 1, 9))
+
+
 @query(
     "audit_log_latest",
     over("v_shown_log", f"SELECT {_LOG} FROM v_shown_log ORDER BY event_time DESC, log_id DESC LIMIT 100"),

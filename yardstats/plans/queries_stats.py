@@ -11,7 +11,7 @@ from yardstats.functions import periods
 from yardstats.functions.text import item_label, label, label_is, month_param, strip
 from yardstats.operators import calendar, entities, stats
 from yardstats.plans.registry import query
-from yardstats.plans.reports import breakdown_report, period_stats
+from yardstats.plans.reports import breakdown_report, period_stats, saved_stats
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.session import work_path
@@ -225,6 +225,45 @@ def stats_chart_arrays(s: Sample) -> DataFrame:
     )
 
 
+@query(
+    "stats_data",
+    over("v_invoice", f"SELECT entity AS department, coalesce(total, 0) AS total, coalesce(total_vat, 0) AS total_vat FROM ({_SALES}) ORDER BY department NULLS LAST"),
+    ordered=True,
+)
+def stats_data(s: Sample) -> DataFrame:
+    return period_stats(s.facts(), "this_month", TODAY).data_rows()
+
+
+def saved_prefs(s: Sample) -> tuple[DataFrame, DataFrame]:
+    """Saved orders and exclusions of every customer, as users."""
+    orders = s.raw("customer").select(
+        F.col("c_name").alias("username"), F.array(F.col("c_mktsegment"), F.lit("MACHINERY")).alias("items")
+    )
+    exclusions = s.raw("customer").select(
+        F.col("c_name").alias("username"),
+        F.lit("department").alias("dimension"),
+        F.array(F.col("c_mktsegment"), F.lit("Unknown")).alias("items"),
+    )
+    return orders, exclusions
+
+
+@query(
+    "stats_saved_prefs",
+    over("v_owned", f"""
+SELECT entity, total, 0.0::DOUBLE + total_vat AS total_vat, CAST(CASE WHEN entity = 'MACHINERY' THEN 1 WHEN entity = mine THEN 0 END AS INTEGER) AS saved_position
+FROM (SELECT coalesce(departmentname, 'Unknown') AS entity, CAST(count(CASE WHEN {IN_MARCH.format('solddate')} THEN invnumber END) AS DOUBLE) AS total,
+  CAST(count(CASE WHEN {IN_FEBRUARY.format('solddate')} THEN invnumber END) AS DOUBLE) AS total_vat
+  FROM v_owned WHERE issold GROUP BY 1), (SELECT c_mktsegment AS mine FROM customer WHERE c_name = 'Customer#000000003')
+WHERE entity <> mine AND entity <> 'Unknown' ORDER BY saved_position NULLS LAST, entity"""),
+    ordered=True,
+)
+def stats_saved_prefs(s: Sample) -> DataFrame:
+    orders, exclusions = saved_prefs(s)
+    return saved_stats(
+        s.facts(), orders, exclusions, "Customer#000000003", "custom", TODAY, mode="parts", start="1997-03-01", end="1997-03-31"
+    ).rows
+
+
 # Month and day series
 
 _MONTH = "CAST(month({0}) AS INTEGER) AS month, strftime({0}, '%b') AS label"
@@ -276,6 +315,24 @@ _register_series("user_daily", "sales", "user", True, None)
 _register_series("user_parts_daily", "parts", "user", True, "Unknown")
 
 
+@query(
+    "series_payload",
+    over("v_owned", """
+SELECT entity, string_agg(label, '|' ORDER BY month) AS labels, string_agg(CAST(n AS VARCHAR), '|' ORDER BY month) AS values,
+ string_agg(CAST(month AS VARCHAR), '|' ORDER BY month) AS months
+FROM (SELECT coalesce(departmentname, 'Unknown') AS entity, month(solddate) AS month, strftime(solddate, '%b') AS label, count(invnumber) AS n
+ FROM v_owned WHERE issold AND year(solddate) = 1997 GROUP BY 1, 2, 3) GROUP BY 1"""),
+)
+def series_payload(s: Sample) -> DataFrame:
+    arrays = stats.series_payload(calendar.monthly_series(s.facts(), 1997, "department", "parts"), "month")
+    texts = {
+        "labels": F.col("labels"),
+        "values": F.transform("values", lambda v: v.cast("long").cast("string")),
+        "months": F.transform("months", lambda m: m.cast("string")),
+    }
+    return arrays.select("entity", *[F.array_join(c, "|").alias(n) for n, c in texts.items()])
+
+
 @query(
     "sales_calendar_all",
     over("v_invoice", """

@@ -6,10 +6,11 @@ from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from yardstats.functions.modes import dimension_of, mode_of, report_labels
 from yardstats.functions.periods import Period, describe_period, resolve_period
-from yardstats.operators import entities, listings, opportunity, sheets, stats
+from yardstats.operators import audit, calendar, entities, listings, opportunity, prefs, sheets, stats
 from yardstats.operators.calendar import Facts
 from yardstats.sources.pages import Selectors, complete_listings, extract_listings
 
@@ -25,6 +26,11 @@ class StatsReport(NamedTuple):
     def charts(self, page_size: int = 1000) -> DataFrame:
         return stats.chart_arrays(self.rows, page_size)
 
+    def data_rows(self) -> DataFrame:
+        """Rows under the names of the data feed, which are the same in every mode."""
+        shown = self.rows.select("entity", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "total_vat")])
+        return shown.withColumnRenamed("entity", "department")
+
 
 def period_stats(
     facts: Facts,
@@ -107,6 +113,54 @@ def part_search(
     return SearchResult(parts, rows)
 
 
+def series_report(
+    facts: Facts, year: int, entity: str, month: int | None = None, mode: str = "sales", dimension: str = "department"
+) -> DataFrame:
+    """Month series of a year, or day series of one of its months, as chart arrays."""
+    if month is None:
+        series = calendar.monthly_series(facts, year, dimension, mode, entity)
+        return stats.series_payload(series, "month")
+    return stats.series_payload(calendar.daily_series(facts, year, month, dimension, mode, entity), "day")
+
+
+def audit_report(
+    log: DataFrame, name: str, today: date, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Log rows of a named period.
+
+    Other than in the statistics, the end of a custom period is not included
+    here, and a custom period lacking a bound means the latest rows.
+    """
+    if name != "custom":
+        return audit.audit_range(log, *resolve_period(name, today))
+    bounds = [date.fromisoformat(text) if text else None for text in (start, end)]
+    return audit.audit_range(log, *bounds)
+
+
+def saved_stats(
+    facts: Facts,
+    orders: DataFrame,
+    exclusions: DataFrame,
+    user: str | None,
+    name: str,
+    today: date,
+    exclude: list[str] | None = None,
+    mode: str = "sales",
+    dimension: str = "department",
+    **bounds: str,
+) -> StatsReport:
+    """A user's statistics: in their saved order, without their saved exclusions.
+
+    An exclusion list in the request replaces the saved one.
+    """
+    saved = prefs.load_exclusions(exclusions, user, dimension_of(dimension))
+    return period_stats(
+        facts, name, today, mode=mode, dimension=dimension,
+        exclude=stats.effective_exclusions(exclude or [], saved),
+        order=prefs.load_order(orders, user), **bounds,
+    )
+
+
 def listing_report(pages: DataFrame, selectors: Selectors = Selectors()) -> DataFrame:
     """Stored pages to priced listings in bands, dearest first."""
     found = complete_listings(extract_listings(pages, selectors))
