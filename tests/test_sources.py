@@ -18,35 +18,42 @@ def test_database_scan_is_cut_into_key_ranges():
     assert (options["lowerBound"], options["upperBound"]) == ("0", "1000")
 
 
-def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/")
-    try:
-        assert session.shared_folder(spark) == str(tmp_path)
-        first, second = session.work_path(spark, "a"), session.work_path(spark, "a")
-        assert first != second and first.startswith(f"{tmp_path}/a-")
-        kept = session.write_through(spark.range(5), "five")
-        assert kept.count() == 5 and kept.inputFiles()[0].startswith(f"file://{tmp_path}/five-")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+class FakeSession:
+    """A session with the given settings, for what a running one cannot change."""
 
+    def __init__(self, master, **settings):
+        self.settings, self.master, self.folder = settings, master, None
+        self.conf = self.sparkContext = self
 
-def test_cluster_must_name_a_shared_folder():
-    class Conf:
-        def get(self, key, default=None):
-            return default
+    def get(self, key, default=None):
+        return self.settings.get(key.replace(".", "_"), default)
+
+    def getCheckpointDir(self):
+        return self.folder
 
-    class Context:
-        master = "spark://cluster"
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
-        def getCheckpointDir(self):
-            return None
 
-    class Cluster:
-        conf, sparkContext = Conf(), Context()
+def test_shared_folder_is_the_one_the_session_names():
+    named = FakeSession("spark://cluster", spark_checkpoint_dir="hdfs://x/y/")
+    assert session.shared_folder(named) == "hdfs://x/y"
+    first, second = session.work_path(named, "a"), session.work_path(named, "a")
+    assert first != second and first.startswith("hdfs://x/y/a-")
 
+
+def test_cluster_must_name_a_shared_folder():
     with pytest.raises(ValueError):
-        session.shared_folder(Cluster())
+        session.shared_folder(FakeSession("spark://cluster"))
+
+
+def test_local_session_gets_a_folder_and_keeps_it():
+    local = FakeSession("local[2]")
+    assert session.shared_folder(local) == session.shared_folder(local) == local.folder
+
+
+def test_write_through(spark):
+    kept = session.write_through(spark.range(5), "five")
+    assert sorted(r.id for r in kept.collect()) == list(range(5))
+    folder = session.shared_folder(spark)
+    assert all(f"{folder.removeprefix('file:')}/five-" in f for f in kept.inputFiles())
