@@ -1,6 +1,8 @@
 """Compare every registered query with its oracle SQL, as a developer's tool.
 
     python check_oracle.py [scale folder] [name ...]
+
+BENCH_CPUS: local cores. CHECK_CONF: session settings to try, "key=value,key=value".
 """
 
 from __future__ import annotations
@@ -68,7 +70,8 @@ def compare(got, want, ordered: bool) -> str:
 def main() -> int:
     base = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(load())
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    extra = dict(pair.split("=", 1) for pair in os.environ.get("CHECK_CONF", "").split(",") if pair)
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), **extra)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(base)
     bad = 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardstats.functions.text import absolute_url, strip
-from yardstats.operators.spread import hot_hashes, salted_join
+from yardstats.operators.spread import hot_buckets, salted_join
 
 VEHICLE_COLUMNS = ["stocknumber_id", "regnumber", "vstockno", "bin"]
 
@@ -71,7 +71,7 @@ def lookup_vehicles(
     matched = salted_join(asked, by_reg.withColumnRenamed("number", "registration"), ["registration"], spread)
     matched = salted_join(
         matched, by_stock.withColumnRenamed("number", "stock_number"), ["stock_number"], spread,
-        hot=hot_hashes(asked, ["stock_number"]),
+        hot=hot_buckets(asked, ["stock_number"]),
     )
     hit = F.least("reg_hit", "stock_hit")
     return matched.select(

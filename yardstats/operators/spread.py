@@ -30,15 +30,34 @@ def left_join_sparse_key(
     )
 
 
-def hot_hashes(df: DataFrame, keys: list[str], share: float = 0.001) -> list[int]:
-    """Hashes of the key values that may own more than ``share`` of the rows.
+_BUCKETS = 1 << 14
 
-    One pass with fixed-size counters per task; the answer holds at most
-    ``1 / share`` values, whatever the size of the data. It may name a key that
-    is not hot, which costs its use a few copies and nothing else.
+
+def key_bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a result by the planner's estimate, which errs on the large side."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hot_buckets(
+    df: DataFrame, keys: list[str], share: float = 0.001, min_rows: int = 100_000, small: int = 64 << 20
+) -> list[int]:
+    """Hash buckets of the keys that own more than ``share`` of the rows.
+
+    The rows are counted per bucket, at most ``_BUCKETS`` counts in all, so the
+    pass is one small aggregation whatever the number of keys. A key that shares
+    its bucket with a hot one is treated as hot too, which costs a few copies.
+    Buckets below ``min_rows``, and inputs below ``small`` bytes as a whole, are
+    no burden to a task and are left alone.
     """
-    hashed = df.select(F.xxhash64(*keys).alias("h"))
-    return hashed.stat.freqItems(["h"], share).first()[0]
+    if planned_bytes(df) < small:
+        return []
+    counts = df.groupBy(key_bucket(keys).alias("bucket")).count().collect()
+    least = max(min_rows, share * sum(c["count"] for c in counts))
+    return [c["bucket"] for c in counts if c["count"] > least]
 
 
 def salted_join(
@@ -59,7 +78,7 @@ def salted_join(
     """
     # Equal keys of different types would hash apart.
     few = few.withColumns({k: F.col(k).cast(many.schema[k].dataType) for k in keys})
-    is_hot = F.xxhash64(*keys).isin(hot_hashes(many, keys) if hot is None else hot)
+    is_hot = key_bucket(keys).isin(hot_buckets(many, keys) if hot is None else hot)
     dealt = F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0)
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = many.withColumn("_salt", dealt).alias("l")
@@ -78,8 +97,7 @@ def spread_small(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
     sizes below the limit is moved; a large input has splits enough and must not
     be shuffled for this.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= limit_bytes:
+    if planned_bytes(df) >= limit_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
