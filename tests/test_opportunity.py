@@ -136,6 +136,14 @@ def test_batch_equals_single_searches(spark, shortlist, limit):
         assert got.get(request_id, []) == want, request_id
 
 
+def test_cutting_in_hands_changes_nothing(spark):
+    scored = op.with_scores(Sample(spark, "/root/testdata/sf0.01").catalogue())
+    for limit in (1, 7):
+        plain = op._best_of(scored, ["model"], limit, "n").select("model", "n", "row_id")
+        hands = op._best_of(scored, ["model"], limit, "n", hands=5).select("model", "n", "row_id")
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hands.collect()))
+
+
 def test_batch_with_wide_and_corrupt_year_ranges(catalogue, spark):
     c = catalogue(
         part(1, start=1, end=2**31 - 1), part(2, start=1990, end=2030), part(3, start=1990, end=2031),

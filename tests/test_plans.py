@@ -130,14 +130,15 @@ def test_top_k(stored):
 
 
 def test_batch_search_cuts_before_its_shuffle(spark, stored):
-    best = opportunity._best_of(opportunity.with_scores(stored["catalogue"]), ["model"], 50, "position")
-    text = plan(best)
-    assert text.count("WindowGroupLimit") == 2
+    scored = opportunity.with_scores(stored["catalogue"])
+    # Per round: once per task, once after the shuffle.
+    assert plan(opportunity._best_of(scored, ["model"], 50, "position")).count("WindowGroupLimit") == 2
+    in_hands = opportunity._best_of(scored, ["model"], 50, "position", hands=8)
+    assert plan(in_hands).count("WindowGroupLimit") == 4
 
 
 def test_batch_lookup_has_keyed_joins(spark, stored):
-    asked = spark.range(10).selectExpr("id AS request_id", "concat('x', id) AS registration", "'S1' AS stock_number")
-    found = lookup.lookup_vehicles(stored["vehicle"], stored["stocknumber"], stored["location"], asked)
+    asked = spark.range(10).selectExpr("id AS request_id", "concat('x', id) AS registration", "concat('S', id) AS stock_number")
     with conf(spark, **NO_BROADCAST):
         found = lookup.lookup_vehicles(stored["vehicle"], stored["stocknumber"], stored["location"], asked)
         text = plan(found)

@@ -107,7 +107,7 @@ def test_salted_join(spark, joins):
     nulls = few.union(spark.range(1).select(F.lit(None).cast("long"), F.lit(-1).cast("long")))
     hot = hot_buckets(many, ["k"], min_rows=100, small=0)
     assert hot
-    got = salted_join(many, nulls, ["k"], ["n"], hot=hot)
+    got = salted_join(many, nulls, ["k"], ["n"], hot=hot, null_safe=True)
     want = many.alias("m").join(nulls.alias("f"), F.col("m.k").eqNullSafe(F.col("f.k")), "left").select("m.n", "m.k", "f.v")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert salted_join(many, few, ["k"], ["n"], how="inner", hot=hot).count() == many.join(few, "k").count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from yardstats.functions.text import contains_ignore_case, equals_ignore_case, strip
-from yardstats.operators.spread import salted_join
+from yardstats.operators.spread import planned_bytes, salted_join
 from yardstats.schemas import CATALOGUE_NAMES, SCORE_NAMES, SEARCH_COLUMNS
 from yardstats.session import write_through
 
@@ -114,6 +114,7 @@ def search_parts(
 _BUCKET = 5
 _WIDEST = 40
 _ANY_YEAR = -(1 << 30)
+_FEW_TASKS = 1 << 30  # a catalogue of fewer bytes is read by few tasks
 _SEARCH = ["model_key", "year", "code_key", "min_price", "min_opportunity", "exclude"]
 
 
@@ -149,8 +150,16 @@ def _fits_search() -> Column:
     )
 
 
-def _best_of(rows: DataFrame, keys: list[str], limit: int, name: str) -> DataFrame:
-    """The first ``limit`` rows per key; cut down in every task before the shuffle."""
+def _best_of(rows: DataFrame, keys: list[str], limit: int, name: str, hands: int = 1) -> DataFrame:
+    """The first ``limit`` rows per key, numbered.
+
+    Every task first cuts its own rows down to the limit. With very many tasks
+    that can still leave a popular key with more than one task should take; it is
+    then cut again in ``hands`` parts.
+    """
+    if hands > 1:
+        hand = F.pmod(F.xxhash64("row_id"), F.lit(hands))
+        rows = _best_of(rows.withColumn("_hand", hand), [*keys, "_hand"], limit, "_place").drop("_hand", "_place")
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*best_first()))
     return rows.withColumn(name, place).filter(F.col(name) <= limit)
 
@@ -183,9 +192,10 @@ def search_parts_batch(
     searches = asked.filter("model_key IS NOT NULL AND year IS NOT NULL").select(*_SEARCH).distinct()
     parts = _part_buckets(catalogue)
 
+    hands = 1 if planned_bytes(catalogue) < _FEW_TASKS else 64
     years = _request_buckets(searches.select("model_key", "year").distinct())
     covered = parts.join(years, ["model_key", "bucket"]).filter(covers_year(F.col("year"))).drop("bucket")
-    ranked = write_through(_best_of(covered, ["model_key", "year"], shortlist, "rank"), "shortlists")
+    ranked = write_through(_best_of(covered, ["model_key", "year"], shortlist, "rank", hands), "shortlists")
     quick = searches.join(ranked, ["model_key", "year"]).filter(_fits_search())
     quick = _best_of(quick, _SEARCH, limit, "position").select(*_SEARCH, "position", *SEARCH_COLUMNS)
     quick = write_through(quick, "search-results")
@@ -204,9 +214,9 @@ def search_parts_batch(
         # The hits there are stay first; only those after them are added.
         full = parts.join(_request_buckets(short), ["model_key", "bucket"])
         full = full.filter(covers_year(F.col("year")) & _fits_search())
-        full = _best_of(full, _SEARCH, limit, "position").filter(F.col("position") > F.col("hits"))
+        full = _best_of(full, _SEARCH, limit, "position", hands).filter(F.col("position") > F.col("hits"))
         found = quick.unionByName(full.select(*quick.columns))
-    answers = salted_join(asked, found, _SEARCH, spread_by=["request_id"], how="inner")
+    answers = salted_join(asked, found, _SEARCH, spread_by=["request_id"], how="inner", null_safe=True)
     return answers.select("request_id", "position", *SEARCH_COLUMNS)
 
 

@@ -38,7 +38,7 @@ def key_bucket(keys: list[str]) -> Column:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Size of a result by the planner's estimate, which errs on the large side."""
+    """Size of a result by the planner's estimate; it starts from the files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -68,23 +68,30 @@ def salted_join(
     how: str = "left",
     salts: int = 64,
     hot: list[int] | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join whose left side may hold very many rows of one key.
 
     The rows of a hot key are dealt out over ``salts`` tasks, and the right rows
     of that key are copied to each of them; all other keys are joined as they
     are. ``hot`` can be passed in where the left side is costly to look through.
-    Null keys match null keys.
+    ``null_safe`` lets null keys match null keys.
     """
     # Equal keys of different types would hash apart.
     few = few.withColumns({k: F.col(k).cast(many.schema[k].dataType) for k in keys})
-    is_hot = key_bucket(keys).isin(hot_buckets(many, keys) if hot is None else hot)
-    dealt = F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0)
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = many.withColumn("_salt", dealt).alias("l")
-    right = few.withColumn("_salt", F.explode(copies)).alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    matched = left.join(right, reduce(Column.__and__, same, F.col("l._salt") == F.col("r._salt")), how)
+    left, right, salted = many, few, []
+    hot = hot_buckets(many, keys) if hot is None else hot
+    if hot:
+        is_hot = key_bucket(keys).isin(hot)
+        dealt = F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0)
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        left, right = many.withColumn("_salt", dealt), few.withColumn("_salt", F.explode(copies))
+        salted = [F.col("l._salt") == F.col("r._salt")]
+    same = [
+        F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if null_safe else F.col(f"l.{k}") == F.col(f"r.{k}")
+        for k in keys
+    ]
+    matched = left.alias("l").join(right.alias("r"), reduce(Column.__and__, same + salted), how)
     kept = [F.col(f"l.{c}") for c in many.columns]
     added = [F.col(f"r.{c}") for c in few.columns if c not in keys]
     return matched.select(*kept, *added)

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Web pages travel to Python in batches of this many; a page may be megabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.ui.enabled": "false",
 }
