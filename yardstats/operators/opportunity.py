@@ -164,6 +164,14 @@ def _best_of(rows: DataFrame, keys: list[str], limit: int, name: str, hands: int
     return rows.withColumn(name, place).filter(F.col(name) <= limit)
 
 
+def _short_searches(searches: DataFrame, quick: DataFrame, limit: int) -> DataFrame:
+    """Searches with fewer hits than the limit, and how many they have."""
+    hits = quick.groupBy(*_SEARCH).agg(F.max("position").alias("hits")).alias("h")
+    same = reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in _SEARCH])
+    counted = searches.alias("s").join(hits, same, "left")
+    return counted.select("s.*", F.coalesce("hits", F.lit(0)).alias("hits")).filter(F.col("hits") < limit)
+
+
 def search_parts_batch(
     catalogue: DataFrame, requests: DataFrame, limit: int = 50, shortlist: int = 1000
 ) -> DataFrame:
@@ -200,22 +208,16 @@ def search_parts_batch(
     quick = _best_of(quick, _SEARCH, limit, "position").select(*_SEARCH, "position", *SEARCH_COLUMNS)
     quick = write_through(quick, "search-results")
 
-    cut = ranked.filter(F.col("rank") == shortlist).select("model_key", "year")
-    hits = quick.groupBy(*_SEARCH).agg(F.max("position").alias("hits")).alias("h")
-    in_cut = searches.join(cut, ["model_key", "year"], "left_semi").alias("s")
-    same = reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"h.{c}")) for c in _SEARCH])
-    short = (
-        in_cut.join(hits, same, "left")
-        .select("s.*", F.coalesce("hits", F.lit(0)).alias("hits"))
-        .filter(F.col("hits") < limit)
-    )
     found = quick
-    if not short.isEmpty():
-        # The hits there are stay first; only those after them are added.
-        full = parts.join(_request_buckets(short), ["model_key", "bucket"])
-        full = full.filter(covers_year(F.col("year")) & _fits_search())
-        full = _best_of(full, _SEARCH, limit, "position", hands).filter(F.col("position") > F.col("hits"))
-        found = quick.unionByName(full.select(*quick.columns))
+    cut = ranked.filter(F.col("rank") == shortlist).select("model_key", "year")
+    if not cut.isEmpty():
+        short = _short_searches(searches.join(cut, ["model_key", "year"], "left_semi"), quick, limit)
+        if not short.isEmpty():
+            # The hits there are stay first; only those after them are added.
+            full = parts.join(_request_buckets(short), ["model_key", "bucket"])
+            full = full.filter(covers_year(F.col("year")) & _fits_search())
+            full = _best_of(full, _SEARCH, limit, "position", hands).filter(F.col("position") > F.col("hits"))
+            found = quick.unionByName(full.select(*quick.columns))
     answers = salted_join(asked, found, _SEARCH, spread_by=["request_id"], how="inner", null_safe=True)
     return answers.select("request_id", "position", *SEARCH_COLUMNS)
 
