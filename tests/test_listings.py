@@ -1,6 +1,9 @@
 import math
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from yardstats.operators import listings, sheets
@@ -85,6 +88,19 @@ def test_report(spark):
     ]
 
 
+def test_reader_needs_no_package_on_the_executors(tmp_path):
+    """What a task gets can be loaded where this package cannot be imported."""
+    job = tmp_path / "job.bin"
+    job.write_bytes(cloudpickle.dumps(listing_reader(Selectors())))
+    code = (
+        "import pickle, sys; sys.path = [p for p in sys.path if p]; "
+        f"read = pickle.load(open({str(job)!r}, 'rb')); "
+        f"print(read({item('£5')!r})[0]['link'], 'yardstats' in sys.modules)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.split() == ["u", "False"], out.stderr
+
+
 def test_equal_prices_stay_in_page_order(spark):
     pages = [(2, "u", item("£5", "c")), (1, "u", item("£5", "a") + item("£5", "b") + item("£6", "z"))]
     got = [r.title for r in listing_report(spark.createDataFrame(pages, PAGES)).collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yardstats.functions.text import absolute_url
 from yardstats.operators import audit, lookup
-from yardstats.plans.registry import query
+from yardstats.plans.registry import as_double, query
 from yardstats.plans.reports import audit_report
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
@@ -134,23 +134,23 @@ def relocation_log(s: Sample) -> DataFrame:
 @query(
     "image_gallery",
     over("v_image", f"""
-SELECT barcode, {_URL} AS url, displayorder FROM v_image WHERE coalesce(thumbnail, false) = false
-ORDER BY barcode, coalesce(displayorder, 0), relativeurl"""),
+SELECT barcode, {_URL} AS url, CAST(displayorder AS DOUBLE) AS displayorder FROM v_image WHERE coalesce(thumbnail, false) = false
+ORDER BY barcode, coalesce(v_image.displayorder, 0), relativeurl"""),
     ordered=True,
 )
 def image_gallery(s: Sample) -> DataFrame:
-    return lookup.image_gallery(s.image(), IMAGE_BASE)
+    return as_double(lookup.image_gallery(s.image(), IMAGE_BASE), "displayorder")
 
 
 @query(
     "image_gallery_one",
     over("v_image", f"""
-SELECT barcode, {_URL} AS url, displayorder FROM v_image WHERE coalesce(thumbnail, false) = false AND barcode = 'T5'
-ORDER BY coalesce(displayorder, 0), relativeurl"""),
+SELECT barcode, {_URL} AS url, CAST(displayorder AS DOUBLE) AS displayorder FROM v_image WHERE coalesce(thumbnail, false) = false AND barcode = 'T5'
+ORDER BY coalesce(v_image.displayorder, 0), relativeurl"""),
     ordered=True,
 )
 def image_gallery_one(s: Sample) -> DataFrame:
-    return lookup.image_gallery(s.image(), IMAGE_BASE, " T5 ")
+    return as_double(lookup.image_gallery(s.image(), IMAGE_BASE, " T5 "), "displayorder")
 
 
 @query("image_urls", over("v_image", f"SELECT barcode, relativeurl, {_URL} AS url FROM v_image"))

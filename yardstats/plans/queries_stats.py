@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from yardstats.functions import periods
 from yardstats.functions.text import item_label, label, label_is, month_param, strip
 from yardstats.operators import calendar, entities, stats
-from yardstats.plans.registry import query
+from yardstats.plans.registry import as_double, as_text, query
 from yardstats.plans.reports import breakdown_report, period_stats, saved_stats
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
@@ -168,12 +168,13 @@ def stats_exclude_entities(s: Sample) -> DataFrame:
 @query(
     "stats_custom_order",
     over("v_invoice", f"""
-SELECT entity, total, total_vat, CAST(CASE entity WHEN 'MACHINERY' THEN 3 WHEN 'BUILDING' THEN 1 END AS INTEGER) AS saved_position
+SELECT entity, total, total_vat, CAST(CASE entity WHEN 'MACHINERY' THEN 3 WHEN 'BUILDING' THEN 1 END AS DOUBLE) AS saved_position
 FROM ({_SALES}) ORDER BY saved_position NULLS LAST, entity NULLS LAST"""),
     ordered=True,
 )
 def stats_custom_order(s: Sample) -> DataFrame:
-    return period_stats(s.facts(), "this_month", TODAY, order=SAVED_ORDER).rows
+    rows = period_stats(s.facts(), "this_month", TODAY, order=SAVED_ORDER).rows
+    return as_double(rows, "saved_position")
 
 
 @query(
@@ -250,7 +251,7 @@ def saved_prefs(s: Sample) -> tuple[DataFrame, DataFrame]:
 @query(
     "stats_saved_prefs",
     over("v_owned", f"""
-SELECT entity, total, 0.0::DOUBLE + total_vat AS total_vat, CAST(CASE WHEN entity = 'MACHINERY' THEN 1 WHEN entity = mine THEN 0 END AS INTEGER) AS saved_position
+SELECT entity, total, 0.0::DOUBLE + total_vat AS total_vat, CAST(CASE WHEN entity = 'MACHINERY' THEN 1 WHEN entity = mine THEN 0 END AS DOUBLE) AS saved_position
 FROM (SELECT coalesce(departmentname, 'Unknown') AS entity, CAST(count(CASE WHEN {IN_MARCH.format('solddate')} THEN invnumber END) AS DOUBLE) AS total,
   CAST(count(CASE WHEN {IN_FEBRUARY.format('solddate')} THEN invnumber END) AS DOUBLE) AS total_vat
   FROM v_owned WHERE issold GROUP BY 1), (SELECT c_mktsegment AS mine FROM customer WHERE c_name = 'Customer#000000003')
@@ -259,9 +260,10 @@ WHERE entity <> mine AND entity <> 'Unknown' ORDER BY saved_position NULLS LAST,
 )
 def stats_saved_prefs(s: Sample) -> DataFrame:
     orders, exclusions = saved_prefs(s)
-    return saved_stats(
+    report = saved_stats(
         s.facts(), orders, exclusions, "Customer#000000003", "custom", TODAY, mode="parts", start="1997-03-01", end="1997-03-31"
-    ).rows
+    )
+    return as_double(report.rows, "saved_position")
 
 
 # Month and day series
@@ -368,9 +370,9 @@ def date_range_filter(s: Sample) -> DataFrame:
     return entities.invoiced_in(s.invoice(), MARCH).select("invoice_id", F.col("total").cast("double"))
 
 
-@query("flag_filter", over("v_sold", "SELECT invoice_id, invnumber, itemtype_id FROM v_sold WHERE issold"))
+@query("flag_filter", over("v_sold", "SELECT CAST(invoice_id AS DOUBLE) AS invoice_id, CAST(invnumber AS DOUBLE) AS invnumber, itemtype_id FROM v_sold WHERE issold"))
 def flag_filter(s: Sample) -> DataFrame:
-    return s.sold().filter("issold").select("invoice_id", "invnumber", "itemtype_id")
+    return as_double(s.sold().filter("issold").select("invoice_id", "invnumber", "itemtype_id"), "invoice_id", "invnumber")
 
 
 @query(
@@ -382,20 +384,23 @@ def entity_filter_unknown(s: Sample) -> DataFrame:
     return s.invoice().filter(label_is(name, "Unknown")).select("invoice_id", label(name).alias("entity"))
 
 
-@query("table_scan", over("v_sold", "SELECT invoice_id, invnumber, itemtype_id, solddate, issold FROM v_sold"))
+@query("table_scan", over("v_sold", """
+SELECT CAST(invoice_id AS DOUBLE) AS invoice_id, CAST(invnumber AS DOUBLE) AS invnumber, itemtype_id, solddate, CAST(issold AS VARCHAR) AS issold
+FROM v_sold"""))
 def table_scan(s: Sample) -> DataFrame:
-    return s.sold().select("invoice_id", "invnumber", "itemtype_id", "solddate", "issold")
+    rows = s.sold().select("invoice_id", "invnumber", "itemtype_id", "solddate", F.col("issold").cast("string"))
+    return as_double(rows, "invoice_id", "invnumber")
 
 
 @query(
     "item_name_clean",
     over("v_sold v_itemtype", """
-SELECT s.invnumber, coalesce(replace(replace(replace(t.itemname, '[', ''), ']', ''), '_', ' '), 'Unknown') AS itemname
+SELECT CAST(s.invnumber AS DOUBLE) AS invnumber, coalesce(replace(replace(replace(t.itemname, '[', ''), ']', ''), '_', ' '), 'Unknown') AS itemname
 FROM v_sold s LEFT JOIN v_itemtype t ON t.itemtype_id = s.itemtype_id"""),
 )
 def item_name_clean(s: Sample) -> DataFrame:
     named = s.sold().join(s.itemtype(), "itemtype_id", "left")
-    return named.select("invnumber", item_label(F.col("itemname")).alias("itemname"))
+    return as_double(named.select("invnumber", item_label(F.col("itemname")).alias("itemname")), "invnumber")
 
 
 @query(
@@ -424,7 +429,7 @@ UNION ALL SELECT day, 'last_month', CAST(date_trunc('month', day) - INTERVAL 1 M
     "period_table",
     f"""
 WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), bounds AS ({_PERIODS})
-SELECT *, CASE period WHEN 'today' THEN 'Today' WHEN 'yesterday' THEN 'Yesterday' WHEN 'this_month' THEN 'This Month' ELSE 'Last Month' END
+SELECT CAST(day AS VARCHAR) AS day, period, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", CASE period WHEN 'today' THEN 'Today' WHEN 'yesterday' THEN 'Yesterday' WHEN 'this_month' THEN 'This Month' ELSE 'Last Month' END
  || ' (' || strftime(start, '%d/%m/%Y') || CASE WHEN start = CAST("end" - INTERVAL 1 DAY AS DATE) THEN '' ELSE ' - ' || strftime("end" - INTERVAL 1 DAY, '%d/%m/%Y') END || ')' AS label
 FROM bounds""",
 )
@@ -436,16 +441,19 @@ def period_table(s: Sample) -> DataFrame:
         text = periods.period_text(name, start, end)
         bounds.append(F.struct(F.lit(name).alias("period"), start.alias("start"), end.alias("end"), text.alias("label")))
     days = s.raw("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.select("day", F.explode(F.array(*bounds)).alias("b")).select("day", "b.*")
+    rows = days.select("day", F.explode(F.array(*bounds)).alias("b")).select("day", "b.*")
+    return as_text(rows, "day", "start", "end")
 
 
 @query(
     "previous_period",
-    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS month_back FROM orders",
+    """
+SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
+ CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS month_back FROM orders""",
 )
 def previous_period(s: Sample) -> DataFrame:
     days = s.raw("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.select("day", periods.previous_bound(F.col("day")).alias("month_back"))
+    return as_text(days.select("day", periods.previous_bound(F.col("day")).alias("month_back")), "day", "month_back")
 
 
 @query(
@@ -468,13 +476,13 @@ def month_labels(s: Sample) -> DataFrame:
 def _drained(s: Sample, totals: DataFrame) -> DataFrame:
     path, checkpoint = work_path(s.spark, "live-updates"), work_path(s.spark, "live-state")
     live.write_updates(totals, path, checkpoint).awaitTermination()
-    return live.read_updates(s.spark, path, totals.schema, ["day", "entity"])
+    return as_text(live.read_updates(s.spark, path, totals.schema, ["day", "entity"]), "day")
 
 
 @query(
     "live_daily_totals",
     over("v_invoice", """
-SELECT CAST(datecreated AS DATE) AS day, departmentname AS entity, CAST(sum(total) AS DOUBLE) AS sum_total,
+SELECT CAST(CAST(datecreated AS DATE) AS VARCHAR) AS day, departmentname AS entity, CAST(sum(total) AS DOUBLE) AS sum_total,
  CAST(sum(total + totaltax1) AS DOUBLE) AS sum_total_vat FROM v_invoice GROUP BY 1, 2"""),
 )
 def live_daily_totals(s: Sample) -> DataFrame:
@@ -485,7 +493,7 @@ def live_daily_totals(s: Sample) -> DataFrame:
 @query(
     "live_daily_parts",
     over("v_owned", """
-SELECT CAST(solddate AS DATE) AS day, coalesce(shortname, 'Unknown') AS entity, count(invnumber) AS parts_sold
+SELECT CAST(CAST(solddate AS DATE) AS VARCHAR) AS day, coalesce(shortname, 'Unknown') AS entity, count(invnumber) AS parts_sold
 FROM v_owned WHERE issold GROUP BY 1, 2"""),
 )
 def live_daily_parts(s: Sample) -> DataFrame:

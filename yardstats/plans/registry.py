@@ -31,6 +31,16 @@ def query(name: str, sql: str | None = None, ordered: bool = False):
     return register
 
 
+def as_double(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be missing, in the one form all clients show alike."""
+    return df.withColumns({n: df[n].cast("double") for n in names})
+
+
+def as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Dates as ISO text, for the same reason."""
+    return df.withColumns({n: df[n].cast("string") for n in names})
+
+
 def load() -> dict[str, Query]:
     from yardstats.plans import (  # noqa: F401  (registers on import)
         queries_listings,

@@ -9,16 +9,21 @@ hold a listing are sent to Python: the test for the item's name runs in the JVM.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardstats.operators.spread import spread_small
 
+# The reader's code travels with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LISTING_SCHEMA = (
     "page_id long, position int, title string, price_text string, link string, complete boolean"
 )
