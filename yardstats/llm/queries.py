@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import mix, urls
-from yardstats.llm.shared import read
+from yardstats.llm import chat, mix, pii, urls
+from yardstats.llm.shared import read, write_through
+
+
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, base: str) -> DataFrame:
+    rows = read(spark, base, "conversations").select("conv_id", "turn", "role", "text")
+    control = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    rows = rows.unionByName(spark.createDataFrame(control, "conv_id long, turn long, role string, text string"))
+    tree = write_through(chat.conversation_tree(rows), "chat-tree")
+    formatted = write_through(chat.format_branches(tree), "chat-format")
+    return chat.read_back(formatted).drop("leaf").withColumnRenamed("tree", "conv_id")
+
+
+def op4_pii(spark: SparkSession, base: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, base, "documents"))
+    counts = [pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    digest = F.sha2(pii.span_list(F.col("spans"), pii.BASE_KINDS), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
 def op5_mix(spark: SparkSession, base: str) -> DataFrame:
@@ -21,8 +40,14 @@ def op10_url_filter(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mix.MIX_SQL, "op10_url_filter": urls.URLS_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat.CHAT_SQL,
+    "op5_mix": mix.MIX_SQL,
+    "op10_url_filter": urls.URLS_SQL,
+}
