@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import chat, minhash, mix, pii, urls
+from yardstats.llm import chat, minhash, mix, pii, urls, warc
 from yardstats.llm.shared import read, write_through
 
 
@@ -35,6 +35,12 @@ def op5_mix(spark: SparkSession, base: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_warc(spark: SparkSession, base: str) -> DataFrame:
+    pages = read(spark, base, "pages")
+    found = warc.read_archives(warc.archive_pages(pages), pages.schema["page_id"].dataType)
+    return found.drop("url")
+
+
 def op9_minhash(spark: SparkSession, base: str) -> DataFrame:
     found = minhash.near_duplicates(read(spark, base, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
+    "op6_warc": op6_warc,
     "op9_minhash": op9_minhash,
     "op10_url_filter": op10_url_filter,
 }
