@@ -57,34 +57,34 @@ def _same(a: str, a_key: str, b: str, b_key: str) -> Column:
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{a_key}") == F.col(f"{b}.{b_key}"))
 
 
-def _doubled(messages: DataFrame) -> list[DataFrame]:
-    """Rounds of (tree, message, up, nodes, total, root): ``up`` is the 2^k-th ancestor.
+def _doubled(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What is known of every message at its root, and the rounds that led there.
 
-    A parent that is not there makes a root. Messages on a circle of replies reach no
-    root; the rounds end when a reach above the number of messages has found nothing new.
+    Both have tree, message, up, nodes, total, root; in round k ``up`` is the 2^k-th
+    ancestor. Only messages that have not reached their root take part in a round. A
+    parent that is not there makes a root. Messages on a circle of replies reach none;
+    the rounds end when the reach is above the number of messages.
     """
-    ids = messages.select("tree", "message")
-    known = ids.alias("p")
-    step = messages.alias("m").join(known, _same("m", "parent", "p", "message"), "left")
+    known = messages.select("tree", "message")
+    step = messages.alias("m").join(known.alias("p"), _same("m", "parent", "p", "message"), "left")
     parent = F.col("p.message")
     step = step.select(
         "m.tree", "m.message", parent.alias("up"), F.lit(1).cast("long").alias("nodes"),
         F.coalesce(F.col("m.score"), F.lit(0.0)).alias("total"), F.when(parent.isNull(), F.col("m.message")).alias("root"),
     )
-    rounds = [write_through(step, "reply-round")]
-    most = rounds[0].count()
-    while 1 << len(rounds) <= 2 * most and not rounds[-1].filter("up is not null").isEmpty():
-        last = rounds[-1]
-        joined = last.alias("a").join(last.alias("b"), _same("a", "up", "b", "message"), "left")
-        zero = F.lit(0)
+    step = write_through(step, "reply-round")
+    most, ended, rounds = step.count(), step.filter("up is null"), [step.filter("up is not null")]
+    while 1 << len(rounds) <= 2 * most and not rounds[-1].isEmpty():
+        going = rounds[-1]
+        joined = going.alias("a").join(ended.union(going).alias("b"), _same("a", "up", "b", "message"))
         step = joined.select(
-            "a.tree", "a.message", F.col("b.up").alias("up"),
-            (F.col("a.nodes") + F.coalesce(F.col("b.nodes"), zero)).alias("nodes"),
-            (F.col("a.total") + F.coalesce(F.col("b.total"), zero)).alias("total"),
-            F.coalesce("a.root", "b.root").alias("root"),
+            "a.tree", "a.message", "b.up", (F.col("a.nodes") + F.col("b.nodes")).alias("nodes"),
+            (F.col("a.total") + F.col("b.total")).alias("total"), "b.root",
         )
-        rounds.append(write_through(step, "reply-round"))
-    return rounds
+        step = write_through(step, "reply-round")
+        ended = ended.union(step.filter("up is null"))
+        rounds.append(step.filter("up is not null"))
+    return ended, rounds
 
 
 def best_branches(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -98,9 +98,8 @@ def best_branches(messages: DataFrame, top: int = 1) -> DataFrame:
     first = F.min(F.struct(F.col("parent"), F.col("score"))).alias("first")
     messages = messages.filter("message is not null").groupBy("tree", "message").agg(first)
     messages = messages.select("tree", "message", "first.parent", "first.score")
-    rounds = _doubled(messages)
-    ends = rounds[-1].filter("root is not null")
-    parents = rounds[0].filter("up is not null").select("tree", F.col("up").alias("message")).distinct()
+    ends, rounds = _doubled(messages)
+    parents = rounds[0].select("tree", F.col("up").alias("message")).distinct()
     leaves = ends.alias("e").join(parents.alias("p"), _same("e", "message", "p", "message"), "left_anti")
     leaves = leaves.withColumn("score", F.col("total") / F.col("nodes"))
     order = W.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("nodes"), "message")
@@ -110,7 +109,6 @@ def best_branches(messages: DataFrame, top: int = 1) -> DataFrame:
         "tree", F.col("message").alias("leaf"), "rank", "score", F.col("nodes").alias("place"), "message"
     )
     for step in reversed(rounds):  # each ancestor is reached once: by the bits of its distance
-        step = step.filter("up is not null")
         joined = path.alias("a").join(step.alias("b"), _same("a", "message", "b", "message"), "left")
         here = F.struct(F.col("a.place").alias("place"), F.col("a.message").alias("message"))
         above = F.struct((F.col("a.place") - F.col("b.nodes")).alias("place"), F.col("b.up").alias("message"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import chat, minhash, mix, pii, urls, warc
+from yardstats.llm import chat, minhash, mix, pii, quality, urls, warc
 from yardstats.llm.shared import read, write_through
 
 
@@ -41,6 +41,10 @@ def op6_warc(spark: SparkSession, base: str) -> DataFrame:
     return found.drop("url")
 
 
+def op8_quality(spark: SparkSession, base: str) -> DataFrame:
+    return quality.rate_documents(read(spark, base, "documents"), read(spark, base, "labels"))
+
+
 def op9_minhash(spark: SparkSession, base: str) -> DataFrame:
     found = minhash.near_duplicates(read(spark, base, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_warc": op6_warc,
+    "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_url_filter": op10_url_filter,
 }
