@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import chat, minhash, mix, pii, quality, urls, warc
+from yardstats.llm import chat, lm, minhash, mix, pii, quality, urls, warc
 from yardstats.llm.shared import read, write_through
 
 
@@ -41,6 +41,11 @@ def op6_warc(spark: SparkSession, base: str) -> DataFrame:
     return found.drop("url")
 
 
+def op7_lm_score(spark: SparkSession, base: str) -> DataFrame:
+    good = read(spark, base, "labels").filter("quality = 1")
+    return lm.score_documents(read(spark, base, "documents"), good)
+
+
 def op8_quality(spark: SparkSession, base: str) -> DataFrame:
     return quality.rate_documents(read(spark, base, "documents"), read(spark, base, "labels"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_warc": op6_warc,
+    "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_url_filter": op10_url_filter,
