@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import chat, lm, minhash, mix, pii, quality, urls, warc
+from yardstats.llm import chat, decontam, lm, minhash, mix, pii, quality, urls, warc
 from yardstats.llm.shared import read, write_through
 
 
@@ -23,6 +23,11 @@ def op1_chat_format(spark: SparkSession, base: str) -> DataFrame:
     return chat.read_back(formatted).drop("leaf").withColumnRenamed("tree", "conv_id")
 
 
+def op2_decontaminate(spark: SparkSession, base: str) -> DataFrame:
+    leaks = decontam.find_contamination(read(spark, base, "documents"), read(spark, base, "benchmark"))
+    return leaks.drop("mark")
+
+
 def op4_pii(spark: SparkSession, base: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, base, "documents"))
     counts = [pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
@@ -61,6 +66,7 @@ def op10_url_filter(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_decontaminate": op2_decontaminate,
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_warc": op6_warc,
