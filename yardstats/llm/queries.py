@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import chat, decontam, lm, minhash, mix, pii, quality, urls, warc
+from yardstats.llm import chat, decontam, embed, lm, minhash, mix, pii, quality, urls, warc
 from yardstats.llm.shared import read, write_through
 
 
@@ -28,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, base: str) -> DataFrame:
     return leaks.drop("mark")
 
 
+def op3_embedding_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return embed.near_duplicate_vectors(read(spark, base, "embeddings"), cosine=0.95)
+
+
 def op4_pii(spark: SparkSession, base: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, base, "documents"))
     counts = [pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
@@ -67,6 +71,7 @@ def op10_url_filter(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_mix": op5_mix,
     "op6_warc": op6_warc,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from yardstats.session import write_through
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "ascii_lower", "count_words", "read", "write_through"]
+__all__ = ["WORD", "ascii_lower", "count_words", "groups", "read", "write_through"]
 
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -25,3 +29,24 @@ def ascii_lower(text: Column) -> Column:
     """A to Z lower-cased, every other character as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, upper, upper.lower())
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows with the bounds of the whole groups in them, of batches sorted by the integer columns ``names``.
+
+    Only the group in which a batch ends is kept for the next, so a task holds one batch
+    and one group.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        keys = np.stack([rows[c].to_numpy() for c in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+        if len(cuts) > 1:
+            yield rows, list(zip(cuts[:-1], cuts[1:]))
+        held = rows.slice(cuts[-1])
+    if held is not None:
+        yield held, [(0, held.num_rows)]
