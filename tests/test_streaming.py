@@ -12,8 +12,8 @@ def invoices(spark, *rows):
     return spark.createDataFrame([(i, d, u, t, Decimal(x), Decimal(y)) for i, d, u, t, x, y in rows], INVOICE).coalesce(1)
 
 
-def current(spark, totals, path):
-    got = live.read_updates(spark, path, totals.schema, ["day", "entity"])
+def current(spark, rows, path):
+    got = live.read_totals(spark, path, rows)
     return {(r.day, r.entity): tuple(r)[2:] for r in got.collect()}
 
 
@@ -26,29 +26,29 @@ def test_totals_follow_arriving_files(spark, tmp_path, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         invoices(spark, (1, "A", 1, a, "1.00", "0.200"), (2, None, 1, b, "2.00", "0.400")).write.parquet(inbox)
-        totals = live.live_daily_totals(spark.readStream.schema(INVOICE).parquet(inbox))
-        live.write_updates(totals, out, state).awaitTermination()
+        totals = live.live_rows(spark.readStream.schema(INVOICE).parquet(inbox))
+        live.write_increments(totals, out, state).awaitTermination()
         day = date(2024, 3, 10)
         assert current(spark, totals, out) == {(day, "A"): (1.0, 1.2), (day, None): (2.0, 2.4)}
 
         invoices(spark, (3, "A", 1, b, "4.00", "0.800")).write.mode("append").parquet(inbox)
-        live.write_updates(totals, out, state).awaitTermination()
+        live.write_increments(totals, out, state).awaitTermination()
         assert current(spark, totals, out) == {(day, "A"): (5.0, 6.0), (day, None): (2.0, 2.4)}
 
         # Starting again without new files changes nothing.
-        live.write_updates(totals, out, state).awaitTermination()
+        live.write_increments(totals, out, state).awaitTermination()
         assert current(spark, totals, out)[(day, "A")] == (5.0, 6.0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+def test_no_row_is_too_late(spark, tmp_path):
     inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    totals = live.live_daily_totals(_stream(spark, inbox), watermark="2 days")
-    for day in (20, 21, 3):
+    rows = live.live_rows(_stream(spark, inbox))
+    for day in (20, 21, 3, 20):
         invoices(spark, (day, "A", 1, datetime(2024, 3, day, 12), "1.00", "0.000")).write.mode("append").parquet(inbox)
-        live.write_updates(totals, out, state).awaitTermination()
-    assert {d.day for d, _ in current(spark, totals, out)} == {20, 21}
+        live.write_increments(rows, out, state).awaitTermination()
+    assert {d.day: v for (d, _), v in current(spark, rows, out).items()} == {20: (2.0, 2.0), 21: (1.0, 1.0), 3: (1.0, 1.0)}
 
 
 def _stream(spark, inbox):
@@ -65,8 +65,8 @@ def test_live_parts(spark, tmp_path, dimension):
     owners = invoices(spark, (1, "A", 1, when, "1.00", "0.000"), (2, "B", 2, when, "1.00", "0.000"))
     users = spark.createDataFrame([(1, "ann")], USERS)
     stream = spark.readStream.schema(SOLD).parquet(inbox)
-    totals = live.live_daily_totals(stream, dimension, "parts", invoice=owners, users=users)
-    live.write_updates(totals, out, state).awaitTermination()
+    totals = live.live_rows(stream, dimension, "parts", invoice=owners, users=users)
+    live.write_increments(totals, out, state).awaitTermination()
     name = "A" if dimension == "department" else "ann"
     assert current(spark, totals, out) == {(date(2024, 3, 10), name): (1,), (date(2024, 3, 10), "Unknown"): (2,)}
 
@@ -76,20 +76,20 @@ def test_live_user_sales_drop_unknown_users(spark, tmp_path):
     when = datetime(2024, 3, 10, 12)
     invoices(spark, (1, "A", 1, when, "1.00", "0.000"), (2, "A", 2, when, "2.00", "0.000")).write.parquet(inbox)
     users = spark.createDataFrame([(1, "ann")], USERS)
-    totals = live.live_daily_totals(spark.readStream.schema(INVOICE).parquet(inbox), "user", "sales", users=users)
-    live.write_updates(totals, out, state).awaitTermination()
+    totals = live.live_rows(spark.readStream.schema(INVOICE).parquet(inbox), "user", "sales", users=users)
+    live.write_increments(totals, out, state).awaitTermination()
     assert current(spark, totals, out) == {(date(2024, 3, 10), "ann"): (1.0, 1.0)}
 
 
 def test_a_repeated_batch_is_not_doubled(spark, tmp_path):
     # The folder of a batch is replaced, as after a crash between write and commit.
     out = str(tmp_path / "out")
-    rows = spark.createDataFrame([(date(2024, 1, 1), "A", 1.0)], "day date, entity string, v double")
+    schema = "day date, entity string, sum_total decimal(18,2)"
     for batch, times in ((0, 1), (1, 2)):
+        rows = spark.createDataFrame([(date(2024, 1, 1), "A", Decimal(batch + 1))], schema)
         for _ in range(times):
-            rows.withColumn("v", F.lit(float(batch))).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    got = live.read_updates(spark, out, rows.schema, ["day", "entity"]).collect()
-    assert [tuple(r) for r in got] == [(date(2024, 1, 1), "A", 1.0)]
+            rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    assert [tuple(r) for r in live.read_totals(spark, out, rows).collect()] == [(date(2024, 1, 1), "A", 3.0)]
 
 
 def test_audit_stream(spark, tmp_path):

@@ -20,6 +20,7 @@ LOG_HEADERS = {
     "location": "Location",
     "status": "Status",
 }
+FILES_PER_DAY = 4
 TIME_FORMAT = "dd.MM.yyyy HH:mm:ss"
 
 
@@ -49,10 +50,18 @@ def as_audit_rows(events: DataFrame) -> DataFrame:
     )
 
 
+def by_day(rows: DataFrame) -> DataFrame:
+    """Rows with their ``event_date``, each day dealt out over a few tasks only."""
+    dated = rows.withColumn("event_date", F.to_date("event_time"))
+    return dated.repartition("event_date", F.pmod(F.xxhash64("log_id"), F.lit(FILES_PER_DAY)))
+
+
 def append_audit(events: DataFrame, path: str) -> None:
-    """Append to the log, laid out by day so that a range query reads only its days."""
-    rows = as_audit_rows(events).withColumn("event_date", F.to_date("event_time"))
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+    """Append to the log, laid out by day so that a range query reads only its days.
+
+    An append adds at most ``FILES_PER_DAY`` files to a day.
+    """
+    by_day(as_audit_rows(events)).write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def newest_first() -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from yardstats.functions.modes import dimension_of, mode_of
 from yardstats.functions.text import label
-from yardstats.operators.audit import as_audit_rows
+from yardstats.operators.audit import as_audit_rows, by_day
 from yardstats.operators.entities import gross, net
 from yardstats.operators.spread import left_join_sparse_key
 
@@ -28,27 +28,23 @@ def utc_day(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
 
 
-def live_daily_totals(
+def live_rows(
     stream: DataFrame,
     dimension: str = "department",
     mode: str = "sales",
-    watermark: str = "7 days",
     invoice: DataFrame | None = None,
     users: DataFrame | None = None,
 ) -> DataFrame:
-    """Totals per day and entity over arriving invoices or sold rows.
+    """Arriving invoices or sold rows as ``day, entity`` and what they add to a total.
 
-    State is one row per open day and entity; days older than the watermark are
-    dropped from it. ``invoice`` and ``users`` are stored tables joined to every
-    batch of the stream; pass the months of ``invoice`` that can still be sold
-    from, not its whole history. Columns: ``day, entity`` and ``sum_total, sum_total_vat`` or
-    ``parts_sold``.
+    ``invoice`` and ``users`` are stored tables joined to every batch of the stream;
+    pass the months of ``invoice`` that can still be sold from, not its whole history.
+    The added columns: ``sum_total, sum_total_vat`` as decimals, or ``parts_sold``.
     """
     parts = mode_of(mode) == "parts"
     by_user = dimension_of(dimension) == "user"
     moment = "solddate" if parts else "datecreated"
     rows = stream.filter("issold") if parts else stream
-    rows = rows.withColumn("at", utc_instant(F.col(moment))).withWatermark("at", watermark)
     if parts:
         owners = invoice.select("invoice_id", "departmentname", "whocreated_id")
         rows = left_join_sparse_key(rows, owners, "invoice_id", spread_by=["itemtype_id", moment])
@@ -56,30 +52,33 @@ def live_daily_totals(
         named = users.select(F.col("user_id").alias("whocreated_id"), "shortname")
         rows = rows.join(named, "whocreated_id", "left" if parts else "inner")
     name = F.col("shortname" if by_user else "departmentname")
-    day = F.window("at", "1 day")
+    day = utc_day(utc_instant(F.col(moment))).alias("day")
     if parts:
-        totals = rows.groupBy(day, label(name).alias("entity")).agg(F.count("invnumber").alias("parts_sold"))
-        values = [F.col("parts_sold")]
-    else:
-        totals = rows.groupBy(day, name.alias("entity")).agg(
-            F.sum(net()).alias("sum_total"), F.sum(gross()).alias("sum_total_vat")
-        )
-        values = [F.col(c).cast("double") for c in ("sum_total", "sum_total_vat")]
-    return totals.select(utc_day(F.col("window.start")).alias("day"), "entity", *values)
+        return rows.select(day, label(name).alias("entity"), F.col("invnumber").isNotNull().cast("long").alias("parts_sold"))
+    return rows.select(day, name.alias("entity"), net().alias("sum_total"), gross().alias("sum_total_vat"))
 
 
-def write_updates(totals: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the changed rows of every batch, each in its own folder.
+KEYS = ["day", "entity"]
 
-    A batch that is run again after a failure overwrites its own folder, so no
-    update is doubled.
+
+def _summed(rows: DataFrame) -> DataFrame:
+    values = [c for c in rows.columns if c not in (*KEYS, "batch")]
+    return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in values])
+
+
+def write_increments(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep what every batch adds, one row per day and entity, in a folder per batch.
+
+    No state is held between batches and no row is too late: files may arrive in any
+    order. A batch that is run again after a failure overwrites its own folder, so
+    nothing is counted twice.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _summed(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        totals.writeStream.outputMode("update")
+        rows.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(keep)
@@ -87,20 +86,28 @@ def write_updates(totals: DataFrame, path: str, checkpoint: str, **trigger) -> S
     )
 
 
-def read_updates(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
-    """The current totals: the value of the latest batch for every key."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    stored = spark.read.schema(with_batch).parquet(path)
-    values = [c for c in stored.columns if c not in keys + ["batch"]]
-    latest = F.max_by(F.struct(*values), F.col("batch")).alias("v")
-    return stored.groupBy(*keys).agg(latest).select(*keys, "v.*")
+def read_totals(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """The totals of all batches so far: ``day, entity`` and the sums, money as doubles.
+
+    ``rows`` is the stream that was written; it gives the columns.
+    """
+    wide = [
+        T.StructField(f.name, T.DecimalType(38, f.dataType.scale)) if isinstance(f.dataType, T.DecimalType) else f
+        for f in rows.schema.fields
+    ]
+    stored = spark.read.option("mergeSchema", False).parquet(path)
+    stored = stored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wide])
+    money = {f.name for f in wide if isinstance(f.dataType, T.DecimalType)}
+    return _summed(stored).select(*[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in rows.columns])
 
 
 def stream_audit(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append arriving events to the log, laid out by day like the batch append."""
-    rows = as_audit_rows(events).withColumn("event_date", F.to_date("event_time"))
+    """Append arriving events to the log, laid out by day like the batch append.
+
+    The rows of a day meet in few tasks first, or every task would write a file per day.
+    """
     return (
-        rows.writeStream.outputMode("append")
+        by_day(as_audit_rows(events)).writeStream.outputMode("append")
         .format("parquet")
         .option("checkpointLocation", checkpoint)
         .partitionBy("event_date")
