@@ -19,7 +19,7 @@ def item(price, title="T", extra=""):
 
 def read(html, **selectors):
     return [
-        {k: "".join(v) if isinstance(v, list) else v for k, v in found.items()}
+        {k: "".join(v[2][v[0] : v[1]]) if isinstance(v, list) else v for k, v in found.items()}
         for found in listing_reader(Selectors(**selectors))(html)
     ]
 

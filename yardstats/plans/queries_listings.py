@@ -21,8 +21,9 @@ _LINK = "'/i?a=1&n=' || CAST(listing_id AS VARCHAR)"
 @query(
     "page_listings",
     over("v_listing", f"""
-SELECT listing_id AS page_id, CAST(1 AS INTEGER) AS position, {_TITLE} AS title, {_GLUED} AS price_text, {_LINK} AS link
-FROM v_listing WHERE price_text IS NOT NULL"""),
+SELECT * EXCLUDE (price_missing) FROM (
+ SELECT listing_id // 10 AS page_id, CAST(row_number() OVER (PARTITION BY listing_id // 10 ORDER BY listing_id, title, price_text NULLS FIRST) AS INTEGER) AS position,
+  {_TITLE} AS title, {_GLUED} AS price_text, {_LINK} AS link, price_text IS NULL AS price_missing FROM v_listing) WHERE NOT price_missing"""),
 )
 def page_listings(s: Sample) -> DataFrame:
     return complete_listings(extract_listings(s.market_pages()))
@@ -66,10 +67,10 @@ def listing_sorted(s: Sample) -> DataFrame:
     "listing_report",
     over("v_listing", f"""
 SELECT band, price, page_id, title, link FROM (
- SELECT listing_id AS page_id, {_TITLE} AS title, {_LINK} AS link,
+ SELECT listing_id // 10 AS page_id, listing_id, title AS plain, price_text, {_TITLE} AS title, {_LINK} AS link,
   TRY_CAST(split_part(replace({_GLUED}, '£', ''), ' ', 1) AS DOUBLE) AS price FROM v_listing) p
 JOIN (VALUES ('small', -1e300, 50.0), ('medium', 50.0, 500.0), ('large', 499.999, 1e300)) AS b(band, low, high) ON price > low AND price <= high
-ORDER BY band, price DESC, page_id, title"""),
+ORDER BY band, price DESC, page_id, p.listing_id, plain, price_text"""),
     ordered=True,
 )
 def report_of_pages(s: Sample) -> DataFrame:

@@ -163,7 +163,7 @@ class Sample:
         )
 
     def market_pages(self) -> DataFrame:
-        """A stored result page per sold line: its listing, among other markup.
+        """A stored result page per order: the listings of its lines, among other markup.
 
         Every third page nests the title, every fifth price is split over two
         nodes, a missing price leaves the listing incomplete.
@@ -176,14 +176,18 @@ class Sample:
             key % 5 == 0,
             F.concat(F.lit('<span class="big s-item__price"><em>'), F.col("price_text"), F.lit("</em> <em>each</em></span>")),
         ).otherwise(F.concat(F.lit('<span class="s-item__price">\n '), F.col("price_text"), F.lit(" </span>")))
-        html = F.concat(
-            F.lit('<html><head><style>.s-item{color:red}</style></head><body><ul><li class="other">menu<br></li>'),
+        item = F.concat(
             F.lit('<!-- s-item --><li class="wide s-item"><a href="/x"><img src="i.png"></a><div class="s-item__title">'),
             title,
             F.lit("</div>"),
             F.coalesce(price, F.lit("")),
             F.lit('<p><a class="s-item__link" href="/i?a=1&amp;n='),
             key.cast("string"),
-            F.lit('">see</a></li></ul></body></html>'),
+            F.lit('">see</a></li>'),
         )
-        return self.listing().select(key.alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+        items = self.listing().groupBy(F.floor(key / 10).alias("page_id")).agg(
+            F.array_sort(F.collect_list(F.struct(key.alias("key"), "title", "price_text", item.alias("item")))).alias("items")
+        )
+        head = F.lit('<html><head><style>.s-item{color:red}</style></head><body><ul><li class="other">menu<br></li>')
+        html = F.concat(head, F.array_join("items.item", "\n"), F.lit("</ul></body></html>"))
+        return items.select("page_id", F.lit("").alias("url"), html.alias("html"))

@@ -1,7 +1,7 @@
 """Listings out of stored web pages.
 
 Markup nests and is often broken, which SQL expressions cannot follow, so a page
-is walked in Python, inside Arrow batches: one compiled pattern finds the tags,
+is walked in Python, inside Arrow batches: one forward scan finds the tags,
 and attributes are looked at only where a wanted name occurs. Only pages that can
 hold a listing are sent to Python: the test for the item's name runs in the JVM.
 """
@@ -19,8 +19,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardstats.operators.spread import spread_small
-
 # The reader's code travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,15 +31,9 @@ VOID = frozenset(
     "area base br col embed frame hr img input link meta param source track wbr".split()
 )
 
-# A comment, a script or style with its content, a declaration; or a tag with
-# its slash, name and attributes. A "<" that starts none of these is text.
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-      | <(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\Z)
-      | <[!?][^>]*>
-      | <(/?)([a-z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""",
-    re.S | re.X | re.I,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""")
 
 
@@ -69,12 +61,62 @@ def _attributes(text: str) -> dict[str, str]:
     }
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of the tags of a page, in one forward scan.
+
+    Comments, declarations, scripts and styles yield a tag without a name. A "<" that
+    starts none of these is text. A ">" inside quotes does not end a tag, unless a quote
+    or the tag would not end at all: from there on quotes mean nothing, so that broken
+    markup is not searched again and again.
+    """
+    size, at, quotes = len(html), 0, True
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("!--", at):
+            end = html.find("-->", at + 3)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        plain = html.find(">", at)
+        if plain < 0:
+            return
+        if html.startswith(("!", "?"), at):
+            at = plain + 1
+            yield start, at, "", "", ""
+            continue
+        named = _NAME.match(html, at)
+        if not named:
+            continue
+        end = plain
+        if quotes:
+            look = named.end()
+            while True:
+                stop = _STOP.search(html, look)
+                if stop and stop[0] == ">":
+                    end = stop.start()
+                    break
+                closed = html.find(stop[0], stop.end()) if stop else -1
+                if closed < 0:
+                    quotes = False
+                    break
+                look = closed + 1
+        slash, name = named.groups()
+        name, at = name.lower(), end + 1
+        if not slash and name in _RAW:
+            over = _RAW[name].search(html, at)
+            at = over.end() if over else size
+            yield start, at, "", "", ""
+        else:
+            yield start, at, slash, name, html[named.end() : end]
+
+
 def listing_reader(selectors: Selectors) -> Callable[[str], list[dict]]:
     """A function from page text to its item elements, in page order.
 
     Each item holds its first title, price and link element, if any. Text is put
     together from the stripped pieces between tags. An end tag closes the
-    innermost open element of its name, with all that is open inside.
+    innermost open element of its name, with all that is open inside. The time is
+    linear in the page, however deep its elements lie and however broken they are.
     """
     item, fields = selectors.item, list(selectors.fields().items())
     wanted = [item, *(selector for _, selector in fields)]
@@ -85,55 +127,68 @@ def listing_reader(selectors: Selectors) -> Callable[[str], list[dict]]:
     def read(html: str) -> list[dict]:
         found: list[dict] = []
         names: list[str] = []  # open elements
-        listings: list[tuple[int, dict]] = []  # open items, with their depth
-        texts: list[tuple[int, list[str]]] = []  # texts being put together, with their depth
+        depths: dict[str, list[int]] = {}  # where each name is open
+        lacking: dict[str, list[tuple[int, dict]]] = {field: [] for field, _ in fields}  # open items, with their depth
+        pieces: list[str] = []  # all text, once a text is being put together
+        texts: list[tuple[int, list[int]]] = []  # open texts, with their depth: from and to in ``pieces``
         end = 0
-        for tag in _TAG.finditer(html):
+        for start, stop, slash, name, attributes in tags(html):
             if texts:
-                piece = unescape(html[end : tag.start()]).strip()
+                piece = unescape(html[end:start]).strip()
                 if piece:
-                    for _, pieces in texts:
-                        pieces.append(piece)
-                end = tag.end()
-            slash, name, attributes = tag.groups()
-            if name is None:
+                    pieces.append(piece)
+                end = stop
+            if not name:
                 continue
-            name = name.lower()
             if slash:
-                if name in names:
-                    depth = len(names) - 1 - names[::-1].index(name)
+                if depths.get(name):
+                    depth = depths[name][-1]
+                    for inner in names[depth:]:
+                        depths[inner].pop()
                     del names[depth:]
-                    for opened in (listings, texts):
+                    for opened in lacking.values():
                         while opened and opened[-1][0] >= depth:
                             opened.pop()
+                    while texts and texts[-1][0] >= depth:
+                        texts.pop()[1][1] = len(pieces)
                 continue
             leaf = name in VOID or attributes.endswith("/")
             if name in elements or (attributes and names_class(attributes)):
                 depth = len(names)
                 values = _attributes(attributes)
                 own = {name, *("." + c for c in values.get("class", "").split())}
-                for _, listing in listings:
-                    for field, selector in fields:
-                        if selector not in own or field in listing:
-                            continue
-                        listing[field] = values.get("href") if field == "link" else []
-                        if field != "link" and not leaf:
-                            texts.append((depth, listing[field]))
-                            end = tag.end()
+                for field, selector in fields:
+                    if selector not in own or not lacking[field]:
+                        continue
+                    value = values.get("href")
+                    if field != "link":
+                        value = [len(pieces), len(pieces) if leaf else -1, pieces]
+                        if not leaf:
+                            texts.append((depth, value))
+                            end = stop
+                    for _, listing in lacking[field]:
+                        listing[field] = value
+                    lacking[field].clear()
                 if item in own:
                     found.append({})
                     if not leaf:
-                        listings.append((depth, found[-1]))
+                        for opened in lacking.values():
+                            opened.append((depth, found[-1]))
             if not leaf:
+                depths.setdefault(name, []).append(len(names))
                 names.append(name)
+        for _, text in texts:
+            text[1] = len(pieces)
         return found
 
     return read
 
 
 def _text(listing: dict, field: str) -> str | None:
-    pieces = listing.get(field)
-    return None if pieces is None else "".join(pieces)
+    if listing.get(field) is None:
+        return None
+    first, last, pieces = listing[field]
+    return "".join(pieces[first:last])
 
 
 def extract_listings(pages: DataFrame, selectors: Selectors = Selectors()) -> DataFrame:
@@ -160,7 +215,8 @@ def extract_listings(pages: DataFrame, selectors: Selectors = Selectors()) -> Da
         F.lower("html"), F.lit("<" + marker.lower())
     )
     marked = pages.filter(mark).select("page_id", "html")
-    return spread_small(marked).mapInPandas(read, LISTING_SCHEMA)
+    # By page, so that few files of a busy table still keep all cores at work.
+    return marked.repartition("page_id").mapInPandas(read, LISTING_SCHEMA)
 
 
 def complete_listings(listings: DataFrame) -> DataFrame:
