@@ -37,13 +37,6 @@ CATALOGUE_NAMES = {
     "Not Found 180 days": "not_found_180",
 }
 
-# In the file every number is read as double, then cast.
-CATALOGUE_FILE = T.StructType(
-    [
-        T.StructField(n, T.StringType() if CATALOGUE[c].dataType == T.StringType() else T.DoubleType())
-        for n, c in CATALOGUE_NAMES.items()
-    ]
-)
 SCORE_NAMES = {
     "Potential_Profit": "potential_profit",
     "Sales_Speed": "sales_speed",
@@ -154,7 +147,7 @@ REQUESTS = T.StructType(
 TABLES = {
     "invoice": INVOICE,
     "sold": SOLD,
-    "pinuser": USERS,
+    "users": USERS,
     "itemtype": ITEMTYPE,
     "vehicle": VEHICLE,
     "stocknumber": STOCKNUMBER,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from yardstats.schemas import CATALOGUE, CATALOGUE_FILE, CATALOGUE_NAMES, TABLES
+from yardstats.schemas import CATALOGUE, CATALOGUE_NAMES, TABLES
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -37,25 +38,32 @@ def read_jdbc_table(spark: SparkSession, **options) -> DataFrame:
 def read_catalogue(spark: SparkSession, path: str, line_breaks_in_values: bool = False) -> DataFrame:
     """The catalogue from delimited text with a header, with its row order.
 
+    Columns are found by their names in the header, in any order and among any others;
+    a file that lacks one is refused. A value that is not of its column's type is null.
+
     ``row_id`` sorts rows by file, block in the file and place in the block:
     the order in which a single reader would have met them. Whole numbers may be
     written with a fraction (``3.0``), as files with gaps often have them. Line
     breaks inside quoted values keep a file from being split, so they have to be
     asked for.
     """
-    raw = (
-        spark.read.schema(CATALOGUE_FILE)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", line_breaks_in_values)
-        .csv(path)
-    )
+    # Without a schema and inference only the header is looked at; all columns are text.
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=line_breaks_in_values).csv(path)
+    missing = [name for name in CATALOGUE_NAMES if name not in raw.columns]
+    if missing:
+        raise ValueError(f"the catalogue lacks {', '.join(missing)}")
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
     types = {f.name: f.dataType for f in CATALOGUE.fields}
-    columns = [F.col(f"`{n}`").cast(types[c]).alias(c) for n, c in CATALOGUE_NAMES.items()]
-    return raw.select(place.alias("row_id"), *columns)
+
+    def typed(name: str, column: str) -> Column:
+        text = F.col(f"`{name}`")
+        value = text.try_cast(types[column])
+        if isinstance(types[column], T.IntegralType):
+            value = F.coalesce(value, text.try_cast("double").try_cast(types[column]))  # 3.0 is a whole number
+        return value.alias(column)
+
+    return raw.select(place.alias("row_id"), *[typed(n, c) for n, c in CATALOGUE_NAMES.items()])
