@@ -57,7 +57,31 @@ def test_relocation(tables, spark):
     where = spark.createDataFrame([(1, 11, 8), (1, 10, 9), (3, 1, 7)], "stocknumber_id long, moved_at long, location_id long")
     got = {r.stocknumber_id: r.location_id for r in lookup.relocate(tables[0], where).collect()}
     assert got[1] == 8 and got[3] == 7
-    assert lookup.relocation_log(moves, "me").count() == 3
+    log = lookup.relocation_log(moves, "me", first_id=10).collect()
+    assert sorted((r.event_time, r.log_id) for r in log) == [(10, 10), (11, 11), (12, 12)]
+
+
+def test_relocation_keeps_columns_and_settles_ties(tables, spark):
+    schema = "stocknumber_id long, moved_at long, location_id long, move_id long"
+    moves = [(1, None, 21, 1), (2, 5, 22, 1), (2, 5, 23, 2), (3, 5, 24, 1), (3, None, 25, 9), (4, 7, None, 1), (None, 1, 26, 1)]
+    vehicle = tables[0].withColumn("colour", F.lit("red"))
+    moved = lookup.relocate(vehicle, spark.createDataFrame(moves, schema))
+    assert moved.schema == vehicle.schema
+    got = {r.stocknumber_id: (r.location_id, r.colour) for r in moved.collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [21, 23, 24, 5] and {c for _, c in got.values()} == {"red"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_are_looked_for_in_the_scans(tables, spark, tmp_path):
+    stored = []
+    for k, table in enumerate(tables):
+        table.write.parquet(f"{tmp_path}/{k}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{k}"))
+    plan = _plan(lookup.find_vehicle(*stored, "AB1", "S2"))
+    assert "EqualTo(regnumber,AB1)" in plan and "EqualTo(vstockno,S2)" in plan
 
 
 def test_relocated_table_replaces_the_stored_one(tables, spark, tmp_path):

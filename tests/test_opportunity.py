@@ -1,10 +1,10 @@
 import math
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from yardstats.operators import opportunity as op
-from yardstats.operators.spread import number_rows
 from yardstats.plans.reports import part_search
 from yardstats.plans.sample import Sample
 from yardstats.schemas import CATALOGUE_NAMES, REQUESTS, SEARCH_COLUMNS
@@ -139,11 +139,19 @@ def test_batch_equals_single_searches(spark, shortlist, limit):
 def test_cutting_in_hands_changes_nothing(spark):
     scored = op.with_scores(Sample(spark, "/root/testdata/sf0.01").catalogue())
     for limit in (1, 7):
-        plain = op._best_of(scored, ["model"], limit, "n").select("model", "n", "row_id")
-        hands = op._best_of(scored, ["model"], limit, "n", hands=5).select("model", "n", "row_id")
+        place = F.row_number().over(W.partitionBy("model").orderBy(*op.best_first()))
+        plain = scored.withColumn("n", place).filter(F.col("n") <= limit).select("model", "n", "row_id")
+        hands = op._best_of(scored, ["model"], limit, "n").select("model", "n", "row_id")
         assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hands.collect()))
 
 
+def test_keywords_are_literal(catalogue):
+    c = catalogue(part(1, part="A.C PUMP"), part(2, part="ABC PUMP"), part(3, part="old_PUMP"), part(4, part=None))
+    assert sorted(found(c.filter(op.has_no_keyword(["a.c"])))) == [2, 3, 4]
+    assert sorted(found(c.filter(op.has_no_keyword(["pump"])))) == [3, 4]
+    assert c.filter(op.has_no_keyword([])).count() == 4
+
+
 def test_batch_with_wide_and_corrupt_year_ranges(catalogue, spark):
     c = catalogue(
         part(1, start=1, end=2**31 - 1), part(2, start=1990, end=2030), part(3, start=1990, end=2031),
@@ -185,10 +193,19 @@ def test_column_searches(catalogue):
 
 def test_result_pages(catalogue):
     c = op.with_scores(catalogue(*[part(i, back=100 - i) for i in range(60)]))
-    numbered = number_rows(c, op.best_first())
-    assert found(op.result_page(numbered, 0)) == list(range(25))
-    assert found(op.result_page(numbered, 2)) == list(range(50, 60))
-    assert op.result_page(numbered, 3).count() == 0
+    assert found(op.result_page(c, op.best_first(), 0)) == list(range(25))
+    assert found(op.result_page(c, op.best_first(), 2)) == list(range(50, 60))
+    assert [r.position for r in op.result_page(c, op.best_first(), 2).collect()] == list(range(51, 61))
+    assert op.result_page(c, op.best_first(), 3).count() == 0
+
+
+def test_search_box_and_chosen_order(catalogue):
+    c = catalogue(part(1, part="FRONT DOOR", model="Golf", price=3.0), part(2, part="DOOR", model="Front", price=None), part(3, part="DOOR", price=5.0))
+    assert sorted(found(op.search_box(c, "door front", ["part", "model"]))) == [1, 2]
+    assert sorted(found(op.search_box(c, '"front door"'))) == [1]
+    assert op.search_box(c, " ").count() == 3
+    assert found(op.result_page(c, op.sorted_by("b_price", descending=True), 0)) == [3, 1, 2]
+    assert found(op.result_page(c, op.sorted_by("part"), 0)) == [2, 3, 1]
 
 
 def test_display(catalogue):

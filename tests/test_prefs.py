@@ -66,3 +66,31 @@ def test_reading_a_store(spark, tmp_path, per_line):
     raw = read_json_store(spark, str(tmp_path / "order.json"), per_line)
     assert [r["items"] for r in prefs.normalise_orders(raw).collect()] == [["x"]]
     assert read_json_store(spark, str(tmp_path / "missing.json"), per_line).count() == 0
+
+
+def test_last_entry_of_a_repeated_name_counts(spark):
+    stores = spark.createDataFrame([('{"ann": ["a"], "bob": ["b"], "ann": ["c"]}',), ('{"ann": ["d"]}',)], "raw string")
+    got = sorted((r.username, r["items"]) for r in prefs.normalise_orders(stores).collect())
+    assert got == [("ann", ["c"]), ("ann", ["d"]), ("bob", ["b"])]
+    raw = '{"ann": {"user": ["x"]}, "ann": {"department": ["p"], "user": ["q"], "user": ["r"]}}'
+    rows = prefs.normalise_exclusions(spark.createDataFrame([(raw,)], "raw string")).collect()
+    assert sorted((r.dimension, r["items"]) for r in rows) == [("department", ["p"]), ("user", ["r"])]
+
+
+def test_saving(spark, tmp_path):
+    path = str(tmp_path / "prefs")
+    empty = spark.createDataFrame([], "username string, dimension string, items array<string>, saved_at long")
+    empty.write.parquet(path)
+    assert prefs.save_prefs(spark, path, "ann", prefs.ORDER, [" B ", "", 3, "A"], 1) == ["B", "3", "A"]
+    assert prefs.save_prefs(spark, path, None, prefs.ORDER, ["x"], 1) == ["x"]
+    assert prefs.save_prefs(spark, path, "ann", "user", ["u"], 2) == ["u"]
+    assert prefs.save_prefs(spark, path, "ann", prefs.ORDER, [], 3) == []
+    for bad in ("text", None, {"a": 1}):
+        with pytest.raises(ValueError):
+            prefs.save_prefs(spark, path, "ann", prefs.ORDER, bad, 4)
+    with pytest.raises(ValueError):
+        prefs.save_prefs(spark, path, "ann", "colour", ["a"], 4)
+    stored = prefs.read_prefs(spark, path)
+    assert prefs.load_order(stored, "ann").first()["items"] == []
+    assert prefs.load_order(stored, "bob").first()["items"] == ["x"]
+    assert [r.entity for r in prefs.load_exclusions(stored, "ann", "user").collect()] == ["u"]

@@ -9,12 +9,10 @@ from yardstats.functions.periods import Period
 from yardstats.operators import calendar, entities, lookup, stats
 from yardstats.operators.calendar import Facts
 from yardstats.operators.spread import (
-    hot_buckets,
-    key_bucket,
     left_join_sparse_key,
     number_rows,
     paged_arrays,
-    salted_join,
+    skew_join,
 )
 
 ROWS = 30_000
@@ -101,45 +99,43 @@ def test_null_slots_survive_the_optimizer(spark, facts):
     assert all("_slot" in line for line in text.splitlines() if "hashpartitioning(invoice_id" in line)
 
 
-def test_salted_join(spark, joins):
+def test_skew_join(spark, joins):
     many = spark.range(ROWS).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).alias("k"))
     few = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     nulls = few.union(spark.range(1).select(F.lit(None).cast("long"), F.lit(-1).cast("long")))
-    hot = hot_buckets(many, ["k"], min_rows=100, small=0)
-    assert hot
-    got = salted_join(many, nulls, ["k"], ["n"], hot=hot, null_safe=True)
+    got = skew_join(many, nulls, ["k"], null_safe=True)
     want = many.alias("m").join(nulls.alias("f"), F.col("m.k").eqNullSafe(F.col("f.k")), "left").select("m.n", "m.k", "f.v")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-    assert salted_join(many, few, ["k"], ["n"], how="inner", hot=hot).count() == many.join(few, "k").count()
     narrow = few.withColumn("k", F.col("k").cast("int"))
-    assert salted_join(many, narrow, ["k"], ["n"], how="inner", hot=hot).count() == many.join(few, "k").count()
+    assert skew_join(many, narrow, ["k"], how="inner").count() == many.join(few, "k").count()
 
 
-def test_hot_keys_are_found_and_dealt_out(spark):
-    many = spark.range(ROWS).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    hot = hot_buckets(many, ["k"], min_rows=100, small=0)
-    assert [r[0] for r in many.filter("k = 'hot'").select(key_bucket(["k"])).distinct().collect()] == hot
-    assert hot_buckets(many, ["k"]) == hot_buckets(many, ["k"], small=0) == []  # no burden
+def test_a_hot_key_is_split_by_adaptive_execution(spark):
+    many = spark.range(400_000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     few = many.select("k").distinct().withColumn("v", F.length("k"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        joined = salted_join(many, few, ["k"], ["n"], hot=hot)
-        tasks = joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        joined = skew_join(many.repartition(8, "n"), few, ["k"]).withColumn("p", F.spark_partition_id())
+        tasks = joined.filter("k = 'hot'").groupBy("p").count().collect()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert sum(t["count"] for t in tasks) == ROWS // 3
-    assert len(tasks) == 4 and max(t["count"] for t in tasks) < ROWS // 6
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(t["count"] for t in tasks) == 133_334 and len(tasks) > 1
 
 
-def test_everyone_asks_for_the_same_blank_number(spark, joins, monkeypatch):
+def test_everyone_asks_for_the_same_blank_number(spark, joins):
     n = F.col("id")
     vehicle = spark.range(3000).select(n.alias("stocknumber_id"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("R"), n)).alias("regnumber"), F.lit(1).cast("long").alias("location_id"))
     stock = spark.range(3000).select(n.alias("stocknumber_id"), F.concat(F.lit("S"), n).alias("vstockno"))
     location = spark.range(3).select(n.alias("location_id"), F.lit("b").alias("bin"))
     asked = spark.range(3000).select(n.alias("request_id"), F.when(n % 3 != 1, " ").otherwise(F.concat(F.lit("R"), n)).alias("registration"), F.concat(F.lit("S"), n + 1500).alias("stock_number"))
-    monkeypatch.setattr(hot_buckets, "__defaults__", (0.001, 100, 0))
     got = {r.request_id: r.stocknumber_id for r in lookup.lookup_vehicles(vehicle, stock, location, asked).collect()}
     assert len(got) == 3000
     for i in range(3000):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardstats.functions.text import absolute_url, strip
-from yardstats.operators.spread import hot_buckets, salted_join
+from yardstats.operators.spread import number_rows, skew_join
 
 VEHICLE_COLUMNS = ["stocknumber_id", "regnumber", "vstockno", "bin"]
 
@@ -26,9 +26,14 @@ def stocked_vehicles(vehicle: DataFrame, stocknumber: DataFrame, location: DataF
 def find_vehicle(
     vehicle: DataFrame, stocknumber: DataFrame, location: DataFrame, registration: str, stock_number: str
 ) -> DataFrame:
-    """All vehicles with that registration or that stock number, by key."""
-    wanted = (F.col("regnumber") == registration.strip()) | (F.col("vstockno") == stock_number.strip())
-    return stocked_vehicles(vehicle, stocknumber, location).filter(wanted).orderBy("stocknumber_id")
+    """All vehicles with that registration or that stock number, by key.
+
+    Each number filters its own scan; bins are looked up for the hits only.
+    """
+    by_reg = vehicle.filter(F.col("regnumber") == registration.strip())
+    by_stock = stocknumber.filter(F.col("vstockno") == stock_number.strip())
+    hits = stocked_vehicles(by_reg, stocknumber, location).union(stocked_vehicles(vehicle, by_stock, location))
+    return hits.dropDuplicates(VEHICLE_COLUMNS).orderBy("stocknumber_id")
 
 
 def lookup_vehicle(
@@ -38,15 +43,15 @@ def lookup_vehicle(
     return find_vehicle(vehicle, stocknumber, location, registration, stock_number).limit(1)
 
 
-def _first_per(vehicles: DataFrame, number: str, wanted: DataFrame, hit: str) -> DataFrame:
-    """First vehicle (lowest key) of every wanted number.
+def _first_keys(rows: DataFrame, number: str, hit: str, wanted: DataFrame) -> DataFrame:
+    """Lowest key of each wanted number: ``number`` and ``hit``.
 
-    Both sides are reduced to one row per number before they meet, so a number
-    shared by very many vehicles and requests costs one row, not their product.
+    Rows of other numbers go before anything is grouped, and a number that very many
+    rows share is reduced where it is read.
     """
-    first = F.min(F.struct(*VEHICLE_COLUMNS))
-    found = vehicles.filter(F.col(number).isNotNull()).groupBy(F.col(number).alias("number")).agg(first.alias(hit))
-    return found.join(wanted.distinct(), "number")
+    wanted = wanted.filter(F.col("number").isNotNull()).distinct()
+    asked = rows.select(F.col(number).alias("number"), "stocknumber_id").join(wanted, "number", "left_semi")
+    return asked.groupBy("number").agg(F.min("stocknumber_id").alias(hit))
 
 
 def lookup_vehicles(
@@ -64,30 +69,35 @@ def lookup_vehicles(
         strip(F.col("registration")).alias("registration"),
         strip(F.col("stock_number")).alias("stock_number"),
     )
-    vehicles = stocked_vehicles(vehicle, stocknumber, location)
-    by_reg = _first_per(vehicles, "regnumber", asked.select(F.col("registration").alias("number")), "reg_hit")
-    by_stock = _first_per(vehicles, "vstockno", asked.select(F.col("stock_number").alias("number")), "stock_hit")
-    spread = ["request_id"]
-    matched = salted_join(asked, by_reg.withColumnRenamed("number", "registration"), ["registration"], spread)
-    matched = salted_join(
-        matched, by_stock.withColumnRenamed("number", "stock_number"), ["stock_number"], spread,
-        hot=hot_buckets(asked, ["stock_number"]),
-    )
-    hit = F.least("reg_hit", "stock_hit")
-    return matched.select(
+    known = vehicle.select("stocknumber_id", "regnumber").join(stocknumber.select("stocknumber_id", "vstockno"), "stocknumber_id")
+    by_reg = _first_keys(known, "regnumber", "reg_hit", asked.select(F.col("registration").alias("number")))
+    by_stock = _first_keys(known, "vstockno", "stock_hit", asked.select(F.col("stock_number").alias("number")))
+    matched = skew_join(asked, by_reg.withColumnRenamed("number", "registration"), ["registration"])
+    matched = skew_join(matched, by_stock.withColumnRenamed("number", "stock_number"), ["stock_number"])
+    matched = matched.withColumn("stocknumber_id", F.least("reg_hit", "stock_hit"))
+    hits = matched.select("stocknumber_id").distinct()
+    found = stocked_vehicles(vehicle.join(hits, "stocknumber_id", "left_semi"), stocknumber, location)
+    first = found.groupBy("stocknumber_id").agg(F.min(F.struct(*VEHICLE_COLUMNS)).alias("v"))
+    answered = skew_join(matched, first, ["stocknumber_id"])
+    return answered.select(
         "request_id",
         "registration",
         "stock_number",
-        *[hit[c].alias(c) for c in VEHICLE_COLUMNS],
-        F.when(hit.isNotNull(), "FOUND").otherwise("NOT FOUND").alias("status"),
+        *[F.col("v")[c].alias(c) for c in VEHICLE_COLUMNS],
+        F.when(F.col("v").isNotNull(), "FOUND").otherwise("NOT FOUND").alias("status"),
     )
 
 
-def lookup_log(outcomes: DataFrame, username: str, when: Column) -> DataFrame:
-    """The audit rows a batch of lookups leaves behind, one per request."""
-    return outcomes.select(
+def lookup_log(outcomes: DataFrame, username: str, when: Column, first_id: int = 1) -> DataFrame:
+    """The audit rows a batch of lookups leaves behind, one per request.
+
+    ``log_id`` counts on from ``first_id`` in the order of the requests, so ids of one
+    batch never meet; pass the number behind the log's last one.
+    """
+    numbered = number_rows(outcomes, [F.asc("request_id"), F.asc("registration"), F.asc("stock_number")], "_place")
+    return numbered.select(
         when.alias("event_time"),
-        F.col("request_id").alias("log_id"),
+        (F.col("_place") + (first_id - 1)).alias("log_id"),
         F.lit(username).alias("username"),
         F.lit("SEARCH").alias("action"),
         F.col("registration").alias("regnumber"),
@@ -99,26 +109,36 @@ def lookup_log(outcomes: DataFrame, username: str, when: Column) -> DataFrame:
 
 
 def relocate(vehicle: DataFrame, relocations: DataFrame, location_id: int = CRUSHED_LOCATION) -> DataFrame:
-    """Vehicle table after a batch of moves ``stocknumber_id, moved_at[, location_id]``.
+    """The vehicle table, with all its columns, after a batch of moves.
 
-    The latest move of a vehicle wins; a move of an unknown vehicle has no effect.
+    Moves: ``stocknumber_id, moved_at[, location_id][, move_id]``. The latest move of a
+    vehicle wins; one without a time is older than all others, and of moves at one time
+    that with the greatest ``move_id``, then location, wins. A move of an unknown
+    vehicle, or without a vehicle, has no effect; one to no location changes nothing.
     """
     target = F.col("location_id") if "location_id" in relocations.columns else F.lit(location_id)
-    latest = relocations.groupBy("stocknumber_id").agg(
-        F.max_by(target.cast("long"), F.col("moved_at")).alias("moved_to")
-    )
-    moved = vehicle.join(latest, "stocknumber_id", "left")
-    return moved.select(
-        "stocknumber_id", "regnumber", F.coalesce("moved_to", "location_id").alias("location_id")
-    )
+    own = [F.col("move_id")] if "move_id" in relocations.columns else []
+    moves = relocations.select(
+        F.col("stocknumber_id").alias("_moved"), F.struct("moved_at", *own, target.cast("long").alias("to")).alias("move")
+    ).filter("move.to IS NOT NULL AND _moved IS NOT NULL")
+    # Nulls are the least in a struct's order.
+    latest = moves.groupBy("_moved").agg(F.max("move").alias("move"))
+    moved = vehicle.join(latest, vehicle["stocknumber_id"] == F.col("_moved"), "left")
+    place = F.coalesce(F.col("move.to"), vehicle["location_id"]).cast(vehicle.schema["location_id"].dataType)
+    return moved.select(*[place.alias(c) if c == "location_id" else vehicle[c] for c in vehicle.columns])
 
 
-def relocation_log(relocations: DataFrame, username: str) -> DataFrame:
-    """Audit rows of a batch of moves: one each, whether or not the vehicle exists."""
+def relocation_log(relocations: DataFrame, username: str, first_id: int = 1) -> DataFrame:
+    """Audit rows of a batch of moves: one each, whether or not the vehicle exists.
+
+    Ids as in ``lookup_log``, in the order of time, vehicle and, where there is one, move.
+    """
     nothing = F.lit(None).cast("string")
-    return relocations.select(
+    own = [F.asc("move_id")] if "move_id" in relocations.columns else []
+    numbered = number_rows(relocations, [F.asc("moved_at"), F.asc("stocknumber_id"), *own], "_place")
+    return numbered.select(
         F.col("moved_at").alias("event_time"),
-        F.col("stocknumber_id").alias("log_id"),
+        (F.col("_place") + (first_id - 1)).alias("log_id"),
         F.lit(username).alias("username"),
         F.lit("CRUSH").alias("action"),
         *[nothing.alias(c) for c in ("regnumber", "stocknumber", "vstockno", "location")],

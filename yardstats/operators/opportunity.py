@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from yardstats.functions.text import contains_ignore_case, equals_ignore_case, strip
-from yardstats.operators.spread import planned_bytes, salted_join
+from yardstats.operators.spread import skew_join
 from yardstats.schemas import CATALOGUE_NAMES, SCORE_NAMES, SEARCH_COLUMNS
 from yardstats.session import write_through
 
@@ -40,9 +40,14 @@ def fits_engine_code(code: Column) -> Column:
 
 
 def has_no_keyword(keywords: list[str] = EXCLUDED_PARTS) -> Column:
-    """Part name free of the keywords as whole words; ``_`` is a word character."""
-    words = "|".join(rf"\b{k}\b" for k in keywords)
-    return ~F.coalesce(F.col("part").rlike(f"(?i){words}"), F.lit(False))
+    """Part name free of the keywords as whole words; ``_`` is a word character.
+
+    A keyword is literal text. No keywords exclude nothing.
+    """
+    if not keywords:
+        return F.lit(True)
+    quoted = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords)
+    return ~F.coalesce(F.col("part").rlike(rf"(?i)\b(?:{quoted})\b"), F.lit(False))
 
 
 def _null_if_nan(value: Column) -> Column:
@@ -114,7 +119,7 @@ def search_parts(
 _BUCKET = 5
 _WIDEST = 40
 _ANY_YEAR = -(1 << 30)
-_FEW_TASKS = 1 << 30  # a catalogue of fewer bytes is read by few tasks
+_HANDS = 16  # parts that a popular key's candidates are cut in, before they meet in one task
 _SEARCH = ["model_key", "year", "code_key", "min_price", "min_opportunity", "exclude"]
 
 
@@ -150,16 +155,16 @@ def _fits_search() -> Column:
     )
 
 
-def _best_of(rows: DataFrame, keys: list[str], limit: int, name: str, hands: int = 1) -> DataFrame:
+def _best_of(rows: DataFrame, keys: list[str], limit: int, name: str) -> DataFrame:
     """The first ``limit`` rows per key, numbered.
 
-    Every task first cuts its own rows down to the limit. With very many tasks
-    that can still leave a popular key with more than one task should take; it is
-    then cut again in ``hands`` parts.
+    The rows of a key are dealt out by part and cut to the limit there, so the task
+    that has a popular key takes ``_HANDS`` times the limit at most.
     """
-    if hands > 1:
-        hand = F.pmod(F.xxhash64("row_id"), F.lit(hands))
-        rows = _best_of(rows.withColumn("_hand", hand), [*keys, "_hand"], limit, "_place").drop("_hand", "_place")
+    hand = F.pmod(F.xxhash64("row_id"), F.lit(_HANDS))
+    by_hand = F.row_number().over(W.partitionBy(*keys, "_hand").orderBy(*best_first()))
+    rows = rows.withColumn("_hand", hand).withColumn("_place", by_hand)
+    rows = rows.filter(F.col("_place") <= limit).drop("_hand", "_place")
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*best_first()))
     return rows.withColumn(name, place).filter(F.col(name) <= limit)
 
@@ -200,25 +205,21 @@ def search_parts_batch(
     searches = asked.filter("model_key IS NOT NULL AND year IS NOT NULL").select(*_SEARCH).distinct()
     parts = _part_buckets(catalogue)
 
-    hands = 1 if planned_bytes(catalogue) < _FEW_TASKS else 64
     years = _request_buckets(searches.select("model_key", "year").distinct())
     covered = parts.join(years, ["model_key", "bucket"]).filter(covers_year(F.col("year"))).drop("bucket")
-    ranked = write_through(_best_of(covered, ["model_key", "year"], shortlist, "rank", hands), "shortlists")
+    ranked = write_through(_best_of(covered, ["model_key", "year"], shortlist, "rank"), "shortlists")
     quick = searches.join(ranked, ["model_key", "year"]).filter(_fits_search())
     quick = _best_of(quick, _SEARCH, limit, "position").select(*_SEARCH, "position", *SEARCH_COLUMNS)
     quick = write_through(quick, "search-results")
 
-    found = quick
     cut = ranked.filter(F.col("rank") == shortlist).select("model_key", "year")
-    if not cut.isEmpty():
-        short = _short_searches(searches.join(cut, ["model_key", "year"], "left_semi"), quick, limit)
-        if not short.isEmpty():
-            # The hits there are stay first; only those after them are added.
-            full = parts.join(_request_buckets(short), ["model_key", "bucket"])
-            full = full.filter(covers_year(F.col("year")) & _fits_search())
-            full = _best_of(full, _SEARCH, limit, "position", hands).filter(F.col("position") > F.col("hits"))
-            found = quick.unionByName(full.select(*quick.columns))
-    answers = salted_join(asked, found, _SEARCH, spread_by=["request_id"], how="inner", null_safe=True)
+    short = _short_searches(searches.join(cut, ["model_key", "year"], "left_semi"), quick, limit)
+    # The hits there are stay first; only those after them are added.
+    full = parts.join(_request_buckets(short), ["model_key", "bucket"])
+    full = full.filter(covers_year(F.col("year")) & _fits_search())
+    full = _best_of(full, _SEARCH, limit, "position").filter(F.col("position") > F.col("hits"))
+    found = quick.unionByName(full.select(*quick.columns))
+    answers = skew_join(asked, found, _SEARCH, how="inner", null_safe=True)
     return answers.select("request_id", "position", *SEARCH_COLUMNS)
 
 
@@ -250,10 +251,30 @@ def contains_filters(df: DataFrame, searches: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.filter, tests, df)
 
 
-def result_page(positioned: DataFrame, page: int, page_size: int = 25) -> DataFrame:
-    """One page of a positioned result, as a filter on the position."""
+def search_box(df: DataFrame, text: str, columns: list[str] | None = None) -> DataFrame:
+    """The search box over a whole result table: every word must occur in some column."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns or df.columns]
+    tests = [
+        reduce(Column.__or__, [contains_ignore_case(cell, word) for cell in shown]) for word in _search_words(text)
+    ]
+    return reduce(DataFrame.filter, tests, df)
+
+
+def sorted_by(column: str, descending: bool = False) -> list[Column]:
+    """Order of a result table by a chosen column, missing values last, ties in catalogue order."""
+    chosen = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
+    return [chosen, F.asc("row_id")]
+
+
+def result_page(rows: DataFrame, order: list[Column], page: int, page_size: int = 25) -> DataFrame:
+    """One page of a result: the rows in order with their ``position``.
+
+    Only the rows up to the end of the page are sorted out and numbered.
+    """
     first = page * page_size
-    return positioned.filter(F.col("position").between(first + 1, first + page_size)).orderBy("position")
+    top = rows.orderBy(*order).limit(first + page_size)
+    numbered = top.withColumn("position", F.row_number().over(W.orderBy(*order)).cast("long"))
+    return numbered.filter(F.col("position") > first).orderBy("position")
 
 
 def display_rows(found: DataFrame) -> DataFrame:

@@ -30,85 +30,23 @@ def left_join_sparse_key(
     )
 
 
-_BUCKETS = 1 << 14
+def skew_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join whose left side may hold very many rows of one key, the right side few of each.
 
-
-def key_bucket(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS))
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Size of a result by the planner's estimate; it starts from the files' size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def hot_buckets(
-    df: DataFrame, keys: list[str], share: float = 0.001, min_rows: int = 100_000, small: int = 64 << 20
-) -> list[int]:
-    """Hash buckets of the keys that own more than ``share`` of the rows.
-
-    The rows are counted per bucket, at most ``_BUCKETS`` counts in all, so the
-    pass is one small aggregation whatever the number of keys. A key that shares
-    its bucket with a hot one is treated as hot too, which costs a few copies.
-    Buckets below ``min_rows``, and inputs below ``small`` bytes as a whole, are
-    no burden to a task and are left alone.
-    """
-    if planned_bytes(df) < small:
-        return []
-    counts = df.groupBy(key_bucket(keys).alias("bucket")).count().collect()
-    least = max(min_rows, share * sum(c["count"] for c in counts))
-    return [c["bucket"] for c in counts if c["count"] > least]
-
-
-def salted_join(
-    many: DataFrame,
-    few: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    how: str = "left",
-    salts: int = 64,
-    hot: list[int] | None = None,
-    null_safe: bool = False,
-) -> DataFrame:
-    """Join whose left side may hold very many rows of one key.
-
-    The rows of a hot key are dealt out over ``salts`` tasks, and the right rows
-    of that key are copied to each of them; all other keys are joined as they
-    are. ``hot`` can be passed in where the left side is costly to look through.
+    A plain equi-join: adaptive execution splits a partition that a hot key makes too
+    large and copies the few right rows of it to each piece, at every size alike.
     ``null_safe`` lets null keys match null keys.
     """
-    # Equal keys of different types would hash apart.
-    few = few.withColumns({k: F.col(k).cast(many.schema[k].dataType) for k in keys})
-    left, right, salted = many, few, []
-    hot = hot_buckets(many, keys) if hot is None else hot
-    if hot:
-        is_hot = key_bucket(keys).isin(hot)
-        dealt = F.when(is_hot, F.pmod(F.hash(*spread_by), F.lit(salts))).otherwise(0)
-        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        left, right = many.withColumn("_salt", dealt), few.withColumn("_salt", F.explode(copies))
-        salted = [F.col("l._salt") == F.col("r._salt")]
     same = [
         F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if null_safe else F.col(f"l.{k}") == F.col(f"r.{k}")
         for k in keys
     ]
-    matched = left.alias("l").join(right.alias("r"), reduce(Column.__and__, same + salted), how)
+    matched = many.alias("l").join(few.alias("r"), reduce(Column.__and__, same), how)
     kept = [F.col(f"l.{c}") for c in many.columns]
     added = [F.col(f"r.{c}") for c in few.columns if c not in keys]
     return matched.select(*kept, *added)
 
 
-def spread_small(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
-    """Deal a small input out over all cores, ahead of a step that is all computing.
-
-    A small table is one file and would be one task. Only what the planner
-    sizes below the limit is moved; a large input has splits enough and must not
-    be shuffled for this.
-    """
-    if planned_bytes(df) >= limit_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """1-based position of each row in a total order, without a one-task window.
 

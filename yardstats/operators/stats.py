@@ -11,7 +11,7 @@ from yardstats.functions.periods import Period, in_period, previous_period
 from yardstats.functions.text import label
 from yardstats.operators.calendar import Facts
 from yardstats.operators.entities import entity_sales, parts_by_entity, sold_in
-from yardstats.operators.spread import number_rows, paged_arrays, salted_join
+from yardstats.operators.spread import number_rows, paged_arrays, skew_join
 
 
 def parts_comparison(facts: Facts, period: Period, dimension: str = "department") -> DataFrame:
@@ -138,14 +138,17 @@ def chart_arrays(ordered: DataFrame, page_size: int = 1000) -> DataFrame:
     return pages
 
 
-def series_payload(series: DataFrame, field: str) -> DataFrame:
+def series_payload(series: DataFrame, field: str, year: int | None = None, month: int | None = None) -> DataFrame:
     """``entity, labels, values, <field>s``: parallel arrays of a month or day series.
 
-    A series has at most 12 months or 31 days, so the arrays are short.
+    With the ``year`` and ``month`` they are of, where given. A series has at most 12
+    months or 31 days, so the arrays are short.
     """
     points = F.array_sort(F.collect_list(F.struct(field, "label", "value"))).alias("points")
+    asked = [F.lit(v).alias(n) for n, v in (("year", year), ("month", month)) if v is not None]
     return series.groupBy("entity").agg(points).select(
         "entity",
+        *asked,
         F.col("points.label").alias("labels"),
         F.col("points.value").alias("values"),
         F.col(f"points.{field}").alias(f"{field}s"),
@@ -157,7 +160,7 @@ def breakdown_payload(breakdown: DataFrame, page_size: int = 1000) -> DataFrame:
     order = [F.asc("entity"), F.desc("parts_sold"), F.asc("itemname")]
     numbered = number_rows(breakdown, order, "at")
     firsts = numbered.groupBy("entity").agg(F.min("at").alias("first"))
-    placed = salted_join(numbered, firsts, ["entity"], ["at"]).select(
+    placed = skew_join(numbered, firsts, ["entity"]).select(
         "entity",
         (F.col("at") - F.col("first") + 1).alias("position"),
         F.struct("itemname", F.col("parts_sold").alias("count")).alias("items"),

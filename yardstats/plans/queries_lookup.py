@@ -14,6 +14,7 @@ from yardstats.plans.reports import audit_report
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.session import work_path
+from yardstats.sinks.export import export_audit, read_csv
 from yardstats.streaming import live
 
 IMAGE_BASE = "http://images.example.org/hosted/"
@@ -79,7 +80,7 @@ def vehicle_lookup_batch(s: Sample) -> DataFrame:
 @query(
     "vehicle_lookup_outcomes",
     _outcome_sql("""
-SELECT request_id AS log_id, 'clerk' AS username, 'SEARCH' AS action, registration AS regnumber, stock_number AS stocknumber,
+SELECT row_number() OVER (ORDER BY request_id) AS log_id, 'clerk' AS username, 'SEARCH' AS action, registration AS regnumber, stock_number AS stocknumber,
  vstockno, bin AS location, CASE WHEN stocknumber_id IS NULL THEN 'NOT FOUND' ELSE 'FOUND' END AS status FROM outcome"""),
 )
 def vehicle_lookup_outcomes(s: Sample) -> DataFrame:
@@ -90,43 +91,45 @@ def vehicle_lookup_outcomes(s: Sample) -> DataFrame:
 @query(
     "vehicle_relocate",
     over("v_vehicle", """
-SELECT v.stocknumber_id, v.regnumber, coalesce(m.location_id, v.location_id) AS location_id FROM v_vehicle v
-LEFT JOIN (SELECT o_custkey, arg_max(100 + o_orderkey % 7, o_orderkey) AS location_id FROM orders
- WHERE o_orderkey % 10 <> 0 AND o_custkey % 2 = 0 GROUP BY 1) m ON m.o_custkey = v.stocknumber_id"""),
+SELECT v.stocknumber_id, v.regnumber, coalesce(m.location_id, v.location_id) AS location_id, 'c' || v.stocknumber_id AS colour
+FROM v_vehicle v LEFT JOIN (SELECT o_custkey, location_id FROM (
+ SELECT o_custkey, 100 + o_orderkey % 7 AS location_id, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey // 100 END DESC NULLS LAST, o_orderkey DESC) AS place
+ FROM orders WHERE o_orderkey % 10 <> 0) WHERE place = 1) m ON m.o_custkey = v.stocknumber_id"""),
 )
 def vehicle_relocate(s: Sample) -> DataFrame:
     key = F.col("o_orderkey")
-    moves = s.raw("orders").filter("o_custkey % 2 = 0").select(
-        # Every tenth move names a vehicle that does not exist.
+    moves = s.raw("orders").select(
+        # Every tenth move names a vehicle that does not exist, every third has no time.
         F.when(key % 10 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("stocknumber_id"),
-        key.alias("moved_at"),
+        F.when(key % 3 != 0, F.floor(key / 100)).alias("moved_at"),
+        key.alias("move_id"),
         (100 + key % 7).alias("location_id"),
     )
-    return lookup.relocate(s.vehicle(), moves)
+    colour = F.concat(F.lit("c"), F.col("stocknumber_id").cast("string"))
+    return lookup.relocate(s.vehicle().withColumn("colour", colour), moves)
 
 
 @query(
     "vehicle_crush",
     over("v_vehicle", """
-SELECT stocknumber_id, regnumber, CASE WHEN stocknumber_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 11045 ELSE location_id END AS location_id
+SELECT stocknumber_id, regnumber, CASE WHEN stocknumber_id IN (SELECT o_custkey FROM orders) THEN 11045 ELSE location_id END AS location_id
 FROM v_vehicle"""),
 )
 def vehicle_crush(s: Sample) -> DataFrame:
-    moves = s.raw("orders").filter("o_orderstatus = 'P'").select(
-        F.col("o_custkey").alias("stocknumber_id"), F.col("o_orderdate").alias("moved_at")
-    )
+    moves = s.raw("orders").select(F.col("o_custkey").alias("stocknumber_id"), F.col("o_orderdate").alias("moved_at"))
     return lookup.relocate(s.vehicle(), moves)
 
 
 @query(
     "relocation_log",
     """
-SELECT o_orderdate AS event_time, o_custkey AS log_id, 'clerk' AS username, 'CRUSH' AS action, CAST(NULL AS VARCHAR) AS regnumber,
- 'CRUSHED SUCCESSFULLY' AS status FROM orders WHERE o_orderstatus = 'P'""",
+SELECT o_orderdate AS event_time, row_number() OVER (ORDER BY o_orderdate, o_custkey, o_orderkey) AS log_id, 'clerk' AS username,
+ 'CRUSH' AS action, CAST(NULL AS VARCHAR) AS regnumber, 'CRUSHED SUCCESSFULLY' AS status FROM orders""",
 )
 def relocation_log(s: Sample) -> DataFrame:
-    moves = s.raw("orders").filter("o_orderstatus = 'P'").select(
-        F.col("o_custkey").alias("stocknumber_id"), F.col("o_orderdate").alias("moved_at")
+    moves = s.raw("orders").select(
+        F.col("o_custkey").alias("stocknumber_id"), F.col("o_orderdate").alias("moved_at"), F.col("o_orderkey").alias("move_id")
     )
     return lookup.relocation_log(moves, "clerk").drop("stocknumber", "vstockno", "location")
 
@@ -200,7 +203,12 @@ SELECT timestamp AS "Timestamp", username AS "User", action AS "Action", regnumb
     ordered=True,
 )
 def audit_export(s: Sample) -> DataFrame:
-    return audit.export_rows(s.audit_log())
+    """Written and read back, with the rows in the order of the files."""
+    path = work_path(s.spark, "audit-export")
+    export_audit(s.audit_log(), path)
+    place = [F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    back = read_csv(s.spark, path)
+    return back.withColumns({f"_{i}": c for i, c in enumerate(place)}).orderBy("_0", "_1", "_2").drop("_0", "_1", "_2")
 
 
 _STORED = over("v_shown_log", "SELECT event_time, log_id, username, action, regnumber, status FROM v_shown_log")

@@ -13,7 +13,7 @@ from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.schemas import CATALOGUE_NAMES, SEARCH_COLUMNS
 from yardstats.session import work_path
-from yardstats.sinks.export import write_csv
+from yardstats.sinks.export import export_search, read_csv, write_csv
 from yardstats.sources.tables import read_catalogue
 
 _COLUMNS = ", ".join(SEARCH_COLUMNS)
@@ -25,8 +25,10 @@ _BEST = "backorders DESC NULLS LAST, opportunity_score DESC NULLS LAST, row_id"
     over("v_parts", f"SELECT {', '.join(CATALOGUE_NAMES.values())} FROM v_parts"),
 )
 def catalogue_scan(s: Sample) -> DataFrame:
+    """Of a file with more columns, in another order."""
     path = work_path(s.spark, "catalogue")
-    stored = s.catalogue().select(*[F.col(c).alias(n) for n, c in CATALOGUE_NAMES.items()])
+    columns = [F.col(c).alias(n) for n, c in CATALOGUE_NAMES.items()]
+    stored = s.catalogue().select(F.lit("extra").alias("Shelf"), *reversed(columns), F.lit(7).alias("Rank"))
     write_csv(stored, path)
     return read_catalogue(s.spark, path).drop("row_id")
 
@@ -111,19 +113,35 @@ _SHOWN = {ours: theirs for theirs, ours in CATALOGUE_NAMES.items()} | {
 }
 
 
-@query("opportunity_export", _search_sql(", ".join(f'{c} AS "{_SHOWN[c]}"' for c in SEARCH_COLUMNS)))
+_TEXT = {"part", "ic_description"}
+_EXPORTED = ", ".join(
+    f"""'  a "' || {c} || '", b ' AS "{_SHOWN[c]}\"""" if c in _TEXT else f'CAST({c} AS DOUBLE) AS "{_SHOWN[c]}"'
+    for c in SEARCH_COLUMNS
+)
+
+
+@query("opportunity_export", _search_sql(_EXPORTED))
 def opportunity_export(s: Sample) -> DataFrame:
-    return opportunity.export_rows(opportunity_search(s))
+    """Written and read back, with blanks, quotes and commas in the texts."""
+    path = work_path(s.spark, "search-export")
+    found = opportunity_search(s)
+    noisy = {c: F.concat(F.lit('  a "'), F.col(c), F.lit('", b ')) for c in _TEXT}
+    export_search(found.withColumns(noisy), path)
+    back = read_csv(s.spark, path)
+    return back.withColumns({_SHOWN[c]: F.col(f"`{_SHOWN[c]}`").cast("double") for c in SEARCH_COLUMNS if c not in _TEXT})
 
 
 @query(
     "opportunity_display",
     over("v_scored", """
-SELECT part AS "Part", b_price AS "B Price", backorders AS "Backorders", backorders > 0 AS "Highlight" FROM v_scored"""),
+SELECT part AS "Part", ic_start_year AS "IC Start Year", ic_end_year AS "IC End Year", ic_description AS "IC Description",
+ CAST(round(CAST(CAST(b_price AS VARCHAR) AS DECIMAL(38, 16)), 2) AS DOUBLE) AS "B Price", parts_in_stock AS "Parts in Stock", backorders AS "Backorders", parts_sold_all AS "Parts Sold All",
+ not_found_180 AS "Not Found 180 days", CAST(round(CAST(CAST(potential_profit AS VARCHAR) AS DECIMAL(38, 16)), 2) AS DOUBLE) AS "Potential_Profit",
+ CAST(round(CAST(CAST(sales_speed AS VARCHAR) AS DECIMAL(38, 16)), 2) AS DOUBLE) AS "Sales_Speed",
+ CAST(round(CAST(CAST(opportunity_score AS VARCHAR) AS DECIMAL(38, 16)), 2) AS DOUBLE) AS "Opportunity_Score", backorders > 0 AS "Highlight" FROM v_scored"""),
 )
 def opportunity_display(s: Sample) -> DataFrame:
-    shown = opportunity.display_rows(opportunity.with_scores(s.catalogue()))
-    return shown.select("Part", "B Price", "Backorders", "Highlight")
+    return opportunity.display_rows(opportunity.with_scores(s.catalogue()))
 
 
 @query(
@@ -185,7 +203,20 @@ WHERE position BETWEEN 26 AND 50 ORDER BY position"""),
     ordered=True,
 )
 def result_page(s: Sample) -> DataFrame:
-    from yardstats.operators.spread import number_rows
+    rows = opportunity.with_scores(s.catalogue())
+    return opportunity.result_page(rows, opportunity.best_first(), page=1).select("position", "part", "opportunity_score")
+
 
-    numbered = number_rows(opportunity.with_scores(s.catalogue()), opportunity.best_first())
-    return opportunity.result_page(numbered, page=1).select("position", "part", "opportunity_score")
+@query(
+    "result_search_sorted",
+    over("v_parts", """
+SELECT position, row_id, part, b_price FROM (SELECT *, row_number() OVER (ORDER BY b_price DESC NULLS LAST, row_id) AS position FROM v_parts
+ WHERE (contains(lower(model), '3') OR contains(lower(part), '3') OR contains(lower(coalesce(ic_description, '')), '3') OR contains(CAST(ic_start_year AS VARCHAR), '3'))
+ AND (contains(lower(model), 'small') OR contains(lower(part), 'small') OR contains(lower(coalesce(ic_description, '')), 'small') OR contains(CAST(ic_start_year AS VARCHAR), 'small')))
+WHERE position <= 25 ORDER BY position"""),
+    ordered=True,
+)
+def result_search_sorted(s: Sample) -> DataFrame:
+    found = opportunity.search_box(s.catalogue(), "3 Small", ["model", "part", "ic_description", "ic_start_year"])
+    page = opportunity.result_page(found, opportunity.sorted_by("b_price", descending=True), page=0)
+    return page.select("position", "row_id", "part", "b_price")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from yardstats.operators import prefs
 from yardstats.plans.registry import query
 from yardstats.plans.sample import Sample
+from yardstats.session import work_path
 
 
 def order_stores(s: Sample) -> DataFrame:
@@ -18,7 +19,8 @@ def order_stores(s: Sample) -> DataFrame:
         F.when(F.col("c_custkey") % 5 == 0, items)
         .when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("{"), items))
         .when(F.col("c_custkey") % 5 == 2, F.concat(F.lit('{"'), name, F.lit('": [], "x": "'), segment, F.lit('"}')))
-        .otherwise(F.concat(F.lit('{"'), name, F.lit('": '), items, F.lit(', "n": 5}')))
+        # A name that is repeated: its last list counts.
+        .otherwise(F.concat(F.lit('{"'), name, F.lit('": ["old"], "'), name, F.lit('": '), items, F.lit(', "n": 5}')))
     )
     return s.raw("customer").select("c_custkey", text.alias("raw"))
 
@@ -51,12 +53,24 @@ def exclusions_normalise(s: Sample) -> DataFrame:
 
 @query(
     "prefs_load",
-    "SELECT c_mktsegment || '|' || CAST(c_custkey AS VARCHAR) AS items FROM customer WHERE c_custkey = 8",
+    """
+SELECT 'own' AS asked, c_mktsegment || '|' || CAST(c_custkey AS VARCHAR) AS items FROM customer WHERE c_custkey = 8
+UNION ALL
+SELECT 'default', arg_max(c_mktsegment || '|' || CAST(c_custkey AS VARCHAR), c_custkey) FROM customer WHERE c_custkey % 5 = 0""",
 )
 def prefs_load(s: Sample) -> DataFrame:
-    own = order_stores(s).filter("c_custkey = 0 OR c_custkey % 5 <> 0")
-    orders = prefs.normalise_orders(own)
-    return prefs.load_order(orders, "Customer#000000008").select(F.array_join("items", "|").alias("items"))
+    """A user's own order, and everybody's for one who saved none, out of the saved store."""
+    entries = prefs.normalise_orders(order_stores(s)).withColumn("dimension", F.lit(prefs.ORDER))
+    # The second item is the customer's number; it stands for the time of saving.
+    entries = entries.withColumn("saved_at", F.get("items", 1).try_cast("long"))
+    path = work_path(s.spark, "prefs")
+    prefs.upsert_prefs(entries.limit(0), entries).write.parquet(path)
+    orders = prefs.read_prefs(s.spark, path)
+
+    def asked(name: str, user: str) -> DataFrame:
+        return prefs.load_order(orders, user).select(F.lit(name).alias("asked"), F.array_join("items", "|").alias("items"))
+
+    return asked("own", "Customer#000000008").union(asked("default", "nobody"))
 
 
 @query(
@@ -64,7 +78,7 @@ def prefs_load(s: Sample) -> DataFrame:
     """
 WITH changes AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN '__default__' ELSE c_name END AS username,
   o_orderpriority || '|' || o_orderstatus AS items, o_orderkey AS saved_at
-  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 4 = 0),
+  FROM orders JOIN customer ON c_custkey = o_custkey),
 latest AS (SELECT username, arg_max(items, saved_at) AS items FROM changes GROUP BY 1)
 SELECT coalesce(l.username, c.c_name) AS username, 'department' AS dimension, coalesce(l.items, c.c_mktsegment) AS items
 FROM customer c FULL JOIN latest l ON l.username = c.c_name""",
@@ -78,7 +92,6 @@ def prefs_upsert(s: Sample) -> DataFrame:
     )
     changes = (
         s.raw("orders")
-        .filter("o_orderkey % 4 = 0")
         .join(s.raw("customer"), F.col("c_custkey") == F.col("o_custkey"))
         .select(
             F.when(F.col("o_orderkey") % 50 == 0, F.lit("")).otherwise(F.col("c_name")).alias("username"),

@@ -15,6 +15,8 @@ from yardstats.plans.reports import breakdown_report, period_stats, saved_stats
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.session import work_path
+from yardstats.sinks.export import write_by_month
+from yardstats.sources.tables import read_table
 from yardstats.streaming import live
 
 MARCH = periods.Period(date(1997, 3, 1), date(1997, 4, 1))
@@ -45,9 +47,9 @@ def department_sales(s: Sample) -> DataFrame:
 
 @query(
     "user_sales",
-    over("v_invoice v_pinuser", f"""
+    over("v_invoice v_users", f"""
 SELECT shortname AS entity, CAST(sum(total) AS DOUBLE) AS sum_total, CAST(sum(total + totaltax1) AS DOUBLE) AS sum_total_vat
-FROM v_invoice JOIN v_pinuser ON user_id = whocreated_id
+FROM v_invoice JOIN v_users ON user_id = whocreated_id
 WHERE {IN_MARCH.format('datecreated')} GROUP BY 1 ORDER BY entity NULLS LAST"""),
     ordered=True,
 )
@@ -93,7 +95,7 @@ def parts_breakdown(s: Sample) -> DataFrame:
     return entities.parts_breakdown(s.sold(), s.invoice(), s.itemtype(), MARCH, entity="Unknown")
 
 
-@query("parts_breakdown_user", _breakdown_sql("shortname", "o.shortname = (SELECT min(shortname) FROM v_pinuser WHERE user_id = 7)"), ordered=True)
+@query("parts_breakdown_user", _breakdown_sql("shortname", "o.shortname = (SELECT min(shortname) FROM v_users WHERE user_id = 7)"), ordered=True)
 def parts_breakdown_user(s: Sample) -> DataFrame:
     seventh = s.users().filter("user_id = 7").first()["shortname"]
     return entities.parts_breakdown(s.sold(), s.invoice(), s.itemtype(), MARCH, "user", seventh, s.users())
@@ -282,13 +284,13 @@ def _series_sql(mode: str, dimension: str, daily: bool, entity: str) -> str:
         body = f"""SELECT coalesce({name}, 'Unknown') AS entity, {fields}, CAST(count(invnumber) AS DOUBLE) AS value
 FROM v_owned WHERE issold AND {window} AND coalesce({name}, 'Unknown') = {entity} GROUP BY 1, 2, 3 ORDER BY 2"""
         return over("v_owned", body)
-    source = "v_invoice JOIN v_pinuser ON user_id = whocreated_id" if dimension == "user" else "v_invoice"
+    source = "v_invoice JOIN v_users ON user_id = whocreated_id" if dimension == "user" else "v_invoice"
     body = f"""SELECT {name} AS entity, {fields}, CAST(sum(total) AS DOUBLE) AS value
 FROM {source} WHERE {window} AND {name} = {entity} GROUP BY 1, 2, 3 ORDER BY 2"""
-    return over("v_invoice v_pinuser", body)
+    return over("v_invoice v_users", body)
 
 
-_SEVENTH = "(SELECT min(shortname) FROM v_pinuser WHERE user_id = 7)"
+_SEVENTH = "(SELECT min(shortname) FROM v_users WHERE user_id = 7)"
 
 
 def _seventh(s: Sample) -> str:
@@ -370,9 +372,9 @@ def date_range_filter(s: Sample) -> DataFrame:
     return entities.invoiced_in(s.invoice(), MARCH).select("invoice_id", F.col("total").cast("double"))
 
 
-@query("flag_filter", over("v_sold", "SELECT CAST(invoice_id AS DOUBLE) AS invoice_id, CAST(invnumber AS DOUBLE) AS invnumber, itemtype_id FROM v_sold WHERE issold"))
+@query("flag_filter", over("v_sold", "SELECT CAST(invoice_id AS VARCHAR) AS invoice_id, CAST(invnumber AS VARCHAR) AS invnumber, itemtype_id FROM v_sold WHERE issold"))
 def flag_filter(s: Sample) -> DataFrame:
-    return as_double(s.sold().filter("issold").select("invoice_id", "invnumber", "itemtype_id"), "invoice_id", "invnumber")
+    return as_text(s.sold().filter("issold").select("invoice_id", "invnumber", "itemtype_id"), "invoice_id", "invnumber")
 
 
 @query(
@@ -385,22 +387,25 @@ def entity_filter_unknown(s: Sample) -> DataFrame:
 
 
 @query("table_scan", over("v_sold", """
-SELECT CAST(invoice_id AS DOUBLE) AS invoice_id, CAST(invnumber AS DOUBLE) AS invnumber, itemtype_id, solddate, CAST(issold AS VARCHAR) AS issold
+SELECT CAST(invoice_id AS VARCHAR) AS invoice_id, CAST(invnumber AS VARCHAR) AS invnumber, itemtype_id, solddate, CAST(issold AS VARCHAR) AS issold
 FROM v_sold"""))
 def table_scan(s: Sample) -> DataFrame:
-    rows = s.sold().select("invoice_id", "invnumber", "itemtype_id", "solddate", F.col("issold").cast("string"))
-    return as_double(rows, "invoice_id", "invnumber")
+    """Stored by month and read back as a business table."""
+    base = work_path(s.spark, "tables")
+    write_by_month(s.sold(), f"{base}/sold", "solddate")
+    rows = read_table(s.spark, base, "sold").select("invoice_id", "invnumber", "itemtype_id", "solddate", F.col("issold").cast("string"))
+    return as_text(rows, "invoice_id", "invnumber")
 
 
 @query(
     "item_name_clean",
     over("v_sold v_itemtype", """
-SELECT CAST(s.invnumber AS DOUBLE) AS invnumber, coalesce(replace(replace(replace(t.itemname, '[', ''), ']', ''), '_', ' '), 'Unknown') AS itemname
+SELECT CAST(s.invnumber AS VARCHAR) AS invnumber, coalesce(replace(replace(replace(t.itemname, '[', ''), ']', ''), '_', ' '), 'Unknown') AS itemname
 FROM v_sold s LEFT JOIN v_itemtype t ON t.itemtype_id = s.itemtype_id"""),
 )
 def item_name_clean(s: Sample) -> DataFrame:
     named = s.sold().join(s.itemtype(), "itemtype_id", "left")
-    return as_double(named.select("invnumber", item_label(F.col("itemname")).alias("itemname")), "invnumber")
+    return as_text(named.select("invnumber", item_label(F.col("itemname")).alias("itemname")), "invnumber")
 
 
 @query(
@@ -473,10 +478,19 @@ def month_labels(s: Sample) -> DataFrame:
 # Live statistics, run to the end of the stored files
 
 
-def _drained(s: Sample, totals: DataFrame) -> DataFrame:
-    path, checkpoint = work_path(s.spark, "live-updates"), work_path(s.spark, "live-state")
-    live.write_updates(totals, path, checkpoint).awaitTermination()
-    return as_text(live.read_updates(s.spark, path, totals.schema, ["day", "entity"]), "day")
+def _newest_first(s: Sample, rows: DataFrame, moment: str) -> DataFrame:
+    """The rows as a stream of several files, the newest years first, one file per batch."""
+    inbox = work_path(s.spark, "live-inbox")
+    year = F.year(moment)
+    for part in (year >= 2000, year.between(1997, 1999), (year < 1997) | year.isNull()):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(inbox)
+    return s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+
+
+def _drained(s: Sample, rows: DataFrame) -> DataFrame:
+    path, checkpoint = work_path(s.spark, "live-increments"), work_path(s.spark, "live-state")
+    live.write_increments(rows, path, checkpoint).awaitTermination()
+    return as_text(live.read_totals(s.spark, path, rows), "day")
 
 
 @query(
@@ -486,8 +500,7 @@ SELECT CAST(CAST(datecreated AS DATE) AS VARCHAR) AS day, departmentname AS enti
  CAST(sum(total + totaltax1) AS DOUBLE) AS sum_total_vat FROM v_invoice GROUP BY 1, 2"""),
 )
 def live_daily_totals(s: Sample) -> DataFrame:
-    arriving = Sample(s.spark, s.base, streamed=("orders",)).invoice()
-    return _drained(s, live.live_daily_totals(arriving))
+    return _drained(s, live.live_rows(_newest_first(s, s.invoice(), "datecreated")))
 
 
 @query(
@@ -497,6 +510,5 @@ SELECT CAST(CAST(solddate AS DATE) AS VARCHAR) AS day, coalesce(shortname, 'Unkn
 FROM v_owned WHERE issold GROUP BY 1, 2"""),
 )
 def live_daily_parts(s: Sample) -> DataFrame:
-    arriving = Sample(s.spark, s.base, streamed=("lineitem",)).sold()
-    totals = live.live_daily_totals(arriving, "user", "parts", invoice=s.invoice(), users=s.users())
-    return _drained(s, totals)
+    arriving = _newest_first(s, s.sold(), "solddate")
+    return _drained(s, live.live_rows(arriving, "user", "parts", invoice=s.invoice(), users=s.users()))

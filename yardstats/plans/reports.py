@@ -58,9 +58,22 @@ class Breakdown(NamedTuple):
     total: DataFrame
     dimension: str
     date_range_label: str
+    entity: str
 
     def payload(self, page_size: int = 1000) -> DataFrame:
-        return stats.breakdown_payload(self.items, page_size)
+        """``entity, dimension, date_range_label, page, items, total``; one row without items if there are none."""
+        paged = stats.breakdown_payload(self.items, page_size).drop("entity")
+        total = self.total.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+        head = total.select(
+            F.lit(self.entity).alias("entity"), F.lit(self.dimension).alias("dimension"),
+            F.lit(self.date_range_label).alias("date_range_label"), F.col("total"), F.lit(1).alias("_one"),
+        )
+        # One row on the left, equal keys on the right: each page gets the total.
+        joined = head.join(paged.withColumn("_one", F.lit(1)), "_one", "left")
+        return joined.select(
+            "entity", "dimension", "date_range_label", F.coalesce("page", F.lit(0).cast("long")).alias("page"),
+            F.coalesce("items", F.array().cast(paged.schema["items"].dataType)).alias("items"), "total",
+        )
 
 
 def breakdown_report(
@@ -83,7 +96,7 @@ def breakdown_report(
         facts.sold, facts.invoice, facts.itemtype, period, dimension, entity, facts.users
     )
     return Breakdown(
-        items, entities.breakdown_total(items), dimension_of(dimension), describe_period(name, *period)
+        items, entities.breakdown_total(items), dimension_of(dimension), describe_period(name, *period), entity
     )
 
 
@@ -119,8 +132,8 @@ def series_report(
     """Month series of a year, or day series of one of its months, as chart arrays."""
     if month is None:
         series = calendar.monthly_series(facts, year, dimension, mode, entity)
-        return stats.series_payload(series, "month")
-    return stats.series_payload(calendar.daily_series(facts, year, month, dimension, mode, entity), "day")
+        return stats.series_payload(series, "month", year)
+    return stats.series_payload(calendar.daily_series(facts, year, month, dimension, mode, entity), "day", year, month)
 
 
 def audit_report(

@@ -23,7 +23,7 @@ SELECT o.o_orderkey AS invoice_id,
  c.c_nationkey AS whocreated_id, o.o_orderdate AS datecreated, CAST(o.o_totalprice AS DECIMAL(18,2)) AS total,
  CASE WHEN o.o_orderstatus = 'P' THEN NULL ELSE CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * 0.2 AS DECIMAL(18,3)) END AS totaltax1
 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey""",
-    "v_pinuser": "SELECT n_nationkey AS user_id, n_name AS shortname FROM nation WHERE n_nationkey < 20",
+    "v_users": "SELECT n_nationkey AS user_id, n_name AS shortname FROM nation WHERE n_nationkey < 20",
     "v_sold": """
 SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS invoice_id,
  CASE WHEN l_quantity = 50 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS invnumber,
@@ -31,7 +31,7 @@ SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS invoice_id,
  CASE WHEN l_returnflag = 'R' THEN false WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN NULL ELSE true END AS issold FROM lineitem""",
     "v_owned": """
 SELECT s.*, i.departmentname, u.shortname FROM v_sold s
- LEFT JOIN v_invoice i ON i.invoice_id = s.invoice_id LEFT JOIN v_pinuser u ON u.user_id = i.whocreated_id""",
+ LEFT JOIN v_invoice i ON i.invoice_id = s.invoice_id LEFT JOIN v_users u ON u.user_id = i.whocreated_id""",
     "v_itemtype": """
 SELECT p_partkey AS itemtype_id,
  CASE WHEN p_partkey % 2 = 0 THEN concat('[', replace(p_name, ' ', '_'), ']') ELSE p_name END AS itemname FROM part WHERE p_partkey % 10 <> 0""",
@@ -79,7 +79,7 @@ SELECT o_orderkey AS request_id,
 # Views that read other views.
 _NEEDS = {
     "v_scored": ["v_parts"],
-    "v_owned": ["v_sold", "v_invoice", "v_pinuser"],
+    "v_owned": ["v_sold", "v_invoice", "v_users"],
     "v_stocked": ["v_vehicle", "v_stocknumber", "v_location"],
     "v_shown_log": ["v_log"],
     "v_priced": ["v_listing"],
