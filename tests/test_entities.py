@@ -180,7 +180,9 @@ def test_data_feed(facts):
 def test_series_report(facts):
     got = series_report(facts, 2024, "Unknown", mode="parts").first()
     assert (got.labels, got["values"], got.months) == (["Feb", "Mar", "Apr"], [3.0, 4.0, 1.0], [2, 3, 4])
-    assert series_report(facts, 2024, "A", month=3).first().labels == ["1", "31"]
+    assert got.year == 2024
+    day = series_report(facts, 2024, "A", month=3).first()
+    assert (day.year, day.month, day.labels) == (2024, 3, ["1", "31"])
 
 
 def test_report_of_an_empty_period(facts):
@@ -203,8 +205,10 @@ def test_breakdown_report(facts):
     report = breakdown_report(facts, "this_month", date(2024, 3, 9), "Unknown")
     assert tuples(report.total) == [("Unknown", 4)]
     payload = tuples(report.payload())
-    assert len(payload) == 1
-    assert [(i["itemname"], i["count"]) for i in payload[0][2]] == [("Front Door", 1), ("Lamp", 1), ("Lamp", 1), ("Unknown", 1)]
+    assert len(payload) == 1 and payload[0][:4] == ("Unknown", "department", report.date_range_label, 0) and payload[0][5] == 4
+    empty = breakdown_report(facts, "this_month", date(2024, 3, 9), "nobody").payload().collect()
+    assert [(r.entity, r["items"], r.total) for r in empty] == [("nobody", [], 0)]
+    assert [(i["itemname"], i["count"]) for i in payload[0][4]] == [("Front Door", 1), ("Lamp", 1), ("Lamp", 1), ("Unknown", 1)]
     with pytest.raises(ValueError):
         breakdown_report(facts, "today", date(2024, 3, 9), "A", mode="sales")
     with pytest.raises(ValueError):
@@ -237,3 +241,12 @@ def test_excluding_equals_total_minus_excluded(spark):
     name = rows.orderBy("entity").first()
     whole, rest = stats.stats_totals(rows).first(), stats.stats_totals(stats.exclude_entities(rows, [name.entity])).first()
     assert rest.sum_total == whole.sum_total - name.total
+
+
+def test_totals_stay_exact_beyond_the_precision_of_doubles(spark):
+    when = datetime(2024, 3, 10)
+    money = [(i, f"d{i}", 1, when, Decimal("99999999999999.99"), Decimal("0.010")) for i in range(1, 400)]
+    facts = Facts(spark.createDataFrame(money, INVOICE), None)
+    totals = period_stats(facts, "custom", date(2024, 3, 20), "2024-03-01", "2024-03-31").totals.first()
+    assert totals.sum_total == float(399 * Decimal("99999999999999.99"))
+    assert totals.sum_total_vat == float(399 * Decimal("100000000000000.000"))

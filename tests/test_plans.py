@@ -103,6 +103,14 @@ def test_rows_are_collapsed_before_the_join(spark, facts):
     assert text.count("Exchange hashpartitioning") == 3
 
 
+def test_sold_rows_are_shuffled_once(spark, facts):
+    with conf(spark, **NO_BROADCAST):
+        text = plan(entities.parts_breakdown(facts.sold, facts.invoice, facts.itemtype, MARCH))
+    # Sold rows, invoices, (entity, item) totals twice, item types, names.
+    assert text.count("Exchange hashpartitioning") <= 6
+    assert text.count("hashpartitioning(invoice_id") == 2
+
+
 def test_one_entity_prunes_before_the_join(spark, facts):
     with conf(spark, **NO_BROADCAST):
         text = plan(calendar.monthly_series(facts, 1997, "department", "parts", "BUILDING"))
@@ -131,10 +139,8 @@ def test_top_k(stored):
 
 def test_batch_search_cuts_before_its_shuffle(spark, stored):
     scored = opportunity.with_scores(stored["catalogue"])
-    # Per round: once per task, once after the shuffle.
-    assert plan(opportunity._best_of(scored, ["model"], 50, "position")).count("WindowGroupLimit") == 2
-    in_hands = opportunity._best_of(scored, ["model"], 50, "position", hands=8)
-    assert plan(in_hands).count("WindowGroupLimit") == 4
+    # Per round, by hand and in all: once per task, once after the shuffle.
+    assert plan(opportunity._best_of(scored, ["model"], 50, "position")).count("WindowGroupLimit") == 4
 
 
 def test_batch_lookup_has_keyed_joins(spark, stored):

@@ -2,9 +2,11 @@
 
 Two rules shape all plans here.
 
-* Rows are collapsed on the join key before the join. A key that owns a large
-  share of the rows (one invoice, one user, the null invoice) is reduced to a
-  handful of rows by the map-side aggregation, before anything is shuffled.
+* For plain totals rows are collapsed on the join key before the join. A key that owns
+  a large share of the rows (one invoice, one user, the null invoice) is reduced to a
+  handful of rows by the map-side aggregation, before anything is shuffled. By item or
+  day that reduces nothing, so there the rows are joined as they are: null invoices are
+  dealt out, and adaptive joins split a hot one.
 * Groups are formed on the raw name; the label for a missing name is put on
   afterwards. A null department and one literally called "Unknown" are two
   groups with one label, unless ``merge_labels`` is asked for.
@@ -71,17 +73,21 @@ def parts_by_entity(
         shown = label(F.col(name)) if labelled else F.col(name)
         return kept.groupBy(shown.alias("entity"), *by).agg(*_sums(names))
 
-    aggs = [F.count(c).alias(n) for n, c in measures.items()]
-    per_invoice = sold.groupBy("invoice_id", *[c.alias(n) for n, c in by.items()]).agg(*aggs)
-
     to_user = dimension_of(dimension) == "user"
     owner = F.col("whocreated_id").alias("user_id") if to_user else F.col("departmentname")
     owners = invoice.select("invoice_id", owner)
     if by:
-        owned = left_join_sparse_key(per_invoice, owners, "invoice_id", spread_by=list(by))
+        # A sold row is nearly alone with its invoice and item or day: grouping on them
+        # would be a shuffle that reduces nothing. The rows are shuffled once, for the join.
+        counted = [c.isNotNull().cast("long").alias(n) for n, c in measures.items()]
+        keys = [c.alias(n) for n, c in by.items()]
+        spread = F.xxhash64("invnumber", "itemtype_id", "solddate").alias("_spread")
+        rows = sold.select("invoice_id", *keys, *counted, spread)
+        owned = left_join_sparse_key(rows, owners, "invoice_id", spread_by=["_spread"]).drop("_spread")
     else:
+        aggs = [F.count(c).alias(n) for n, c in measures.items()]
         # One row per invoice is left, already partitioned on the join key.
-        owned = per_invoice.join(owners, "invoice_id", "left")
+        owned = sold.groupBy("invoice_id").agg(*aggs).join(owners, "invoice_id", "left")
     if not to_user:
         return finish(owned, "departmentname")
     per_user = owned.groupBy("user_id", *by).agg(*_sums(names))
@@ -112,17 +118,21 @@ def gross() -> Column:
 
 
 def entity_sales(
-    invoice: DataFrame, period: Period, dimension: str = "department", users: DataFrame | None = None
+    invoice: DataFrame,
+    period: Period,
+    dimension: str = "department",
+    users: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
-    """``entity, sum_total, sum_total_vat`` of a period, by name, missing name last."""
+    """``entity, sum_total, sum_total_vat`` of a period, by name, missing name last.
+
+    ``exact`` keeps the sums as decimals.
+    """
     totals = sales_by_entity(
         invoiced_in(invoice, period), dimension, {"sum_total": net(), "sum_total_vat": gross()}, users
     )
-    return totals.select(
-        "entity",
-        F.col("sum_total").cast("double"),
-        F.col("sum_total_vat").cast("double"),
-    ).orderBy(F.asc_nulls_last("entity"))
+    sums = [F.col(c) if exact else F.col(c).cast("double") for c in ("sum_total", "sum_total_vat")]
+    return totals.select("entity", *sums).orderBy(F.asc_nulls_last("entity"))
 
 
 def entity_parts(

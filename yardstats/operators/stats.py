@@ -51,11 +51,14 @@ def parts_comparison(facts: Facts, period: Period, dimension: str = "department"
     )
 
 
-def stats_rows(facts: Facts, period: Period, mode: str, dimension: str) -> DataFrame:
-    """``entity, total, total_vat`` before exclusion, in no particular order."""
+def stats_rows(facts: Facts, period: Period, mode: str, dimension: str, exact: bool = False) -> DataFrame:
+    """``entity, total, total_vat`` before exclusion, in no particular order.
+
+    ``exact`` keeps sums of money as decimals, to be added up further.
+    """
     if mode_of(mode) == "parts":
         return parts_comparison(facts, period, dimension)
-    sales = entity_sales(facts.invoice, period, dimension_of(dimension), facts.users)
+    sales = entity_sales(facts.invoice, period, dimension_of(dimension), facts.users, exact)
     return sales.select("entity", F.col("sum_total").alias("total"), F.col("sum_total_vat").alias("total_vat"))
 
 
@@ -114,7 +117,12 @@ def stats_totals(rows: DataFrame) -> DataFrame:
 
 def _money(name: str):
     # Totals are exact to the third decimal; add them up as such.
-    return F.col(name).cast("decimal(28,3)")
+    return F.col(name).cast("decimal(38,3)")
+
+
+def as_shown(rows: DataFrame) -> DataFrame:
+    """Totals as doubles, after all sums are done."""
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("total", "total_vat")})
 
 
 def stats_entities(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from yardstats.functions import periods
 from yardstats.functions.text import item_label, label, label_is, month_param, strip
 from yardstats.operators import calendar, entities, stats
 from yardstats.plans.registry import as_double, as_text, query
-from yardstats.plans.reports import breakdown_report, period_stats, saved_stats
+from yardstats.plans.reports import breakdown_report, period_stats, saved_stats, series_report
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.session import work_path
@@ -319,6 +319,39 @@ _register_series("user_daily", "sales", "user", True, None)
 _register_series("user_parts_daily", "parts", "user", True, "Unknown")
 
 
+@query(
+    "breakdown_report",
+    over("v_owned v_itemtype", f"""
+SELECT 'BUILDING' AS entity, 'department' AS dimension, '{periods.describe_period("this_month", *MARCH)}' AS date_range_label,
+ (place - 1) // 40 AS page, string_agg(itemname || '=' || CAST(parts_sold AS VARCHAR), '|' ORDER BY place) AS items, any_value(total) AS total
+FROM (SELECT *, row_number() OVER (ORDER BY parts_sold DESC, itemname) AS place, CAST(sum(parts_sold) OVER () AS BIGINT) AS total FROM (
+  SELECT coalesce(replace(replace(replace(t.itemname, '[', ''), ']', ''), '_', ' '), 'Unknown') AS itemname, count(o.invnumber) AS parts_sold
+  FROM v_owned o LEFT JOIN v_itemtype t ON t.itemtype_id = o.itemtype_id
+  WHERE o.issold AND {IN_MARCH.format('o.solddate')} AND o.departmentname = 'BUILDING' GROUP BY t.itemname))
+GROUP BY 4"""),
+)
+def breakdown_report_payload(s: Sample) -> DataFrame:
+    pages = breakdown_report(s.facts(), "this_month", TODAY, "BUILDING").payload(page_size=40)
+    shown = F.transform("items", lambda i: F.concat(i["itemname"], F.lit("="), i["count"].cast("string")))
+    return pages.withColumn("items", F.array_join(shown, "|")).withColumn("total", F.col("total").cast("long"))
+
+
+@query(
+    "series_report",
+    over("v_owned", """
+SELECT coalesce(departmentname, 'Unknown') AS entity, CAST(1997 AS INTEGER) AS year, CAST(3 AS INTEGER) AS month,
+ string_agg(CAST(d AS VARCHAR), '|' ORDER BY d) AS labels, string_agg(CAST(n AS VARCHAR), '|' ORDER BY d) AS values
+FROM (SELECT departmentname, day(solddate) AS d, count(invnumber) AS n FROM v_owned
+ WHERE issold AND departmentname = 'BUILDING' AND year(solddate) = 1997 AND month(solddate) = 3 GROUP BY 1, 2) GROUP BY 1"""),
+)
+def series_report_payload(s: Sample) -> DataFrame:
+    found = series_report(s.facts(), 1997, "BUILDING", month=3, mode="parts")
+    values = F.transform("values", lambda v: v.cast("long").cast("string"))
+    return found.select(
+        "entity", "year", "month", F.array_join("labels", "|").alias("labels"), F.array_join(values, "|").alias("values")
+    )
+
+
 @query(
     "series_payload",
     over("v_owned", """

@@ -45,11 +45,11 @@ def period_stats(
 ) -> StatsReport:
     """Statistics of a named period. ``rows``: ``entity, total, total_vat, saved_position``."""
     period = resolve_period(name, today, start, end)
-    every = stats.stats_rows(facts, period, mode, dimension)
+    every = stats.stats_rows(facts, period, mode, dimension, exact=True)
     kept = stats.exclude_entities(every, exclude)
     labels = report_labels(mode, dimension) | {"date_range_label": describe_period(name, *period)}
     return StatsReport(
-        stats.in_saved_order(kept, order), stats.stats_totals(kept), stats.stats_entities(every), labels
+        stats.in_saved_order(stats.as_shown(kept), order), stats.stats_totals(kept), stats.stats_entities(every), labels
     )
 
 
@@ -61,18 +61,18 @@ class Breakdown(NamedTuple):
     entity: str
 
     def payload(self, page_size: int = 1000) -> DataFrame:
-        """``entity, dimension, date_range_label, page, items, total``; one row without items if there are none."""
-        paged = stats.breakdown_payload(self.items, page_size).drop("entity")
-        total = self.total.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
-        head = total.select(
-            F.lit(self.entity).alias("entity"), F.lit(self.dimension).alias("dimension"),
-            F.lit(self.date_range_label).alias("date_range_label"), F.col("total"), F.lit(1).alias("_one"),
+        """``entity, dimension, date_range_label, page, items, total``; page 0 is there also without items."""
+        paged = stats.breakdown_payload(self.items, page_size)
+        paged = paged.join(self.total, "entity").select("page", "items", F.col("total").cast("long"), F.lit(1).alias("real"))
+        kinds = {f.name: f.dataType for f in paged.schema.fields}
+        none = paged.sparkSession.range(1).select(
+            F.lit(0).cast(kinds["page"]).alias("page"), F.array().cast(kinds["items"]).alias("items"),
+            F.lit(0).cast("long").alias("total"), F.lit(0).alias("real"),
         )
-        # One row on the left, equal keys on the right: each page gets the total.
-        joined = head.join(paged.withColumn("_one", F.lit(1)), "_one", "left")
-        return joined.select(
-            "entity", "dimension", "date_range_label", F.coalesce("page", F.lit(0).cast("long")).alias("page"),
-            F.coalesce("items", F.array().cast(paged.schema["items"].dataType)).alias("items"), "total",
+        pages = paged.union(none).groupBy("page").agg(F.max_by(F.struct("items", "total"), "real").alias("v"))
+        return pages.select(
+            F.lit(self.entity).alias("entity"), F.lit(self.dimension).alias("dimension"),
+            F.lit(self.date_range_label).alias("date_range_label"), "page", "v.items", "v.total",
         )
 
 
