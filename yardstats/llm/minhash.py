@@ -7,10 +7,13 @@ corrected for chance collisions, and candidates that may reach the threshold are
 verified on the full sets of whole texts.
 
 Documents with equal sets are one node. Nodes that share a band are not compared all
-with all: every node is compared with one node of its bucket in turn, and what is
-already connected is compared no more. What then remains apart in a bucket is
-estimated pair by pair, in blocks, and only pairs that may link go on. So no link
-between components is lost, and a large group costs about one comparison per member.
+with all. First every node is compared with one node of its bucket, so that a large
+group of near copies becomes one component at about one comparison per member. What
+then still is apart in a bucket is estimated in blocks, each pair in the first band it
+shares only; the nodes that may link travel on with their texts, and the task that has
+a block compares the full sets of pairs that nothing connects yet. It returns links that
+connect something, at most one per node, and so does not emit the pairs of a group. No
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,17 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yardstats.llm.components import connected_components
-from yardstats.llm.shared import write_through
+from yardstats.llm.shared import groups, write_through
 from yardstats.llm.words import WordReader, mix, shingle_sets
 
 REGISTERS = 256
 MANTISSA = 10
 WIDTH = 5
 STAR_ROUNDS = 2
-BLOCK = 512  # documents of a bucket that one task compares with as many others
+BLOCK = 512  # nodes of a bucket that are compared with as many others by their registers
+TEXT_BLOCK = 128  # and by their texts
 
-#: Registers per band, by threshold: a pair at the threshold misses all bands with a chance below 1e-5.
-BAND_ROWS = [(90, 8), (85, 7), (75, 6), (65, 4), (50, 3), (0, 2)]
+#: Registers per band, by threshold: a pair at the threshold misses all bands with a chance below 1e-4.
+BAND_ROWS = [(85, 8), (80, 7), (75, 6), (65, 4), (50, 3), (0, 2)]
+BROADCAST_ROWS = 200_000  # of nodes whose texts are wanted; more are joined by a shuffle
+BAND_BITS = 7  # of a key, for the number of its band
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -54,13 +60,26 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands(found: np.ndarray, rows: int) -> np.ndarray:
-    """One key per band that is not empty throughout."""
+    """One key per band that is not empty throughout; its last bits are the number of the band."""
     count = REGISTERS // rows
     cut = found[: count * rows].reshape(count, rows).astype(np.uint64)
     keys = np.zeros(count, np.uint64)
     for place in range(rows):
         keys = mix(keys + cut[:, place] + np.uint64(place + 1))
-    return mix(keys + np.arange(count, dtype=np.uint64))[cut.any(axis=1)].view(np.int64)
+    keys = (mix(keys) << np.uint64(BAND_BITS)) + np.arange(count, dtype=np.uint64)
+    return keys[cut.any(axis=1)].view(np.int64)
+
+
+def first_shared(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """The first band in which registers ``left`` and ``right`` (both n x 256) agree and are not all empty."""
+    count = REGISTERS // rows
+    shape = (*right.shape[:-1], count, rows)
+    equal = (left == right)[..., : count * rows].reshape(shape).all(axis=-1)
+    return (equal & right[..., : count * rows].reshape(shape).any(axis=-1)).argmax(axis=-1)
+
+
+def _band_rows(percent: int) -> int:
+    return next(rows for least, rows in BAND_ROWS if percent >= least)
 
 
 def collision_rate() -> float:
@@ -90,7 +109,7 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
 
     ``node`` is a digest of the set, null when it is empty; ``mark`` a hash of the text.
     """
-    rows = next(r for least, r in BAND_ROWS if percent >= least)
+    rows = _band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = WordReader()
@@ -196,62 +215,138 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
-def _remaining(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of differently labelled nodes of one key that may link, from blocks of the key's nodes.
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """key, x, y, node, label, side: the rows of ``members`` in the blocks they are compared in.
 
-    A key's nodes are cut into blocks; a task compares the registers of two blocks. So
-    the rows of a key are dealt out over many tasks, and only pairs that may reach the
-    threshold leave them.
+    The nodes of a key with its most frequent label are not compared with each other.
+    The others (side 0) are cut into blocks that meet one another and the blocks of the
+    first (side 1). So a group in which few are apart is copied about once.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("key", "node", "label", "own", other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label")
-    dealt = dealt.join(sketches.select("node", "registers"), "node")
-
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        own = group["own"].to_numpy()
-        x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        node = np.array(group["node"].to_pylist(), object)
-        label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)[1]
-        found = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        a, b = [], []
-        for place, i in enumerate(left):
-            against = right[place + 1 :] if x == y else right
-            against = against[label[against] != label[i]]
-            hits = against[may_reach(found[i], found[against], percent)]
-            a += [node[i]] * len(hits)
-            b += list(node[hits])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("count"))
+    largest = by_label.groupBy("key").agg(
+        F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("top")
+    )
+    blocks = lambda rows: F.ceil(rows / block).cast("int")
+    largest = largest.select(
+        "key", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.count")).alias("few"),
+        blocks(F.col("top.count")).alias("many"),
+    ).filter("few > 0")
+    placed = members.join(largest, "key").withColumn("side", (F.col("label") == F.col("top")).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("many")).otherwise(F.col("few"))).cast("int")
+    placed = placed.withColumn("own", own)
+    few = F.sequence(F.lit(0), F.col("few") - 1)
+    # Blocks of the many are numbered downwards from -1.
+    with_few = F.transform(few, lambda o: F.struct(F.least("own", o).alias("y"), F.greatest("own", o).alias("x")))
+    with_many = F.transform(F.sequence(F.lit(1), F.col("many")), lambda o: F.struct((-o).alias("y"), F.col("own").alias("x")))
+    from_many = F.transform(few, lambda o: F.struct((-F.col("own") - 1).alias("y"), o.alias("x")))
+    meets = F.when(F.col("side") == 1, from_many).otherwise(F.concat(with_few, with_many))
+    dealt = placed.select("key", "node", "label", "own", "side", F.explode(meets).alias("met"))
+    return dealt.select("key", "met.x", "met.y", "node", "label", "own", "side")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for rows, bounds in groups(batches, ["key", "x", "y"]):
+        for low, high in bounds:
+            yield rows.slice(low, high - low)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the group's block x, rows of what it meets, whether that is x itself."""
+    own, side = group["own"].to_numpy(), group["side"].to_numpy()
+    x, y = group["x"][0].as_py(), group["y"][0].as_py()
+    left = np.flatnonzero((side == 0) & (own == x))
+    right = np.flatnonzero(side == 1) if y < 0 else np.flatnonzero((side == 0) & (own == y))
+    return left, right, x == y
+
+
+def _live(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """key, node of the nodes that may link with a differently labelled one, in the first key they share."""
+    rows = _band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the group that the last batch ended in
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            names = np.stack([rows[c].to_numpy() for c in ("key", "x", "y")])
-            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                yield compare(rows.slice(low, high - low))
-            held = rows.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield compare(held)
+        for group in _groups(batches):
+            key = group["key"][0].as_py()
+            band = key & ((1 << BAND_BITS) - 1)
+            left, right, same = _sides(group)
+            label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)[1]
+            found = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            live = np.zeros(len(label), bool)
+            for place, i in enumerate(left):
+                against = right[place + 1 :] if same else right
+                against = against[label[against] != label[i]]
+                against = against[may_reach(found[i], found[against], percent)]
+                if len(against):
+                    against = against[first_shared(found[i], found[against], rows) == band]
+                live[against] = True
+                live[i] |= len(against) > 0
+            if live.any():
+                nodes = group["node"].combine_chunks().filter(pa.array(live))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.int64()), nodes], ["key", "node"])
+
+    dealt = _dealt(members, BLOCK).join(sketches.select("node", "registers"), "node")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(run, "key long, node binary").distinct()
+
+
+def _linked_in_blocks(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect the nodes of each key, found on full sets of whole texts.
+
+    Within a block, pairs that are already connected are not compared, so a task returns
+    fewer links than it has nodes.
+    """
+    rows = _band_rows(percent)
 
-    sorted_rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    pairs = sorted_rows.mapInArrow(run, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = WordReader()
+        for group in _groups(batches):
+            left, right, same = _sides(group)
+            parent = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)[1]
+            sets = list(_padded(reader, group["text"].combine_chunks()))
+            sizes = np.array([len(s) for s in sets])
+            found = np.stack([registers(s) for s in sets])
+            band = group["key"][0].as_py() & ((1 << BAND_BITS) - 1)
+            node, a, b = group["node"], [], []
+            for place, i in enumerate(left):
+                against = right[place + 1 :] if same else right
+                fits = (100 * sizes[against] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[against])
+                against = against[fits & (parent[against] != parent[i])]
+                against = against[may_reach(found[i], found[against], percent)]
+                if len(against):
+                    against = against[first_shared(found[i], found[against], rows) == band]
+                for j in against:
+                    if parent[i] == parent[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                        a.append(node[int(i)].as_py()), b.append(node[int(j)].as_py())
+                        parent[parent == parent[j]] = parent[i]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    dealt = _dealt(members, TEXT_BLOCK).join(texts, "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def _distinct_keys(members: DataFrame) -> DataFrame:
+    """Members of one key, that of the first band, for each set of nodes."""
+    signed = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("count"), F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(9), "node")).alias("two"),
+    )
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+    kept = signed.filter("count > 1").groupBy("count", "one", "two").agg(F.min(F.struct(band.alias("band"), F.col("key"))).alias("first"))
+    return members.join(kept.select("first.key"), "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, node, component_id, kept: one row per row of ``docs``.
+    """doc_id, mark, n_shingles, node, component, component_id, kept: one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id among the documents reachable by links, the
     document's own included; ``kept`` is doc_id = component_id. Documents without words
     link with nothing and are kept, also several of them. A null id is never the
     smallest; where all ids of a group are null, so is ``component_id``, and the rows
-    are kept. Repeated rows are one node. No rows give no rows.
+    are kept. Repeated rows are one node. No rows give no rows. ``mark`` is a hash of the
+    text, ``node`` one of its set and ``component`` the smallest node of the group.
     """
     sketches = write_through(sketch(docs, percent), "minhash-sketches")
     nodes = sketches.filter("node is not null")
@@ -261,37 +356,73 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = write_through(first.select("node", "least_id", "one.doc_id", "one.mark", "one.registers", "one.bands"), "minhash-nodes")
     keyed = first.select(F.explode("bands").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
-    members = write_through(keyed.join(shared, "key", "left_semi"), "minhash-members")
-
-    wanted = first.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "mark")
-    wanted = wanted.withColumnRenamed("doc_id", "wanted_id")
-    texts = _marked(docs).join(wanted, "mark").filter(F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    texts = write_through(texts.select("node", "text"), "minhash-texts")
-
-    links, open_members = None, _labelled(members, None)
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "label")
-            centres = open_members.groupBy("key").agg(F.min(order).alias("centre"))
-            pairs = open_members.join(centres, "key").filter(F.col("label") != F.col("centre.label"))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct()
-            pairs = _estimated(pairs, first, percent)
-        else:
-            pairs = _remaining(open_members, first, percent)
-        found = write_through(_verify(pairs, texts, percent), "minhash-links")
+    members = write_through(keyed.join(shared, "key", "left_semi"), "minhash-shared")
+    members = write_through(_distinct_keys(members), "minhash-members")
+    candidates = members.select("node").distinct()
+    candidates = write_through(first.join(candidates, "node", "left_semi").drop("bands", "least_id"), "minhash-candidates")
+
+    links, apart = None, _labelled(members, None)
+    for turn in range(STAR_ROUNDS):
+        # Every key has a centre of its own, so a node meets several in one round.
+        order = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("order"), "node", "label")
+        centres = apart.groupBy("key").agg(F.min(order).alias("centre"))
+        pairs = apart.join(centres, "key").filter(F.col("label") != F.col("centre.label"))
+        pairs = pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct()
+        pairs = write_through(_estimated(pairs, candidates, percent), "minhash-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        found = write_through(_verify(pairs, _texts(docs, candidates, wanted), percent), "minhash-links")
         links = found if links is None else links.union(found)
-        if turn < STAR_ROUNDS:
-            open_members = write_through(_open(_labelled(members, links)), "minhash-open")
+        apart = write_through(_open(_labelled(members, links)), "minhash-apart")
+    live = write_through(_live(apart, candidates, percent), "minhash-live")
+    rest = apart.join(live, ["key", "node"], "left_semi")
+    found = _linked_in_blocks(rest, _texts(docs, candidates, live.select("node")), percent)
+    links = links.union(write_through(found, "minhash-links"))
     label = connected_components(links)
     named = first.select("node", "least_id").join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    joined = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = named.join(smallest, "component").select("node", "component", "component_id")
+    joined = sketches.select("doc_id", "mark", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     joined = joined.withColumn("component_id", component)
     return joined.select(
-        "doc_id", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", "mark", "n_shingles", "node", "component", "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near-duplicates, with all their columns.
+
+    That with the smallest doc_id stays (null last), of equal ids that with the smaller
+    ``mark``, of wholly equal texts under one id any one row. Texts without words stay.
+    """
+    found = write_through(near_duplicates(docs, percent).filter("node is not null").select("doc_id", "mark", "component"), "minhash-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    winners = found.groupBy("component").agg(F.min(order).alias("winner"))
+    rows = found.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    rows = rows.join(winners, "component").select(
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "rows",
+        (F.col("doc_id").eqNullSafe(F.col("winner.id")) & (F.col("mark") == F.col("winner.mark"))).alias("wins"),
+    )
+    rows = write_through(rows.filter("not wins or rows > 1"), "minhash-dropped")
+    listed = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
+    single = docs.join(listed, same, "left_anti")
+    repeated = docs.join(listed.filter("wins"), same).dropDuplicates(["_id", "_mark"])
+    return single.unionByName(repeated.select(*[docs[c] for c in docs.columns]))
+
+
+def _texts(docs: DataFrame, candidates: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes (node), one row each, stored.
+
+    The list is broadcast where it is short, so that the texts stay where they are read;
+    beyond that it is joined by a shuffle.
+    """
+    listed = candidates.join(wanted.distinct(), "node", "left_semi").select("node", "mark", F.col("doc_id").alias("wanted_id"))
+    listed = write_through(listed, "minhash-wanted")
+    if listed.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    texts = _marked(docs).join(listed, "mark").filter(F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    return write_through(texts.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
