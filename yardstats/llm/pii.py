@@ -183,5 +183,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, with the personal data in ``text`` masked."""
-    return docs.withColumn("text", masked(docs["text"]))
+    """All rows and columns of ``docs``, with the personal data in ``text`` masked.
+
+    ``n_chars``, where there is one, follows the texts that change.
+    """
+    out = docs.withColumn("_masked", masked(docs["text"]))
+    if "n_chars" in docs.columns:
+        size = F.length("_masked").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_masked") != F.col("text"), size).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("_masked")).select(*docs.columns)
