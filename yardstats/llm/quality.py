@@ -219,3 +219,9 @@ def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rated = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(learn(docs, labels), F.col("text")).alias("score"))
     return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier predicts 1 for, with all their columns."""
+    rated = docs.withColumn("_score", score(learn(docs, labels), docs["text"]))
+    return rated.filter("_score >= 0.5").select(*docs.columns)
