@@ -1,0 +1,64 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from tests.llm.brute import words
+from yardstats.llm import lm
+
+SCHEMA = "doc_id long, text string, target boolean"
+
+
+def _counts(texts):
+    single, pairs = Counter(), Counter()
+    for found in texts:
+        single.update(found)
+        pairs.update(zip(found, found[1:]))
+    return single, pairs
+
+
+def _loss(own, others):
+    single, pairs = _counts(others)
+    total, loss = sum(single.values()), 0.0
+    for place, word in enumerate(own):
+        alone = (single[word] + lm.ADDED) / (total + lm.ADDED * lm.WORDS)
+        context = single[own[place - 1]] if place else 0
+        pair = min(pairs[own[place - 1], word], context) if place else 0
+        loss -= math.log((pair + lm.WEIGHT * alone) / (context + lm.WEIGHT))
+    return loss / len(own)
+
+
+def test_losses_are_those_of_plain_counts(rows):
+    pick = random.Random(3)
+    names = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(pick.choice(names[:6] if i % 3 else names) for _ in range(pick.randint(0, 40))), True) for i in range(40)]
+    docs += [(100, None, False), (101, " \n", False), (None, "w1 W2 w1 w2", False)]
+    target = {i for i in range(0, 40, 3)}
+    ids = rows([(i,) for i in sorted(target)] * 2 + [(None,), (999,)], "doc_id long")
+    found = {r.doc_id: r for r in lm.score_documents(rows(docs, SCHEMA), ids).collect()}
+    texts = {d: words(text) for d, text, _ in docs}
+    assert set(found) == set(texts)
+    for doc, own in texts.items():
+        row = found[doc]
+        assert row.n_tokens == len(own)
+        if not own:
+            assert row.score is None and row.target_loss is None
+            continue
+        background = _loss(own, [t for d, t in texts.items() if d != doc])
+        closer = _loss(own, [t for d, t in texts.items() if d != doc and d in target])
+        assert row.background_loss == pytest.approx(background) and row.target_loss == pytest.approx(closer)
+        assert row.score == pytest.approx(background - closer)
+
+
+def test_closer_texts_score_higher(rows):
+    docs = [(i, "alpha beta gamma " * 20, True) for i in range(20)] + [(100 + i, "one two three " * 20, True) for i in range(20)]
+    ids = rows([(i,) for i in range(10)], "doc_id long")
+    found = {r.doc_id: r.score for r in lm.score_documents(rows(docs, SCHEMA), ids).collect()}
+    assert min(found[i] for i in range(20)) > max(found[100 + i] for i in range(20))
+
+
+def test_no_target_and_no_rows(rows):
+    none = rows([], "doc_id long")
+    assert lm.score_documents(rows([(1, "a b", True), (1, "a b", True)], SCHEMA), none).count() == 2
+    assert lm.score_documents(rows([], SCHEMA), none).count() == 0
