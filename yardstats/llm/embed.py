@@ -1,7 +1,7 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-Rotations are learned on a bounded sample so that the signs of the rotated, centred
-unit vectors make balanced binary codes. Codes are cut into chunks; vectors that agree
+Rotations are learned on a bounded sample so that the signs of the rotated unit
+vectors make balanced binary codes. Codes are cut into chunks; vectors that agree
 in a chunk meet in its table, and meeting pairs are compared by their original vectors
 in double precision. A pair that meets in several tables is counted in the first only.
 
@@ -37,7 +37,7 @@ def learn_rotations(vectors: np.ndarray, count: int, seed: int = 3) -> list[np.n
     """
     rng = np.random.default_rng(seed)
     size = vectors.shape[1]
-    axes = np.linalg.svd(vectors - vectors.mean(axis=0), full_matrices=False)[2] if len(vectors) > size else np.eye(size)
+    axes = np.linalg.svd(vectors, full_matrices=False)[2] if len(vectors) > size else np.eye(size)
     projected = vectors @ axes.T
     learned = []
     for _ in range(count):
@@ -62,13 +62,17 @@ def plan_tables(vectors: int, size: int, cosine: float) -> tuple[int, int, int]:
     return bits, chunks, -(-chunks // (size // bits))
 
 
-def chunk_keys(unit: np.ndarray, centre: np.ndarray, rotations: list[np.ndarray], bits: int, chunks: int) -> np.ndarray:
-    """The chunks of the code of each vector, as numbers."""
+def chunk_keys(unit: np.ndarray, rotations: list[np.ndarray], bits: int, chunks: int) -> np.ndarray:
+    """The chunks of the code of each vector, as numbers.
+
+    The vectors are not centred: the signs have to follow the angle at the origin, also
+    where most vectors point the same way.
+    """
     per = unit.shape[1] // bits
     weights = 1 << np.arange(bits, dtype=np.int64)
     keys = np.empty((len(unit), len(rotations) * per), np.int64)
     for place, rotation in enumerate(rotations):
-        signs = ((unit - centre) @ rotation >= 0)[:, : per * bits].reshape(len(unit), per, bits)
+        signs = (unit @ rotation >= 0)[:, : per * bits].reshape(len(unit), per, bits)
         keys[:, place * per : (place + 1) * per] = signs @ weights
     return keys[:, :chunks]
 
@@ -111,13 +115,12 @@ def _keyed(classes: DataFrame, size: int, kind: str, cosine: float) -> DataFrame
     """class, raw, weight and the chunks ``keys`` of the classes of one length."""
     bits, chunks, rotations = plan_tables(classes.count(), size, cosine)
     vectors = _stack(classes.orderBy("class").limit(SAMPLE).select("raw").toArrow()["raw"], kind)
-    centre = vectors.mean(axis=0)
-    learned = learn_rotations(vectors - centre, rotations)
+    learned = learn_rotations(vectors, rotations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = chunk_keys(_stack(batch.column("raw"), kind), centre, learned, bits, chunks)
+                keys = chunk_keys(_stack(batch.column("raw"), kind), learned, bits, chunks)
                 column = pa.array(list(keys), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], ["class", "raw", "weight", "keys"])
 
