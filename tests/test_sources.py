@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,11 @@ def test_few_files_per_day_and_month(spark, tmp_path):
         files = list((tmp_path / name).rglob("*.parquet"))
         assert 0 < len(files) <= most
         assert spark.read.parquet(f"{tmp_path}/{name}").count() == 4000
+
+
+def test_intermediate_results_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    stored = session.write_through(spark.range(3), "passing")
+    (folder,) = session._made
+    assert stored.count() == 3 and session.release(spark) == 1
+    assert not os.path.exists(folder.removeprefix("file:")) and session.release(spark) == 0

@@ -47,9 +47,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []  # folders of intermediate results
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, never used before."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate results that this process has stored; returns how many.
+
+    Results are lazy, so call it when none that was derived from them is read any more.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_made)
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:
