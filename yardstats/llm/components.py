@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round links the neighbours of a node to the smallest of them and stores the edges
-in the shared folder. Only the number of edges and a checksum reach the driver. A node
-with very many neighbours is pre-aggregated for its minimum, and stands on the big side
+in the shared folder, until all edges lead to a root. Only that answer reaches the
+driver. A node with very many neighbours is pre-aggregated for its minimum, and stands on the big side
 of the join only, which adaptive joins split.
 """
 
@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from yardstats.llm.shared import write_through
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one root only, and no root points on."""
+    pointing = edges.groupBy("a").agg(F.count(F.lit(1)).alias("edges"))
+    roots = edges.select(F.col("b").alias("a")).distinct()
+    wrong = pointing.filter("edges > 1").select("a").union(pointing.join(roots, "a", "left_semi").select("a"))
+    return wrong.isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,12 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pointed = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = write_through(pointed.distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _all_stars(edges):
         edges = write_through(_small_star(_large_star(edges)), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            break
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

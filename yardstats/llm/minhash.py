@@ -35,8 +35,8 @@ REGISTERS = 256
 MANTISSA = 10
 WIDTH = 5
 STAR_ROUNDS = 2
-BLOCK = 512  # nodes of a bucket that are compared with as many others by their registers
-TEXT_BLOCK = 128  # and by their texts
+BLOCK = 2048  # nodes of a bucket that are compared with as many others by their registers
+TEXT_BLOCK = 256  # and by their texts
 
 #: Registers per band, by threshold: a pair at the threshold misses all bands with a chance below 1e-4.
 BAND_ROWS = [(85, 8), (80, 7), (75, 6), (65, 4), (50, 3), (0, 2)]
