@@ -70,7 +70,7 @@ def test_nulls_and_repeated_rows(rows):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(
-        map(str, docs.filter("not (text like 'one%' and (doc_id is null or doc_id = 7))").collect())
+        map(str, docs.filter("not (coalesce(text, '') like 'one%' and (doc_id is null or doc_id = 7))").collect())
     )
 
 
