@@ -43,8 +43,10 @@ def chunk_starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def chunk_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The bytes of chunks that start at ``begin``, of texts that end at ``end``."""
     at = begin[:, None] + np.arange(CHUNK)
+    found = np.full(at.shape, PAD, np.int64)
     inside = at < end[:, None]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, PAD).astype(np.int64)
+    found[inside] = data[at[inside]]
+    return found
 
 
 def _pooled(model: Model, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 8) -> Model:
     sample = usable.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.filter(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toArrow()
+    # At most 2 * SAMPLE ids: texts stay where they are read.
+    rows = texts.join(F.broadcast(sample.drop("place")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toArrow()
     rows = rows.combine_chunks().sort_by("doc_id")
     texts = rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string())
     return fit(texts, rows["label"].to_numpy(), seed)
