@@ -1,6 +1,6 @@
 """Benchmark decontamination by canonical templates. DataFrame functions only.
 
-Numbers, names and units in a text become typed placeholders; punctuation and case go.
+Numbers, names and units in a text become typed placeholders; punctuation, case and line breaks go.
 Windows of five template words are joined by hash with those of the benchmark, and the
 hits of one document, item and offset are one alignment. Its slots must be consistent:
 one value of the item stands for one value of the document throughout. So a question
@@ -21,34 +21,31 @@ LITERALS = 3  # words that are no placeholders, in a window that counts
 SIMILARITY = 0.8  # share of an item's windows
 RUN = 13  # or so many words in a row
 
-# In the order in which they are replaced; group 1 is the value.
-JOIN_NAMES = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}'’-]*(?:_\p{Lu}[\p{L}'’-]*)*) (?=\p{Lu})"
+# Each pattern starts with a character that is quickly looked for. A name stands behind a
+# word or comma, so that the first word of a sentence is none; several in a row are one.
+NAMES = r"\x20(?=\p{Lu})(?<=[\p{Ll}\p{N},;:]\x20{1,3})(\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)*)"
 UNITS = (
-    r"(?i)(?<=\d) ?(km|cm|mm|kg|mg|lbs?|oz|ml|mph|kmh|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|lit(?:er|re)s?|"
+    r"(\d) ?((?i:km|cm|mm|kg|mg|lbs?|oz|ml|mph|kmh|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|lit(?:er|re)s?|"
     r"grams?|pounds?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|percent|%|dollars?|cents?|euros?|usd|eur|"
-    r"m|g|l|s|h)(?![\p{L}\p{N}])"
+    r"m|g|l|s|h))(?![\p{L}\p{N}])"
 )
 NUMBERS = r"(\d+(?:[.,]\d+)*)"
-NAMES = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}_'’-]*)"
-KINDS = ("unit", "number", "name")
+KINDS = ("name", "unit", "number")
 
 
-def _stages(text: Column) -> dict[str, tuple[Column, str]]:
-    """For each kind the text before its turn and its pattern, and the template text under "template"."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "<>_", "   ")
-    # Names first: units and numbers put no capital letter in front of one.
-    joined = F.regexp_replace(plain, JOIN_NAMES, "$1_")
-    named = F.regexp_replace(joined, NAMES, " <name> ")
-    with_units = F.regexp_replace(named, UNITS, " <unit> ")
+def _stages(text: Column) -> dict[str, tuple[Column, str, int]]:
+    """For each kind the text before its turn, its pattern and the group of the value; "" has the last text."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "<>\n\r\t", "     ")
+    named = F.regexp_replace(plain, NAMES, " <name> ")
+    with_units = F.regexp_replace(named, UNITS, "$1 <unit> ")
     numbered = F.regexp_replace(with_units, NUMBERS, " <number> ")
-    words = F.trim(F.lower(F.regexp_replace(numbered, r"[^\p{L}\p{N}<>]+", " ")))
-    return {"name": (joined, NAMES), "unit": (named, UNITS), "number": (with_units, NUMBERS), "template": (words, "")}
+    return {"name": (plain, NAMES, 1), "unit": (named, UNITS, 2), "number": (with_units, NUMBERS, 1), "": (numbered, "", 0)}
 
 
 def template_words(text: Column) -> Column:
     """The words of a text's template, as an array. Null and empty texts: no words."""
-    words = _stages(text)["template"][0]
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+    words = F.split(F.lower(_stages(text)[""][0]), r"[^\p{L}\p{N}<>]+")
+    return F.array_remove(words, "")
 
 
 def _windows(words: Column) -> Column:
@@ -74,7 +71,10 @@ def _keyed(texts: DataFrame, name: str, key: str) -> DataFrame:
 def _slots(texts: DataFrame, name: str) -> DataFrame:
     """One row per placeholder of a text: ``name``, pos, kind, value. Wholly equal rows count once."""
     stages = _stages(F.col("text"))
-    values = [F.regexp_extract_all(stages[kind][0], F.lit(stages[kind][1]), F.lit(1)).alias(kind) for kind in KINDS]
+    values = [
+        F.regexp_extract_all(before, F.lit(pattern), F.lit(group)).alias(kind)
+        for kind, (before, pattern, group) in stages.items() if kind
+    ]
     rows = texts.dropDuplicates([name]).select(name, *values, F.posexplode(template_words(F.col("text"))).alias("pos", "word"))
     rows = rows.filter(F.col("word").isin(*[f"<{kind}>" for kind in KINDS]))
     nth = F.row_number().over(W.partitionBy(name, "word").orderBy("pos")) - 1
