@@ -38,7 +38,8 @@ STAR_ROUNDS = 2
 BLOCK = 2048  # nodes of a bucket that are compared with as many others by their registers
 TEXT_BLOCK = 256  # and by their texts
 
-#: Registers per band, by threshold: a pair at the threshold misses all bands with a chance below 1e-4.
+#: Registers per band, by threshold. From 27 % on, a pair at the threshold misses all bands with a
+#: chance below 3e-4 (at 85 %: 4e-5); one of a group has as many chances as it has links.
 BAND_ROWS = [(85, 8), (80, 7), (75, 6), (65, 4), (50, 3), (0, 2)]
 BROADCAST_ROWS = 200_000  # of nodes whose texts are wanted; more are joined by a shuffle
 BAND_BITS = 7  # of a key, for the number of its band
