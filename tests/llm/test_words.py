@@ -41,3 +41,15 @@ def test_set_sizes():
     texts = ["a b c d e f", "A B", "", None, "a a a a a a a a", "x"]
     sizes = [len(s) for s in w.shingle_sets(w.WordReader(), pa.array(texts))]
     assert sizes + [0] * (len(texts) - len(sizes)) == [len(shingle_set(t)) for t in texts]
+
+
+def test_one_set_per_text_in_every_block(monkeypatch):
+    pick = random.Random(7)
+    for block in (4, 16, 1 << 18):
+        monkeypatch.setattr(w, "BLOCK", block)
+        for _ in range(60):
+            texts = [
+                pick.choice([None, "", " \n", "a", "a b c d e f g", "b c d e f g h i"]) for _ in range(pick.randint(0, 12))
+            ]
+            sizes = [len(s) for s in w.shingle_sets(w.WordReader(), pa.array(texts, pa.string()))]
+            assert sizes == [len(shingle_set(t)) for t in texts]

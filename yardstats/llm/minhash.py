@@ -116,7 +116,7 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
         reader = WordReader()
         for batch in batches:
             sizes, nodes, found, keys = [], [], [], []
-            for shingles in _padded(reader, batch.column(2)):
+            for shingles in shingle_sets(reader, batch.column(2), WIDTH):
                 sizes.append(len(shingles))
                 if not len(shingles):
                     nodes.append(None), found.append(None), keys.append([])
@@ -141,15 +141,6 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def _padded(reader: WordReader, texts: pa.Array) -> Iterator[np.ndarray]:
-    """A set for every text; the reader leaves out empty ones at the end of a block."""
-    place = 0
-    for place, shingles in enumerate(shingle_sets(reader, texts, WIDTH), start=1):
-        yield shingles
-    for _ in range(len(texts) - place):
-        yield np.zeros(0, np.uint64)
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, share: int = 64) -> DataFrame:
     """The pairs (a, b) that link: 100 * intersection >= percent * union of the full sets.
 
@@ -172,7 +163,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, share: int = 64) -
         for batch in batches:
             linked = [], []
             names = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            for b, a, member, shingles in zip(*names, _padded(reader, batch.column(4))):
+            for b, a, member, shingles in zip(*names, shingle_sets(reader, batch.column(4), WIDTH)):
                 if not member:
                     centre, held = b, shingles
                 elif b == centre:
@@ -302,7 +293,7 @@ def _linked_in_blocks(members: DataFrame, texts: DataFrame, percent: int) -> Dat
         for group in _groups(batches):
             left, right, same = _sides(group)
             parent = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)[1]
-            sets = list(_padded(reader, group["text"].combine_chunks()))
+            sets = list(shingle_sets(reader, group["text"].combine_chunks(), WIDTH))
             sizes = np.array([len(s) for s in sets])
             found = np.stack([registers(s) for s in sets])
             band = group["key"][0].as_py() & ((1 << BAND_BITS) - 1)

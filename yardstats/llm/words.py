@@ -109,9 +109,15 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 
 
 def shingle_sets(reader: WordReader, texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text: one array for every text, empty where it has no words."""
+    none, place = np.zeros(0, np.uint64), 0
     for first, hashes, owner in reader.read(texts):
+        for _ in range(place, first):  # texts without words at the end of the block before
+            yield none
         until = int(owner[-1]) + 1 if len(owner) else 0
         bounds = np.searchsorted(owner, np.arange(until + 1))
         for low, high in zip(bounds[:-1], bounds[1:]):
             yield np.unique(shingles(hashes[low:high], width))
+        place = first + until
+    for _ in range(place, len(texts)):
+        yield none
