@@ -62,3 +62,17 @@ def test_no_target_and_no_rows(rows):
     none = rows([], "doc_id long")
     assert lm.score_documents(rows([(1, "a b", True), (1, "a b", True)], SCHEMA), none).count() == 2
     assert lm.score_documents(rows([], SCHEMA), none).count() == 0
+
+
+def test_more_words_and_pairs_than_any_fixed_table(rows, monkeypatch):
+    # Over 2^18 distinct words and nearly as many pairs, in many chunks: no two share a count.
+    monkeypatch.setattr(lm, "CHUNK", 1 << 16)
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(3000)), True) for i in range(100)]
+    docs += [(1000, "rare seldom " * 2, True), (1001, "rare seldom x", True)]
+    found = {r.doc_id: r for r in lm.score_documents(rows(docs, SCHEMA), rows([(1001,)], "doc_id long")).collect()}
+    total = sum(len(words(t)) for _, t, _ in docs)
+    alone = lm.ADDED / (total - 3000 + lm.ADDED * lm.WORDS)  # words that no other document has
+    assert all(found[i].background_loss == pytest.approx(-math.log(alone), rel=1e-9) for i in range(100))
+    texts = {d: words(t) for d, t, _ in docs}
+    assert found[1000].target_loss == pytest.approx(_loss(texts[1000], [texts[1001]]))
+    assert found[1000].background_loss == pytest.approx(_loss(texts[1000], [t for d, t in texts.items() if d != 1000]))

@@ -1,11 +1,14 @@
 """Documents scored by the difference of two cross-entropies.
 
-Two bigram models, one of a target corpus and one of all documents, are counted over
-whole texts in one pass and share one vocabulary: words are hashed to ``WORDS`` ids and
-word pairs to ``PAIRS``, so a model's size is fixed whatever the corpus holds, and no
-word, pair or document is left out. A token's probability is that of the pair, smoothed
-by that of the word. A document's own counts are taken out of both models before it is
-scored, or those that a model has seen would look close to it.
+Two bigram models, one of a target corpus and one of all documents, are exact counts of
+words and word pairs, under 64-bit hashes, over whole texts. A token's probability is
+that of the pair, smoothed by that of the word. A document's own counts are taken out of
+both models before it is scored, or those that a model has seen would look close to it.
+
+Texts are dealt into chunks of bounded size in the order they are read. Each chunk is counted,
+its counts are added up over all chunks by a shuffle, and a chunk gets back the sums of
+its own words and pairs where another chunk has them too. No task holds a whole model,
+and a word in every text is one row per chunk.
 """
 
 from __future__ import annotations
@@ -14,26 +17,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
+from yardstats.llm.shared import write_through
 from yardstats.llm.words import WordReader, mix
 
-WORDS, PAIRS = 1 << 18, 1 << 20
+WORDS = 1 << 18  # words that the smoothing takes for the vocabulary; counts are not bounded by it
+CHUNK = 1 << 22  # bytes of text that are counted and scored together, unless one text is longer
 WEIGHT = 50.0  # how many tokens the word's probability counts for behind a context
 ADDED = 0.5  # to the count of each word
 BROADCAST_ROWS = 1_000_000  # of target ids; more of them are joined by a shuffle
 
 
-def _ids(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids, and pair ids with -1 for the first word of a text."""
-    words = (hashes & np.uint64(WORDS - 1)).astype(np.int64)
-    pairs = np.full(len(hashes), -1, np.int64)
-    if len(hashes) > 1:
-        joined = mix(hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:]) & np.uint64(PAIRS - 1)
-        pairs[1:] = np.where(owner[1:] == owner[:-1], joined.astype(np.int64), -1)
-    return words, pairs
+def _pairs(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each pair of neighbouring words of one text, and the place of its second word."""
+    second = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    return mix(hashes[second - 1] * np.uint64(0x9FB21C651E98DF25) + hashes[second]), second
 
 
 def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -45,45 +49,103 @@ def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
-def count_models(marked: DataFrame) -> DataFrame:
-    """slot, background, target: how often each word id (below ``WORDS``) and pair id (behind) occurs.
+def _in_chunks(marked: DataFrame) -> DataFrame:
+    """The rows with a ``chunk`` each: about ``CHUNK`` bytes of text that lie together."""
 
-    A task adds up its own texts in arrays of the model's size and returns each slot at
-    most once; what is gathered grows with the number of tasks, and so with the corpus.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = held + np.cumsum(sizes)
+            chunk = first + np.maximum(ends - 1, 0) // CHUNK
+            held = int(ends[-1]) if len(ends) else held
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], [*batch.schema.names, "chunk"])
+
+    return marked.mapInArrow(run, T.StructType(list(marked.schema.fields)).add("chunk", "long"))
+
+
+def _tally(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how often each occurs at all (row 0) and among the chosen (row 1)."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(place, minlength=len(found)), np.bincount(place[chosen], minlength=len(found))])
+
+
+def _tokens(reader: WordReader, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and text numbers of all words."""
+    hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, found, own in reader.read(texts):
+        hashes.append(found), owner.append(first + own)
+    return np.concatenate(hashes), np.concatenate(owner)
+
+
+def _count(reader: WordReader, texts: pa.Array, target: np.ndarray):
+    """Hashes and owners of the words, hashes and places of the pairs, and the tallies of both."""
+    hashes, owner = _tokens(reader, texts)
+    pairs, second = _pairs(hashes, owner)
+    chosen = target[owner]
+    return hashes, owner, pairs, second, _tally(hashes, chosen), _tally(pairs, chosen[second])
+
+
+def count_models(chunked: DataFrame) -> DataFrame:
+    """chunk, key, background, target: how often each word and pair occurs in all texts.
+
+    ``key`` is the hash of a word or pair of the chunk, null for the number of tokens. What
+    occurs in one stretch of a chunk only has no row: the chunk's own counts are those of the model.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = WordReader(), np.zeros((2, WORDS + PAIRS), np.int64)
+        reader, held, chunk = WordReader(), [], None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            target = rows["target"].to_numpy().astype(bool)
+            hashes, owner, _, _, words, pairs = _count(reader, _one(rows["text"]), target)
+            keys = pa.concat_arrays([pa.array(np.concatenate([words[0], pairs[0]]).view(np.int64)), pa.array([None], pa.int64())])
+            totals = np.array([[len(hashes)], [int(target[owner].sum())]])
+            counts = np.concatenate([words[1], pairs[1], totals], axis=1).astype(np.int64)
+            for low in range(0, len(keys), 1 << 16):
+                part = slice(low, min(low + (1 << 16), len(keys)))
+                arrays = [pa.array(np.full(part.stop - low, chunk, np.int64)), keys[part], *map(pa.array, counts[:, part])]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "key", "background", "target"])
+
         for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            for first, hashes, owner in reader.read(batch.column("text")):
-                words, pairs = _ids(hashes, owner)
-                chosen = target[first + owner]
-                for row, keep in ((0, slice(None)), (1, chosen)):
-                    own = pairs[keep]
-                    np.add.at(counts[row], words[keep], 1)
-                    np.add.at(counts[row], own[own >= 0] + WORDS, 1)
-        used = np.flatnonzero(counts[0])
-        for low in range(0, len(used), 1 << 16):
-            slots = used[low : low + (1 << 16)]
-            arrays = [pa.array(slots.astype(np.int32)), pa.array(counts[0, slots]), pa.array(counts[1, slots])]
-            yield pa.RecordBatch.from_arrays(arrays, ["slot", "background", "target"])
-
-    parts = marked.select("text", "target").mapInArrow(run, "slot int, background long, target long")
-    return parts.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _losses(counts: np.ndarray, total: float, words, pairs, before, own_words, own_pairs, own_before, own_total) -> np.ndarray:
-    """Loss of each token, with the document's own counts taken out."""
-    word = (counts[words] - own_words + ADDED) / (total - own_total + ADDED * WORDS)
-    context = np.where(pairs >= 0, counts[before] - own_before, 0)
-    pair = np.where(pairs >= 0, np.minimum(counts[WORDS + np.maximum(pairs, 0)] - own_pairs, context), 0)
+            names = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                if held and names[low] != chunk:
+                    yield from counted()
+                    held.clear()
+                chunk = names[low]
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from counted()
+
+    own = chunked.select("chunk", "text", "target").mapInArrow(run, "chunk long, key long, background long, target long")
+    key = W.partitionBy("key")
+    sums = own.select("chunk", "key", *[F.sum(c).over(key).alias(c) for c in ("background", "target")], F.count(F.lit(1)).over(key).alias("rows"))
+    return sums.filter("rows > 1").select("chunk", "key", "background", "target")
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _losses(word_counts: np.ndarray, pair_counts: np.ndarray, total: float, words, pairs, second, own_words, own_pairs, own_total) -> np.ndarray:
+    """Loss of each token, with the document's own counts taken out; ``words`` and ``pairs`` are places in the counts."""
+    left = word_counts[words] - own_words
+    word = (left + ADDED) / (total - own_total + ADDED * WORDS)
+    context, pair = np.zeros(len(words)), np.zeros(len(words))
+    context[second] = left[second - 1]
+    pair[second] = np.minimum(pair_counts[pairs] - own_pairs, context[second])
     return -np.log((pair + WEIGHT * word) / (context + WEIGHT))
 
 
 def _own(ids: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """How often each id occurs in its own text."""
-    _, place, count = np.unique(owner * (size + 1) + ids + 1, return_inverse=True, return_counts=True)
+    _, place, count = np.unique(owner * (size + 1) + ids, return_inverse=True, return_counts=True)
     return count[place].astype(np.float64)
 
 
@@ -94,47 +156,47 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     closer to the target. Null and empty texts: 0 tokens and null losses. An empty
     target, or none but the document itself, is a model of evenly likely words.
     """
-    marked = mark_target(docs, target_ids)
-    table = count_models(marked).toArrow()  # at most WORDS + PAIRS rows
-    counts = np.zeros((2, WORDS + PAIRS), np.float32)
-    slots = table["slot"].to_numpy()
-    for row, name in enumerate(("background", "target")):
-        counts[row, slots] = table[name].to_numpy()
-    totals = [float(table[name].to_numpy()[slots < WORDS].sum()) for name in ("background", "target")]
-    model = docs.sparkSession.sparkContext.broadcast((counts, totals))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, totals = model.value
-        reader = WordReader()
-        for batch in batches:
-            size = batch.num_rows
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            tokens, sums = np.zeros(size, np.int64), np.zeros((2, size))
-            for first, hashes, owner in reader.read(batch.column("text")):
-                if not len(hashes):
-                    continue
-                words, pairs = _ids(hashes, owner)
-                before = np.concatenate([words[:1], words[:-1]])
-                own_words, own_pairs = _own(words, owner, WORDS), _own(pairs, owner, PAIRS)
-                own_before = np.concatenate([own_words[:1], own_words[:-1]])
-                length = np.bincount(owner)
-                tokens[first : first + len(length)] += length
-                for row in (0, 1):
-                    out = np.ones(len(words)) if row == 0 else target[first + owner].astype(np.float64)
-                    losses = _losses(
-                        counts[row], totals[row], words, pairs, before,
-                        own_words * out, own_pairs * out, own_before * out, length[owner] * out,
-                    )
-                    sums[row, first : first + len(length)] += np.bincount(owner, losses)
-            empty = tokens == 0
-            mean = sums / np.maximum(tokens, 1)
-            arrays = [
-                batch.column("doc_id"), pa.array(tokens), pa.array(mean[1], mask=empty),
-                pa.array(mean[0], mask=empty), pa.array(mean[0] - mean[1], mask=empty),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    schema = T.StructType([marked.schema["doc_id"]]).add("n_tokens", "long")
+    chunked = write_through(_in_chunks(mark_target(docs, target_ids)), "lm-texts")
+    models = count_models(chunked)
+
+    def run(rows: pa.Table, sums: pa.Table) -> pa.Table:
+        size = rows.num_rows
+        target = rows["target"].to_numpy().astype(bool)
+        hashes, owner, pairs, second, *tallies = _count(WordReader(), _one(rows["text"]), target)
+        totals = [float(len(hashes)), float(target[owner].sum())]
+        sent = sums["key"].is_null().to_numpy().astype(bool)
+        if sent.any():
+            totals = [float(sums[name].to_numpy()[sent][0]) for name in ("background", "target")]
+        keys = sums["key"].fill_null(0).to_numpy().view(np.uint64)[~sent]
+        counts, places = [], []
+        for (found, own), tokens in zip(tallies, (hashes, pairs)):
+            own = own.astype(np.float64)
+            at = np.searchsorted(found, keys)
+            hit = at < len(found)
+            hit[hit] = found[at[hit]] == keys[hit]
+            for row, name in enumerate(("background", "target")):
+                own[row, at[hit]] = sums[name].to_numpy()[~sent][hit]
+            counts.append(own), places.append(np.searchsorted(found, tokens))
+        own_words = _own(places[0], owner, len(tallies[0][0]))
+        own_pairs = _own(places[1], owner[second], len(tallies[1][0]))
+        tokens = np.bincount(owner, minlength=size)
+        out = [np.ones(size), target.astype(np.float64)]
+        mean = []
+        for row in (0, 1):
+            share = out[row][owner]
+            losses = _losses(
+                counts[0][row], counts[1][row], totals[row], *places, second,
+                own_words * share, own_pairs * share[second], tokens[owner] * share,
+            )
+            mean.append(np.bincount(owner, losses, minlength=size) / np.maximum(tokens, 1))
+        empty = tokens == 0
+        arrays = [
+            rows["doc_id"], pa.array(tokens.astype(np.int64)), pa.array(mean[1], mask=empty),
+            pa.array(mean[0], mask=empty), pa.array(mean[0] - mean[1], mask=empty),
+        ]
+        return pa.Table.from_arrays(arrays, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    schema = T.StructType([docs.schema["doc_id"]]).add("n_tokens", "long")
     for name in ("target_loss", "background_loss", "score"):
         schema = schema.add(name, "double")
-    return marked.mapInArrow(run, schema)
+    return chunked.groupBy("chunk").cogroup(models.groupBy("chunk")).applyInArrow(run, schema)
