@@ -62,3 +62,9 @@ def test_same_as_a_search_for_whole_items(spark):
 def test_main_path_is_native(rows):
     docs = rows([(1, "a", "")], DOCS).select("doc_id", decontam.template_words(F.col("text")))
     assert "Python" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_of_equal_values_changed(rows):
+    item = "If Tom buys 12 apples for 3 dollars each and Anna buys 7 pears how much money does Anna spend in the shop today when all 7 pears are sold"
+    docs = [(1, item.replace("all 7 pears", "all 8 pears")), (2, item.replace("does Anna", "does Peter Smith"))]
+    assert set(_found(rows, docs, [(1, item)])) == {(1, 1), (2, 1)}

@@ -1,11 +1,13 @@
 """Benchmark decontamination by canonical templates. DataFrame functions only.
 
 Numbers, names and units in a text become typed placeholders; punctuation, case and line breaks go.
-Windows of five template words are joined by hash with those of the benchmark, and the
-hits of one document, item and offset are one alignment. Its slots must be consistent:
-one value of the item stands for one value of the document throughout. So a question
-with other numbers and names is caught, and a text that only has the same outline of
-placeholders is not.
+Windows of five template words are joined by hash with those of the benchmark; windows
+of hardly anything but placeholders are joined by their values, and count by template
+where other windows align. The hits of one document, item and offset, or of neighbouring
+offsets, are one alignment. Enough windows with the item's own values are a leak as they
+are; beyond that slots must be consistent: one value of the item stands for one value of
+the document throughout. So a question with other numbers and names is caught, and a text
+that only has the same outline of placeholders is not.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import Window as W
 from yardstats.llm.shared import write_through
 
 WINDOW = 5
-LITERALS = 3  # words that are no placeholders, in a window that counts
+LITERALS = 3  # words that are no placeholders, in a window that is joined by its template
+SPREAD = 16  # offsets of one alignment lie closer than this, or than the item's windows
 SIMILARITY = 0.8  # share of an item's windows
 RUN = 13  # or so many words in a row
 
@@ -30,70 +33,121 @@ UNITS = (
     r"m|g|l|s|h))(?![\p{L}\p{N}])"
 )
 NUMBERS = r"(\d+(?:[.,]\d+)*)"
-KINDS = ("name", "unit", "number")
+TOKENS = r"(<[^>]*>|[\p{L}\p{N}]+)"
 
 
-def _stages(text: Column) -> dict[str, tuple[Column, str, int]]:
-    """For each kind the text before its turn, its pattern and the group of the value; "" has the last text."""
+def _valued_words(text: Column) -> Column:
+    """The words of a text's template, placeholders with their values: ``<name tom>``."""
     plain = F.translate(F.coalesce(text, F.lit("")), "<>\n\r\t", "     ")
-    named = F.regexp_replace(plain, NAMES, " <name> ")
-    with_units = F.regexp_replace(named, UNITS, "$1 <unit> ")
-    numbered = F.regexp_replace(with_units, NUMBERS, " <number> ")
-    return {"name": (plain, NAMES, 1), "unit": (named, UNITS, 2), "number": (with_units, NUMBERS, 1), "": (numbered, "", 0)}
+    named = F.regexp_replace(plain, NAMES, " <name $1> ")
+    with_units = F.regexp_replace(named, UNITS, "$1 <unit $2> ")
+    numbered = F.regexp_replace(with_units, NUMBERS, " <number $1> ")
+    return F.regexp_extract_all(F.lower(numbered), F.lit(TOKENS), F.lit(1))
+
+
+def _kinds(valued: Column) -> Column:
+    return F.transform(valued, lambda w: F.when(w.startswith("<"), F.concat(F.substring_index(w, " ", 1), F.lit(">"))).otherwise(w))
 
 
 def template_words(text: Column) -> Column:
     """The words of a text's template, as an array. Null and empty texts: no words."""
-    words = F.split(F.lower(_stages(text)[""][0]), r"[^\p{L}\p{N}<>]+")
-    return F.array_remove(words, "")
+    return _kinds(_valued_words(text))
 
 
-def _windows(words: Column) -> Column:
-    """Hash of each window of five words; a text of fewer is one window of them all."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW + 1, F.lit(1)))
-    hashes = F.transform(starts, lambda start: F.xxhash64(F.slice(words, start, F.lit(WINDOW))))
-    return F.when(F.size(words) > 0, hashes).otherwise(F.array().cast("array<long>"))
+def _hashes(words: Column, width: Column | int) -> Column:
+    """Hash of each window of ``width`` words; none where there are fewer."""
+    width = F.lit(width) if isinstance(width, int) else width
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+    hashes = F.transform(starts, lambda start: F.xxhash64(F.slice(words, start, width)))
+    return F.when(F.size(words) >= width, hashes).otherwise(F.array().cast("array<long>"))
 
 
-def _literal(words: Column) -> Column:
+def _literal(words: Column, width: Column) -> Column:
     """Whether each window has enough words that are no placeholders."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW + 1, F.lit(1)))
-    least = F.least(F.size(words), F.lit(LITERALS))
-    plain = lambda start: F.filter(F.slice(words, start, F.lit(WINDOW)), lambda w: ~w.startswith("<"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+    least = F.least(width, F.lit(LITERALS))
+    plain = lambda start: F.filter(F.slice(words, start, width), lambda w: ~w.startswith("<"))
     return F.transform(starts, lambda start: F.size(plain(start)) >= least)
 
 
+def _by_width(words: str, widths: list[int], name: str) -> Column:
+    """All windows of the widths, as an array of (width, pos, ``name``)."""
+    def windows(width: int) -> Column:
+        return F.transform(
+            _hashes(F.col(words), width), lambda h, at: F.struct(F.lit(width).alias("width"), at.alias("pos"), h.alias(name))
+        )
+
+    return F.concat(*[windows(width) for width in widths])
+
+
 def _keyed(texts: DataFrame, name: str, key: str) -> DataFrame:
     """The texts under a key that is never null, so that rows without id or sharing one stay apart."""
     return texts.select(F.struct(F.col(key), F.xxhash64("text").alias("mark")).alias(name), "text")
 
 
-def _slots(texts: DataFrame, name: str) -> DataFrame:
-    """One row per placeholder of a text: ``name``, pos, kind, value. Wholly equal rows count once."""
-    stages = _stages(F.col("text"))
-    values = [
-        F.regexp_extract_all(before, F.lit(pattern), F.lit(group)).alias(kind)
-        for kind, (before, pattern, group) in stages.items() if kind
-    ]
-    rows = texts.dropDuplicates([name]).select(name, *values, F.posexplode(template_words(F.col("text"))).alias("pos", "word"))
-    rows = rows.filter(F.col("word").isin(*[f"<{kind}>" for kind in KINDS]))
-    nth = F.row_number().over(W.partitionBy(name, "word").orderBy("pos")) - 1
-    value = F.coalesce(*[F.when(F.col("word") == f"<{kind}>", F.get(F.col(kind), F.col("nth"))) for kind in KINDS])
-    return rows.withColumn("nth", nth).select(name, "pos", F.col("word").alias("kind"), F.lower(value).alias("value"))
-
-
-ALIGNMENT = ["doc", "item", "offset"]
-
-
-def _slot_counts(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per alignment with slots: slots, changed_slots, values (the most that one value of the item stands for)."""
-    own = _slots(docs.join(aligned.select("doc").distinct(), "doc", "left_semi"), "doc")
-    theirs = _slots(items.join(aligned.select("item").distinct(), "item", "left_semi"), "item")
-    theirs = theirs.select("item", F.col("pos").alias("item_pos"), F.col("kind").alias("item_kind"), F.col("value").alias("item_value"))
-    within = F.col("pos").between(F.col("start"), F.col("end") + WINDOW - 1)
-    met = aligned.select(*ALIGNMENT, "start", "end").join(own, "doc").filter(within)
-    met = met.withColumn("item_pos", F.col("pos") - F.col("offset")).join(theirs, ["item", "item_pos"])
-    met = met.filter("kind = item_kind").groupBy(*ALIGNMENT, "kind", "item_value").agg(
+def _variants(items: DataFrame) -> DataFrame:
+    """item, variant, lead, valued, words, width: each item as it stands alone, and with its first word as a name.
+
+    Behind a comma, colon or lower-case word the first capital word is a name, alone it is not.
+    ``lead`` is the first word where it became one name with the next ones, else empty.
+    """
+    behind = _valued_words(F.concat(F.lit("x, "), F.ltrim(F.coalesce("text", F.lit("")))))
+    both = items.select("item", _valued_words(F.col("text")).alias("alone"), behind.alias("behind"))
+    behind = F.slice("behind", F.lit(2), F.size("behind") - 1)
+    rows = both.select("item", F.get("alone", F.lit(0)).alias("first"), F.posexplode(F.array_distinct(F.array("alone", behind))).alias("variant", "valued"))
+    rows = rows.filter(F.size("valued") > 0).withColumn("words", _kinds(F.col("valued")))
+    merged = (F.col("variant") == 1) & F.get("valued", F.lit(0)).startswith(F.concat(F.lit("<name "), F.col("first"), F.lit(" ")))
+    rows = rows.withColumn("lead", F.when(merged, F.col("first")).otherwise(""))
+    return rows.withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
+
+
+PAIR = ["doc", "item", "variant"]
+OFFSET = [*PAIR, "offset"]
+ALIGNMENT = [*PAIR, "grid", "band"]
+
+
+def _slots(texts: DataFrame, names: list[str], valued: Column, prefix: str = "") -> DataFrame:
+    """One row per placeholder of a text: ``names``, pos, kind, value. Wholly equal rows count once."""
+    rows = texts.dropDuplicates(names).select(*names, F.posexplode(valued).alias(f"{prefix}pos", "word")).filter(F.col("word").startswith("<"))
+    kind = F.substring_index("word", " ", 1)
+    return rows.select(*names, f"{prefix}pos", kind.alias(f"{prefix}kind"), F.col("word").alias(f"{prefix}value"))
+
+
+def _without(lead: str, value: str) -> Column:
+    """The name behind its first word, where that is ``lead``."""
+    start = F.concat(F.lit("<name "), F.col(lead), F.lit(" "))
+    behind = F.concat(F.lit("<name "), F.substring(F.col(value), F.length(start) + 1, F.length(value)))
+    return F.when((F.col(lead) != "") & F.col(value).startswith(start), behind).otherwise(F.col(value))
+
+
+def _grids(hits: DataFrame) -> DataFrame:
+    """Each hit in three alignments: its exact offset (grid 0), and two grids of bands that overlap by half.
+
+    Offsets that differ by less than half a band are in one band of one grid, so a word
+    more or less does not part a leak, and a band is no longer than the item.
+    """
+    size = F.greatest(F.lit(SPREAD), F.col("item_windows"))
+    half = F.floor((F.col("offset") + F.floor(size / 2)) / size)
+    grids = [(0, F.col("offset")), (1, F.floor(F.col("offset") / size)), (2, half)]
+    each = F.array(*[F.struct(F.lit(grid).alias("grid"), band.cast("long").alias("band")) for grid, band in grids])
+    return hits.withColumn("in", F.explode(each)).select("*", "in.grid", "in.band").drop("in")
+
+
+def _slot_counts(pieces: DataFrame, docs: DataFrame, variants: DataFrame) -> DataFrame:
+    """Per alignment with slots: slots, changed_slots, values (the most that one value of the item stands for).
+
+    ``pieces``: alignment, offset, start and end of each stretch of words that match.
+    """
+    own = docs.join(pieces.select("doc").distinct(), "doc", "left_semi")
+    own = _slots(own, ["doc"], _valued_words(F.col("text")))
+    theirs = variants.join(pieces.select("item").distinct(), "item", "left_semi")
+    theirs = _slots(theirs, ["item", "variant", "lead"], F.col("valued"), "item_")
+    theirs = theirs.withColumn("lead", F.when(F.col("item_pos") == 0, F.col("lead")).otherwise(""))
+    met = pieces.join(own, "doc").filter(F.col("pos").between(F.col("start"), F.col("end")))
+    met = met.withColumn("item_pos", F.col("pos") - F.col("offset")).join(theirs, ["item", "variant", "item_pos"])
+    met = met.withColumn("value", _without("lead", "value")).withColumn("item_value", _without("lead", "item_value"))
+    met = met.filter("kind = item_kind").select(*ALIGNMENT, "pos", "item_pos", "kind", "value", "item_value").distinct()
+    met = met.groupBy(*ALIGNMENT, "kind", "item_value").agg(
         F.count(F.lit(1)).alias("slots"), F.sum((F.col("value") != F.col("item_value")).cast("long")).alias("changed_slots"),
         F.countDistinct("value").alias("values"),
     )
@@ -102,49 +156,82 @@ def _slot_counts(aligned: DataFrame, docs: DataFrame, items: DataFrame) -> DataF
     )
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
-    """doc_id, mark, item_id, windows, share, longest_run, slots, changed_slots: one row per leak.
+def _hits(docs: DataFrame, variants: DataFrame) -> DataFrame:
+    """doc, item, variant, offset, pos, item_pos, width, item_windows, same: each window of an item in a document.
 
-    A row means that a document holds a benchmark item: at one offset and with
-    consistent slots it has at least ``similarity`` of the item's windows, or ``run`` of
-    its words in a row. ``share`` is that of the windows; ``changed_slots`` is the number
-    of slots with another value than the item's, 0 for a plain copy. ``mark`` is a hash
-    of the text, for rows that share an id. Of several offsets the best one counts.
-
-    Items without a window (null, empty or hardly anything but placeholders) match
-    nothing, and one of less than five words only a text that is as short. Documents that leak nothing have no row. Repeated rows count once.
+    ``same``: the values agree too. A window of few literal words counts where its values
+    agree, or where another window has the same offset.
     """
-    docs, items = _keyed(docs, "doc", "doc_id"), _keyed(benchmark, "item", "item_id").distinct()
     # The words are a column first: written into the lambda they would be made anew for every window.
-    words = F.col("words")
-    both = F.arrays_zip(_windows(words).alias("hash"), _literal(words).alias("literal"))
-    places = items.select("item", template_words(F.col("text")).alias("words"))
-    places = places.select("item", F.posexplode(both).alias("item_pos", "window"))
-    places = places.filter("window.literal").select("item", "item_pos", "window.hash")
+    words, width = F.col("words"), F.col("width")
+    zipped = F.arrays_zip(
+        _hashes(words, width).alias("hash"), _hashes(F.col("valued"), width).alias("raw"), _literal(words, width).alias("literal")
+    )
+    places = variants.withColumn("item_windows", F.size("words") - width + 1)
+    places = places.select("item", "variant", "width", "item_windows", F.posexplode(zipped).alias("item_pos", "window"))
+    places = places.select("item", "variant", "width", "item_windows", "item_pos", "window.*")
     places = write_through(places, "benchmark-windows")
-    sizes = places.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"))
+    widths = sorted(r.width for r in places.select("width").distinct().collect()) or [WINDOW]  # 1 to WINDOW
 
     # First with one row per hash: a window that many items share makes one row in a document.
+    known = places.select("width", "hash", "literal").distinct()
     found = docs.select("doc", template_words(F.col("text")).alias("words"))
-    found = found.select("doc", F.posexplode(_windows(words)).alias("pos", "hash"))
-    found = write_through(found.join(places.select("hash").distinct(), "hash").distinct(), "benchmark-hits")
-    hits = found.join(places, "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
-    order = W.partitionBy(*ALIGNMENT).orderBy("pos")
-    fresh = F.when(F.col("pos") - F.lag("pos").over(order) == 1, 0).otherwise(1)
-    runs = hits.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(order))
-    runs = runs.groupBy(*ALIGNMENT, "stretch").agg(
-        F.count(F.lit(1)).alias("windows"), F.min("pos").alias("start"), F.max("pos").alias("end")
-    )
-    aligned = runs.groupBy(*ALIGNMENT).agg(
-        F.sum("windows").alias("windows"), F.max(F.col("windows") + WINDOW - 1).alias("longest_run"),
-        F.min("start").alias("start"), F.max("end").alias("end"),
+    found = found.select("doc", F.explode(_by_width("words", widths, "hash")).alias("window")).select("doc", "window.*")
+    found = write_through(found.join(known, ["width", "hash"]).distinct(), "benchmark-hits")
+    valued = docs.join(found.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    valued = valued.select("doc", _valued_words(F.col("text")).alias("valued"))
+    valued = valued.select("doc", F.explode(_by_width("valued", widths, "raw")).alias("window")).select("doc", "window.*")
+    found = write_through(found.join(valued, ["doc", "width", "pos"]), "benchmark-hits")
+
+    key = F.when(F.col("literal"), F.col("hash")).otherwise(F.col("raw"))
+    theirs = places.withColumn("key", key).withColumnRenamed("raw", "item_raw").drop("hash")
+    columns = [*OFFSET, "pos", "item_pos", "width", "item_windows", (F.col("raw") == F.col("item_raw")).alias("same")]
+    sure = found.withColumn("key", key).drop("hash").join(theirs, ["width", "literal", "key"])
+    sure = write_through(sure.withColumn("offset", F.col("pos") - F.col("item_pos")).select(*columns), "benchmark-sure")
+    heavy = places.filter("not literal").withColumnRenamed("raw", "item_raw").drop("literal")
+    more = sure.select(*OFFSET).distinct().join(heavy, ["item", "variant"]).withColumn("pos", F.col("offset") + F.col("item_pos"))
+    more = more.join(found.drop("literal"), ["doc", "pos", "width", "hash"]).select(*columns)
+    return sure.union(more).distinct()
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
+    """doc_id, mark, item_id, windows, share, longest_run, slots, changed_slots: one row per leak.
+
+    A row means that a document holds a benchmark item: at one offset, or at neighbouring
+    ones, it has at least ``similarity`` of the item's windows, or ``run`` of its words in
+    a row, either with the item's own values or with consistent slots. ``share`` is that of
+    the windows; ``changed_slots`` is the number of slots with another value than the
+    item's, 0 for a plain copy. ``mark`` is a hash of the text, for rows that share an id.
+    Of several alignments the best one counts.
+
+    An item of less than five words is one window of its own length. Null and empty items
+    match nothing. Documents that leak nothing have no row. Repeated rows count once.
+    """
+    docs, items = _keyed(docs, "doc", "doc_id"), _keyed(benchmark, "item", "item_id").distinct()
+    variants = _variants(items)
+    hits = _hits(docs, variants)
+    order = lambda *more: W.partitionBy(*OFFSET, *more).orderBy("pos")
+    hits = hits.withColumn("stretch", F.col("pos") - F.row_number().over(order()))
+    hits = hits.withColumn("same_stretch", F.col("pos") - F.row_number().over(order("same")))
+    hits = hits.withColumn("run", F.row_number().over(order("stretch")) + F.col("width") - 1)
+    same_run = F.row_number().over(order("same", "same_stretch")) + F.col("width") - 1
+    hits = hits.withColumn("same_run", F.when(F.col("same"), same_run).otherwise(0))
+    hits = _grids(write_through(hits, "benchmark-runs"))
+    aligned = hits.groupBy(*ALIGNMENT).agg(
+        F.countDistinct("item_pos").alias("windows"), F.countDistinct(F.when(F.col("same"), F.col("item_pos"))).alias("same_windows"),
+        F.max("run").alias("longest_run"), F.max("same_run").alias("same_run"),
+        F.first("item_windows").alias("item_windows"), F.min("offset").alias("offset"),
     )
-    aligned = aligned.join(sizes, "item").withColumn("share", F.col("windows") / F.col("item_windows"))
-    aligned = aligned.filter((F.col("share") >= similarity) | (F.col("longest_run") >= run))
+    aligned = aligned.withColumn("share", F.col("windows") / F.col("item_windows"))
+    aligned = aligned.filter((F.col("share") >= similarity) | ((F.col("longest_run") >= run) & (F.col("grid") == 0)))
     aligned = write_through(aligned, "benchmark-alignments")
 
-    checked = aligned.join(_slot_counts(aligned, docs, items), ALIGNMENT, "left")
-    checked = checked.filter(F.coalesce("values", F.lit(1)) == 1)
+    pieces = hits.join(aligned.select(*ALIGNMENT), ALIGNMENT, "left_semi").groupBy(*ALIGNMENT, "offset", "stretch").agg(
+        F.min("pos").alias("start"), F.max(F.col("pos") + F.col("width") - 1).alias("end")
+    )
+    checked = aligned.join(_slot_counts(pieces, docs, variants), ALIGNMENT, "left")
+    plain = (F.col("same_windows") / F.col("item_windows") >= similarity) | (F.col("same_run") >= run)
+    checked = checked.filter(plain | (F.coalesce("values", F.lit(1)) == 1))
     zero = F.lit(0).cast("long")
     best = F.struct(
         "share", "longest_run", "windows", F.negative("offset").alias("before"),
