@@ -68,3 +68,11 @@ def test_one_of_equal_values_changed(rows):
     item = "If Tom buys 12 apples for 3 dollars each and Anna buys 7 pears how much money does Anna spend in the shop today when all 7 pears are sold"
     docs = [(1, item.replace("all 7 pears", "all 8 pears")), (2, item.replace("does Anna", "does Peter Smith"))]
     assert set(_found(rows, docs, [(1, item)])) == {(1, 1), (2, 1)}
+
+
+def test_items_of_placeholders(rows):
+    items = [(1, "12 km in 3 hours 40 km in 5 hours 7 km in 2 hours 90 km in 6 hours"), (2, "3 7 9 4 1 8 2 6 5"),
+             (3, "in a race on the lake Tom ran 5 km in 20 minutes and 12 km in 70 minutes and then they all went home again")]
+    docs = [(1, "Table. " + items[0][1] + " end of it"), (2, "so 0 " + items[1][1] + " is it"), (3, "the 9 8 7 6 5 4 3 2 1 of it"),
+            (4, "we saw Eva ran 6 km in 30 minutes and 13 km in 80 minutes and then they all left")]
+    assert set(_found(rows, docs, items)) == {(1, 1), (2, 2), (4, 3)}
