@@ -76,3 +76,11 @@ def test_items_of_placeholders(rows):
     docs = [(1, "Table. " + items[0][1] + " end of it"), (2, "so 0 " + items[1][1] + " is it"), (3, "the 9 8 7 6 5 4 3 2 1 of it"),
             (4, "we saw Eva ran 6 km in 30 minutes and 13 km in 80 minutes and then they all left")]
     assert set(_found(rows, docs, items)) == {(1, 1), (2, 2), (4, 3)}
+
+
+def test_first_word_of_an_item_and_short_items(rows):
+    items = [(1, "What is the capital of France?"), (2, "Is Tom Lee older than Anna?"), (3, "Define photosynthesis briefly."), (4, "Tom met Anna")]
+    docs = [(1, "Question: What is the capital of France? Answer: unknown"), (2, "first, Is Tom Lee older than Anna? yes he is"),
+            (3, "Now define photosynthesis briefly, in not more than ten words."), (4, "as of now: Tom met Anna at the lake again"),
+            (5, "as of now: Eva met Paul at the lake again")]
+    assert set(_found(rows, docs, items)) == {(1, 1), (2, 2), (3, 3), (4, 4)}
