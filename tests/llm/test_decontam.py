@@ -84,3 +84,9 @@ def test_first_word_of_an_item_and_short_items(rows):
             (3, "Now define photosynthesis briefly, in not more than ten words."), (4, "as of now: Tom met Anna at the lake again"),
             (5, "as of now: Eva met Paul at the lake again")]
     assert set(_found(rows, docs, items)) == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_a_word_more_in_the_middle(rows):
+    words = [a + b for a in "abcdefgh" for b in "vwxyz"][:24]
+    docs = [(1, "so " + " ".join(words[:12] + ["really"] + words[12:]) + " it was"), (2, " ".join(words[:12]) + " and" * 60 + " " + " ".join(words[12:]))]
+    assert set(_found(rows, docs, [(1, " ".join(words))])) == {(1, 1)}
