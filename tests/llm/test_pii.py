@@ -66,3 +66,12 @@ def test_rows(rows):
         (1, "é [EMAIL] [IP]", 14, "x"), (None, None, None, "y"), (2, "", 0, "z")
     }
     assert pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_ibans_before_capitals_and_without_a_cue():
+    find = pii.span_finder()
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"IBAN: {iban} BIC COBADEFF", f"pay to {iban} BIC COBADEFF", f"{iban}", f"({iban.replace(' ', '')})", f"to {iban} AND TO 12"):
+        assert [text[a:b] for kind, a, b in find(text) if kind == "account"] in ([iban], [iban.replace(" ", "")])
+    for clean in ("pay to DE88 3704 0044 0532 0130 00 BIC COBADEFF", f"X{iban}", "AB12 34"):
+        assert [s for s in find(clean) if s[0] == "account"] == []

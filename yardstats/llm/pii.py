@@ -7,8 +7,8 @@ passed, so the time is linear in the text, also for megabytes of one character c
 
 Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of their
 patterns, of which failing ones are dropped. Added kinds: ``url``, a scheme address
-that carries user data before its host, and ``account``, a checked IBAN or a number of
-6 to 17 digits right behind a cue such as "account no.".
+that carries user data before its host, and ``account``, a checked IBAN, with or without a
+cue, or a number of 6 to 17 digits right behind a cue such as "account no.".
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 AUTHORITY = re.compile(r"://([^\s/?#@\"'<>]++)@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)(?::[0-9]++)?(?:[/?#][^\s\"'<>]*+)?")
 LABEL = re.compile(r"[\x20]?(?:no\.?|nr\.?|num(?:ber|ero|éro|mer)?\.?|#)?[\x20]?[:=#]?[\x20]?", re.IGNORECASE)
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9])")
 
 
@@ -57,6 +57,25 @@ def _iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _word(char: str) -> bool:
+    return char.isascii() and char.isalnum()
+
+
+def _iban_end(text: str, start: int) -> int:
+    """The longest end, behind a whole word, of an IBAN whose checksum holds; ``start`` where there is none."""
+    m = IBAN.match(text, start)
+    end = m.end() if m else start
+    while end - start >= 15:
+        if text[end - 1] != " " and not _word(text[end : end + 1]):
+            value = text[start:end]
+            if len(value) - value.count(" ") < 15:
+                break
+            if _iban_holds(value):
+                return end
+        end -= 1
+    return start
+
+
 def _anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for mark in ("@", "+", "://", *"0123456789"):
@@ -110,14 +129,20 @@ def span_finder() -> Callable[[str], list[Span]]:
                 value = LABEL.match(text, end).end()
                 if value == end:
                     continue
-                m = IBAN.match(text, value)
-                if not (m and _iban_holds(m.group())):
-                    m = NUMBER.match(text, value)
-                if m:
-                    spans.append(("account", m.start(), m.end()))
-                    passed["account"] = m.end()
+                stop = _iban_end(text, value)
+                if stop == value and (m := NUMBER.match(text, value)):
+                    stop = m.end()
+                if stop > value:
+                    spans.append(("account", value, stop))
+                    passed["account"] = stop
             elif last >= passed["run"]:
                 passed["run"] = DIGITS.match(text, last).end()
+                begin = last - 2  # two capitals before two digits may begin an IBAN without a cue
+                if begin >= passed["account"] and not (begin and _word(text[begin - 1])):
+                    stop = _iban_end(text, begin)
+                    if stop > begin:
+                        spans.append(("account", begin, stop))
+                        passed["account"] = stop
                 if last >= passed["ip"] and (m := FOUR.match(text, last)):
                     passed["ip"] = m.end()
                     parts = [part.lstrip("0") or "0" for part in m.group().split(".")]
