@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.llm import chat, decontam, embed, lm, minhash, mix, pii, quality, urls, warc
+from yardstats.llm import audit, bpe, chat, decontam, embed, lm, minhash, mix, pii, quality, urls, variants, warc
 from yardstats.llm.shared import read, write_through
 
 
@@ -68,6 +68,26 @@ def op10_url_filter(spark: SparkSession, base: str) -> DataFrame:
     return urls.judge_urls(read(spark, base, "pages"), urls.rule_table(spark))
 
 
+def op11_bpe(spark: SparkSession, base: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary lies is known on the driver only
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = bpe.encode(read(spark, base, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_source_audit(spark: SparkSession, base: str) -> DataFrame:
+    return audit.audit_sources(read(spark, base, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, base: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, base, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -79,10 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
+    "op12_source_audit": op12_source_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.CHAT_SQL,
     "op5_mix": mix.MIX_SQL,
     "op10_url_filter": urls.URLS_SQL,
+    "op12_source_audit": audit.AUDIT_SQL,
+    "op13_spelling_variants": variants.VARIANTS_SQL,
 }
