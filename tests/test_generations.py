@@ -1,0 +1,107 @@
+"""Merged batch folders: few of them, and a merge that breaks off changes nothing."""
+
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+
+from yardstats.schemas import INVOICE
+from yardstats.session import Files
+from yardstats.streaming import generations, live
+
+SCHEMA = "day date, entity string, sum_total decimal(18,2)"
+
+
+def keep(spark, path, batch, amount="1.00", fanout=4):
+    """What a stream does with its batch ``batch``."""
+    rows = spark.createDataFrame([(date(2024, 1, 1 + batch % 3), "A", Decimal(amount))], SCHEMA).coalesce(1)
+    wide = live._wide(rows)
+
+    def merge(sources, target):
+        live._summed(spark.read.schema(wide).parquet(*sources)).coalesce(1).write.mode("overwrite").parquet(target)
+
+    generations.compact(spark, path, batch, merge, fanout)
+    live._summed(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return rows
+
+
+def total(spark, path, rows):
+    return sum(r.sum_total for r in live.read_totals(spark, path, rows).collect())
+
+
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    path, most = str(tmp_path / "out"), 0
+    for batch in range(70):
+        rows = keep(spark, path, batch)
+        most = max(most, len(generations.live_folders(spark, path)))
+    assert total(spark, path, rows) == 70
+    # three of each level at most, and the open ones; what the last merge made superfluous waits for the next
+    assert most <= 4 + 3 * 3
+    assert len(Files(spark, path).names()) <= 2 * most + 1
+
+
+def test_nothing_before_the_first_batch(spark, tmp_path):
+    rows = spark.createDataFrame([], SCHEMA)
+    assert live.read_totals(spark, str(tmp_path / "none"), rows).collect() == []
+
+
+class Abort(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["publish", "delete", "merge"])
+def test_an_abort_changes_no_total(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "out")
+    for batch in range(4):
+        rows = keep(spark, path, batch)
+    assert total(spark, path, rows) == 4
+
+    def stop(*args, **more):
+        raise Abort
+
+    for batch in range(4, 12):
+        with monkeypatch.context() as patched:
+            if step == "merge":
+                patched.setattr(live, "_summed", stop)  # neither merge nor batch is written
+            else:
+                patched.setattr(Files, step, stop)
+            try:
+                keep(spark, path, batch)
+            except Abort:
+                pass
+            else:
+                assert total(spark, path, rows) == batch + 1
+                continue
+        assert total(spark, path, rows) == batch
+        keep(spark, path, batch)  # run again
+        assert total(spark, path, rows) == batch + 1
+    assert len(generations.live_folders(spark, path)) < 8
+
+
+def test_a_batch_that_was_merged_is_refused(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for batch in range(6):
+        keep(spark, path, batch)
+    with pytest.raises(ValueError, match="another stream"):
+        keep(spark, path, 0)
+
+
+def test_a_list_appears_once(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    files.publish("_live/00000001.json", "{}")
+    with pytest.raises(FileExistsError):
+        files.publish("_live/00000001.json", "other")
+    assert files.read("_live/00000001.json") == "{}" and files.names("_live") == ["00000001.json"]
+
+
+def test_a_stream_merges_its_batches(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i in range(7):
+        row = [(i, "A", 1, datetime(2024, 3, 1 + i % 2, 12), Decimal("1.00"), Decimal("0.500"))]
+        spark.createDataFrame(row, INVOICE).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(INVOICE).option("maxFilesPerTrigger", 1).parquet(inbox)
+    rows = live.live_rows(stream)
+    live.write_increments(rows, out, state, fanout=3).awaitTermination()
+    got = {r.day.day: (r.sum_total, r.sum_total_vat) for r in live.read_totals(spark, out, rows).collect()}
+    assert sum(v[0] for v in got.values()) == 7 and sum(v[1] for v in got.values()) == 10.5 and set(got) == {1, 2}
+    assert any(n.startswith("merged-") for n in Files(spark, out).names())

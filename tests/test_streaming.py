@@ -71,6 +71,35 @@ def test_live_parts(spark, tmp_path, dimension):
     assert current(spark, totals, out) == {(date(2024, 3, 10), name): (1,), (date(2024, 3, 10), "Unknown"): (2,)}
 
 
+@pytest.mark.parametrize("dimension", ["department", "user"])
+def test_sold_rows_move_when_their_invoice_comes(spark, tmp_path, dimension):
+    sold_in, invoice_in, out, state = (str(tmp_path / n) for n in ("sold", "invoice", "out", "state"))
+    a, b = datetime(2024, 3, 10, 0, 30), datetime(2024, 3, 11, 23)
+    users = spark.createDataFrame([(1, "ann"), (2, "bob")], USERS)
+
+    def arrive(sold=(), invoice=()):
+        """Both may come at once; then the stream runs to its end, as if started anew."""
+        spark.createDataFrame(list(sold), SOLD).coalesce(1).write.mode("append").parquet(sold_in)
+        invoices(spark, *[(i, d, u, a, "1.00", "0.000") for i, d, u in invoice]).write.mode("append").parquet(invoice_in) if invoice else (
+            spark.createDataFrame([], INVOICE).coalesce(1).write.mode("append").parquet(invoice_in)
+        )
+        streams = [spark.readStream.schema(k).parquet(p) for k, p in ((SOLD, sold_in), (INVOICE, invoice_in))]
+        rows = live.live_parts(*streams, dimension, users)
+        live.write_increments(rows, out, state).awaitTermination()
+        return {(d.day, e): n for (d, e), (n,) in current(spark, rows, out).items()}
+
+    one, two = ("A", "B") if dimension == "department" else ("ann", "bob")
+    rows = [(1, 5, 10, True, a), (1, 5, None, True, a), (1, 5, 11, True, b), (None, 5, 12, True, a), (2, 5, 13, False, a), (3, 5, 14, None, a)]
+    assert arrive(rows) == {(10, "Unknown"): 2, (11, "Unknown"): 1}
+    assert arrive(rows[:1], [(1, "A", 1)]) == {(10, one): 2, (11, one): 1, (10, "Unknown"): 1}
+    assert arrive() == {(10, one): 2, (11, one): 1, (10, "Unknown"): 1}
+    # An invoice that came first, one that comes again, one without names, a row that waits further on
+    assert arrive([(4, 5, None, True, b), (9, 5, 20, True, b)], [(2, "B", 2), (1, "A", 1), (4, None, None)]) == {
+        (10, one): 2, (11, one): 1, (10, "Unknown"): 1, (11, "Unknown"): 1,
+    }
+    assert arrive([(2, 5, 15, True, b)], [(9, "B", 2)]) == {(10, one): 2, (11, one): 1, (10, "Unknown"): 1, (11, two): 2, (11, "Unknown"): 0}
+
+
 def test_live_user_sales_drop_unknown_users(spark, tmp_path):
     inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     when = datetime(2024, 3, 10, 12)

@@ -21,6 +21,7 @@ from yardstats.functions.modes import dimension_of
 from yardstats.functions.periods import Period, dated
 from yardstats.functions.text import item_label, label, label_is
 from yardstats.operators.spread import left_join_sparse_key
+from yardstats.sources.buckets import KEY, SLOT, once
 
 
 def _sums(names: list[str]) -> list[Column]:
@@ -40,6 +41,7 @@ def sales_by_entity(
     dimension.
     """
     by = by or {}
+    invoice = once(invoice)
     keys = [c.alias(n) for n, c in by.items()]
     aggs = [F.sum(c).alias(n) for n, c in measures.items()]
     if dimension_of(dimension) == "department":
@@ -63,7 +65,7 @@ def parts_by_entity(
 
     Sold rows without an invoice, and invoices without a known user, stay under
     a null entity. ``entity`` keeps the rows of one label; ``labelled`` groups on
-    the label instead of the raw name.
+    the label instead of the raw name. Facts stored in buckets are joined where they lie.
     """
     by = by or {}
     names = list(measures)
@@ -75,19 +77,25 @@ def parts_by_entity(
 
     to_user = dimension_of(dimension) == "user"
     owner = F.col("whocreated_id").alias("user_id") if to_user else F.col("departmentname")
-    owners = invoice.select("invoice_id", owner)
+    # Stored in buckets, null and hot invoices have been dealt out already.
+    bucketed = SLOT in sold.columns and SLOT in invoice.columns
+    on = [KEY, SLOT] if bucketed else [KEY]
+    owners = (invoice if bucketed else once(invoice)).select(*on, owner)
     if by:
         # A sold row is nearly alone with its invoice and item or day: grouping on them
         # would be a shuffle that reduces nothing. The rows are shuffled once, for the join.
         counted = [c.isNotNull().cast("long").alias(n) for n, c in measures.items()]
         keys = [c.alias(n) for n, c in by.items()]
-        spread = F.xxhash64("invnumber", "itemtype_id", "solddate").alias("_spread")
-        rows = sold.select("invoice_id", *keys, *counted, spread)
-        owned = left_join_sparse_key(rows, owners, "invoice_id", spread_by=["_spread"]).drop("_spread")
+        if bucketed:
+            owned = sold.select(*on, *keys, *counted).join(owners, on, "left")
+        else:
+            spread = F.xxhash64("invnumber", "itemtype_id", "solddate").alias("_spread")
+            rows = sold.select(KEY, *keys, *counted, spread)
+            owned = left_join_sparse_key(rows, owners, KEY, spread_by=["_spread"]).drop("_spread")
     else:
         aggs = [F.count(c).alias(n) for n, c in measures.items()]
         # One row per invoice is left, already partitioned on the join key.
-        owned = sold.groupBy("invoice_id").agg(*aggs).join(owners, "invoice_id", "left")
+        owned = sold.groupBy(*on).agg(*aggs).join(owners, on, "left")
     if not to_user:
         return finish(owned, "departmentname")
     per_user = owned.groupBy("user_id", *by).agg(*_sums(names))

@@ -15,7 +15,9 @@ from yardstats.plans.reports import breakdown_report, period_stats, saved_stats,
 from yardstats.plans.sample import Sample
 from yardstats.plans.views import over
 from yardstats.session import work_path
+from yardstats.sinks.buckets import write_bucketed
 from yardstats.sinks.export import write_by_month
+from yardstats.sources.buckets import read_bucketed
 from yardstats.sources.tables import read_table
 from yardstats.streaming import live
 
@@ -69,6 +71,32 @@ def department_parts(s: Sample) -> DataFrame:
     return entities.entity_parts(s.sold(), s.invoice(), MARCH)
 
 
+def _bucketed(s: Sample) -> tuple[DataFrame, DataFrame]:
+    """(sold, invoice) stored in buckets of the invoice, as a cluster would hold them."""
+    base = work_path(s.spark, "bucketed")
+    write_bucketed(s.sold(), s.invoice(), base, buckets=8)
+    return read_bucketed(s.spark, base)
+
+
+_PARTS = """
+SELECT coalesce({0}, 'Unknown') AS entity, count(invnumber) AS parts_sold
+FROM v_owned WHERE issold AND {1} GROUP BY v_owned.{0} ORDER BY {2}"""
+
+
+@query("department_parts_bucketed", over("v_owned", _PARTS.format("departmentname", IN_MARCH.format("solddate"), "1")), ordered=True)
+def department_parts_bucketed(s: Sample) -> DataFrame:
+    return entities.entity_parts(*_bucketed(s), MARCH)
+
+
+@query(
+    "user_parts_bucketed",
+    over("v_owned", _PARTS.format("shortname", IN_MARCH.format("solddate"), "v_owned.shortname NULLS LAST")),
+    ordered=True,
+)
+def user_parts_bucketed(s: Sample) -> DataFrame:
+    return entities.entity_parts(*_bucketed(s), MARCH, "user", s.users())
+
+
 @query(
     "user_parts",
     over("v_owned", f"""
@@ -106,6 +134,12 @@ def parts_breakdown_all(s: Sample) -> DataFrame:
     return entities.parts_breakdown(s.sold(), s.invoice(), s.itemtype(), MARCH)
 
 
+@query("parts_breakdown_bucketed", _breakdown_sql("departmentname", "true"), ordered=True)
+def parts_breakdown_bucketed(s: Sample) -> DataFrame:
+    sold, invoice = _bucketed(s)
+    return entities.parts_breakdown(sold, invoice, s.itemtype(), MARCH)
+
+
 @query(
     "breakdown_total",
     over("v_owned", f"""
@@ -543,5 +577,17 @@ SELECT CAST(CAST(solddate AS DATE) AS VARCHAR) AS day, coalesce(shortname, 'Unkn
 FROM v_owned WHERE issold GROUP BY 1, 2"""),
 )
 def live_daily_parts(s: Sample) -> DataFrame:
+    """Sold rows and invoices arrive side by side, each the newest first, so most sold rows wait for their invoice."""
+    sold, invoice = _newest_first(s, s.sold(), "solddate"), _newest_first(s, s.invoice(), "datecreated")
+    return _drained(s, live.live_parts(sold, invoice, "user", s.users()))
+
+
+@query(
+    "live_department_parts",
+    over("v_owned", """
+SELECT CAST(CAST(solddate AS DATE) AS VARCHAR) AS day, coalesce(departmentname, 'Unknown') AS entity, count(invnumber) AS parts_sold
+FROM v_owned WHERE issold GROUP BY 1, 2"""),
+)
+def live_department_parts(s: Sample) -> DataFrame:
     arriving = _newest_first(s, s.sold(), "solddate")
-    return _drained(s, live.live_rows(arriving, "user", "parts", invoice=s.invoice(), users=s.users()))
+    return _drained(s, live.live_rows(arriving, "department", "parts", invoice=s.invoice()))

@@ -80,6 +80,47 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Files:
+    """Names and small texts in a folder that every executor can reach, whatever store it lies in."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._text = spark._jvm.org.apache.commons.io.IOUtils.toString
+        self._base = base.rstrip("/")
+        self._store = self._path(self._base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self._base}/{name}" if name else self._base)
+
+    def names(self, name: str = "") -> list[str]:
+        """What lies in a folder; nothing if there is none."""
+        at = self._at(name)
+        return sorted(x.getPath().getName() for x in self._store.listStatus(at)) if self._store.exists(at) else []
+
+    def exists(self, name: str) -> bool:
+        return self._store.exists(self._at(name))
+
+    def read(self, name: str) -> str:
+        stream = self._store.open(self._at(name))
+        try:
+            return self._text(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """Write a file that readers see whole or not at all; it must not be there yet."""
+        draft = self._at(f"{name}.{uuid.uuid4().hex}.draft")
+        stream = self._store.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self._store.exists(self._at(name)) or not self._store.rename(draft, self._at(name)):
+            self._store.delete(draft, False)
+            raise FileExistsError(f"{self._base}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._store.delete(self._at(name), True)
+
+
 def overwrite_table(df: DataFrame, path: str) -> None:
     """Replace a stored table by a result that may have been read from it.
 

@@ -33,12 +33,12 @@ def export_audit(log: DataFrame, path: str) -> None:
     write_csv(audit.export_rows(log), path)
 
 
-def write_by_month(df: DataFrame, path: str, moment: str) -> None:
-    """Store a table laid out by the month of ``moment``.
+def write_by_month(df: DataFrame, path: str, moment: str, mode: str = "overwrite") -> None:
+    """Store a table laid out by the month of ``moment``; ``mode="append"`` adds files to it.
 
     Period reports on it read the files of their months only. A month's rows are dealt
     out over a few tasks by day, so that it has few files and no task has it alone.
     """
     month = F.trunc(F.col(moment), "MM").alias(month_column(moment))
     rows = df.select("*", month).repartition(month_column(moment), F.dayofmonth(moment) % FILES_PER_MONTH)
-    rows.write.mode("overwrite").partitionBy(month_column(moment)).parquet(path)
+    rows.write.mode(mode).partitionBy(month_column(moment)).parquet(path)

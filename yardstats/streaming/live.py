@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from yardstats.functions.modes import dimension_of, mode_of
 from yardstats.functions.text import label
 from yardstats.operators.audit import as_audit_rows, by_day
 from yardstats.operators.entities import gross, net
 from yardstats.operators.spread import left_join_sparse_key
+from yardstats.streaming.generations import FANOUT, compact, live_folders
 
 
 def utc_instant(moment: Column) -> Column:
@@ -38,7 +45,8 @@ def live_rows(
     """Arriving invoices or sold rows as ``day, entity`` and what they add to a total.
 
     ``invoice`` and ``users`` are stored tables joined to every batch of the stream;
-    pass the months of ``invoice`` that can still be sold from, not its whole history.
+    pass the months of ``invoice`` that can still be sold from, not its whole history. Where
+    invoices arrive as well, take ``live_parts``: it moves sold rows that came first.
     The added columns: ``sum_total, sum_total_vat`` as decimals, or ``parts_sold``.
     """
     parts = mode_of(mode) == "parts"
@@ -59,22 +67,120 @@ def live_rows(
 
 
 KEYS = ["day", "entity"]
+SLOTS = 64  # over which sold rows without any invoice are dealt out
+ROWS = "sold_rows"  # how many rows are behind a total; a total without any is none
+
+_EVENT = "invoice_id long, slot int, owner boolean, day int, departmentname string, whocreated_id long, parts_sold long, sold_rows long"
+_ADDED = "day int, departmentname string, whocreated_id long, parts_sold long, sold_rows long"
+_WAITING = "known boolean, departmentname string, whocreated_id long, days array<int>, parts array<long>, sold_rows array<long>"
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal events of an Arrow batch as one, so that a hot invoice is a few rows before it is shuffled."""
+    for batch in batches:
+        keys = [n for n in batch.schema.names if n not in ("parts_sold", ROWS)]
+        added = pa.table(batch).group_by(keys).aggregate([("parts_sold", "sum"), (ROWS, "sum")])
+        yield from added.rename_columns([*keys, "parts_sold", ROWS]).select(batch.schema.names).to_batches()
+
+
+def _corrected(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the events of one invoice add to the totals, moving what had come before it.
+
+    Until the invoice is known its rows count under no owner, and their days wait in the state. Of several
+    rows of one invoice the first in the order of department and user counts, as long as no earlier batch had one.
+    """
+    known, department, user, *waiting = state.get if state.exists else (False, None, None, [], [], [])
+    days: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    owners = []
+    for part in events:
+        for row in part.itertuples(index=False):
+            if row.owner:
+                who = None if pd.isna(row.whocreated_id) else int(row.whocreated_id)
+                owners.append((row.departmentname, who))
+            else:
+                days[int(row.day)][0] += int(row.parts_sold)
+                days[int(row.day)][1] += int(row.sold_rows)
+    out = []
+    if owners and not known:
+        department, user = min(owners, key=lambda o: (o[0] is None, o[0] or "", o[1] is None, o[1] or 0))
+        known = True
+        for day, parts, rows in zip(*waiting):
+            out += [(day, None, None, -parts, -rows), (day, department, user, parts, rows)]
+        waiting = [[], [], []]
+    out += [(day, department, user, parts, rows) for day, (parts, rows) in sorted(days.items())]
+    if key[0] is not None and not pd.isna(key[0]):  # a sold row without invoice waits for none
+        if not known:
+            for day, (parts, rows) in zip(*[waiting[0], zip(waiting[1], waiting[2])]):
+                days[int(day)][0] += int(parts)
+                days[int(day)][1] += int(rows)
+            ordered = sorted(days)
+            waiting = [ordered, [days[d][0] for d in ordered], [days[d][1] for d in ordered]]
+        state.update((known, department, user, *waiting))
+    frame = pd.DataFrame(out, columns=["day", "departmentname", "whocreated_id", "parts_sold", ROWS], dtype=object)
+    yield frame.astype({"day": "int32", "whocreated_id": "Int64", "parts_sold": "int64", ROWS: "int64"})
+
+
+def live_parts(sold: DataFrame, invoice: DataFrame, dimension: str = "department", users: DataFrame | None = None) -> DataFrame:
+    """Arriving sold rows and arriving invoices, in any order, as ``day, entity`` and what they add.
+
+    A sold row that comes before its invoice counts under "Unknown" until the invoice comes, in whatever batch; then
+    a negative and a positive increment move it. Its days wait in the stream's state by invoice, and so does
+    the owner of each invoice: keep the state in RocksDB where invoices are many. ``users`` is a stored table.
+    Added are ``parts_sold`` and ``sold_rows``, the number of rows behind it.
+    """
+    day = F.unix_date(utc_day(utc_instant(F.col("solddate"))))
+    zero = F.lit(0).cast("long")
+    slot = F.when(F.col("invoice_id").isNull(), F.pmod(F.xxhash64("invnumber", "itemtype_id", "solddate"), F.lit(SLOTS)).cast("int")).otherwise(0)
+    rows = sold.filter("issold").select(
+        "invoice_id", slot.alias("slot"), F.lit(False).alias("owner"), day.alias("day"), F.lit(None).cast("string").alias("departmentname"),
+        F.lit(None).cast("long").alias("whocreated_id"), F.col("invnumber").isNotNull().cast("long").alias("parts_sold"),
+        F.lit(1).cast("long").alias(ROWS),
+    )
+    owners = invoice.filter("invoice_id is not null").select(
+        "invoice_id", F.lit(0).alias("slot"), F.lit(True).alias("owner"), F.lit(None).cast("int").alias("day"),
+        "departmentname", "whocreated_id", zero.alias("parts_sold"), zero.alias(ROWS),
+    )
+    events = rows.union(owners).mapInArrow(_combined, _EVENT)
+    added = events.groupBy("invoice_id", "slot").applyInPandasWithState(_corrected, _ADDED, _WAITING, "append", "NoTimeout")
+    name = F.col("departmentname")
+    if dimension_of(dimension) == "user":
+        named = users.select(F.col("user_id").alias("whocreated_id"), "shortname")
+        added, name = added.join(named, "whocreated_id", "left"), F.col("shortname")
+    return added.select(F.date_from_unix_date("day").alias("day"), label(name).alias("entity"), "parts_sold", ROWS)
+
+
+def _wide(rows: DataFrame) -> T.StructType:
+    """The columns of stored increments: money has room for all sums."""
+    fields = [
+        T.StructField(f.name, T.DecimalType(38, f.dataType.scale)) if isinstance(f.dataType, T.DecimalType) else f
+        for f in rows.schema.fields
+    ]
+    return T.StructType(fields)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    values = [c for c in rows.columns if c not in (*KEYS, "batch")]
-    return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in values])
+    wide = _wide(rows)
+    values = [f for f in wide if f.name not in KEYS]
+    sums = rows.groupBy(*KEYS).agg(*[F.sum(f.name).cast(f.dataType).alias(f.name) for f in values])
+    return sums.select(*wide.names)
 
 
-def write_increments(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def write_increments(rows: DataFrame, path: str, checkpoint: str, fanout: int = FANOUT, **trigger) -> StreamingQuery:
     """Keep what every batch adds, one row per day and entity, in a folder per batch.
 
-    No state is held between batches and no row is too late: files may arrive in any
-    order. A batch that is run again after a failure overwrites its own folder, so
-    nothing is counted twice.
+    No row is too late: files may arrive in any order. A batch that is run again after
+    a failure overwrites its own folder, so nothing is counted twice. Every ``fanout`` closed
+    folders are merged into one, and as many merged ones again. One stream writes to a ``path``.
     """
+    schema = _wide(rows)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def merge(sources: list[str], target: str) -> None:
+            _summed(spark.read.schema(schema).parquet(*sources)).write.mode("overwrite").parquet(target)
+
+        compact(spark, path, batch_id, merge, fanout)
         _summed(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
@@ -89,16 +195,17 @@ def write_increments(rows: DataFrame, path: str, checkpoint: str, **trigger) ->
 def read_totals(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """The totals of all batches so far: ``day, entity`` and the sums, money as doubles.
 
-    ``rows`` is the stream that was written; it gives the columns.
+    ``rows`` is the stream that was written; it gives the columns. Before the first batch there are no rows.
+    A total that corrections have left without any row behind it is not there.
     """
-    wide = [
-        T.StructField(f.name, T.DecimalType(38, f.dataType.scale)) if isinstance(f.dataType, T.DecimalType) else f
-        for f in rows.schema.fields
-    ]
-    stored = spark.read.option("mergeSchema", False).parquet(path)
-    stored = stored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wide])
+    wide = _wide(rows)
+    folders = live_folders(spark, path)
+    stored = spark.read.schema(wide).parquet(*folders) if folders else spark.createDataFrame([], wide)
+    totals = _summed(stored)
+    if ROWS in wide.names:
+        totals = totals.filter(F.col(ROWS) > 0).drop(ROWS)
     money = {f.name for f in wide if isinstance(f.dataType, T.DecimalType)}
-    return _summed(stored).select(*[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in rows.columns])
+    return totals.select(*[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in totals.columns])
 
 
 def stream_audit(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
