@@ -1,0 +1,94 @@
+"""Divergences against a plain count with exact numbers."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from tests.llm.brute import LOWER
+from yardstats.llm import audit
+
+BREAKS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def plain(rows, least_docs):
+    """(lang, source, part, item, value, rank) of (text, lang, source) rows."""
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        terms = re.findall(BREAKS, (text or "").translate(LOWER))
+        counts[lang or "", source or ""].update(terms)
+        docs[lang or ""].update(set(terms))
+        groups[lang or ""].add(source or "")
+    out = set()
+    for lang, sources in groups.items():
+        kept = sorted(t for t, n in docs[lang].items() if n >= least_docs)
+        whole = sum((counts[lang, s] for s in sources), Counter())
+
+        def billionths(count):
+            total = sum(count[t] for t in kept) + 5 * len(kept)
+            return {t: 1 + 10**9 * (count[t] + 5) // total for t in kept}
+
+        q, p = billionths(whole), {s: billionths(counts[lang, s]) for s in sources}
+        for s in sources:
+            pair = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in sources if o != s]
+            term = [(q[t] - p[s][t], t.encode()) for t in kept if counts[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pair)), ("term", sorted(term)[:50])):
+                out |= {(lang, s, part, item.decode(), -value, i) for i, (value, item) in enumerate(found, 1)}
+    return out
+
+
+def got(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    found = audit.audit_sources(docs, **more)
+    assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    random.seed(12)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(200)] + ["The", "THE", "the", "Ünd", "ünd", "x_y", "\u0085z"]
+    return [
+        (" ".join(random.choices(words, k=random.randint(0, 60))), random.choice(["en", "de", None]), random.choice(["a", "b", "Ç", "", None, "hot", "hot", "hot"]))
+        for _ in range(400)
+    ]
+
+
+def test_same_as_plain(spark, rows):
+    assert got(spark, rows) == plain(rows, 30)
+
+
+def test_blocks_shards_and_merges_change_nothing(spark, rows, monkeypatch):
+    for name, value in (("CELLS", 20), ("SHARD_ROWS", 50), ("HELD_ROWS", 300)):
+        monkeypatch.setattr(audit, name, value)
+    assert got(spark, rows * 2, least_docs=3) == plain(rows * 2, 3)
+
+
+def test_empty_texts_and_tables(spark):
+    assert got(spark, []) == set()
+    odd = [(None, "en", "a"), ("", "en", "b"), ("1 2 3", None, None), ("one", "fr", "only")]
+    assert got(spark, odd) == plain(odd, 30) == {("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)}
+
+
+def test_ties_are_ranked_by_bytes(spark):
+    odd = [("zz aa ÿÿ", "en", "a"), ("qq", "en", "b"), ("qq", "en", "c")] * 3
+    found = got(spark, odd, least_docs=3)
+    assert found == plain(odd, 3)
+    assert [r[3] for r in sorted(found, key=lambda r: r[5]) if r[:3] == ("en", "a", "term")] == ["aa", "zz", "ÿÿ"]
+
+
+def test_long_text_and_clashing_columns(spark):
+    text = "alpha " * 300_000 + "beta"
+    docs = spark.createDataFrame([(text, "en", "a", 1, 2)] * 2 + [("beta", "en", "b", 1, 2)] * 2, "text string, lang string, source string, n int, term int")
+    found = {tuple(r) for r in audit.audit_sources(docs, least_docs=2).collect()}
+    assert found == plain([(text, "en", "a")] * 2 + [("beta", "en", "b")] * 2, 2)
+
+
+def test_large_counts_are_exact():
+    import numpy as np
+
+    counts = np.array([5, 10**12 + 5, 7 * 10**14 + 5, 10**15])
+    assert audit._billionths(counts, 10**15 + 11).tolist() == [1 + 10**9 * int(c) // (10**15 + 11) for c in counts]

@@ -26,7 +26,8 @@ LEAST_DOCS = 30  # of its language, that hold a kept term
 ADDED = 5  # to each count
 SCALE = 1_000_000_000
 TOP = 50
-HELD_ROWS = 1 << 20  # partial counts that a task holds before it merges them
+HELD_ROWS = 1 << 19  # partial counts that a task holds before it merges them
+TEXT_BYTES = 1 << 22  # of texts that are cut into terms together, unless one text is longer
 SHARD_ROWS = 1 << 17  # counts of one shard, about
 CELLS = 1 << 20  # of a block of terms by sources, unless one term has more sources
 
@@ -58,6 +59,17 @@ def _of_batch(batch: pa.RecordBatch) -> pa.Table:
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``TEXT_BYTES`` of text at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _merged(tables: list[pa.Table]) -> pa.Table:
     merged = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
     return pa.table(merged.columns, COUNTS)
@@ -71,9 +83,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, seen = [], 0, set()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole)):
             found = _of_batch(batch)
             held.append(found)
             rows += found.num_rows

@@ -16,10 +16,12 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 from collections.abc import Callable
 
+import tiktoken
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardstats.llm.shared import write_through
@@ -35,11 +37,50 @@ PLACES = (1 << PLACE_BITS) - 1
 
 #: White space as Unicode has it; Java's own class holds ASCII only.
 SPACE = r"\x09-\x0D\x85\p{Z}"
+KINDS = (r"\p{L}", r"\p{N}")
 
 
-def java_pattern(pattern: str) -> str:
-    """A tokenizer's pattern for Spark: white space is that of Unicode."""
-    return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+@functools.cache
+def _library_class(kind: str) -> str:
+    """All characters of a class, as the tokenizer library's edition of Unicode has them."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    probe = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return bytes(probe.encode_ordinary(every)).decode()
+
+
+def _newer(spark: SparkSession, kind: str) -> str:
+    """Ranges of the characters of a class that an older Java does not know yet."""
+    known = F.regexp_replace(F.col("every"), kind, "")
+    rest = spark.createDataFrame([(_library_class(kind),)], "every string").select(known.alias("rest")).first().rest
+    ranges: list[list[int]] = []
+    for code in map(ord, rest):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges)
+
+
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    """A tokenizer's pattern for Spark, with the white space, letters and numbers of the tokenizer's library."""
+    newer = {kind: _newer(spark, kind) for kind in KINDS if kind in pattern}
+
+    def negated(found: str) -> str:
+        inner = found.replace(r"\s", SPACE)
+        for kind, ranges in newer.items():
+            inner = inner.replace(kind, kind + ranges)
+        return inner
+
+    parts = re.split(r"(\[\^[^\]]*\])", pattern)  # classes that are excluded, and what is between
+    for at, part in enumerate(parts):
+        if at % 2:
+            parts[at] = negated(part)
+            continue
+        part = part.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+        for kind, ranges in newer.items():
+            part = part.replace(kind, f"[{kind}[{ranges}]]" if ranges else kind)
+        parts[at] = part
+    return "".join(parts)
 
 
 @functools.cache
@@ -127,8 +168,8 @@ def _word_ids(ranks: Column, word: Column) -> Column:
 
 
 def split_words(text: Column, pattern: str) -> Column:
-    """The matches of the tokenizer's pattern in a text; null: none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+    """The matches of a Java pattern in a text; null: none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
 def frequent_words(texts: DataFrame, pattern: str, most: int = FREQUENT) -> DataFrame:
@@ -164,6 +205,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     replaced. ``ranks`` has all 256 bytes. ``frequent`` bounds the words whose ids travel with the plan; it changes
     the time only. Equal rows stay as many as they are.
     """
+    pattern = java_pattern(docs.sparkSession, pattern)
     known = frequent_words(docs.select("text"), pattern, frequent)
     known = {row.word: row.ids for row in encode_words(known, ranks).toLocalIterator()}  # ``frequent`` rows at most
     known_map = _literal(_buckets(known), "array<map<string,array<int>>>")

@@ -12,6 +12,10 @@ that only has the same outline of placeholders is not.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +27,7 @@ LITERALS = 3  # words that are no placeholders, in a window that is joined by it
 SPREAD = 16  # offsets of one alignment lie closer than this, or than the item's windows
 SIMILARITY = 0.8  # share of an item's windows
 RUN = 13  # or so many words in a row
+PART_ROWS = 500_000  # windows of the benchmark that are looked for in one pass
 
 # Each pattern starts with a character that is quickly looked for. A name stands behind a
 # word or comma, so that the first word of a sentence is none; several in a row are one.
@@ -54,30 +59,29 @@ def template_words(text: Column) -> Column:
     return _kinds(_valued_words(text))
 
 
-def _hashes(words: Column, width: Column | int) -> Column:
-    """Hash of each window of ``width`` words; none where there are fewer."""
-    width = F.lit(width) if isinstance(width, int) else width
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    hashes = F.transform(starts, lambda start: F.xxhash64(F.slice(words, start, width)))
-    return F.when(F.size(words) >= width, hashes).otherwise(F.array().cast("array<long>"))
+def _hash(words: str, at: Column, width: int) -> Column:
+    """Hash of the ``width`` words from place ``at`` on; no array is made of them."""
+    return F.xxhash64(*[F.get(F.col(words), at + k) for k in range(width)])
+
 
+def _by_width(widths: list[int], of: Callable[[int], Column]) -> Column:
+    """``of`` the row's own width."""
+    return F.coalesce(*[F.when(F.col("width") == width, of(width)) for width in widths])
 
-def _literal(words: Column, width: Column) -> Column:
-    """Whether each window has enough words that are no placeholders."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    least = F.least(width, F.lit(LITERALS))
-    plain = lambda start: F.filter(F.slice(words, start, width), lambda w: ~w.startswith("<"))
-    return F.transform(starts, lambda start: F.size(plain(start)) >= least)
 
+def _literal(words: str, at: Column, width: int) -> Column:
+    """Whether a window has enough words that are no placeholders."""
+    plain = [(~F.get(F.col(words), at + k).startswith("<")).cast("int") for k in range(width)]
+    return reduce(Column.__add__, plain) >= min(width, LITERALS)
 
-def _by_width(words: str, widths: list[int], name: str) -> Column:
-    """All windows of the widths, as an array of (width, pos, ``name``)."""
-    def windows(width: int) -> Column:
-        return F.transform(
-            _hashes(F.col(words), width), lambda h, at: F.struct(F.lit(width).alias("width"), at.alias("pos"), h.alias(name))
-        )
 
-    return F.concat(*[windows(width) for width in widths])
+def _placeholders(valued: str, at: Column, width: Column) -> Column:
+    """(pos, word) of the placeholders of a window; null where there is none."""
+    def one(k: int) -> Column:
+        word = F.get(F.col(valued), at + k)
+        return F.when((width > k) & word.startswith("<"), F.struct((at + k).alias("pos"), word.alias("word")))
+
+    return F.array(*[one(k) for k in range(WINDOW)])
 
 
 def _keyed(texts: DataFrame, name: str, key: str) -> DataFrame:
@@ -106,13 +110,6 @@ OFFSET = [*PAIR, "offset"]
 ALIGNMENT = [*PAIR, "grid", "band"]
 
 
-def _slots(texts: DataFrame, names: list[str], valued: Column, prefix: str = "") -> DataFrame:
-    """One row per placeholder of a text: ``names``, pos, kind, value. Wholly equal rows count once."""
-    rows = texts.dropDuplicates(names).select(*names, F.posexplode(valued).alias(f"{prefix}pos", "word")).filter(F.col("word").startswith("<"))
-    kind = F.substring_index("word", " ", 1)
-    return rows.select(*names, f"{prefix}pos", kind.alias(f"{prefix}kind"), F.col("word").alias(f"{prefix}value"))
-
-
 def _without(lead: str, value: str) -> Column:
     """The name behind its first word, where that is ``lead``."""
     start = F.concat(F.lit("<name "), F.col(lead), F.lit(" "))
@@ -133,15 +130,18 @@ def _grids(hits: DataFrame) -> DataFrame:
     return hits.withColumn("in", F.explode(each)).select("*", "in.grid", "in.band").drop("in")
 
 
-def _slot_counts(pieces: DataFrame, docs: DataFrame, variants: DataFrame) -> DataFrame:
+def _slot_counts(pieces: DataFrame, found: DataFrame, variants: DataFrame) -> DataFrame:
     """Per alignment with slots: slots, changed_slots, values (the most that one value of the item stands for).
 
-    ``pieces``: alignment, offset, start and end of each stretch of words that match.
+    ``pieces``: alignment, offset, start and end of each stretch of words that match. Their placeholders
+    are those of the windows in ``found``, so no text is read for them.
     """
-    own = docs.join(pieces.select("doc").distinct(), "doc", "left_semi")
-    own = _slots(own, ["doc"], _valued_words(F.col("text")))
+    own = found.join(pieces.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode("slots").alias("slot"))
+    own = own.filter("slot is not null").select("doc", "slot.pos", F.col("slot.word").alias("value")).distinct()
+    own = own.withColumn("kind", F.substring_index("value", " ", 1))
     theirs = variants.join(pieces.select("item").distinct(), "item", "left_semi")
-    theirs = _slots(theirs, ["item", "variant", "lead"], F.col("valued"), "item_")
+    theirs = theirs.select("item", "variant", "lead", F.posexplode("valued").alias("item_pos", "item_value"))
+    theirs = theirs.filter(F.col("item_value").startswith("<")).withColumn("item_kind", F.substring_index("item_value", " ", 1))
     theirs = theirs.withColumn("lead", F.when(F.col("item_pos") == 0, F.col("lead")).otherwise(""))
     met = pieces.join(own, "doc").filter(F.col("pos").between(F.col("start"), F.col("end")))
     met = met.withColumn("item_pos", F.col("pos") - F.col("offset")).join(theirs, ["item", "variant", "item_pos"])
@@ -156,33 +156,64 @@ def _slot_counts(pieces: DataFrame, docs: DataFrame, variants: DataFrame) -> Dat
     )
 
 
-def _hits(docs: DataFrame, variants: DataFrame) -> DataFrame:
-    """doc, item, variant, offset, pos, item_pos, width, item_windows, same: each window of an item in a document.
+def _windows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc, valued, width, pos, hash: all windows of the documents, one after another.
 
-    ``same``: the values agree too. A window of few literal words counts where its values
-    agree, or where another window has the same offset.
+    The words stay beside each window as they are in their document's row, and are not copied
+    before a join that keeps few windows.
     """
-    # The words are a column first: written into the lambda they would be made anew for every window.
-    words, width = F.col("words"), F.col("width")
-    zipped = F.arrays_zip(
-        _hashes(words, width).alias("hash"), _hashes(F.col("valued"), width).alias("raw"), _literal(words, width).alias("literal")
+    rows = docs.select("doc", _valued_words(F.col("text")).alias("valued"))
+    rows = rows.select("doc", "valued", _kinds(F.col("valued")).alias("words")).filter(F.size("valued") > 0)
+    rows = rows.select("doc", "valued", "words", F.explode(F.sequence(F.lit(0), F.size("valued") - 1)).alias("pos"))
+    fits = lambda width: F.col("pos") + width <= F.size("valued")
+    if len(widths) == 1:
+        rows = rows.filter(fits(widths[0])).withColumn("width", F.lit(widths[0]))
+    else:
+        each = F.explode(F.array(*[F.when(fits(width), F.lit(width)) for width in widths])).alias("width")
+        rows = rows.select("*", each).filter("width is not null")
+    return rows.withColumn("hash", _by_width(widths, lambda width: _hash("words", F.col("pos"), width))).drop("words")
+
+
+def _found(docs: DataFrame, places: DataFrame, widths: list[int]) -> DataFrame:
+    """doc, width, pos, hash, literal, raw, slots: the windows of documents that an item has too.
+
+    One pass over the texts for each ``PART_ROWS`` windows of the benchmark, which are broadcast; no text is moved.
+    A window that many items share is met once. Equal rows of ``docs`` count once.
+    """
+    known = write_through(places.select("width", "hash", "literal").distinct(), "benchmark-known")
+    parts = max(1, math.ceil(known.count() / PART_ROWS))
+    hits = []
+    for part in range(parts):
+        own = known if parts == 1 else known.filter(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part)
+        hits.append(_windows(docs, widths).join(F.broadcast(own), ["width", "hash"]))
+    hit = reduce(DataFrame.union, hits)
+    pos = F.col("pos")
+    raw = _by_width(widths, lambda width: _hash("valued", pos, width))
+    hit = hit.select("doc", "width", "pos", "hash", "literal", raw.alias("raw"), _placeholders("valued", pos, F.col("width")).alias("slots"))
+    return write_through(hit.dropDuplicates(["doc", "width", "pos"]), "benchmark-hits")
+
+
+def _places(variants: DataFrame) -> DataFrame:
+    """item, variant, width, item_windows, item_pos, hash, raw, literal: all windows of the items."""
+    every = list(range(1, WINDOW + 1))
+    at = F.col("item_pos")
+    rows = variants.withColumn("item_windows", F.size("words") - F.col("width") + 1)
+    rows = rows.withColumn("item_pos", F.explode(F.sequence(F.lit(0), F.col("item_windows") - 1)))
+    return rows.select(
+        "item", "variant", "width", "item_windows", "item_pos",
+        _by_width(every, lambda width: _hash("words", at, width)).alias("hash"),
+        _by_width(every, lambda width: _hash("valued", at, width)).alias("raw"),
+        _by_width(every, lambda width: _literal("words", at, width)).alias("literal"),
     )
-    places = variants.withColumn("item_windows", F.size("words") - width + 1)
-    places = places.select("item", "variant", "width", "item_windows", F.posexplode(zipped).alias("item_pos", "window"))
-    places = places.select("item", "variant", "width", "item_windows", "item_pos", "window.*")
-    places = write_through(places, "benchmark-windows")
-    widths = sorted(r.width for r in places.select("width").distinct().collect()) or [WINDOW]  # 1 to WINDOW
 
-    # First with one row per hash: a window that many items share makes one row in a document.
-    known = places.select("width", "hash", "literal").distinct()
-    found = docs.select("doc", template_words(F.col("text")).alias("words"))
-    found = found.select("doc", F.explode(_by_width("words", widths, "hash")).alias("window")).select("doc", "window.*")
-    found = write_through(found.join(known, ["width", "hash"]).distinct(), "benchmark-hits")
-    valued = docs.join(found.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    valued = valued.select("doc", _valued_words(F.col("text")).alias("valued"))
-    valued = valued.select("doc", F.explode(_by_width("valued", widths, "raw")).alias("window")).select("doc", "window.*")
-    found = write_through(found.join(valued, ["doc", "width", "pos"]), "benchmark-hits")
 
+def _hits(found: DataFrame, places: DataFrame) -> DataFrame:
+    """doc, item, variant, offset, pos, item_pos, width, item_windows, same: each window of an item in a document.
+
+    ``same``: the values agree too. A window of few literal words counts where its values
+    agree, or where another window has the same offset.
+    """
+    found = found.drop("slots")
     key = F.when(F.col("literal"), F.col("hash")).otherwise(F.col("raw"))
     theirs = places.withColumn("key", key).withColumnRenamed("raw", "item_raw").drop("hash")
     columns = [*OFFSET, "pos", "item_pos", "width", "item_windows", (F.col("raw") == F.col("item_raw")).alias("same")]
@@ -209,7 +240,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     """
     docs, items = _keyed(docs, "doc", "doc_id"), _keyed(benchmark, "item", "item_id").distinct()
     variants = _variants(items)
-    hits = _hits(docs, variants)
+    places = write_through(_places(variants), "benchmark-windows")
+    widths = sorted(r.width for r in places.select("width").distinct().collect()) or [WINDOW]  # 1 to WINDOW
+    found = _found(docs, places, widths)
+    hits = _hits(found, places)
     order = lambda *more: W.partitionBy(*OFFSET, *more).orderBy("pos")
     hits = hits.withColumn("stretch", F.col("pos") - F.row_number().over(order()))
     hits = hits.withColumn("same_stretch", F.col("pos") - F.row_number().over(order("same")))
@@ -229,7 +263,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     pieces = hits.join(aligned.select(*ALIGNMENT), ALIGNMENT, "left_semi").groupBy(*ALIGNMENT, "offset", "stretch").agg(
         F.min("pos").alias("start"), F.max(F.col("pos") + F.col("width") - 1).alias("end")
     )
-    checked = aligned.join(_slot_counts(pieces, docs, variants), ALIGNMENT, "left")
+    checked = aligned.join(_slot_counts(pieces, found, variants), ALIGNMENT, "left")
     plain = (F.col("same_windows") / F.col("item_windows") >= similarity) | (F.col("same_run") >= run)
     checked = checked.filter(plain | (F.coalesce("values", F.lit(1)) == 1))
     zero = F.lit(0).cast("long")
@@ -247,6 +281,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     leaks = find_contamination(docs.select("doc_id", "text"), benchmark, **limits)
-    leaks = write_through(leaks.select(F.col("doc_id").alias("_leak_id"), F.col("mark").alias("_leak_mark")).distinct(), "leaks")
-    same = docs["doc_id"].eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs["text"]) == F.col("_leak_mark"))
-    return docs.join(leaks, same, "left_anti")
+    leaks = write_through(leaks.select("doc_id", "mark").distinct(), "leaks").alias("leak")
+    same = F.col("doc.doc_id").eqNullSafe(F.col("leak.doc_id")) & (F.xxhash64("doc.text") == F.col("leak.mark"))
+    return docs.alias("doc").join(leaks, same, "left_anti")
