@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from tests.llm.brute import words
 from yardstats.llm import lm
@@ -18,11 +20,11 @@ def _counts(texts):
     return single, pairs
 
 
-def _loss(own, others):
+def _loss(own, others, vocabulary):
     single, pairs = _counts(others)
     total, loss = sum(single.values()), 0.0
     for place, word in enumerate(own):
-        alone = (single[word] + lm.ADDED) / (total + lm.ADDED * lm.WORDS)
+        alone = (single[word] + lm.ADDED) / (total + lm.ADDED * vocabulary)
         context = single[own[place - 1]] if place else 0
         pair = min(pairs[own[place - 1], word], context) if place else 0
         loss -= math.log((pair + lm.WEIGHT * alone) / (context + lm.WEIGHT))
@@ -39,14 +41,15 @@ def test_losses_are_those_of_plain_counts(rows):
     found = {r.doc_id: r for r in lm.score_documents(rows(docs, SCHEMA), ids).collect()}
     texts = {d: words(text) for d, text, _ in docs}
     assert set(found) == set(texts)
+    size = len({w for own in texts.values() for w in own})
     for doc, own in texts.items():
         row = found[doc]
         assert row.n_tokens == len(own)
         if not own:
             assert row.score is None and row.target_loss is None
             continue
-        background = _loss(own, [t for d, t in texts.items() if d != doc])
-        closer = _loss(own, [t for d, t in texts.items() if d != doc and d in target])
+        background = _loss(own, [t for d, t in texts.items() if d != doc], size)
+        closer = _loss(own, [t for d, t in texts.items() if d != doc and d in target], size)
         assert row.background_loss == pytest.approx(background) and row.target_loss == pytest.approx(closer)
         assert row.score == pytest.approx(background - closer)
 
@@ -71,8 +74,30 @@ def test_more_words_and_pairs_than_any_fixed_table(rows, monkeypatch):
     docs += [(1000, "rare seldom " * 2, True), (1001, "rare seldom x", True)]
     found = {r.doc_id: r for r in lm.score_documents(rows(docs, SCHEMA), rows([(1001,)], "doc_id long")).collect()}
     total = sum(len(words(t)) for _, t, _ in docs)
-    alone = lm.ADDED / (total - 3000 + lm.ADDED * lm.WORDS)  # words that no other document has
+    size = 100 * 3000 + 3
+    alone = lm.ADDED / (total - 3000 + lm.ADDED * size)  # words that no other document has
     assert all(found[i].background_loss == pytest.approx(-math.log(alone), rel=1e-9) for i in range(100))
     texts = {d: words(t) for d, t, _ in docs}
-    assert found[1000].target_loss == pytest.approx(_loss(texts[1000], [texts[1001]]))
-    assert found[1000].background_loss == pytest.approx(_loss(texts[1000], [t for d, t in texts.items() if d != 1000]))
+    assert found[1000].target_loss == pytest.approx(_loss(texts[1000], [texts[1001]], size))
+    assert found[1000].background_loss == pytest.approx(_loss(texts[1000], [t for d, t in texts.items() if d != 1000], size))
+
+    # In few keys per row, and a text that is longer than a chunk
+    monkeypatch.setattr(lm, "SHARD", 1 << 15)
+    docs.append((2000, "long text " * 20_000, True))
+    parts = {r.doc_id: r for r in lm.score_documents(rows(docs, SCHEMA), rows([(1001,)], "doc_id long")).collect()}
+    size, total = size + 2, total + 40_000
+    alone = lm.ADDED / (total - 3000 + lm.ADDED * size)
+    assert all(parts[i].background_loss == pytest.approx(-math.log(alone), rel=1e-9) for i in range(100))
+    assert parts[2000].n_tokens == 40_000
+    assert parts[2000].background_loss == pytest.approx(-math.log(lm.ADDED / (total - 40_000 + lm.ADDED * size)))
+
+
+def test_other_chunks_are_refused(rows, monkeypatch):
+    docs = rows([(1, "a b c", True), (2, "d e f", True)], SCHEMA)
+    scored = lm.score_documents(docs, rows([(1,)], "doc_id long"))
+    assert scored.count() == 2
+
+    real = lm.count_models
+    monkeypatch.setattr(lm, "count_models", lambda chunked, shards: real(chunked.withColumn("text", F.concat("text", F.lit(" more"))), shards))
+    with pytest.raises(PythonException, match="other chunks"):
+        lm.score_documents(docs, rows([(1,)], "doc_id long")).collect()

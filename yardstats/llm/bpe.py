@@ -224,5 +224,5 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     for token, rank in ranks.items():
         digits[rank] = token.hex()
     tokens = F.split(F.lit(",".join(digits)), ",")
-    whole = _let(tokens, "string", lambda known: F.array_join(F.transform(ids, lambda i: F.get(known, i)), ""))
-    return F.unhex(whole)
+    whole = _let(tokens, "string", lambda known: F.array_join(F.transform(ids, lambda i: F.get(known, i)), "", "?"))
+    return F.unhex(whole)  # null where a digit is none
