@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from yardstats.llm.shared import write_through
+from yardstats.llm.shared import giving_back, write_through
 
 BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # between terms
 LEAST_DOCS = 30  # of its language, that hold a kept term
@@ -103,7 +103,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
         if held:
             yield from _merged(held).to_batches(1 << 16)
 
-    return docs.select("text", *GROUP).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return docs.select("text", *GROUP).mapInArrow(giving_back(run), "lang string, source string, term string, n long, docs long")
 
 
 def _billionths(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:

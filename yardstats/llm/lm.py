@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardstats.llm.shared import write_through
+from yardstats.llm.shared import giving_back, write_through
 from yardstats.llm.words import WordReader, mix
 
 CHUNK = 1 << 22  # bytes of text that are counted and scored together, unless one text is longer
@@ -155,7 +155,7 @@ def count_chunks(chunked: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from counted()
 
-    return chunked.select("chunk", "text", "target").mapInArrow(run, COUNTED)
+    return chunked.select("chunk", "text", "target").mapInArrow(giving_back(run), COUNTED)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}

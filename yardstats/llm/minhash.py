@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from yardstats.llm.components import connected_components
-from yardstats.llm.shared import groups, write_through
+from yardstats.llm.shared import fresh, giving_back, groups, write_through
 from yardstats.llm.words import WordReader, mix, shingle_sets
 
 REGISTERS = 256
@@ -134,7 +134,7 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
     chosen = _marked(docs)
     schema = T.StructType([chosen.schema["doc_id"], chosen.schema["mark"]])
     schema = schema.add("n_shingles", "long").add("node", "binary").add("registers", "binary")
-    return chosen.mapInArrow(run, schema.add("bands", T.ArrayType(T.LongType())))
+    return chosen.mapInArrow(giving_back(run), schema.add("bands", T.ArrayType(T.LongType())))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, share: int = 64) -
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in linked], ["a", "b"])
 
     dealt_texts = members.union(centres).repartition("b", "part").sortWithinPartitions("b", "part", "side")
-    return dealt_texts.mapInArrow(run, "a binary, b binary")
+    return dealt_texts.mapInArrow(giving_back(run), "a binary, b binary")
 
 
 def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -204,7 +204,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
     of_a = sketches.select(F.col("node").alias("a"), F.col("registers").alias("ra"))
     of_b = sketches.select(F.col("node").alias("b"), F.col("registers").alias("rb"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ra", "rb").mapInArrow(giving_back(run), "a binary, b binary")
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _live(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     dealt = _dealt(members, BLOCK).join(sketches.select("node", "registers"), "node")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "key long, node binary").distinct()
+    return dealt.mapInArrow(giving_back(run), "key long, node binary").distinct()
 
 
 def _linked_in_blocks(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -316,7 +316,7 @@ def _linked_in_blocks(members: DataFrame, texts: DataFrame, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     dealt = _dealt(members, TEXT_BLOCK).join(texts, "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(giving_back(run), "a binary, b binary")
 
 
 def _distinct_keys(members: DataFrame) -> DataFrame:
@@ -393,16 +393,17 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = write_through(near_duplicates(docs, percent).filter("node is not null").select("doc_id", "mark", "component"), "minhash-groups")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
     winners = found.groupBy("component").agg(F.min(order).alias("winner"))
+    own_id, own_mark = fresh(docs, "kept_id"), fresh(docs, "kept_mark")
     rows = found.groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
     rows = rows.join(winners, "component").select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "rows",
+        F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), "rows",
         (F.col("doc_id").eqNullSafe(F.col("winner.id")) & (F.col("mark") == F.col("winner.mark"))).alias("wins"),
     )
     rows = write_through(rows.filter("not wins or rows > 1"), "minhash-dropped")
     listed = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
+    same = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_mark))
     single = docs.join(listed, same, "left_anti")
-    repeated = docs.join(listed.filter("wins"), same).dropDuplicates(["_id", "_mark"])
+    repeated = docs.join(listed.filter("wins"), same).dropDuplicates([own_id, own_mark])
     return single.unionByName(repeated.select(*[docs[c] for c in docs.columns]))
 
 

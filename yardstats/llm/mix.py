@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from yardstats.llm.shared import count_words, write_through
+from yardstats.llm.shared import count_words, fresh, write_through
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -75,19 +75,20 @@ def plan_mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
 def emit_mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it.
 
-    The columns of ``docs``, then ``_copy`` (1, 2 ...). Only the rates, one row per
+    The columns of ``docs``, then ``_copy`` (1, 2 ...), which takes the place of one that ``docs`` has. Only the rates, one row per
     source, are joined to the texts; a source's rows are never gathered.
     """
     sizes = docs.select("source", count_words(F.col("text")).alias("_size"))
     sources = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    source, size, target = (fresh(docs, name) for name in ("mix_source", "mix_size", "mix_target"))
     targets = source_targets(sources, **shares).select(
-        F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target")
+        F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target)
     )
     targets = write_through(targets, "mix-targets")
-    taken = copies(docs["doc_id"], F.col("_mix_size"), F.col("_mix_target"), seed)
+    taken = copies(docs["doc_id"], F.col(size), F.col(target), seed)
     numbered = F.explode(F.sequence(F.lit(1), taken.cast("int")))
-    joined = docs.join(targets, docs["source"].eqNullSafe(F.col("_mix_source"))).filter(taken > 0)
-    return joined.select(*[docs[c] for c in docs.columns], numbered.alias("_copy"))
+    joined = docs.join(targets, docs["source"].eqNullSafe(F.col(source))).filter(taken > 0)
+    return joined.select(*[docs[c] for c in docs.columns if c.lower() != "_copy"], numbered.alias("_copy"))
 
 
 MIX_SQL = rf"""

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from yardstats.llm.shared import fresh
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
@@ -212,8 +214,9 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is one, follows the texts that change.
     """
-    out = docs.withColumn("_masked", masked(docs["text"]))
+    name = fresh(docs, "masked")
+    out = docs.withColumn(name, masked(docs["text"]))
     if "n_chars" in docs.columns:
-        size = F.length("_masked").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_masked") != F.col("text"), size).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_masked")).select(*docs.columns)
+        size = F.length(name).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(name) != F.col("text"), size).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(name)).select(*docs.columns)

@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 from pyspark.sql.functions import arrow_udf
 
+from yardstats.llm.shared import fresh, giving_back
+
 SAMPLE = 1200
 SAMPLE_CHARS = 1 << 16
 STEPS = 1500
@@ -193,12 +194,12 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 8) -> Model:
     """
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    order = W.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    sample = usable.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
+    order = F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")
+    good, bad = (usable.filter(F.col("label") == label).orderBy(*order).limit(SAMPLE) for label in (1, 0))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.filter(F.length("text") <= SAMPLE_CHARS)
     # At most 2 * SAMPLE ids: texts stay where they are read.
-    rows = texts.join(F.broadcast(sample.drop("place")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toArrow()
+    rows = texts.join(F.broadcast(good.union(bad)), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toArrow()
     rows = rows.combine_chunks().sort_by("doc_id")
     texts = rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string())
     return fit(texts, rows["label"].to_numpy(), seed)
@@ -208,6 +209,7 @@ def score(model: Model, text: Column) -> Column:
     """Probability between 0 and 1 that a text is good. Null and empty texts score alike."""
 
     @arrow_udf(T.DoubleType())
+    @giving_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(score_texts(model, batch), pa.float64())
@@ -226,5 +228,6 @@ def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts 1 for, with all their columns."""
-    rated = docs.withColumn("_score", score(learn(docs, labels), docs["text"]))
-    return rated.filter("_score >= 0.5").select(*docs.columns)
+    name = fresh(docs, "score")
+    rated = docs.withColumn(name, score(learn(docs, labels), docs["text"]))
+    return rated.filter(F.col(name) >= 0.5).select(*docs.columns)

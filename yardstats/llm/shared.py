@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +15,21 @@ from yardstats.session import write_through
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "ascii_lower", "count_words", "groups", "read", "write_through"]
+__all__ = ["WORD", "ascii_lower", "count_words", "fresh", "giving_back", "groups", "read", "write_through"]
 
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def count_words(text: Column) -> Column:
     """Number of runs of characters that are no ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -31,6 +41,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of an iterator of batches, whose task gives its memory back to the system when it ends.
+
+    Workers are used again by later tasks; what their allocators keep for themselves adds
+    up over the stages of a long job, beside the memory of the executor.
+    """
+
+    @functools.wraps(run)
+    def released(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most systems has it
+            if trim:
+                trim(0)
+
+    return released
+
+
 def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
     """Rows with the bounds of the whole groups in them, of batches sorted by the integer columns ``names``.
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardstats.llm.shared import ascii_lower, groups, write_through
+from yardstats.llm.shared import ascii_lower, giving_back, groups, write_through
 
 LETTERS = r"[a-zÀ-ÿ]"  # of a lower-cased word
 LEAST_LENGTH = 6
@@ -141,7 +141,7 @@ def _scan(rows: DataFrame) -> DataFrame:
 
     rows = rows.select("key", (F.col("right") > F.col("left")).alias("back"), "m", "word", "n")
     rows = rows.repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "word string, near string, near_n long")
+    return rows.mapInArrow(giving_back(run), "word string, near string, near_n long")
 
 
 def near_words(words: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
