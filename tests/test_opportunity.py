@@ -162,6 +162,25 @@ def test_batch_with_wide_and_corrupt_year_ranges(catalogue, spark):
     assert sorted((r.request_id, r.part) for r in got) == [(1, "1"), (1, "2"), (1, "3"), (1, "5"), (2, "6")]
 
 
+def test_spans_of_years(spark):
+    edges = [-(2**31), -1000, -7, -1, 0, 1, 1990, 1999, 2003, 2048, 2990, 2**31 - 1]
+    ranges = [(a, b) for a in edges for b in edges]
+    rows = spark.createDataFrame(ranges, "a int, b int").select("a", "b", op._spans_of_range(F.col("a"), F.col("b")).alias("spans"))
+    years = spark.createDataFrame([(y,) for y in edges], "y int").select("y", op._spans_of_year(F.col("y")).alias("spans")).collect()
+    year_spans = {r.y: {tuple(s) for s in r.spans} for r in years}
+    for r in rows.collect():
+        spans = [tuple(s) for s in r.spans]
+        parts = sorted((index << level, (index + 1) << level) for level, index in spans)
+        if r.a > r.b:
+            assert not parts
+            continue
+        # They make up the range without a gap or an overlap, in few pieces.
+        assert parts[0][0] == r.a and parts[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(spans) <= 2 * max(1, (r.b - r.a + 1).bit_length())
+        for y in edges:
+            assert len(year_spans[y] & set(spans)) == (r.a <= y <= r.b)
+
+
 def test_batch_with_one_search_asked_by_nearly_all(spark):
     catalogue = Sample(spark, "/root/testdata/sf0.001").catalogue()
     model = catalogue.first().model

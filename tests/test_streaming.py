@@ -1,9 +1,11 @@
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from yardstats.operators.audit import append_audit, append_audit_once, audit_range
 from yardstats.schemas import AUDIT, INVOICE, SOLD, USERS
 from yardstats.streaming import live
 
@@ -132,3 +134,30 @@ def test_audit_stream(spark, tmp_path):
     live.stream_audit(stream, log, state).awaitTermination()
     stored = spark.read.parquet(log)
     assert stored.drop("event_date").exceptAll(df).isEmpty() and stored.count() == 30
+
+
+def test_an_event_is_logged_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = [(datetime(2024, 1, 1 + i % 3, 5), i, "u", "SEARCH", None, None, None, None, "FOUND") for i in range(9)]
+    rows += [(None, 90, "u", "SEARCH", None, None, None, None, "FOUND"), (datetime(2024, 1, 2), None, "u", "SEARCH", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, AUDIT)
+    append_audit_once(df.filter("log_id < 5"), log)
+    files = {r.f for r in spark.read.parquet(log).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    append_audit_once(df.union(df.filter("log_id is not null")), log)
+    assert spark.read.parquet(log).drop("event_date").exceptAll(df).isEmpty() and spark.read.parquet(log).count() == 11
+    append_audit_once(df.filter("log_id is not null"), log)  # all of it once more, later
+    stored = spark.read.parquet(log)
+    assert stored.count() == 11 and files <= {r.f for r in stored.select(F.col("_metadata.file_path").alias("f")).collect()}
+
+
+def test_latest_rows_open_the_newest_days_only(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = [(datetime(2024, 1, 1 + i // 10, 5, i % 10), i, "u", "SEARCH", None, None, None, None, "FOUND") for i in range(200)]
+    rows.append((None, 500, "u", "SEARCH", None, None, None, None, "FOUND"))
+    append_audit(spark.createDataFrame(rows, AUDIT), log)
+    stored = spark.read.parquet(log)
+    found = audit_range(stored, limit=25)
+    whole = audit_range(stored.drop("event_date"), limit=25)
+    assert found.collect() == whole.collect() and found.count() == 25
+    assert re.search(r"PartitionFilters: \[.*event_date#\d+ >= 2024-01-17", found._jdf.queryExecution().executedPlan().toString())
+    assert audit_range(stored, limit=1000).collect() == audit_range(stored.drop("event_date"), limit=1000).collect()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from yardstats.schemas import AUDIT
+from yardstats.session import Files, write_through
 
 # The log columns in display order, their headers, the time format.
 LOG_HEADERS = {
@@ -64,6 +68,31 @@ def append_audit(events: DataFrame, path: str) -> None:
     by_day(as_audit_rows(events)).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def append_audit_once(events: DataFrame, path: str) -> None:
+    """Append the events that the log does not hold yet, however often and however late they are delivered.
+
+    An event is known by its id within its day, so only the days that the events fall on are
+    looked through. Of equal ids in one delivery the first by time counts. An event without an id is always new.
+    """
+    spark = events.sparkSession
+    rows = write_through(by_day(as_audit_rows(events)), "audit-delivery")
+    alone = W.partitionBy("event_date", "log_id").orderBy("event_time", *[c for c in rows.columns if c not in ("event_time", "log_id", "event_date")])
+    named = rows.filter("log_id is not null").withColumn("_place", F.row_number().over(alone)).filter("_place = 1").drop("_place")
+    if Files(spark, path).names():
+        days = [r.event_date for r in rows.select("event_date").distinct().collect()]
+        stored = spark.read.schema(_stored_schema()).parquet(path)
+        touched = F.col("event_date").isin([d for d in days if d is not None])
+        stored = stored.filter(touched | F.col("event_date").isNull() if None in days else touched).select("event_date", "log_id")
+        same = named["event_date"].eqNullSafe(stored["event_date"]) & (named["log_id"] == stored["log_id"])
+        named = named.join(stored, same, "left_anti")
+    new = named.union(rows.filter("log_id is null").select(named.columns))
+    new.repartition("event_date", F.pmod(F.xxhash64("log_id"), F.lit(FILES_PER_DAY))).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def _stored_schema() -> T.StructType:
+    return T.StructType([*AUDIT.fields, T.StructField("event_date", T.DateType())])
+
+
 def newest_first() -> list[Column]:
     return [F.desc_nulls_last("event_time"), F.desc("log_id")]
 
@@ -87,10 +116,11 @@ def audit_range(
 ) -> DataFrame:
     """Log rows of ``[start, end)``, newest first, in the 8 display columns.
 
-    Without both bounds: the latest ``limit`` rows. ``end_inclusive`` adds the
-    end day, as the named periods of the other reports do.
+    Without both bounds: the latest ``limit`` rows, of a log laid out by day out of its
+    newest days only. ``end_inclusive`` adds the end day, as the named periods of the other reports do.
     """
     if start is None or end is None:
+        log = _newest_days(log, limit) if "event_date" in log.columns else log
         return _shown(log.orderBy(*newest_first()).limit(limit))
     stop = end + timedelta(days=1) if end_inclusive else end
     rows = log.filter((F.col("event_time") >= F.lit(start)) & (F.col("event_time") < F.lit(stop)))
@@ -99,6 +129,22 @@ def audit_range(
     return _shown(rows.orderBy(*newest_first()))
 
 
+def _newest_days(log: DataFrame, limit: int) -> DataFrame:
+    """The newest days of a log that hold ``limit`` rows, if there are so many.
+
+    Which days there are is read off the names of the files. Twice as many days are counted each time, from
+    the newest on, until the rows suffice; rows without a time are the last and in no named day.
+    """
+    found = {m[1] for name in log.inputFiles() if (m := re.search(r"/event_date=(\d{4,}-\d\d-\d\d)/", name))}
+    days, taken = sorted(map(date.fromisoformat, found), reverse=True), 1
+    while taken < len(days):
+        newest = log.filter(F.col("event_date") >= F.lit(days[taken - 1]))
+        if newest.count() >= limit:
+            return newest
+        taken *= 2
+    return log
+
+
 def export_rows(log: DataFrame) -> DataFrame:
     """The whole log, newest first, under the display headers."""
     rows = _shown(log.orderBy(*newest_first()))

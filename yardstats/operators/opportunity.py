@@ -116,33 +116,50 @@ def search_parts(
     return top.select(place.alias("position"), *SEARCH_COLUMNS).orderBy("position")
 
 
-_BUCKET = 5
-_WIDEST = 40
-_ANY_YEAR = -(1 << 30)
+_LEVELS = 32  # of spans of years: 1, 2, 4 ... of them
 _HANDS = 16  # parts that a popular key's candidates are cut in, before they meet in one task
 _SEARCH = ["model_key", "year", "code_key", "min_price", "min_opportunity", "exclude"]
 
 
-def _request_buckets(rows: DataFrame) -> DataFrame:
-    own = F.floor(F.col("year") / _BUCKET).cast("int")
-    return rows.withColumn("bucket", F.explode(F.array(own, F.lit(_ANY_YEAR))))
+def _span(level: int, index: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), index.alias("index"))
 
 
-def _part_buckets(catalogue: DataFrame) -> DataFrame:
-    """Scored parts, once per five-year bucket they reach into.
+def _spans_of_year(year: Column) -> Column:
+    """The span of each size that the year lies in."""
+    return F.array(*[_span(level, F.shiftright(year.cast("long"), level)) for level in range(_LEVELS)])
 
-    A part spanning more than ``_WIDEST`` years sits in one bucket of its own,
-    which every request looks at too; so a part meets a year in one bucket only,
-    and a corrupt range cannot blow up into millions of buckets.
+
+def _spans_of_range(first: Column, last: Column) -> Column:
+    """The fewest spans that make up a range of years: two of a size at most, none for a reversed range.
+
+    A span of 2^k years begins at a multiple of it. Of each size the range takes the span at its left or
+    right end that has no partner inside the range to make up the next size with.
+    """
+    first, behind = first.cast("long"), last.cast("long") + 1
+    found = []
+    for level in range(_LEVELS):
+        low, high = F.shiftright(first + ((1 << level) - 1), level), F.shiftright(behind, level)
+        found.append(F.when((low < high) & (low.bitwiseAND(F.lit(1)) == 1), _span(level, low)))
+        found.append(F.when((low < high) & (high.bitwiseAND(F.lit(1)) == 1), _span(level, high - 1)))
+    return F.array_compact(F.array(*found))
+
+
+def _request_spans(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("span", F.explode(_spans_of_year(F.col("year"))))
+
+
+def _part_spans(catalogue: DataFrame) -> DataFrame:
+    """Scored parts, once per span of years that their range is made of.
+
+    The spans of a range do not overlap, so a part meets a year in one span, whatever the width of the range.
     """
     first, last = F.col("ic_start_year"), F.col("ic_end_year")
-    low, high = F.floor(first / _BUCKET).cast("int"), F.floor(last / _BUCKET).cast("int")
-    buckets = F.when(last - first > _WIDEST, F.array(F.lit(_ANY_YEAR))).otherwise(F.sequence(low, high))
     return (
         with_scores(catalogue.filter(F.col("model").isNotNull() & (first <= last)))
         .withColumn("model_key", F.lower("model"))
-        .withColumn("bucket", F.explode(buckets))
-        .select("model_key", "bucket", "row_id", *SEARCH_COLUMNS)
+        .withColumn("span", F.explode(_spans_of_range(first, last)))
+        .select("model_key", "span", "row_id", *SEARCH_COLUMNS)
     )
 
 
@@ -203,10 +220,10 @@ def search_parts_batch(
         F.coalesce("exclude", F.lit(False)).alias("exclude"),
     )
     searches = asked.filter("model_key IS NOT NULL AND year IS NOT NULL").select(*_SEARCH).distinct()
-    parts = _part_buckets(catalogue)
+    parts = _part_spans(catalogue)
 
-    years = _request_buckets(searches.select("model_key", "year").distinct())
-    covered = parts.join(years, ["model_key", "bucket"]).filter(covers_year(F.col("year"))).drop("bucket")
+    years = _request_spans(searches.select("model_key", "year").distinct())
+    covered = parts.join(years, ["model_key", "span"]).drop("span")
     ranked = write_through(_best_of(covered, ["model_key", "year"], shortlist, "rank"), "shortlists")
     quick = searches.join(ranked, ["model_key", "year"]).filter(_fits_search())
     quick = _best_of(quick, _SEARCH, limit, "position").select(*_SEARCH, "position", *SEARCH_COLUMNS)
@@ -215,8 +232,7 @@ def search_parts_batch(
     cut = ranked.filter(F.col("rank") == shortlist).select("model_key", "year")
     short = _short_searches(searches.join(cut, ["model_key", "year"], "left_semi"), quick, limit)
     # The hits there are stay first; only those after them are added.
-    full = parts.join(_request_buckets(short), ["model_key", "bucket"])
-    full = full.filter(covers_year(F.col("year")) & _fits_search())
+    full = parts.join(_request_spans(short), ["model_key", "span"]).filter(_fits_search())
     full = _best_of(full, _SEARCH, limit, "position").filter(F.col("position") > F.col("hits"))
     found = quick.unionByName(full.select(*quick.columns))
     answers = skew_join(asked, found, _SEARCH, how="inner", null_safe=True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardstats.session import overwrite_table
+from yardstats.session import overwrite_table, settle_table
 
 DEFAULT_USER = "__default__"
 ORDER = "order"
@@ -130,6 +130,7 @@ def save_prefs(spark: SparkSession, path: str, user: str | None, dimension: str,
     if dimension not in (ORDER, *EXCLUSION_DIMENSIONS):
         raise ValueError(f"unknown dimension {dimension!r}")
     kept = normalise_items(items)
+    settle_table(spark, path)
     store = read_prefs(spark, path)
     change = spark.createDataFrame([(user, dimension, kept, saved_at)], "username string, dimension string, items array<string>, saved_at long")
     overwrite_table(upsert_prefs(store, change), path)

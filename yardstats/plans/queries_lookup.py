@@ -195,6 +195,18 @@ def audit_log_latest(s: Sample) -> DataFrame:
     return audit.audit_range(s.audit_log(), start=date(2024, 1, 5))
 
 
+@query(
+    "audit_latest_by_day",
+    over("v_shown_log", f"SELECT {_LOG} FROM v_shown_log ORDER BY event_time DESC, log_id DESC LIMIT 100"),
+    ordered=True,
+)
+def audit_latest_by_day(s: Sample) -> DataFrame:
+    """Out of a log laid out by day, of which the newest days are read."""
+    path = work_path(s.spark, "audit")
+    audit.append_audit(s.audit_log(), path)
+    return audit.audit_range(s.spark.read.parquet(path))
+
+
 @query(
     "audit_export",
     over("v_shown_log", """
@@ -227,6 +239,29 @@ def audit_append(s: Sample) -> DataFrame:
     return _stored(s, path)
 
 
+@query("audit_append_once", _STORED)
+def audit_append_once(s: Sample) -> DataFrame:
+    """Deliveries that overlap, and one that comes again as a whole."""
+    path = work_path(s.spark, "audit")
+    events = s.audit_log()
+    audit.append_audit_once(events.filter("action <> 'ERROR'"), path)
+    audit.append_audit_once(events.filter("action <> 'VIEW'").union(events.filter("action = 'ERROR'")), path)
+    audit.append_audit_once(events, path)
+    return _stored(s, path)
+
+
+@query("audit_stream_once", _STORED)
+def audit_stream_once(s: Sample) -> DataFrame:
+    """The same file arrives in two batches."""
+    inbox, path, checkpoint = (work_path(s.spark, name) for name in ("audit-inbox", "audit", "audit-state"))
+    events = s.audit_log()
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(inbox)
+    arriving = s.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    live.stream_audit_once(arriving, path, checkpoint).awaitTermination()
+    return _stored(s, path)
+
+
 @query("audit_stream", _STORED)
 def audit_stream(s: Sample) -> DataFrame:
     path, checkpoint = work_path(s.spark, "audit"), work_path(s.spark, "audit-state")

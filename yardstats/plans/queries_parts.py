@@ -67,11 +67,15 @@ SELECT row_id, part FROM (SELECT row_id, {_RENAMED} AS part FROM v_parts)
 WHERE part IS NULL OR NOT regexp_matches(part, '(?i)\b({"|".join(opportunity.EXCLUDED_PARTS)})\b')"""),
 )
 def filter_exclude_keywords(s: Sample) -> DataFrame:
+    return _renamed(s).filter(opportunity.has_no_keyword()).select("row_id", "part")
+
+
+def _renamed(s: Sample) -> DataFrame:
+    """The catalogue with keywords in some names, and some names missing."""
     key = F.col("row_id")
     part = F.when(key % 4 == 0, F.replace("part", F.lit(" "), F.lit("_"))).when(key % 4 != 1, F.col("part"))
     part = F.replace(F.replace(part, F.lit("RING"), F.lit("Engine")), F.lit("BOLT"), F.lit("a/c_compressor"))
-    renamed = s.catalogue().withColumn("part", part)
-    return renamed.filter(opportunity.has_no_keyword()).select("row_id", "part")
+    return s.catalogue().withColumn("part", part)
 
 
 @query(
@@ -108,6 +112,30 @@ def opportunity_search(s: Sample) -> DataFrame:
     return found.withColumn("position", F.col("position").cast("long"))
 
 
+_SHEET_TEST = "l_linenumber <> 7 AND contains(lower(concat('EC', CAST(l_suppkey AS VARCHAR))), 'ec3')"
+
+
+@query(
+    "part_search",
+    over("v_scored", f"""
+SELECT 'part' AS result, position AS place, part AS text, opportunity_score AS score FROM (
+ SELECT *, row_number() OVER (ORDER BY {_BEST}) AS position FROM v_scored
+ WHERE lower(model) = 'brand#7' AND 1998 BETWEEN ic_start_year AND ic_end_year AND b_price >= 910
+ AND (ic_description IS NULL OR NOT contains(lower(ic_description), 'engine code') OR contains(lower(ic_description), 'ec3')))
+WHERE position <= 50
+UNION ALL SELECT 'sheet', l_orderkey * 10 + l_linenumber, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM lineitem WHERE {_SHEET_TEST}"""),
+)
+def part_search(s: Sample) -> DataFrame:
+    """The whole search: the parts, and the sheet rows that hold the engine code."""
+    from yardstats.plans.queries_listings import HEADER, sheet_grid
+    from yardstats.plans.reports import part_search as search
+
+    found = search(s.catalogue(), "brand#7", 1998, " EC3 ", min_price="910", grid=sheet_grid(s), header=HEADER)
+    parts = found.parts.select(F.lit("part").alias("result"), F.col("position").cast("long").alias("place"), F.col("part").alias("text"), F.col("opportunity_score").alias("score"))
+    rows = found.sheet_rows.select(F.lit("sheet"), F.col("row_idx").cast("long"), F.lit(None).cast("string"), F.lit(None).cast("double"))
+    return parts.union(rows)
+
+
 _SHOWN = {ours: theirs for theirs, ours in CATALOGUE_NAMES.items()} | {
     "potential_profit": "Potential_Profit", "sales_speed": "Sales_Speed", "opportunity_score": "Opportunity_Score",
 }
@@ -146,14 +174,16 @@ def opportunity_display(s: Sample) -> DataFrame:
 
 @query(
     "opportunity_batch",
-    over("v_scored v_requests", f"""
+    over("v_scored v_requests", rf"""
 SELECT request_id, position, {_COLUMNS} FROM (
  SELECT r.request_id, p.*, row_number() OVER (PARTITION BY r.request_id ORDER BY {_BEST}) AS position
- FROM v_requests r JOIN v_scored p ON lower(p.model) = lower(r.model) AND r.year BETWEEN p.ic_start_year AND p.ic_end_year
+ FROM v_requests r JOIN (SELECT * REPLACE ({_RENAMED} AS part) FROM v_scored) p
+  ON lower(p.model) = lower(r.model) AND r.year BETWEEN p.ic_start_year AND p.ic_end_year
  WHERE (coalesce(r.engine_code, '') = '' OR p.ic_description IS NULL OR NOT contains(lower(p.ic_description), 'engine code')
         OR contains(lower(p.ic_description), r.engine_code))
  AND (r.min_price IS NULL OR p.b_price >= r.min_price)
- AND (r.min_opportunity IS NULL OR p.opportunity_score >= r.min_opportunity))
+ AND (r.min_opportunity IS NULL OR p.opportunity_score >= r.min_opportunity)
+ AND (r.request_id % 6 <> 0 OR p.part IS NULL OR NOT regexp_matches(p.part, '(?i)\b({"|".join(opportunity.EXCLUDED_PARTS)})\b')))
 WHERE position <= 50"""),
 )
 def opportunity_batch(s: Sample) -> DataFrame:
@@ -168,7 +198,7 @@ def opportunity_batch(s: Sample) -> DataFrame:
         F.when(key % 7 == 0, F.lit(5000.0)).alias("min_opportunity"),
         (key % 6 == 0).alias("exclude"),
     )
-    found = opportunity.search_parts_batch(s.catalogue(), requests)
+    found = opportunity.search_parts_batch(_renamed(s), requests)
     return found.withColumn("position", F.col("position").cast("long"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yardstats.functions import modes
 from yardstats.operators import prefs
 from yardstats.plans.registry import query
 from yardstats.plans.sample import Sample
@@ -102,3 +103,44 @@ def prefs_upsert(s: Sample) -> DataFrame:
     )
     kept = prefs.upsert_prefs(store, changes)
     return kept.select("username", "dimension", F.array_join("items", "|").alias("items"))
+
+
+@query(
+    "prefs_save",
+    """
+SELECT CASE WHEN r_regionkey % 3 = 0 THEN '__default__' ELSE 'u' || CAST(r_regionkey % 3 AS VARCHAR) END AS username,
+ CASE r_regionkey % 2 WHEN 0 THEN 'order' ELSE 'department' END AS dimension,
+ arg_max(trim(r_name) || '|' || CAST(r_regionkey AS VARCHAR), r_regionkey) AS items, CAST(max(r_regionkey) AS BIGINT) AS saved_at
+FROM region GROUP BY 1, 2""",
+)
+def prefs_save(s: Sample) -> DataFrame:
+    """Lists of several users, and of everybody, saved one after another and read back."""
+    path = work_path(s.spark, "prefs")
+    s.spark.createDataFrame([], "username string, dimension string, items array<string>, saved_at long").write.parquet(path)
+    for row in s.raw("region").orderBy("r_regionkey").collect():
+        user = f"u{row.r_regionkey % 3}" if row.r_regionkey % 3 else None
+        dimension = "department" if row.r_regionkey % 2 else "order"
+        prefs.save_prefs(s.spark, path, user, dimension, [f" {row.r_name} ", " ", row.r_regionkey], row.r_regionkey)
+    return prefs.read_prefs(s.spark, path).withColumn("items", F.array_join("items", "|"))
+
+
+@query(
+    "mode_labels",
+    """
+SELECT DISTINCT m.mode, d.dimension, m.mode_label, m.value_format, m.value_label, m.value_vat_label, d.entity_label, d.entity_label_plural
+FROM (SELECT DISTINCT n_nationkey % 4 AS k FROM nation) n
+JOIN (VALUES (0, 'sales', 'Sales', 'currency', 'Sales Total', 'Total with VAT'), (1, 'PARTS', 'Parts Sold', 'count', 'Parts Sold', 'Parts Sold (Prev Period)'),
+ (2, 'other', 'Sales', 'currency', 'Sales Total', 'Total with VAT'), (3, 'Parts', 'Parts Sold', 'count', 'Parts Sold', 'Parts Sold (Prev Period)'))
+ m(k, mode, mode_label, value_format, value_label, value_vat_label) ON m.k = n.k
+CROSS JOIN (VALUES ('department', 'Department', 'Departments'), ('USER', 'User', 'Users'), ('other', 'Department', 'Departments')) d(dimension, entity_label, entity_label_plural)""",
+)
+def mode_labels(s: Sample) -> DataFrame:
+    """What a report of each mode and dimension calls its values, for the modes that the rows ask for."""
+    names = F.array(*[F.lit(m) for m in ("sales", "PARTS", "other", "Parts")])
+    asked = s.raw("nation").select(F.get(names, (F.col("n_nationkey") % 4).cast("int")).alias("mode")).distinct()
+    known = [
+        (mode, dimension, *modes.report_labels(mode, dimension).values())
+        for mode in ("sales", "PARTS", "other", "Parts") for dimension in ("department", "USER", "other")
+    ]
+    columns = ["mode", "dimension", *modes.report_labels("sales", "user")]
+    return asked.join(s.spark.createDataFrame(known, columns), "mode")

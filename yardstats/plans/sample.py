@@ -54,7 +54,9 @@ class Sample:
                 F.col("p_brand").alias("model"),
                 F.upper("p_name").alias("part"),
                 start.alias("ic_start_year"),
-                (start + F.col("p_size") % 10).cast("int").alias("ic_end_year"),
+                F.when(key % 97 == 5, start + 1000).when(key % 89 == 3, start - 3).otherwise(start + F.col("p_size") % 10)
+                .cast("int")
+                .alias("ic_end_year"),
                 description.alias("ic_description"),
                 F.col("p_retailprice").alias("b_price"),
                 (F.col("p_size") - 1).cast("long").alias("parts_in_stock"),

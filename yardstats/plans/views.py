@@ -6,7 +6,7 @@ VIEWS = {
     "v_parts": """
 SELECT p.p_partkey AS row_id, p.p_brand AS model, upper(p.p_name) AS part,
  CAST(1990 + p.p_partkey % 15 AS INTEGER) AS ic_start_year,
- CAST(1990 + p.p_partkey % 15 + p.p_size % 10 AS INTEGER) AS ic_end_year,
+ CAST(1990 + p.p_partkey % 15 + CASE WHEN p.p_partkey % 97 = 5 THEN 1000 WHEN p.p_partkey % 89 = 3 THEN -3 ELSE p.p_size % 10 END AS INTEGER) AS ic_end_year,
  CASE WHEN p.p_partkey % 3 = 0 THEN concat('Engine Code ', p.p_type) WHEN p.p_partkey % 17 = 0 THEN NULL ELSE p.p_type END AS ic_description,
  p.p_retailprice AS b_price, CAST(p.p_size - 1 AS BIGINT) AS parts_in_stock,
  coalesce(l.sold_all, 0) AS parts_sold_all, coalesce(l.backorders, 0) AS backorders, coalesce(l.not_found, 0) AS not_found_180

@@ -117,17 +117,32 @@ class Files:
             self._store.delete(draft, False)
             raise FileExistsError(f"{self._base}/{name}")
 
+    def rename(self, name: str, to: str) -> None:
+        if not self._store.rename(self._at(name), self._at(to)):
+            raise OSError(f"{self._base}/{name} cannot be renamed")
+
     def delete(self, name: str) -> None:
         self._store.delete(self._at(name), True)
 
 
+def settle_table(spark: SparkSession, path: str) -> None:
+    """Finish the replacement of a table that broke off: the new rows if they are complete, else the old ones."""
+    base, _, name = path.rstrip("/").rpartition("/")
+    files = Files(spark, base)
+    if files.exists(f"{name}__next/_SUCCESS"):
+        files.delete(name)
+        files.rename(f"{name}__next", name)
+    elif files.exists(f"{name}__next"):
+        files.delete(f"{name}__next")
+
+
 def overwrite_table(df: DataFrame, path: str) -> None:
     """Replace a stored table by a result that may have been read from it.
 
-    The result is first written beside the table, so the table is not read and
-    truncated in the same job.
+    The result is first written beside the table, and takes its place when it is complete.
+    Broken off before that, the table is as it was; after it, ``settle_table`` has the new rows in
+    their place, which every next replacement does first. One writer at a time.
     """
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}__next"
-    df.write.mode("overwrite").parquet(staged)
-    spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").parquet(path)
+    path = path.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{path}__next")
+    settle_table(df.sparkSession, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from yardstats.functions.modes import dimension_of, mode_of
 from yardstats.functions.text import label
-from yardstats.operators.audit import as_audit_rows, by_day
+from yardstats.operators.audit import append_audit_once, as_audit_rows, by_day
 from yardstats.operators.entities import gross, net
 from yardstats.operators.spread import left_join_sparse_key
 from yardstats.streaming.generations import FANOUT, compact, live_folders
@@ -70,9 +71,15 @@ KEYS = ["day", "entity"]
 SLOTS = 64  # over which sold rows without any invoice are dealt out
 ROWS = "sold_rows"  # how many rows are behind a total; a total without any is none
 
-_EVENT = "invoice_id long, slot int, owner boolean, day int, departmentname string, whocreated_id long, parts_sold long, sold_rows long"
-_ADDED = "day int, departmentname string, whocreated_id long, parts_sold long, sold_rows long"
-_WAITING = "known boolean, departmentname string, whocreated_id long, days array<int>, parts array<long>, sold_rows array<long>"
+BLOCK_BITS = 8  # 256 invoices of consecutive ids, which often come together, share one state
+
+# A name or user is text behind "=", and empty where it is null: frames without missing values are put together much faster.
+_EVENT = "block long, slot int, invoice_id long, owner boolean, day int, department string, who string, parts_sold long, sold_rows long"
+_ADDED = "day int, department string, who string, parts_sold long, sold_rows long"
+_STATE = (
+    "invoices array<long>, departments array<string>, whos array<string>, "
+    "waiting array<long>, days array<int>, parts array<long>, sold_rows array<long>"
+)
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,69 +90,90 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from added.rename_columns([*keys, "parts_sold", ROWS]).select(batch.schema.names).to_batches()
 
 
+def _columns(rows: list[tuple], width: int) -> list[list]:
+    return [list(column) for column in zip(*rows)] if rows else [[] for _ in range(width)]
+
+
 def _corrected(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What the events of one invoice add to the totals, moving what had come before it.
+    """What the events of a block of invoices add to the totals, moving what had come before its invoice.
 
-    Until the invoice is known its rows count under no owner, and their days wait in the state. Of several
-    rows of one invoice the first in the order of department and user counts, as long as no earlier batch had one.
+    Until an invoice is known its rows count under no owner, and their days wait in the state. Of several
+    rows of one invoice the last in the order of department and user counts, as long as no earlier batch had one.
     """
-    known, department, user, *waiting = state.get if state.exists else (False, None, None, [], [], [])
-    days: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    owners = []
+    stored = state.get if state.exists else [[]] * 7
+    owners = dict(zip(stored[0], zip(stored[1], stored[2])))
+    waiting: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    for invoice, day, parts, rows in zip(*stored[3:]):
+        waiting[invoice][day] = [parts, rows]
+    came: dict[int, tuple[str, str]] = {}
+    days: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     for part in events:
-        for row in part.itertuples(index=False):
-            if row.owner:
-                who = None if pd.isna(row.whocreated_id) else int(row.whocreated_id)
-                owners.append((row.departmentname, who))
+        columns = (part[c].tolist() for c in ("invoice_id", "owner", "day", "department", "who", "parts_sold", ROWS))
+        for invoice, is_owner, day, name, user, parts, rows in zip(*columns):
+            if is_owner:
+                came[invoice] = max(came.get(invoice, ("", "")), (name, user))
             else:
-                days[int(row.day)][0] += int(row.parts_sold)
-                days[int(row.day)][1] += int(row.sold_rows)
-    out = []
-    if owners and not known:
-        department, user = min(owners, key=lambda o: (o[0] is None, o[0] or "", o[1] is None, o[1] or 0))
-        known = True
-        for day, parts, rows in zip(*waiting):
-            out += [(day, None, None, -parts, -rows), (day, department, user, parts, rows)]
-        waiting = [[], [], []]
-    out += [(day, department, user, parts, rows) for day, (parts, rows) in sorted(days.items())]
-    if key[0] is not None and not pd.isna(key[0]):  # a sold row without invoice waits for none
-        if not known:
-            for day, (parts, rows) in zip(*[waiting[0], zip(waiting[1], waiting[2])]):
-                days[int(day)][0] += int(parts)
-                days[int(day)][1] += int(rows)
-            ordered = sorted(days)
-            waiting = [ordered, [days[d][0] for d in ordered], [days[d][1] for d in ordered]]
-        state.update((known, department, user, *waiting))
-    frame = pd.DataFrame(out, columns=["day", "departmentname", "whocreated_id", "parts_sold", ROWS], dtype=object)
-    yield frame.astype({"day": "int32", "whocreated_id": "Int64", "parts_sold": "int64", ROWS: "int64"})
+                days[invoice, day][0] += parts
+                days[invoice, day][1] += rows
+    added: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+
+    def add(day: int, owner: tuple[str, str], parts: int, rows: int) -> None:
+        total = added[day, *owner]
+        total[0] += parts
+        total[1] += rows
+
+    nobody = ("", "")
+    for invoice, owner in came.items():
+        if invoice not in owners:
+            owners[invoice] = owner
+            for day, (parts, rows) in waiting.pop(invoice, {}).items():
+                add(day, nobody, -parts, -rows)
+                add(day, owner, parts, rows)
+    known = key[0] is not None and key[0] == key[0]
+    for (invoice, day), (parts, rows) in days.items():
+        add(day, owners.get(invoice, nobody) if known else nobody, parts, rows)
+        if known and invoice not in owners:
+            total = waiting[invoice][day]
+            total[0] += parts
+            total[1] += rows
+    if known:  # a sold row without invoice waits for none
+        left = [(i, d, *total) for i, own in sorted(waiting.items()) for d, total in sorted(own.items())]
+        listed = [(i, *owner) for i, owner in sorted(owners.items())]
+        state.update((*_columns(listed, 3), *_columns(left, 4)))
+    if added:
+        out = [(*k, *v) for k, v in added.items()]
+        kinds = {"day": np.int32, "department": object, "who": object, "parts_sold": np.int64, ROWS: np.int64}
+        yield pd.DataFrame({name: np.array(column, kind) for (name, kind), column in zip(kinds.items(), zip(*out))}, copy=False)
 
 
 def live_parts(sold: DataFrame, invoice: DataFrame, dimension: str = "department", users: DataFrame | None = None) -> DataFrame:
     """Arriving sold rows and arriving invoices, in any order, as ``day, entity`` and what they add.
 
     A sold row that comes before its invoice counts under "Unknown" until the invoice comes, in whatever batch; then
-    a negative and a positive increment move it. Its days wait in the stream's state by invoice, and so does
-    the owner of each invoice: keep the state in RocksDB where invoices are many. ``users`` is a stored table.
+    a negative and a positive increment move it. Its days wait in the stream's state by invoice, and so do
+    the owners of invoices that came, a block of consecutive ids to a state: keep the state in RocksDB where invoices are many. ``users`` is a stored table.
     Added are ``parts_sold`` and ``sold_rows``, the number of rows behind it.
     """
     day = F.unix_date(utc_day(utc_instant(F.col("solddate"))))
-    zero = F.lit(0).cast("long")
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), none)
+    plain = lambda c: F.when(F.col(c) != "", F.substring(F.col(c), F.lit(2), F.length(c)))
     slot = F.when(F.col("invoice_id").isNull(), F.pmod(F.xxhash64("invnumber", "itemtype_id", "solddate"), F.lit(SLOTS)).cast("int")).otherwise(0)
+    block = F.shiftright("invoice_id", BLOCK_BITS).alias("block")
     rows = sold.filter("issold").select(
-        "invoice_id", slot.alias("slot"), F.lit(False).alias("owner"), day.alias("day"), F.lit(None).cast("string").alias("departmentname"),
-        F.lit(None).cast("long").alias("whocreated_id"), F.col("invnumber").isNotNull().cast("long").alias("parts_sold"),
-        F.lit(1).cast("long").alias(ROWS),
+        block, slot.alias("slot"), "invoice_id", F.lit(False).alias("owner"), day.alias("day"), none.alias("department"), none.alias("who"),
+        F.col("invnumber").isNotNull().cast("long").alias("parts_sold"), F.lit(1).cast("long").alias(ROWS),
     )
     owners = invoice.filter("invoice_id is not null").select(
-        "invoice_id", F.lit(0).alias("slot"), F.lit(True).alias("owner"), F.lit(None).cast("int").alias("day"),
-        "departmentname", "whocreated_id", zero.alias("parts_sold"), zero.alias(ROWS),
+        block, F.lit(0).alias("slot"), "invoice_id", F.lit(True).alias("owner"), F.lit(0).alias("day"),
+        marked("departmentname").alias("department"), marked("whocreated_id").alias("who"), zero.alias("parts_sold"), zero.alias(ROWS),
     )
     events = rows.union(owners).mapInArrow(_combined, _EVENT)
-    added = events.groupBy("invoice_id", "slot").applyInPandasWithState(_corrected, _ADDED, _WAITING, "append", "NoTimeout")
-    name = F.col("departmentname")
+    added = events.groupBy("block", "slot").applyInPandasWithState(_corrected, _ADDED, _STATE, "append", "NoTimeout")
+    name = plain("department")
     if dimension_of(dimension) == "user":
-        named = users.select(F.col("user_id").alias("whocreated_id"), "shortname")
-        added, name = added.join(named, "whocreated_id", "left"), F.col("shortname")
+        named = users.select(F.col("user_id").alias("user_id"), "shortname")
+        added, name = added.join(named, plain("who").cast("long") == F.col("user_id"), "left"), F.col("shortname")
     return added.select(F.date_from_unix_date("day").alias("day"), label(name).alias("entity"), "parts_sold", ROWS)
 
 
@@ -221,3 +249,18 @@ def stream_audit(events: DataFrame, path: str, checkpoint: str, **trigger) -> St
         .trigger(**(trigger or {"availableNow": True}))
         .start(path)
     )
+
+
+def stream_audit_once(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """As ``stream_audit``, for a source that may deliver an event again, at any time later.
+
+    Each batch is compared with the days of the log that it falls on. Nothing is held in
+    memory between batches and nothing is lost, however late it is; a batch that is run again adds what is missing.
+    """
+    return (
+        events.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(lambda batch, _: append_audit_once(batch, path))
+        .start()
+    )
