@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardstats.llm.shared import giving_back, write_through
+from yardstats.llm.shared import give_back, giving_back, write_through
 from yardstats.llm.words import WordReader, mix
 
 CHUNK = 1 << 22  # bytes of text that are counted and scored together, unless one text is longer
-SHARD = 1 << 24  # bytes of text whose share of all keys is added up together
+SHARD = 1 << 23  # bytes of text whose share of all keys is added up together
 WEIGHT = 50.0  # how many tokens the word's probability counts for behind a context
 ADDED = 0.5  # to the count of each word
 BROADCAST_ROWS = 1_000_000  # of target ids; more of them are joined by a shuffle, and its result is stored
@@ -190,6 +190,8 @@ def _add_up(rows: pa.Table) -> pa.Table:
         answer = np.concatenate([others[0][at], others[1][at]], axis=1).ravel()
         same = [row[name] for name in ("shard", "chunk", "words", "pairs")]
         out.append((*same, _packed(answer), row["tokens"], row["target_tokens"], row["mark"], 0 if at else vocabulary))
+    del given, keys, counts, others
+    give_back()
     return pa.Table.from_batches([_batch(out, ANSWERS)])
 
 

@@ -15,7 +15,7 @@ from yardstats.session import write_through
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "ascii_lower", "count_words", "fresh", "giving_back", "groups", "read", "write_through"]
+__all__ = ["WORD", "ascii_lower", "count_words", "fresh", "give_back", "giving_back", "groups", "read", "write_through"]
 
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -41,6 +41,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def give_back() -> None:
+    """Return what this worker's allocators keep for themselves to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most systems has it
+    if trim:
+        trim(0)
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` of an iterator of batches, whose task gives its memory back to the system when it ends.
 
@@ -53,10 +61,7 @@ def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most systems has it
-            if trim:
-                trim(0)
+            give_back()
 
     return released
 
