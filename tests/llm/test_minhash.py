@@ -50,6 +50,15 @@ def test_blocks_of_a_large_group(rows, monkeypatch):
     assert _found(rows(data, SCHEMA)) == near_duplicates([d[:2] for d in data], 85)
 
 
+def test_members_of_a_large_group_meet_few_centres(rows, monkeypatch):
+    seen, estimated = [], minhash._estimated
+    monkeypatch.setattr(minhash, "_estimated", lambda pairs, *rest: seen.append(pairs.count()) or estimated(pairs, *rest))
+    base = [f"w{i}" for i in range(600)]
+    data = [(i, " ".join([*base[: 4 * i], f"x{i}", *base[4 * i + 1 :]]), "", 0) for i in range(140)]
+    assert {r.component_id for r in minhash.near_duplicates(rows(data, SCHEMA), 80).collect()} == {0}
+    assert 0 < sum(seen) <= 8 * len(data), seen  # an order of centres per key makes about 30 pairs a node
+
+
 def test_shuffled_join_of_texts(rows, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     data = [(i, t, "x", 1) for i, t in enumerate(_texts(3, groups=3))]

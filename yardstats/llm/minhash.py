@@ -355,8 +355,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     links, apart = None, _labelled(members, None)
     for turn in range(STAR_ROUNDS):
-        # Every key has a centre of its own, so a node meets several in one round.
-        order = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("order"), "node", "label")
+        # One order of nodes for all keys: the keys of a large group agree on a few centres, and a
+        # node's pairs with them fall together. An order per key would make a pair per key and node.
+        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "label")
         centres = apart.groupBy("key").agg(F.min(order).alias("centre"))
         pairs = apart.join(centres, "key").filter(F.col("label") != F.col("centre.label"))
         pairs = pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct()
