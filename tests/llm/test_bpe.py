@@ -1,6 +1,8 @@
 """Token ids against the tokenizer's own library, and exact round trips."""
 
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -81,3 +83,32 @@ def test_query_over_its_table(spark):
         want[r.doc_id] = (len(ids), *(hashlib.sha256(x).hexdigest() for x in digests))
     got = op11_bpe(spark, base).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want)
+
+
+def test_fold_merges_as_the_library_does(spark):
+    pick = random.Random(5)
+    words = ["".join(pick.choice(letters) for _ in range(pick.choice([1, 3, 9, 40, 300]))) for letters in ("abe ", "the aniro", "=-", "éü北京aſ") for _ in range(200)]
+    ids = [LIBRARY._encode_single_piece(w) for w in words]
+    assert [bpe.fold(RANKS, w.encode()) for w in words] == ids
+
+
+def test_looking_up_words_takes_no_interpreted_step(spark):
+    """A lambda over a text's words, and a map scanned for each, took most of the query's time."""
+    docs = spark.createDataFrame([("a b",)], "text string")
+    found = bpe.encode(docs, RANKS, PATTERN).withColumn("back", bpe.decode(F.col("ids"), RANKS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "lambda" not in plan and "regexp_extract_all" not in plan and plan.count("encoded(") == 1
+
+
+def test_time_of_a_long_word(spark):
+    """It grew with the square of the word: 4,000 letters took a second."""
+    text = "abcde" * 40_000
+    start = time.perf_counter()
+    row = bpe.encode(spark.createDataFrame([(text,)], "text string"), RANKS, PATTERN).first()
+    assert time.perf_counter() - start < 60 and row.ids == LIBRARY.encode_ordinary(text)
+
+
+def test_batches_with_unknown_and_no_ids(spark):
+    rows = [([],), ([RANKS[b"a"], 10**6],), ([RANKS[b"b"], RANKS[b"c"]],), (None,), ([-1],), ([None],), ([RANKS[b"d"]],)]
+    got = spark.createDataFrame(rows, "ids array<int>").coalesce(1).select(bpe.decode(F.col("ids"), RANKS).alias("b")).collect()
+    assert [r.b and bytes(r.b) for r in got] == [b"", None, b"bc", None, None, None, b"d"]

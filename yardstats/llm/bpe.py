@@ -1,42 +1,41 @@
-"""Byte-level BPE by Spark's higher-order functions.
+"""Byte-level BPE: words counted and folded once by Spark, their ids looked up by Arrow functions.
 
-A text is cut into words by the tokenizer's pattern. A word's bytes, each written as two
-hexadecimal digits, are an array; a fold over it merges the neighbours of lowest rank,
-the leftmost first, until no two neighbours are a token. Ranks are a literal map in the plan, cut into
-buckets by a checksum of the key, because a map's keys are scanned one after another.
+A text is cut into words by the tokenizer's pattern. A word's bytes are merged by rank: of all
+neighbours that are a token together, those of lowest rank, the leftmost first, until there are none.
 
 All distinct words of the corpus are counted, and the most frequent ones are folded once each; their
-ids are a second literal map of bounded size. Other words are folded where they stand.
-So no text, word or id is shuffled but the counts of words. Decoding looks up each
-id's bytes in a literal array and concatenates them.
+ids travel with the function that encodes texts. Other words are folded where they stand, and a task
+keeps the ids of a bounded number of them. So no text or id is shuffled, only the counts of
+words. Decoding takes each id's bytes out of one Arrow array, a batch at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import json
 import re
-from collections.abc import Callable
-
+from array import array
+from collections import Counter
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from yardstats.llm.shared import write_through
+from yardstats.llm.shared import giving_back, write_through
 
-BUCKETS = 1 << 14  # of a literal map
-FREQUENT = 1 << 17  # words at most whose ids travel with the plan
+FREQUENT = 1 << 17  # words at most whose ids travel, and words that a task keeps or counts at once
 FREQUENT_LENGTH = 64  # characters of such a word at most
 CLASSES = 16  # of counts, per factor of two
-NO_RANK = 1 << 30  # above all ranks
-PARTS, IDS = "array<bigint>", "array<int>"
-PLACE_BITS = 32  # for a byte's place in its word
-PLACES = (1 << PLACE_BITS) - 1
 
-#: White space as Unicode has it; Java's own class holds ASCII only.
-SPACE = r"\x09-\x0D\x85\p{Z}"
+#: White space as Unicode has it; Java's and Python's own classes are others.
+SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 KINDS = (r"\p{L}", r"\p{N}")
 
 
@@ -48,41 +47,39 @@ def _library_class(kind: str) -> str:
     return bytes(probe.encode_ordinary(every)).decode()
 
 
-def _newer(spark: SparkSession, kind: str) -> str:
-    """Ranges of the characters of a class that an older Java does not know yet."""
-    known = F.regexp_replace(F.col("every"), kind, "")
-    rest = spark.createDataFrame([(_library_class(kind),)], "every string").select(known.alias("rest")).first().rest
+@functools.cache
+def _ranges(kind: str) -> str:
+    """The ranges of a class, spelled out; no letter or number has a meaning of its own within brackets."""
     ranges: list[list[int]] = []
-    for code in map(ord, rest):
+    for code in map(ord, _library_class(kind)):
         if ranges and ranges[-1][1] == code - 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in ranges)
+    return "".join(f"{chr(low)}-{chr(high)}" for low, high in ranges)
 
 
-def java_pattern(spark: SparkSession, pattern: str) -> str:
-    """A tokenizer's pattern for Spark, with the white space, letters and numbers of the tokenizer's library."""
-    newer = {kind: _newer(spark, kind) for kind in KINDS if kind in pattern}
+def spelled_pattern(pattern: str) -> str:
+    """A tokenizer's pattern with the white space, letters and numbers of the tokenizer's library spelled out.
 
-    def negated(found: str) -> str:
-        inner = found.replace(r"\s", SPACE)
-        for kind, ranges in newer.items():
-            inner = inner.replace(kind, kind + ranges)
-        return inner
-
-    parts = re.split(r"(\[\^[^\]]*\])", pattern)  # classes that are excluded, and what is between
+    It means the same to Python and Java, whatever their own editions of Unicode.
+    """
+    inner = {r"\s": SPACE} | {kind: _ranges(kind) for kind in KINDS if kind in pattern}
+    parts = re.split(r"(\[\^?[^\]]*\])", pattern)  # classes in brackets, and what is between
     for at, part in enumerate(parts):
-        if at % 2:
-            parts[at] = negated(part)
-            continue
-        part = part.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
-        for kind, ranges in newer.items():
-            part = part.replace(kind, f"[{kind}[{ranges}]]" if ranges else kind)
+        if at % 2 == 0:
+            part = part.replace(r"\S", f"[^{SPACE}]")
+        for kind, ranges in inner.items():
+            part = part.replace(kind, ranges if at % 2 else f"[{ranges}]")
         parts[at] = part
     return "".join(parts)
 
 
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    """``spelled_pattern``, as it needs no session any more."""
+    return spelled_pattern(pattern)
+
+
 @functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ranks, which are their ids, out of a file of base64 tokens and ranks."""
@@ -90,96 +87,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _literal(value: list, schema: str) -> Column:
-    """A value as a literal: the optimizer parses the text once, before the job runs."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
-
-
-def _buckets(entries: dict) -> list[dict]:
-    out: list[dict] = [{} for _ in range(BUCKETS)]
-    for key, value in entries.items():
-        out[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS][key] = value
-    return out
-
-
-def _found(buckets: Column, key: Column) -> Column:
-    """The entry of ``key``, null where there is none."""
-    return F.get(buckets, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[key]
-
-
-def _let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; ``kind`` is its result's type.
-
-    A lambda variable's type is known, whereas that of an expression is derived again for each row
-    wherever an array is made of it, or read out of it.
-    """
-    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
-
-
-def _rank_map(ranks: dict[bytes, int]) -> Column:
-    return _literal(_buckets({token.hex().upper(): rank for token, rank in ranks.items()}), "array<map<string,int>>")
-
-
-def _fold(ranks: Column, digits: Column) -> Column:
-    """Ids of the word with these hexadecimal digits.
-
-    The state has a number for each part, its pair's rank above its first byte's place, so that the
-    least number is the pair to merge, and one for the end of the word. It is small, because a
-    lambda's results are copied.
-    """
-    size = F.shiftright(F.length(digits), 1)
-
-    def number(first: Column, until: Column) -> Column:
-        """Of the part at ``first``, where its pair with the next part ends before ``until``; null: there is none."""
-        rank = _found(ranks, F.substring(digits, 2 * first + 1, 2 * (until - first)))
-        return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("long"), PLACE_BITS) + first
-
-    def place(parts: Column, k: Column) -> Column:
-        return F.get(parts, k).bitwiseAND(F.lit(PLACES)).cast("int")
-
-    def merged(parts: Column, k: Column) -> Column:
-        behind = number(place(parts, k), place(parts, k + 3))
-        before = F.when(k > 0, F.array(number(place(parts, k - 1), place(parts, k + 2)))).otherwise(F.array())
-        kept = F.slice(parts, F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice(parts, k + 3, F.size(parts))
-        return _let(F.array(kept[0], before, F.array(behind), kept[1]), PARTS, F.flatten)
-
-    def step(parts: Column, _: Column) -> Column:
-        # Several times faster than array_position, which leaves its loop by an exception.
-        k = lambda least: F.size(F.filter(parts, lambda x: x.bitwiseAND(F.lit(PLACES)) < least.bitwiseAND(F.lit(PLACES))))
-        at_least = lambda m: F.when(m >= NO_RANK << PLACE_BITS, parts).otherwise(_let(k(m), PARTS, lambda k: merged(parts, k)))
-        return _let(F.array_min(parts), PARTS, at_least)
-
-    def ids(parts: Column) -> Column:
-        token = lambda i: F.substring(digits, 2 * place(parts, i) + 1, 2 * (place(parts, i + 1) - place(parts, i)))
-        return F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: _found(ranks, token(i)))
-
-    start = F.transform(F.sequence(F.lit(0), size), lambda i: number(i, F.when(i < size - 1, i + 2)))
-    return F.aggregate(F.slice(F.sequence(F.lit(1), size), F.lit(2), size), start, step, ids)
-
-
-def _word_ids(ranks: Column, word: Column) -> Column:
-    """Ids of one word: a token as it is, else folded."""
-
-    def of(digits: Column) -> Column:
-        one = lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(ranks, digits))
-        return _let(_found(ranks, digits), IDS, one)
-
-    return _let(F.hex(F.encode(word, "UTF-8")), IDS, of)
-
-
-def split_words(text: Column, pattern: str) -> Column:
-    """The matches of a Java pattern in a text; null: none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+def fold(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """Ids of one word: a token as it is, else its bytes merged by rank. Time grows as n log n."""
+    if word in ranks:
+        return [ranks[word]]
+    size = len(word)
+    until, before = list(range(1, size + 1)), list(range(-1, size - 1))  # of the part that starts here; until 0: none does
+    waiting = [(ranks[word[at : at + 2]], at, at + 2) for at in range(size - 1) if word[at : at + 2] in ranks]
+    heapify(waiting)
+    while waiting:
+        _, at, end = heappop(waiting)
+        middle = until[at]
+        if not middle or middle >= size or until[middle] != end:
+            continue  # one of the two parts has been merged otherwise
+        until[at], until[middle] = end, 0
+        if end < size:
+            before[end] = at
+            rank = ranks.get(word[at : until[end]])
+            if rank is not None:
+                heappush(waiting, (rank, at, until[end]))
+        if at:
+            rank = ranks.get(word[before[at] : end])
+            if rank is not None:
+                heappush(waiting, (rank, before[at], end))
+    return [ranks[word[at:end]] for at, end in enumerate(until) if end]
+
+
+class _Ids(dict):
+    """Ids by word; a word that is not there is folded, and kept as long as there are few."""
+
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, list[int]]):
+        super().__init__(known)
+        self.ranks, self.most = ranks, len(known) + FREQUENT
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = fold(self.ranks, word.encode())
+        if len(self) < self.most and len(word) <= FREQUENT_LENGTH:
+            self[word] = ids
+        return ids
+
+
+def _lists(words: Iterator[list[str]], ids: _Ids) -> pa.Array:
+    """The ids of each list of words, as one Arrow array."""
+    values, ends = array("i"), [0]
+    for row in words:
+        values.extend(chain.from_iterable(map(ids.__getitem__, row)))
+        ends.append(len(values))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))
 
 
 def frequent_words(texts: DataFrame, pattern: str, most: int = FREQUENT) -> DataFrame:
-    """word: the most frequent words of all texts, ``most`` at most.
+    """word: the most frequent words of all texts, ``most`` at most. ``pattern`` is a spelled one.
 
     Counts are put into classes, and whole classes are taken from the top, so nothing is sorted in
     one task. What is left out is folded where it stands, so the choice changes no result.
     """
-    words = texts.select(F.explode(split_words(F.col("text"), pattern)).alias("word"))
-    words = words.filter(F.length("word") <= FREQUENT_LENGTH).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def counted(found: Counter) -> pa.RecordBatch:
+        kept = [(word, n) for word, n in found.items() if len(word) <= FREQUENT_LENGTH]
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found = re.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(words(text or ""))
+                if len(found) > FREQUENT:
+                    yield counted(found)
+        yield counted(found)
+
+    words = texts.select("text").mapInArrow(giving_back(run), "word string, n long")
+    words = words.groupBy("word").agg(F.sum("n").alias("n"))
     words = words.filter("n > 1").select("word", F.floor(F.log2("n") * CLASSES).alias("class"))
     words = write_through(words, "word-classes")
     sizes = words.groupBy("class").count().collect()  # at most 64 * CLASSES rows
@@ -194,8 +173,14 @@ def frequent_words(texts: DataFrame, pattern: str, most: int = FREQUENT) -> Data
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """word, ids: each row's word folded, or taken as it is where it is a token."""
-    ids = _let(_rank_map(ranks), IDS, lambda found: _word_ids(found, F.col("word")))
-    return words.select("word", ids.alias("ids"))
+
+    @arrow_udf("array<int>")
+    def folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids = _Ids(ranks, {})
+        for batch in batches:
+            yield _lists(([word] for word in batch.to_pylist()), ids)
+
+    return words.select("word", folded("word").alias("ids"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
@@ -205,24 +190,40 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     replaced. ``ranks`` has all 256 bytes. ``frequent`` bounds the words whose ids travel with the plan; it changes
     the time only. Equal rows stay as many as they are.
     """
-    pattern = java_pattern(docs.sparkSession, pattern)
-    known = frequent_words(docs.select("text"), pattern, frequent)
-    known = {row.word: row.ids for row in encode_words(known, ranks).toLocalIterator()}  # ``frequent`` rows at most
-    known_map = _literal(_buckets(known), "array<map<string,array<int>>>")
+    pattern = spelled_pattern(pattern)
+    words = frequent_words(docs.select("text"), pattern, frequent)
+    known = {row.word: row.ids for row in encode_words(words, ranks).collect()}  # ``frequent`` rows at most
 
-    def of(found: Column, known: Column) -> Column:
-        one = lambda word: F.coalesce(_found(known, word), _word_ids(found, word))
-        return F.flatten(F.transform(split_words(F.col("text"), pattern), one))
+    @arrow_udf("array<int>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, ids = re.compile(pattern).findall, _Ids(ranks, known)
+        for batch in batches:
+            yield _lists((words(text or "") for text in batch.to_pylist()), ids)
 
-    ids = _let(_rank_map(ranks), IDS, lambda found: _let(known_map, IDS, lambda known: of(found, known)))
-    return docs.withColumn("ids", ids)
+    return docs.withColumn("ids", encoded("text"))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of token ids; null where an id is not known."""
-    digits = [""] * (max(ranks.values()) + 1)
+    size = max(ranks.values()) + 1
+    listed = [None] * size
     for token, rank in ranks.items():
-        digits[rank] = token.hex()
-    tokens = F.split(F.lit(",".join(digits)), ",")
-    whole = _let(tokens, "string", lambda known: F.array_join(F.transform(ids, lambda i: F.get(known, i)), "", "?"))
-    return F.unhex(whole)  # null where a digit is none
+        listed[rank] = token
+
+    @arrow_udf("binary")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = pa.array(listed, pa.binary())
+        for batch in batches:
+            ends, values = batch.offsets.to_numpy(), batch.values
+            inside = pc.and_(pc.greater_equal(values, 0), pc.less(values, size))
+            found = tokens.take(pc.if_else(inside, values, pa.scalar(None, values.type)))
+            unknown = np.append(0, np.cumsum(found.is_null().to_numpy(zero_copy_only=False)))
+            known = pc.and_(batch.is_valid(), pa.array(unknown[ends[1:]] == unknown[ends[:-1]]))
+            # The bytes of neighbouring tokens lie side by side already; only the ends are others.
+            found = found.fill_null(b"")
+            cuts = np.frombuffer(found.buffers()[1], np.int32)[found.offset :][ends] if len(found) else np.zeros(len(ends), np.int32)
+            data = found.buffers()[2] or pa.py_buffer(b"")
+            buffers = [known.buffers()[1], pa.py_buffer(np.ascontiguousarray(cuts, np.int32)), data]
+            yield pa.Array.from_buffers(pa.binary(), len(batch), buffers)
+
+    return decoded(ids)
