@@ -1,12 +1,12 @@
-"""Byte-level BPE: words counted and folded once by Spark, their ids looked up by Arrow functions.
+"""Byte-level BPE by Arrow functions.
 
 A text is cut into words by the tokenizer's pattern. A word's bytes are merged by rank: of all
 neighbours that are a token together, those of lowest rank, the leftmost first, until there are none.
 
-All distinct words of the corpus are counted, and the most frequent ones are folded once each; their
-ids travel with the function that encodes texts. Other words are folded where they stand, and a task
-keeps the ids of a bounded number of them. So no text or id is shuffled, only the counts of
-words. Decoding takes each id's bytes out of one Arrow array, a batch at a time.
+A task keeps the ids of a bounded number of words, so that a frequent word is folded once; others are
+folded wherever they stand. Counting the words of the corpus beforehand, to fold the frequent ones
+once for all tasks, took more time than it saved. So nothing is shuffled. Decoding takes each id's
+bytes out of one Arrow array, a batch at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from pyspark.sql.functions import arrow_udf
 
 from yardstats.llm.shared import giving_back, write_through
 
-FREQUENT = 1 << 17  # words at most whose ids travel, and words that a task keeps or counts at once
+FREQUENT = 1 << 17  # words of a vocabulary at most, and words that a task counts at once
+KEPT = 1 << 18  # words at most whose ids a task keeps
 FREQUENT_LENGTH = 64  # characters of such a word at most
 CLASSES = 16  # of counts, per factor of two
 
@@ -87,10 +88,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def fold(ranks: dict[bytes, int], word: bytes) -> list[int]:
+def fold(ranks: dict[bytes, int], word: bytes) -> tuple[int, ...]:
     """Ids of one word: a token as it is, else its bytes merged by rank. Time grows as n log n."""
     if word in ranks:
-        return [ranks[word]]
+        return (ranks[word],)
     size = len(word)
     until, before = list(range(1, size + 1)), list(range(-1, size - 1))  # of the part that starts here; until 0: none does
     waiting = [(ranks[word[at : at + 2]], at, at + 2) for at in range(size - 1) if word[at : at + 2] in ranks]
@@ -110,17 +111,16 @@ def fold(ranks: dict[bytes, int], word: bytes) -> list[int]:
             rank = ranks.get(word[before[at] : end])
             if rank is not None:
                 heappush(waiting, (rank, before[at], end))
-    return [ranks[word[at:end]] for at, end in enumerate(until) if end]
+    return tuple([ranks[word[at:end]] for at, end in enumerate(until) if end])
 
 
 class _Ids(dict):
     """Ids by word; a word that is not there is folded, and kept as long as there are few."""
 
-    def __init__(self, ranks: dict[bytes, int], known: dict[str, list[int]]):
-        super().__init__(known)
-        self.ranks, self.most = ranks, len(known) + FREQUENT
+    def __init__(self, ranks: dict[bytes, int], most: int):
+        self.ranks, self.most = ranks, most
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         ids = fold(self.ranks, word.encode())
         if len(self) < self.most and len(word) <= FREQUENT_LENGTH:
             self[word] = ids
@@ -140,7 +140,7 @@ def frequent_words(texts: DataFrame, pattern: str, most: int = FREQUENT) -> Data
     """word: the most frequent words of all texts, ``most`` at most. ``pattern`` is a spelled one.
 
     Counts are put into classes, and whole classes are taken from the top, so nothing is sorted in
-    one task. What is left out is folded where it stands, so the choice changes no result.
+    one task. For a look at a corpus; encoding does without.
     """
 
     def counted(found: Counter) -> pa.RecordBatch:
@@ -176,27 +176,25 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     @arrow_udf("array<int>")
     def folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = _Ids(ranks, {})
+        ids = _Ids(ranks, KEPT)
         for batch in batches:
             yield _lists(([word] for word in batch.to_pylist()), ids)
 
     return words.select("word", folded("word").alias("ids"))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = KEPT) -> DataFrame:
     """All columns of ``docs``, and ``ids``: the token ids of its column ``text``, as array<int>.
 
     Null and empty texts have none. Special tokens are never made. A column ``ids`` of ``docs`` is
-    replaced. ``ranks`` has all 256 bytes. ``frequent`` bounds the words whose ids travel with the plan; it changes
+    replaced. ``ranks`` has all 256 bytes. ``frequent`` bounds the words whose ids a task keeps; it changes
     the time only. Equal rows stay as many as they are.
     """
     pattern = spelled_pattern(pattern)
-    words = frequent_words(docs.select("text"), pattern, frequent)
-    known = {row.word: row.ids for row in encode_words(words, ranks).collect()}  # ``frequent`` rows at most
 
     @arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, ids = re.compile(pattern).findall, _Ids(ranks, known)
+        words, ids = re.compile(pattern).findall, _Ids(ranks, frequent)
         for batch in batches:
             yield _lists((words(text or "") for text in batch.to_pylist()), ids)
 
