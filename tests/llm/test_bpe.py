@@ -1,9 +1,12 @@
 """Token ids against the tokenizer's own library, and exact round trips."""
 
 import hashlib
+import itertools
 import random
+import re
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -112,3 +115,64 @@ def test_batches_with_unknown_and_no_ids(spark):
     rows = [([],), ([RANKS[b"a"], 10**6],), ([RANKS[b"b"], RANKS[b"c"]],), (None,), ([-1],), ([None],), ([RANKS[b"d"]],)]
     got = spark.createDataFrame(rows, "ids array<int>").coalesce(1).select(bpe.decode(F.col("ids"), RANKS).alias("b")).collect()
     assert [r.b and bytes(r.b) for r in got] == [b"", None, b"bc", None, None, None, b"d"]
+
+
+def _seconds(call, *args):
+    start = time.process_time()
+    return call(*args), time.process_time() - start
+
+
+def test_cutting_does_not_look_through_far_ranges():
+    """Each character in no class was held against all ranges beyond the first plane: five times the time."""
+    pick = random.Random(7)
+    text = " ".join("".join(pick.choices("aeihnorsté", k=pick.randint(1, 12))) + pick.choice(["", ",", "."]) for _ in range(200_000))
+    words, taken = _seconds(bpe._cutter(PATTERN), text)
+    wide, before = _seconds(re.compile(bpe.spelled_pattern(PATTERN)).findall, text)
+    assert words == wide and taken < before / 2
+
+
+@pytest.mark.parametrize("text", ["\U00020000a \U0001F600b9\U0001D7CE \U00010D40", "\uffff\ufffda\uffdc", "\U00010000 a", ""])
+def test_letters_beyond_the_first_plane_are_cut_alike(text):
+    assert bpe._cutter(PATTERN)(text) == re.findall(bpe.spelled_pattern(PATTERN), text)
+
+
+def _numbers(ids):
+    return [np.frombuffer(one, np.int32).tolist() for one in ids]
+
+
+def test_words_merged_together_are_merged_as_the_library_does():
+    pick = random.Random(6)
+    sizes = [1, 2, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 66, 200]
+    words = ["".join(pick.choices(letters, k=size)) for letters in ("abe ", "the aniro", "=-", "a", "éü北京aſ", "\x00\x7f") for size in sizes for _ in range(20)]
+    got = bpe._Merges(RANKS).fold([word.encode() for word in words] + [b""])
+    assert _numbers(got) == [LIBRARY._encode_single_piece(word) for word in words] + [[]]
+
+
+def test_words_merged_together_where_a_merge_makes_a_lower_rank():
+    ranks = {bytes([i]): i + 10 for i in range(256)} | {b"ab": 1, b"abc": 2, b"bc": 5, b"cd": 3, b"aa": 4, b"dddd": 6}
+    library = tiktoken.Encoding("small", pat_str=r"\p{L}+", mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(letters) for size in range(1, 7) for letters in itertools.product("abcd", repeat=size)]
+    assert _numbers(bpe._Merges(ranks).fold([word.encode() for word in words])) == [library._encode_single_piece(word) for word in words]
+
+
+def test_merging_words_together_takes_less_time_than_one_by_one():
+    """They were merged one by one, in most of the query's time."""
+    pick = random.Random(8)
+    words = list({"".join(pick.choices(["the", "an", "er", "on", "ti", "éa", "q"], k=pick.randint(2, 6))).encode() for _ in range(40_000)})
+    merges = bpe._Merges(RANKS)
+    together, taken = _seconds(merges.fold, words)
+    single, before = _seconds(lambda: [list(bpe.fold(RANKS, word)) for word in words])
+    assert _numbers(together) == single and taken < 0.7 * before
+
+
+@pytest.mark.parametrize("most", [0, 2, 100])
+def test_rows_in_portions(monkeypatch, most):
+    """Rows shorter and longer than a portion, empty ones, and words too long to be kept."""
+    monkeypatch.setattr(bpe, "AT_ONCE", 3)
+    ids = bpe._Ids(bpe._Merges(RANKS), most)
+    long = "xyz" * 50
+    rows = [[], ["a"], ["the", " cat", long, "s", "the", long, "qqzz"], [], ["a", "b", "c"], ["a"], [long], []]
+    got = bpe._lists(iter(rows), ids)
+    assert got.to_pylist() == [[i for word in row for i in LIBRARY._encode_single_piece(word)] for row in rows]
+    assert len(ids) <= most and long not in ids
+    assert bpe._lists(iter([]), ids).to_pylist() == [] and bpe._lists(iter([[], []]), ids).to_pylist() == [[], []]

@@ -3,8 +3,9 @@
 A text is cut into words by the tokenizer's pattern. A word's bytes are merged by rank: of all
 neighbours that are a token together, those of lowest rank, the leftmost first, until there are none.
 
-A task keeps the ids of a bounded number of words, so that a frequent word is folded once; others are
-folded wherever they stand. Counting the words of the corpus beforehand, to fold the frequent ones
+The words of a portion of the texts are merged together, one pair of each word at a time; long ones one
+by one. A task keeps the ids of a bounded number of words, so that a frequent word is folded once;
+others are folded in each portion they stand in. Counting the words of the corpus beforehand, to fold the frequent ones
 once for all tasks, took more time than it saved. So nothing is shuffled. Decoding takes each id's
 bytes out of one Arrow array, a batch at a time.
 """
@@ -13,12 +14,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
+import sys
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,14 @@ from yardstats.llm.shared import giving_back, write_through
 FREQUENT = 1 << 17  # words of a vocabulary at most, and words that a task counts at once
 KEPT = 1 << 18  # words at most whose ids a task keeps
 FREQUENT_LENGTH = 64  # characters of such a word at most
+AT_ONCE = 1 << 16  # words that are folded at once, about
+WIDTHS = (-1, 8, 16, 32, 64)  # most bytes of words that are merged together, above that of the class before
 CLASSES = 16  # of counts, per factor of two
 
 #: White space as Unicode has it; Java's and Python's own classes are others.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 KINDS = (r"\p{L}", r"\p{N}")
+FIRST_PLANE, LAST = 0xFFFF, 0x10FFFF  # last characters of Unicode's first plane, and of all
 
 
 @functools.cache
@@ -49,10 +55,12 @@ def _library_class(kind: str) -> str:
 
 
 @functools.cache
-def _ranges(kind: str) -> str:
-    """The ranges of a class, spelled out; no letter or number has a meaning of its own within brackets."""
+def _ranges(kind: str, last: int) -> str:
+    """The ranges of a class up to ``last``, spelled out; no letter or number has a meaning of its own within brackets."""
     ranges: list[list[int]] = []
     for code in map(ord, _library_class(kind)):
+        if code > last:
+            break
         if ranges and ranges[-1][1] == code - 1:
             ranges[-1][1] = code
         else:
@@ -60,12 +68,13 @@ def _ranges(kind: str) -> str:
     return "".join(f"{chr(low)}-{chr(high)}" for low, high in ranges)
 
 
-def spelled_pattern(pattern: str) -> str:
+def spelled_pattern(pattern: str, last: int = LAST) -> str:
     """A tokenizer's pattern with the white space, letters and numbers of the tokenizer's library spelled out.
 
-    It means the same to Python and Java, whatever their own editions of Unicode.
+    It means the same to Python and Java, whatever their own editions of Unicode. Letters and numbers
+    are those up to the character ``last``.
     """
-    inner = {r"\s": SPACE} | {kind: _ranges(kind) for kind in KINDS if kind in pattern}
+    inner = {r"\s": SPACE} | {kind: _ranges(kind, last) for kind in KINDS if kind in pattern}
     parts = re.split(r"(\[\^?[^\]]*\])", pattern)  # classes in brackets, and what is between
     for at, part in enumerate(parts):
         if at % 2 == 0:
@@ -76,6 +85,21 @@ def spelled_pattern(pattern: str) -> str:
     return "".join(parts)
 
 
+def _cutter(pattern: str) -> Callable[[str], list[str]]:
+    """What cuts a text into words.
+
+    Ranges beyond the first plane are looked through one by one for each character that is in none, which
+    takes most of the time. So a text that has no character there is cut by a pattern without them.
+    """
+    narrow, wide = spelled_pattern(pattern, FIRST_PLANE), spelled_pattern(pattern)
+
+    def words(text: str) -> list[str]:
+        beyond = len(text.encode("utf-16-le")) > 2 * len(text)
+        return re.compile(wide if beyond else narrow).findall(text)  # compiled once in a process
+
+    return words
+
+
 def java_pattern(spark: SparkSession, pattern: str) -> str:
     """``spelled_pattern``, as it needs no session any more."""
     return spelled_pattern(pattern)
@@ -114,26 +138,117 @@ def fold(ranks: dict[bytes, int], word: bytes) -> tuple[int, ...]:
     return tuple([ranks[word[at:end]] for at, end in enumerate(until) if end])
 
 
-class _Ids(dict):
-    """Ids by word; a word that is not there is folded, and kept as long as there are few."""
-
-    def __init__(self, ranks: dict[bytes, int], most: int):
-        self.ranks, self.most = ranks, most
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = fold(self.ranks, word.encode())
-        if len(self) < self.most and len(word) <= FREQUENT_LENGTH:
-            self[word] = ids
-        return ids
+class _Merges:
+    """All pairs of tokens that are a token together, to merge many words at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.none = ranks, max(ranks.values()) + 1
+        self.singles = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = {}
+        for token, rank in ranks.items():
+            for at in range(1, len(token)):
+                left, right = ranks.get(token[:at]), ranks.get(token[at:])
+                if left is not None and right is not None:
+                    pairs[left * (self.none + 1) + right] = rank
+        keys = sorted(pairs)
+        self.keys = np.array([*keys, np.iinfo(np.int64).max])
+        self.ids = np.array([*map(pairs.get, keys), self.none], np.int32)
+
+    def _together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The tokens that two make together, which are their ranks too, or ``none``."""
+        wanted = left.astype(np.int64) * (self.none + 1) + right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.ids[at], np.int32(self.none))
+
+    def _fold_rows(self, words: list[bytes], width: int) -> Iterator[tuple[int, bytes]]:
+        """Places of words of at most ``width`` bytes, and their ids; in each round all words merge one pair.
+
+        A row has ``none`` before and behind its tokens, which makes no token with any other.
+        """
+        letters = np.frombuffer(b"".join(word.ljust(width, b"\0") for word in words), np.uint8).reshape(-1, width)
+        inside = np.arange(width) < np.fromiter(map(len, words), np.int64, len(words))[:, None]
+        tokens = np.full((len(words), width + 2), self.none, np.int32)
+        tokens[:, 1:-1] = np.where(inside, self.singles[letters], np.int32(self.none))
+        ranks, places = self._together(tokens[:, :-1], tokens[:, 1:]), np.arange(len(words))
+        while len(places):
+            row = np.arange(len(places))
+            at = ranks.argmin(axis=1)  # the leftmost of lowest rank
+            made = ranks[row, at]
+            done = made == self.none
+            if done.any():
+                real = tokens[done] != self.none
+                data, ends = tokens[done][real].tobytes(), np.append(0, np.cumsum(real.sum(axis=1) * 4)).tolist()
+                yield from zip(places[done].tolist(), map(data.__getitem__, map(slice, ends, ends[1:])))
+                tokens, ranks, places, at, made = (x[~done] for x in (tokens, ranks, places, at, made))
+                row = row[: len(places)]
+            column = np.arange(tokens.shape[1] - 1)
+            tokens[row, at] = made
+            tokens = np.where(column <= at[:, None], tokens[:, :-1], tokens[:, 1:])
+            ranks = np.where(column[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            ranks[row, at - 1] = self._together(tokens[row, at - 1], made)
+            ranks[row, at] = self._together(made, tokens[row, at + 1])
+
+    def fold(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as the bytes of 32-bit numbers."""
+        whole = map(self.ranks.get, words)
+        found = [None if rank is None else rank.to_bytes(4, sys.byteorder) for rank in whole]
+        left = [at for at, ids in enumerate(found) if ids is None]
+        for least, width in itertools.pairwise(WIDTHS):
+            some = [at for at in left if least < len(words[at]) <= width]
+            for at, ids in self._fold_rows([words[at] for at in some], width):
+                found[some[at]] = ids
+        for at in left:
+            if len(words[at]) > WIDTHS[-1]:  # merged by itself
+                found[at] = array("i", fold(self.ranks, words[at])).tobytes()
+        return found
 
 
-def _lists(words: Iterator[list[str]], ids: _Ids) -> pa.Array:
+class _Ids(dict):
+    """Ids by word, as the bytes of 32-bit numbers, of the words at hand and of ``most`` others at most."""
+
+    def __init__(self, merges: _Merges, most: int):
+        self.merges, self.most, self.long = merges, most, 0
+
+    def learn(self, words: Iterable[str]) -> None:
+        new = [word for word in set(words) if word not in self]
+        long = [word for word in new if len(word) > FREQUENT_LENGTH]
+        if long:  # they come last
+            new = [word for word in new if len(word) <= FREQUENT_LENGTH] + long
+        self.long = len(long)
+        self.update(zip(new, self.merges.fold([word.encode() for word in new])))
+
+    def forget(self) -> None:
+        """Long words, and the latest of too many."""
+        for _ in range(max(self.long, len(self) - self.most)):
+            self.popitem()
+
+
+def _portions(rows: Iterable[list[str]]) -> Iterator[list[tuple[list[str], bool]]]:
+    """Pieces of rows, and whether a row ends with its piece, in portions of about AT_ONCE words."""
+    portion, n = [], 0
+    for row in rows:
+        for at in range(0, len(row) or 1, AT_ONCE):
+            piece = row[at : at + AT_ONCE]
+            portion.append((piece, at + AT_ONCE >= len(row)))
+            n += len(piece)
+            if n >= AT_ONCE:
+                yield portion
+                portion, n = [], 0
+    if portion:
+        yield portion
+
+
+def _lists(words: Iterable[list[str]], ids: _Ids) -> pa.Array:
     """The ids of each list of words, as one Arrow array."""
-    values, ends = array("i"), [0]
-    for row in words:
-        values.extend(chain.from_iterable(map(ids.__getitem__, row)))
-        ends.append(len(values))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))
+    values, ends = BytesIO(), [0]
+    for portion in _portions(words):
+        ids.learn(itertools.chain.from_iterable(piece for piece, _ in portion))
+        for piece, last in portion:
+            values.writelines(map(ids.__getitem__, piece))
+            if last:
+                ends.append(values.tell() // 4)
+        ids.forget()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values.getbuffer(), np.int32)))
 
 
 def frequent_words(texts: DataFrame, pattern: str, most: int = FREQUENT) -> DataFrame:
@@ -174,9 +289,11 @@ def frequent_words(texts: DataFrame, pattern: str, most: int = FREQUENT) -> Data
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """word, ids: each row's word folded, or taken as it is where it is a token."""
 
+    merges = _Merges(ranks)
+
     @arrow_udf("array<int>")
     def folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = _Ids(ranks, KEPT)
+        ids = _Ids(merges, KEPT)
         for batch in batches:
             yield _lists(([word] for word in batch.to_pylist()), ids)
 
@@ -190,11 +307,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
     replaced. ``ranks`` has all 256 bytes. ``frequent`` bounds the words whose ids a task keeps; it changes
     the time only. Equal rows stay as many as they are.
     """
-    pattern = spelled_pattern(pattern)
+    words, merges = _cutter(pattern), _Merges(ranks)
 
     @arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, ids = re.compile(pattern).findall, _Ids(ranks, frequent)
+        ids = _Ids(merges, frequent)
         for batch in batches:
             yield _lists((words(text or "") for text in batch.to_pylist()), ids)
 
