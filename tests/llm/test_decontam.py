@@ -90,3 +90,12 @@ def test_a_word_more_in_the_middle(rows):
     words = [a + b for a in "abcdefgh" for b in "vwxyz"][:24]
     docs = [(1, "so " + " ".join(words[:12] + ["really"] + words[12:]) + " it was"), (2, " ".join(words[:12]) + " and" * 60 + " " + " ".join(words[12:]))]
     assert set(_found(rows, docs, [(1, " ".join(words))])) == {(1, 1)}
+
+
+def test_thousands_of_names_and_numbers_in_a_row(rows):
+    names, numbers = " Abc Üd-e" * 20_000, "1,2.3" + ",45" * 20_000
+    docs = [(1, f"of{names} at noon. {QUESTION}"), (2, f"so {numbers} and {QUESTION}"), (3, "so" + " A" * 50_000), (4, f"of{names}")]
+    found = _found(rows, docs, [(1, QUESTION)])
+    assert set(found) == {(1, 1), (2, 1)} and all(r.share == 1 for r in found.values())
+    words = rows([(1, docs[0][1], ""), (2, docs[1][1], "")], DOCS).select(decontam._valued_words(F.col("text")).alias("words")).collect()
+    assert words[0].words[1] == "<name" + names.lower() + ">" and words[1].words[1] == f"<number {numbers}>"
