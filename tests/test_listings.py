@@ -1,4 +1,5 @@
 import math
+import random
 import subprocess
 import sys
 
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from yardstats.operators import listings, sheets
 from yardstats.plans.reports import listing_report
+from yardstats.plans.sample import Sample
 from yardstats.schemas import PAGES, SHEET_GRID
+from yardstats.sources import pages as reader
 from yardstats.sources.pages import Selectors, complete_listings, extract_listings, listing_reader
 from yardstats.sources.sheets import read_sheet_grid
 
@@ -107,6 +110,63 @@ def test_equal_prices_stay_in_page_order(spark):
     assert got == ["z", "a", "b", "c"]
 
 
+def test_each_page_is_read_once(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "read")
+    plain = reader.listing_reader
+
+    def noted(selectors):
+        of = plain(selectors)
+
+        def read(html):
+            with open(log, "a") as f:
+                f.write("x\n")
+            return of(html)
+
+        return read
+
+    monkeypatch.setattr(reader, "listing_reader", noted)
+    pages = spark.createDataFrame([(i, "u", item(f"£{i}")) for i in range(40)], PAGES)
+    got = [r.price for r in listing_report(pages).collect()]
+    assert got == [float(i) for i in range(40)][::-1]
+    with open(log) as f:
+        assert len(f.readlines()) == 40
+
+
+def test_markup_is_made_behind_the_shuffle(spark):
+    """Only the lines of a page are sent to it."""
+    plan = Sample(spark, "/root/testdata/sf0.001").market_pages()._jdf.queryExecution().sparkPlan()
+    sent = ""
+    while plan.children().size():
+        if "Aggregate" in plan.nodeName():  # the last one is that before the shuffle
+            sent = plan.aggregateExpressions().mkString()
+        plan = plan.children().head()
+    assert "price_text" in sent and "s-item" not in sent
+
+
+PARTS = """< > / " ' ! ? -- --> <!-- <!--x--> <!x> <?y> <script> </script> <SCRIPT_a='>'> </Script_> <style </style> <scripty> </ſtyle>
+_ &amp; a T = é <b> </b> <B_> <br> <br/> <p <p_ </p> </ul> <ul> </li> <li_class=s-item> <li_class="s-item"> </div> </i> </a> <a"b </ </_x> <1 <é>
+<div_class='x_s-item_s-item__title'> <i_class="s-item__title"> <b_class='s-item__price'> <a_class="s-item__link"_href="u&amp;v">
+<a_class=s-item__link> _class="s-item__title <img_src='i>j'_class=s-item__title_/> <a_title="x_>_y" _class= href='q' <![CDATA[x]]>""".split()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tags_by_one_pattern(seed, monkeypatch):
+    """The pattern for whole pages finds what the scan tag by tag does, broken markup or not."""
+    draw, short = random.Random(seed), reader._WHOLE
+    closed = [part for part in PARTS if part[0] + part[-1] == "<>" or part.isalnum()]
+    ways = set()
+    for i in range(1500):
+        html = "".join(draw.choice(PARTS if i % 3 == 0 else closed) for _ in range(draw.choice((2, 8, 30)))).replace("_class", " class").replace("_", " ")
+        found = reader.texts_and_tags(html)
+        ways.add(type(found))
+        assert [(x[1], x[2].lower(), x[3]) for x in found] == [x[2:] for x in reader.tags(html)], html
+        got = [read(html), read(html, item="li", title="b", price=None, link="a")]
+        monkeypatch.setattr(reader, "_WHOLE", -1)
+        assert got == [read(html), read(html, item="li", title="b", price=None, link="a")], html
+        monkeypatch.setattr(reader, "_WHOLE", short)
+    assert len(ways) == 2
+
+
 def test_own_bands(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,), (float("nan"),)], "price double")
     bands = [listings.Band("low", high=1.0), listings.Band("all")]

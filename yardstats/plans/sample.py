@@ -7,7 +7,7 @@ names that show alike, relative and absolute addresses, odd price texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardstats.operators.calendar import Facts
@@ -170,26 +170,28 @@ class Sample:
         Every third page nests the title, every fifth price is split over two
         nodes, a missing price leaves the listing incomplete.
         """
+        def item(line: Column) -> Column:
+            key, title, price = line["key"], line["title"], line["price_text"]
+            title = F.when(key % 3 == 0, F.concat(F.lit("<b>New</b> <i> "), title, F.lit(" </i>"))).otherwise(title)
+            price = F.when(
+                key % 5 == 0,
+                F.concat(F.lit('<span class="big s-item__price"><em>'), price, F.lit("</em> <em>each</em></span>")),
+            ).otherwise(F.concat(F.lit('<span class="s-item__price">\n '), price, F.lit(" </span>")))
+            return F.concat(
+                F.lit('<!-- s-item --><li class="wide s-item"><a href="/x"><img src="i.png"></a><div class="s-item__title">'),
+                title,
+                F.lit("</div>"),
+                F.coalesce(price, F.lit("")),
+                F.lit('<p><a class="s-item__link" href="/i?a=1&amp;n='),
+                key.cast("string"),
+                F.lit('">see</a></li>'),
+            )
+
+        # Lines go to their page as they are, and become markup there.
         key = F.col("listing_id")
-        title = F.when(key % 3 == 0, F.concat(F.lit("<b>New</b> <i> "), F.col("title"), F.lit(" </i>"))).otherwise(
-            F.col("title")
-        )
-        price = F.when(
-            key % 5 == 0,
-            F.concat(F.lit('<span class="big s-item__price"><em>'), F.col("price_text"), F.lit("</em> <em>each</em></span>")),
-        ).otherwise(F.concat(F.lit('<span class="s-item__price">\n '), F.col("price_text"), F.lit(" </span>")))
-        item = F.concat(
-            F.lit('<!-- s-item --><li class="wide s-item"><a href="/x"><img src="i.png"></a><div class="s-item__title">'),
-            title,
-            F.lit("</div>"),
-            F.coalesce(price, F.lit("")),
-            F.lit('<p><a class="s-item__link" href="/i?a=1&amp;n='),
-            key.cast("string"),
-            F.lit('">see</a></li>'),
-        )
-        items = self.listing().groupBy(F.floor(key / 10).alias("page_id")).agg(
-            F.array_sort(F.collect_list(F.struct(key.alias("key"), "title", "price_text", item.alias("item")))).alias("items")
+        lines = self.listing().groupBy(F.floor(key / 10).alias("page_id")).agg(
+            F.sort_array(F.collect_list(F.struct(key.alias("key"), "title", "price_text"))).alias("lines")
         )
         head = F.lit('<html><head><style>.s-item{color:red}</style></head><body><ul><li class="other">menu<br></li>')
-        html = F.concat(head, F.array_join("items.item", "\n"), F.lit("</ul></body></html>"))
-        return items.select("page_id", F.lit("").alias("url"), html.alias("html"))
+        html = F.concat(head, F.array_join(F.transform("lines", item), "\n"), F.lit("</ul></body></html>"))
+        return lines.select("page_id", F.lit("").alias("url"), html.alias("html"))
