@@ -143,6 +143,15 @@ def test_markup_is_made_behind_the_shuffle(spark):
     assert "price_text" in sent and "s-item" not in sent
 
 
+def test_prices_and_markup_are_made_once(spark):
+    """A filter on what was made does not make it again."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.range(3).select(F.concat(F.lit("£"), F.col("id").cast("string")).alias("price_text"))
+    assert plan(listings.priced(texts)).count("regexp_extract(") == 1
+    pages = Sample(spark, "/root/testdata/sf0.001").market_pages().filter(F.contains("html", F.lit("s-item")))
+    assert plan(pages).count("transform(") == 1
+
+
 PARTS = """< > / " ' ! ? -- --> <!-- <!--x--> <!x> <?y> <script> </script> <SCRIPT_a='>'> </Script_> <style </style> <scripty> </ſtyle>
 _ &amp; a T = é <b> </b> <B_> <br> <br/> <p <p_ </p> </ul> <ul> </li> <li_class=s-item> <li_class="s-item"> </div> </i> </a> <a"b </ </_x> <1 <é>
 <div_class='x_s-item_s-item__title'> <i_class="s-item__title"> <b_class='s-item__price'> <a_class="s-item__link"_href="u&amp;v">

@@ -46,8 +46,9 @@ def price_bands(listings: DataFrame, bands: list[Band] = BANDS) -> DataFrame:
 
 
 def priced(listings: DataFrame) -> DataFrame:
-    """Listings with a readable price."""
-    return listings.withColumn("price", parse_price(F.col("price_text"))).filter(F.col("price").isNotNull())
+    """Listings with a readable price. The price is made in a step of its own, so that the filter does not parse it again."""
+    price = F.explode(F.array(parse_price(F.col("price_text"))))
+    return listings.withColumn("price", price).filter(F.col("price").isNotNull())
 
 
 def dearest_first(banded: DataFrame, *tie_break: str) -> DataFrame:

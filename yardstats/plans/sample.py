@@ -194,4 +194,5 @@ class Sample:
         )
         head = F.lit('<html><head><style>.s-item{color:red}</style></head><body><ul><li class="other">menu<br></li>')
         html = F.concat(head, F.array_join(F.transform("lines", item), "\n"), F.lit("</ul></body></html>"))
-        return lines.select("page_id", F.lit("").alias("url"), html.alias("html"))
+        # In a step of its own, so that a filter on the markup does not make it again.
+        return lines.select("page_id", F.lit("").alias("url"), F.explode(F.array(html)).alias("html"))
